@@ -1,0 +1,105 @@
+"""Deterministic views over the test tables that stand in for the study's data.
+
+Mapping (documented in FIXTURES.md section C):
+  * a *work* (novel, the bootstrap cluster) is a `documents.source`; its year is
+    1830 + h(source) % 100 and its file name is `<source>-<year>.txt`;
+  * an *evaluation block* is one `documents` row (block_id = documents.doc_id);
+  * the expert label (`DIL`) is `labels.quality` (NULL when unlabelled);
+  * every (model, prompt) condition answers each block: the answer agrees with
+    the truth when h(block|model|prompt) % 100 is below that condition's
+    accuracy parameter; about 1 % of answers are invalid (`error`) and about
+    1 % are upper-cased (valid only for case-insensitive readers).
+
+Every column is a pure function of one input row, so the views are narrow
+projections (no shuffle) apart from the `works` dimension and the label join.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from annospark.constants import MODEL_LABELS, PROMPTS
+from annospark.functions.hashing import h, h_parts
+from annospark.operators.joins import sized_broadcast
+from annospark.sources.tables import table
+
+# Fixture parameters (ours, not the study's): % of answers agreeing with truth.
+ACCURACY = {
+    "claude_sonnet46": {"A": 73, "B": 77, "C": 79},
+    "gemini35flash": {"A": 77, "B": 76, "C": 78},
+    "gpt55": {"A": 77, "B": 77, "C": 78},
+    "gpt_oss_120b": {"A": 61, "B": 60, "C": 67},
+    "qwen3_35b": {"A": 72, "B": 73, "C": 75},
+}
+INVALID_MOD = 97      # h % 97 == 0 -> 'error'
+UPPER_MOD = 89        # h % 89 == 0 -> label upper-cased
+
+
+def conditions() -> list[tuple[str, str]]:
+    """(model_key, prompt) in file-name order, i.e. the study's column order."""
+    return sorted(((k, p) for k in MODEL_LABELS for p in PROMPTS),
+                  key=lambda kp: f"{kp[0]}_prompt{kp[1]}")
+
+
+def works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work dimension: one row per distinct source (partial-aggregated distinct)."""
+    src = table(spark, sf_dir, "documents").select("source").distinct()
+    year = (F.lit(1830) + h("source") % 100).cast("int")
+    return src.select(
+        F.col("source").alias("work"),
+        year.alias("year"),
+        F.concat(F.lit("author_"), (h(F.concat("source", F.lit("/author"))) % 8).cast("string")).alias("author"),
+        F.concat("source", F.lit("-"), year.cast("string"), F.lit(".txt")).alias("doc_id"),
+    )
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled blocks: block_id, doc_id, author, work, year, text, DIL, split."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("block_id"), F.col("source").alias("work"), "text")
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("block_id"), F.col("quality").alias("gold_q"))
+    w = sized_broadcast(works(spark, sf_dir), max_rows=100_000)
+    out = (docs.join(labels, "block_id", "left")
+           .join(w, "work", "left")
+           .select(
+               "block_id", "doc_id", "author", "work", "year", "text",
+               F.when(F.col("gold_q") == 1, "yes").when(F.col("gold_q") == 0, "no").alias("DIL"),
+               F.when(h_parts("block_id", F.lit("split")) % 2 == 0, "V1").otherwise("V2_new").alias("split"),
+               "gold_q"))
+    return out
+
+
+def _label_expr(key: str, prompt: str) -> tuple:
+    hv = h_parts("block_id", F.lit(key), F.lit(prompt))
+    truth = F.coalesce(F.col("gold_q"), h_parts("block_id", F.lit("truth")) % 2)
+    agrees = (hv % 100) < ACCURACY[key][prompt]
+    says_yes = F.when(agrees, truth == 1).otherwise(truth == 0)
+    base = F.when(says_yes, F.lit("yes")).otherwise(F.lit("no"))
+    label = (F.when(hv % INVALID_MOD == 0, F.lit("error"))
+             .when(hv % UPPER_MOD == 0, F.upper(base))
+             .otherwise(base))
+    hc = h_parts("block_id", F.lit(key), F.lit(prompt), F.lit("conf"))
+    conf = F.element_at(F.array(*[F.lit(c) for c in ("high", "medium", "low")]), (hc % 3 + 1).cast("int"))
+    return label, conf
+
+
+def annotations_wide(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    """The wide table of the study: block columns + DIL_<key>_prompt<X> / confidence_<key>_prompt<X>."""
+    b = blocks(spark, sf_dir)
+    cols = ["block_id", "doc_id", "author", "work", "year", "DIL", "split"] + (["text"] if with_text else [])
+    exprs = []
+    for key, p in conditions():
+        label, conf = _label_expr(key, p)
+        exprs += [label.alias(f"DIL_{key}_prompt{p}"), conf.alias(f"confidence_{key}_prompt{p}")]
+    return b.select(*cols, *exprs)
+
+
+def condition_file(spark: SparkSession, sf_dir: str, key: str, prompt: str) -> DataFrame:
+    """One per-condition annotated file: base block columns + its two annotation columns."""
+    b = blocks(spark, sf_dir)
+    label, conf = _label_expr(key, prompt)
+    return b.select("block_id", "doc_id", "author", "work", "year", "text", "DIL", "split",
+                    label.alias(f"DIL_{key}_prompt{prompt}"),
+                    conf.alias(f"confidence_{key}_prompt{prompt}"))
