@@ -71,28 +71,31 @@ def period(year: Column, edges=PERIOD_EDGES, labels=PERIOD_LABELS) -> Column:
 
 
 # ---------------------------------------------------------------- J7 / I1
-def long_fact(wide: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Canonical long fact: block_id, doc_id, year, model, prompt, gold, pred, high, correct, period.
-
-    Case-insensitive labels, NULL gold counts as negative, invalid predictions dropped.
-    """
+def long_all(wide: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Every block x condition row with case-insensitive pred (NULL when invalid)."""
     extra = extra or []
-    lg = to_long(wide, ["block_id", "doc_id", "DIL", *extra])
+    ids = ["block_id", "doc_id", "DIL", *[c for c in extra if c in wide.columns]]
+    lg = to_long(wide, ids)
     year = year_from_filename(F.col("doc_id"))
-    return (lg
-            .withColumn("pred", binarize(F.col("label"), casefold=True))
-            .where(F.col("pred").isNotNull())
-            .select(
+    return (lg.select(
                 "block_id", "doc_id", year.alias("year"),
                 display_name(F.col("model_key")).alias("model"), "prompt",
                 F.coalesce(F.lower("DIL") == "yes", F.lit(False)).cast("int").alias("gold"),
-                "pred",
+                binarize(F.col("label"), casefold=True).alias("pred"),
                 F.coalesce(F.lower("confidence") == "high", F.lit(False)).alias("high"),
                 *extra)
             .withColumn("correct", (F.col("pred") == F.col("gold")).cast("int"))
             .withColumn("period", period(F.col("year"))))
 
 
+def long_fact(wide: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Canonical long fact: block_id, doc_id, year, model, prompt, gold, pred, high, correct, period.
+
+    Case-insensitive labels, NULL gold counts as negative, invalid predictions dropped.
+    """
+    return long_all(wide, extra).where(F.col("pred").isNotNull())
+
+
 # ---------------------------------------------------------------- J5
 def pivot_long(long: DataFrame, key_cols: list[str], values: list[str],
                value_col: str = "pred", index: str = "block_id") -> DataFrame:

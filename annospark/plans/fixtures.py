@@ -100,6 +100,6 @@ def condition_file(spark: SparkSession, sf_dir: str, key: str, prompt: str) -> D
     """One per-condition annotated file: base block columns + its two annotation columns."""
     b = blocks(spark, sf_dir)
     label, conf = _label_expr(key, prompt)
-    return b.select("block_id", "doc_id", "author", "work", "year", "text", "DIL", "split",
+    return b.select("block_id", "doc_id", "author", "work", "year", "DIL", "split",
                     label.alias(f"DIL_{key}_prompt{prompt}"),
                     conf.alias(f"confidence_{key}_prompt{prompt}"))

@@ -101,7 +101,7 @@ def confusion_sql(g: str = "g", p: str = "p") -> str:
 
 
 def rates_sql(digits: int | None = 4, spec_zero: str | None = None, kappa_zero: str | None = None,
-              acc_den: str = "TP + FP + FN + TN") -> str:
+              acc_den: str = "TP + FP + FN + TN", drop: tuple = ()) -> str:
     r = {
         "accuracy": ratio_sql("TP + TN", acc_den, None),
         "precision": ratio_sql("TP", "TP + FP", "0.0"),
@@ -113,4 +113,4 @@ def rates_sql(digits: int | None = 4, spec_zero: str | None = None, kappa_zero:
     if kappa_zero is not None:
         r["kappa"] = f"COALESCE({r['kappa']}, {kappa_zero})"
     return ", ".join(f"round({e}, {digits}) AS {k}" if digits is not None else f"{e} AS {k}"
-                     for k, e in r.items())
+                     for k, e in r.items() if k not in drop)
