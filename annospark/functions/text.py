@@ -1,7 +1,8 @@
 """String Column helpers (all JVM-side, codegen-friendly; no Python UDF).
 
-Java regex `\\s` and Spark `trim` are ASCII-only, Python's are Unicode, so
-every whitespace pattern here carries the `(?U)` flag.
+Java regex `\\s` and Spark `trim` are ASCII-only while Python's are Unicode.
+Whitespace patterns therefore use an explicit class equal to Python's
+str.isspace set (also valid RE2 syntax, so SQL engines agree).
 """
 
 from __future__ import annotations
@@ -9,22 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Python str.isspace(): ASCII whitespace incl. \v, the separators \x1c-\x1f,
+# NEL, and every Unicode separator (Zs, Zl, Zp).
+WS = r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\p{Z}]"
+
 # FIXED VALUES: chapter-title line patterns (case-insensitive) - an optional
 # section keyword CAPITOLO / PARTE / CAP / CAP. followed by only a Roman
 # numeral (letters IVXLCDM) or only Arabic digits, optional final period.
-CHAPTER_TITLE_RE = r"(?iU)^\s*(CAPITOLO|PARTE|CAP\.?)?\s*([IVXLCDM]+|\d+)\.?\s*$"
+CHAPTER_TITLE_RE = r"(?i)^" + WS + r"*(CAPITOLO|PARTE|CAP\.?)?" + WS + r"*([IVXLCDM]+|\p{Nd}+)\.?" + WS + r"*$"
 # Year in a file name: separator, four digits, `.txt` at the end.
 YEAR_IN_FILENAME_RE = r"[-_](\d{4})\.txt$"
 
 
 def utrim(c: Column) -> Column:
     """Unicode-aware strip (Python str.strip semantics)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
 def collapse_ws(c: Column) -> Column:
     """Collapse any run of Unicode whitespace to one space, then strip."""
-    return utrim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return utrim(F.regexp_replace(c, f"{WS}+", " "))
 
 
 def is_chapter_title(line: Column) -> Column:

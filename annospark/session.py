@@ -18,6 +18,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # 64 MB splits keep the long text columns of `documents` spill-friendly.
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
