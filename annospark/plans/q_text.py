@@ -1 +1,150 @@
-"""Queries registered by this module."""
+"""Text-preparation queries over `documents` (whole texts)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from annospark.functions.hashing import h_parts, sql_h_parts
+from annospark.functions.text import CHAPTER_TITLE_RE, WS, preview
+from annospark.operators import prep as P
+from annospark.plans import fixtures as fx
+from annospark.plans.catalog import register
+from annospark.plans.oracle_base import with_base
+from annospark.sources.tables import table
+
+# Prompt templates of the request builder (ours). {TEXT} = block, {CONTEXT} = bibliographic line.
+TEMPLATES = {
+    "A": "Context: {CONTEXT}\nPassage:\n{TEXT}\nDoes the passage contain free indirect discourse? Answer yes or no.",
+    "B": ("Free indirect discourse renders a character's thoughts or speech in the narrator's voice "
+          "without a reporting verb.\nContext: {CONTEXT}\nPassage:\n{TEXT}\nAnswer yes or no."),
+    "C": ("Label the passage yes if it contains free indirect discourse, otherwise no. Reply as JSON with "
+          "keys label and confidence.\nContext: {CONTEXT}\nPassage:\n{TEXT}"),
+}
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# ---- DuckDB spellings of the per-row array pipeline -------------------------
+def _utrim(x: str) -> str:
+    return f"regexp_replace({x}, {q('^' + WS + '+|' + WS + '+$')}, '', 'g')"
+
+
+def _collapse(x: str) -> str:
+    return _utrim(f"regexp_replace({x}, {q(WS + '+')}, ' ', 'g')")
+
+
+def _is_title(x: str) -> str:
+    return f"({_utrim(x)} <> '' AND regexp_matches({x}, {q(CHAPTER_TITLE_RE)}))"
+
+
+def _para_array(text: str) -> str:
+    marked = (f"list_transform(string_split({text}, chr(10)), lambda l: CASE WHEN {_utrim('l')} = '' "
+              f"OR {_is_title('l')} THEN chr(57345) ELSE {_utrim('l')} END)")
+    parts = f"string_split_regex(array_to_string({marked}, chr(57344)), chr(57344) || '?' || chr(57345) || chr(57344) || '?')"
+    return f"list_filter(list_transform({parts}, lambda p: replace(p, chr(57344), ' ')), lambda p: p <> '')"
+
+
+def _sent_array(p: str) -> str:
+    pieces = f"string_split(regexp_replace({p}, {q(P.BOUNDARY_RE)}, '\\1' || chr(57346), 'g'), chr(57346))"
+    return f"list_filter(list_transform({pieces}, lambda s: {_collapse('s')}), lambda s: length(s) > 1)"
+
+
+def _doc_sents(text: str) -> str:
+    return f"flatten(list_transform({_para_array(text)}, lambda pp: {_sent_array('pp')}))"
+
+
+SENT_CTE = f"""sa AS (SELECT doc_id, source, {_doc_sents('text')} AS sents FROM documents),
+sent AS (SELECT doc_id, CAST(generate_subscripts(sents, 1) - 1 AS BIGINT) AS sent_idx, unnest(sents) AS sentence FROM sa)"""
+
+
+def _docs(spark, sf):
+    return table(spark, sf, "documents")
+
+
+# ------------------------------------------------------------------ P1
+register("chapter_titles", f"""
+SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines,
+       CAST(len(list_filter(string_split(text, chr(10)), lambda l: {_is_title('l')})) AS BIGINT) AS n_titles
+FROM documents""")(lambda spark, sf: P.chapter_title_counts(_docs(spark, sf), "doc_id"))
+
+# ------------------------------------------------------------------ P2
+register("paragraphs", f"""
+WITH pa AS (SELECT doc_id, {_para_array('text')} AS paras FROM documents)
+SELECT doc_id, CAST(generate_subscripts(paras, 1) - 1 AS BIGINT) AS para_idx, unnest(paras) AS paragraph FROM pa""")(
+    lambda spark, sf: P.paragraphs(_docs(spark, sf), "doc_id"))
+
+# ------------------------------------------------------------------ P4 / P5
+register("sentences", f"WITH {SENT_CTE}\nSELECT doc_id, sent_idx, sentence FROM sent")(
+    lambda spark, sf: P.sentences(_docs(spark, sf), "doc_id"))
+
+# ------------------------------------------------------------------ P7 (minimum slice of text prep)
+register("chunks", f"""WITH {SENT_CTE}
+SELECT s.doc_id, d.source, CAST(s.sent_idx // 3 AS BIGINT) AS chunk_idx,
+       string_agg(s.sentence, ' ' ORDER BY s.sent_idx) AS text, count(*) AS n_sent
+FROM sent s JOIN documents d ON d.doc_id = s.doc_id GROUP BY s.doc_id, d.source, s.sent_idx // 3""")(
+    lambda spark, sf: P.chunks(_docs(spark, sf), "doc_id", keep=["source"]))
+
+# ------------------------------------------------------------------ P8
+register("block_labels", f"""WITH {SENT_CTE},
+lab AS (SELECT doc_id, sent_idx, CASE WHEN {sql_h_parts('doc_id', 'sent_idx', "'dil'")} % 10 = 0 THEN 'yes' ELSE 'no' END AS label FROM sent)
+SELECT doc_id, CAST(sent_idx // 3 AS BIGINT) AS chunk_idx, count(*) AS n_sent,
+       CASE WHEN bool_or(label = 'yes') THEN 'yes' ELSE 'no' END AS label
+FROM lab GROUP BY doc_id, sent_idx // 3""")(
+    lambda spark, sf: P.block_labels(
+        P.sentences(_docs(spark, sf), "doc_id").withColumn(
+            "label", F.when(h_parts("doc_id", "sent_idx", F.lit("dil")) % 10 == 0, "yes").otherwise("no")),
+        "doc_id"))
+
+# ------------------------------------------------------------------ P9
+register("corpus_summary", f"""WITH sa AS (SELECT source, len({_doc_sents('text')}) AS n_sent FROM documents)
+SELECT source, GROUPING(source) AS level, count(*) AS n_files, CAST(sum(n_sent) AS BIGINT) AS n_sentences,
+       CAST(sum(CAST(ceil(n_sent / 3) AS BIGINT)) AS BIGINT) AS n_chunks,
+       round(CAST(sum(n_sent) AS DOUBLE) / NULLIF(CAST(sum(CAST(ceil(n_sent / 3) AS BIGINT)) AS DOUBLE), 0), 6) AS sent_per_chunk
+FROM sa GROUP BY ROLLUP (source)""")(lambda spark, sf: P.corpus_summary(_docs(spark, sf), "source"))
+
+# ------------------------------------------------------------------ P3
+register("abbrev_types", f"""
+WITH t AS (SELECT unnest(string_split({_collapse('text')}, ' ')) AS tok FROM documents),
+per AS (SELECT lower(regexp_replace(tok, '\\.$', '')) AS type, count(*) AS c,
+               count(*) FILTER (WHERE suffix(tok, '.')) AS a FROM t WHERE tok <> '' GROUP BY 1),
+tot AS (SELECT CAST(sum(c) AS DOUBLE) AS N, CAST(sum(a) AS DOUBLE) AS P FROM per),
+sc AS (
+  SELECT type, CAST(a AS BIGINT) AS a, CAST(c AS BIGINT) AS c,
+    (-2.0 * (CAST(a AS DOUBLE) * ln(P / N) + (CAST(c AS DOUBLE) - CAST(a AS DOUBLE)) * ln(1 - P / N)
+             - (CAST(a AS DOUBLE) * ln(0.99) + (CAST(c AS DOUBLE) - CAST(a AS DOUBLE)) * ln(0.01))))
+    * exp(-CAST(length(replace(type, '.', '')) AS DOUBLE))
+    * (CAST(length(type) - length(replace(type, '.', '')) AS DOUBLE) + 1)
+    * pow(CAST(length(replace(type, '.', '')) AS DOUBLE), -(CAST(c AS DOUBLE) - CAST(a AS DOUBLE))) AS s
+  FROM per, tot WHERE a > 0 AND regexp_matches(type, '^[\\p{{L}}.]*\\p{{L}}[\\p{{L}}.]*$'))
+SELECT type, a, c, round(s, 6) AS score FROM sc WHERE round(s, 6) >= 0.3""")(
+    lambda spark, sf: P.learn_abbreviations(_docs(spark, sf)))
+
+# ------------------------------------------------------------------ P3b (no SQL oracle; pytest brute force)
+register("collocations")(lambda spark, sf: P.collocations(_docs(spark, sf)))
+
+# ------------------------------------------------------------------ P4 with learned abbreviations (R)
+def _sentences_abbrev(spark, sf):
+    docs = _docs(spark, sf)
+    ab = [r["type"] for r in P.learn_abbreviations(docs).select("type").collect()]  # learned set, bounded
+    return P.sentences(docs, "doc_id", abbrevs=ab)
+
+
+register("sentences_abbrev")(_sentences_abbrev)
+
+# ------------------------------------------------------------------ P10
+_TV = ", ".join(f"({q(k)}, {q(v)})" for k, v in sorted(TEMPLATES.items()))
+register("requests", with_base(f"tm AS (SELECT * FROM (VALUES {_TV}) t(prompt, template))") + """
+SELECT 'prompt' || tm.prompt || '_row' || CAST(b.block_id AS VARCHAR) AS request_id, b.block_id, tm.prompt,
+       replace(replace(tm.template, '{TEXT}', b.text), '{CONTEXT}',
+               concat_ws(', ', COALESCE(b.author, 'Autore sconosciuto'), COALESCE(b.work, 'Opera sconosciuta'),
+                         COALESCE(CAST(b.year AS VARCHAR), 'anno ignoto'))) AS request_text
+FROM blocks b, tm""")(lambda spark, sf: P.build_requests(fx.blocks(spark, sf), TEMPLATES))
+
+# ------------------------------------------------------------------ P11
+register("preview", """
+SELECT doc_id, CASE WHEN length(text) > 150 THEN substring(text, 1, 150) || '...' ELSE text END AS preview_150,
+       substring(text, 1, 100) || '...' AS preview_100 FROM documents""")(
+    lambda spark, sf: _docs(spark, sf).select("doc_id", preview(F.col("text"), 150).alias("preview_150"),
+                                              preview(F.col("text"), 100, always_ellipsis=True).alias("preview_100")))
