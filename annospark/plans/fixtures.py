@@ -103,3 +103,45 @@ def condition_file(spark: SparkSession, sf_dir: str, key: str, prompt: str) -> D
     return b.select("block_id", "doc_id", "author", "work", "year", "DIL", "split",
                     label.alias(f"DIL_{key}_prompt{prompt}"),
                     conf.alias(f"confidence_{key}_prompt{prompt}"))
+
+
+# ---------------------------------------------------------------- raw answers
+N_SHAPES = 11
+
+
+def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw model responses, one per block x condition, in 11 shapes chosen by hash:
+    0 clean JSON, 1 JSON inside prose, 2 think block + JSON, 3 plain tokens,
+    4 two objects, 5 upper case with padding, 6 truncated JSON, 7 NULL (all
+    retries failed), 8 single-quoted JSON, 9 structured Italian JSON, 10 empty.
+    """
+    from annospark.operators.reshape import to_long
+    lg = to_long(annotations_wide(spark, sf_dir), ["block_id"])
+    lab = F.when(F.lower("label").isin("yes", "no"), F.lower("label")).otherwise(F.lit("maybe"))
+    other = F.when(lab == "yes", F.lit("no")).otherwise(F.lit("yes"))
+    conf = F.col("confidence")
+    conf_it = F.element_at(F.create_map(F.lit("high"), F.lit("alta"), F.lit("medium"), F.lit("media"),
+                                        F.lit("low"), F.lit("bassa")), conf)
+    shape = h_parts("block_id", "model_key", "prompt", F.lit("shape")) % N_SHAPES
+    rt = h_parts("block_id", "model_key", "prompt", F.lit("rt")) % 50
+    q = F.lit('"')
+    text = (F.when(shape == 0, F.concat(F.lit('{"label": "'), lab, F.lit('", "confidence": "'), conf, F.lit('"}')))
+            .when(shape == 1, F.concat(F.lit('Risposta: {"label":"'), lab, F.lit('","confidence":"'), conf, F.lit('"} fine')))
+            .when(shape == 2, F.concat(F.lit('<think>{"label":"'), other, F.lit('"}</think>{"label":"'), lab,
+                                       F.lit('","confidence":"'), conf, F.lit('"}')))
+            .when(shape == 3, F.concat(lab, F.lit(" "), conf))
+            .when(shape == 4, F.concat(F.lit('{"label":"'), lab, F.lit('"} x {"label":"'), other, F.lit('"}')))
+            .when(shape == 5, F.concat(F.lit('{"label":"'), F.upper(lab), F.lit(' ","confidence":"'), F.upper(conf), q, F.lit("}")))
+            .when(shape == 6, F.concat(F.lit('{"label":"'), lab, q))
+            .when(shape == 8, F.concat(F.lit("{'label':'"), lab, F.lit("'}")))
+            .when(shape == 9, F.concat(F.lit('{"dil":"'), lab, F.lit('","confidenza":"'), conf_it,
+                                       F.lit('","ragionamento":"Marcatori presenti.","marcatori":["interiezioni","puntini di sospensione"]}')))
+            .when(shape == 10, F.lit("")))
+    return lg.select(
+        F.concat(F.lit("prompt"), F.col("prompt"), F.lit("_row"), F.col("block_id").cast("string")).alias("request_id"),
+        "block_id", "model_key", "prompt",
+        F.when(rt == 0, "errored").when(rt == 1, "expired").otherwise("succeeded").alias("result_type"),
+        text.alias("raw_text"),
+        F.when(shape.isin(7, 10), F.concat(F.lit("reasoning: "), lab)).alias("reasoning_text"),
+        (F.lit(300) + h_parts("block_id", "model_key", "prompt", F.lit("tin")) % 200).alias("tokens_in"),
+        (F.lit(5) + h_parts("block_id", "model_key", "prompt", F.lit("tout")) % 20).alias("tokens_out"))

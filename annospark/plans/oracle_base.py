@@ -114,3 +114,31 @@ def rates_sql(digits: int | None = 4, spec_zero: str | None = None, kappa_zero:
         r["kappa"] = f"COALESCE({r['kappa']}, {kappa_zero})"
     return ", ".join(f"round({e}, {digits}) AS {k}" if digits is not None else f"{e} AS {k}"
                      for k, e in r.items() if k not in drop)
+
+
+RAW = f"""raw0 AS (
+  SELECT block_id, model_key, prompt, confidence AS conf,
+         CASE WHEN lower(label) IN ('yes', 'no') THEN lower(label) ELSE 'maybe' END AS lab,
+         {sql_h_parts('block_id', 'model_key', 'prompt', "'shape'")} % 11 AS shape,
+         {sql_h_parts('block_id', 'model_key', 'prompt', "'rt'")} % 50 AS rt,
+         {sql_h_parts('block_id', 'model_key', 'prompt', "'tin'")} % 200 AS tin,
+         {sql_h_parts('block_id', 'model_key', 'prompt', "'tout'")} % 20 AS tout
+  FROM ann),
+raw AS (
+  SELECT 'prompt' || prompt || '_row' || CAST(block_id AS VARCHAR) AS request_id, block_id, model_key, prompt,
+    CASE rt WHEN 0 THEN 'errored' WHEN 1 THEN 'expired' ELSE 'succeeded' END AS result_type,
+    CASE shape
+      WHEN 0 THEN '{{"label": "' || lab || '", "confidence": "' || conf || '"}}'
+      WHEN 1 THEN 'Risposta: {{"label":"' || lab || '","confidence":"' || conf || '"}} fine'
+      WHEN 2 THEN '<think>{{"label":"' || (CASE WHEN lab = 'yes' THEN 'no' ELSE 'yes' END) || '"}}</think>{{"label":"' || lab || '","confidence":"' || conf || '"}}'
+      WHEN 3 THEN lab || ' ' || conf
+      WHEN 4 THEN '{{"label":"' || lab || '"}} x {{"label":"' || (CASE WHEN lab = 'yes' THEN 'no' ELSE 'yes' END) || '"}}'
+      WHEN 5 THEN '{{"label":"' || upper(lab) || ' ","confidence":"' || upper(conf) || '"}}'
+      WHEN 6 THEN '{{"label":"' || lab || '"'
+      WHEN 8 THEN '{{''label'':''' || lab || '''}}'
+      WHEN 9 THEN '{{"dil":"' || lab || '","confidenza":"' || (CASE conf WHEN 'high' THEN 'alta' WHEN 'medium' THEN 'media' WHEN 'low' THEN 'bassa' END) || '","ragionamento":"Marcatori presenti.","marcatori":["interiezioni","puntini di sospensione"]}}'
+      WHEN 10 THEN ''
+    END AS raw_text,
+    CASE WHEN shape IN (7, 10) THEN 'reasoning: ' || lab END AS reasoning_text,
+    300 + tin AS tokens_in, 5 + tout AS tokens_out
+  FROM raw0)"""

@@ -1 +1,97 @@
-"""Queries registered by this module."""
+"""Answer-normalisation queries over the raw-response fixture."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from annospark.functions import answers as A
+from annospark.operators.answers import normalize_answers, status_distribution
+from annospark.operators.reshape import binarize, to_long
+from annospark.plans import fixtures as fx
+from annospark.plans.catalog import register
+from annospark.plans.oracle_base import RAW, with_base
+from annospark.plans.q_text import _utrim, q
+from annospark.functions.text import WS
+
+BASE = with_base(RAW)
+KEYS = ["request_id", "block_id", "model_key", "prompt"]
+_K = ", ".join(KEYS)
+
+
+def _raw(spark, sf):
+    return fx.raw_answers(spark, sf)
+
+
+# ------------------------------------------------------------------ R1
+register("strip_think", BASE + f"""
+SELECT {_K}, regexp_replace(raw_text, {q(A.THINK_RE)}, '', 'g') AS stripped FROM raw""")(
+    lambda spark, sf: _raw(spark, sf).select(*KEYS, A.strip_think(F.col("raw_text")).alias("stripped")))
+
+# ------------------------------------------------------------------ R2 (+R1)
+_STRIPPED = f"regexp_replace(raw_text, {q(A.THINK_RE)}, '', 'g')"
+_SL = f"regexp_extract({_utrim(_STRIPPED)}, {q(A.JSON_SLICE_RE)}, 0)"
+register("parse_json_answer", BASE + f""", s AS (SELECT {_K}, {_SL} AS sl FROM raw),
+v AS (SELECT *, COALESCE(CASE WHEN json_valid(sl) THEN json_type(sl) = 'OBJECT' ELSE false END, false) AS okj FROM s),
+e AS (SELECT *, CASE WHEN okj THEN lower({_utrim("json_extract_string(sl, '$.label')")}) END AS lab,
+                CASE WHEN okj THEN lower({_utrim("json_extract_string(sl, '$.confidence')")}) END AS conf FROM v)
+SELECT {_K}, CASE WHEN lab IN ('yes', 'no') THEN lab ELSE 'error' END AS label,
+       CASE WHEN lab IN ('yes', 'no') AND conf IN ('high', 'medium', 'low') THEN conf ELSE 'unknown' END AS confidence
+FROM e""")(lambda spark, sf: normalize_answers(_raw(spark, sf), "json_think").select(*KEYS, "label", "confidence"))
+
+# ------------------------------------------------------------------ R3
+_TOKS = f"string_split_regex(lower({_utrim('raw_text')}), {q(WS + '+')})"
+register("parse_plain_answer", BASE + f"""
+SELECT {_K}, COALESCE(list_filter({_TOKS}, lambda t: t IN ('yes', 'no'))[1], 'error') AS label,
+       COALESCE(list_filter({_TOKS}, lambda t: t IN ('high', 'medium', 'low'))[1], 'unknown') AS confidence
+FROM raw""")(lambda spark, sf: normalize_answers(_raw(spark, sf), "plain").select(*KEYS, "label", "confidence"))
+
+# ------------------------------------------------------------------ R4
+_CONTAINS = f"""CASE WHEN raw_text IS NULL THEN 'ERROR' WHEN contains(upper({_utrim('raw_text')}), 'YES') THEN 'YES'
+  WHEN contains(upper({_utrim('raw_text')}), 'NO') THEN 'NO' ELSE 'UNCLEAR' END"""
+register("parse_contains", BASE + f"\nSELECT {_K}, {_CONTAINS} AS label FROM raw")(
+    lambda spark, sf: normalize_answers(_raw(spark, sf), "contains").select(*KEYS, "label"))
+
+# ------------------------------------------------------------------ R5
+register("parse_prefix", BASE + f"""
+SELECT {_K}, CASE WHEN starts_with(upper({_utrim("COALESCE(raw_text, 'None')")}), 'YES') THEN 'yes' ELSE 'no' END AS label
+FROM raw""")(lambda spark, sf: normalize_answers(_raw(spark, sf), "prefix").select(*KEYS, "label"))
+
+# ------------------------------------------------------------------ R6
+_L = f"lower({_utrim('raw_text')})"
+register("parse_legacy", BASE + f"""
+SELECT {_K}, CASE WHEN contains({_L}, 'yes') OR contains({_L}, 'sì') OR contains({_L}, 'si') THEN 'yes' ELSE 'no' END AS label
+FROM raw""")(lambda spark, sf: normalize_answers(_raw(spark, sf), "legacy").select(*KEYS, "label"))
+
+# ------------------------------------------------------------------ R7
+register("parse_structured", BASE + f""", t AS (SELECT {_K}, result_type, raw_text, {_utrim('raw_text')} AS t FROM raw),
+st AS (SELECT *, CASE WHEN result_type = 'errored' THEN 'api_error' WHEN result_type = 'expired' THEN 'expired'
+        WHEN COALESCE(CASE WHEN json_valid(t) THEN json_type(t) = 'OBJECT' ELSE false END, false) THEN 'ok' ELSE 'parse_error' END AS status FROM t)
+SELECT {_K}, status,
+  CASE WHEN status = 'ok' THEN COALESCE(json_extract_string(t, '$.dil'), 'error') END AS dil,
+  CASE WHEN status = 'ok' THEN COALESCE(json_extract_string(t, '$.confidenza'), 'sconosciuta') END AS confidenza,
+  CASE WHEN status = 'ok' THEN json_extract_string(t, '$.ragionamento') END AS ragionamento,
+  CASE WHEN status = 'ok' THEN array_to_string(CAST(json_extract(t, '$.marcatori') AS VARCHAR[]), '|') END AS marcatori,
+  CASE WHEN status = 'parse_error' THEN substring(raw_text, 1, 500) END AS raw_prefix
+FROM st""")(lambda spark, sf: normalize_answers(_raw(spark, sf), "structured").select(
+    *KEYS, "status", "dil", "confidenza", "ragionamento", F.array_join("marcatori", "|").alias("marcatori"),
+    "raw_prefix"))
+
+# ------------------------------------------------------------------ R8
+register("answer_text", BASE + f"""
+SELECT {_K}, COALESCE(NULLIF({_utrim('raw_text')}, ''), reasoning_text) AS answer FROM raw""")(
+    lambda spark, sf: _raw(spark, sf).select(*KEYS, A.answer_text(F.col("raw_text"), F.col("reasoning_text")).alias("answer")))
+
+# ------------------------------------------------------------------ R9
+register("binarize", with_base() + """
+SELECT block_id, model_key, prompt, label,
+       CASE label WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS pred_cs,
+       CASE lower(label) WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS pred_ci FROM ann""")(
+    lambda spark, sf: to_long(fx.annotations_wide(spark, sf), ["block_id"]).select(
+        "block_id", "model_key", "prompt", "label",
+        binarize(F.col("label")).alias("pred_cs"), binarize(F.col("label"), casefold=True).alias("pred_ci")))
+
+# ------------------------------------------------------------------ R10
+register("status_distribution", BASE + f""", c AS (SELECT {_CONTAINS} AS status FROM raw),
+a AS (SELECT status, count(*) AS n FROM c GROUP BY status)
+SELECT status, n, round(CAST(n AS DOUBLE) * 100 / CAST(sum(n) OVER () AS DOUBLE), 6) AS pct FROM a""")(
+    lambda spark, sf: status_distribution(normalize_answers(_raw(spark, sf), "contains")))
