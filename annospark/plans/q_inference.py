@@ -1 +1,203 @@
-"""Queries registered by this module."""
+"""Inference and stability queries (cluster bootstrap, Holm, stability, PPV, logit)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from annospark.constants import (COMMERCIAL_MODELS, CONTRAST_MODEL_PAIRS, HIGHCONF_MODELS,
+                                 MODEL_ORDER, PERIOD_LABELS)
+from annospark.functions.hashing import sql_h_parts
+from annospark.functions.stats import spearman_p
+from annospark.operators import inference as I
+from annospark.operators import models as MD
+from annospark.operators.reshape import long_fact
+from annospark.plans import fixtures as fx
+from annospark.plans.catalog import register
+from annospark.plans.oracle_base import kappa_sql, with_base
+
+N_BOOT, SEED = 2000, 42
+
+
+def _lf(spark, sf):
+    return long_fact(fx.annotations_wide(spark, sf))
+
+
+def _lst(xs):
+    return ", ".join(f"'{x}'" for x in xs)
+
+
+# ---- shared oracle CTEs ----------------------------------------------------
+_DC = """dc AS (SELECT doc_id, model, prompt,
+    count(*) FILTER (WHERE gold = 1 AND pred = 1) AS TP, count(*) FILTER (WHERE gold = 1 AND pred = 0) AS FN,
+    count(*) FILTER (WHERE gold = 0 AND pred = 1) AS FP, count(*) FILTER (WHERE gold = 0 AND pred = 0) AS TN
+  FROM lf GROUP BY doc_id, model, prompt)"""
+_BOOT = f"""docs AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM (SELECT DISTINCT doc_id FROM lf) x),
+nd AS (SELECT count(*) AS D FROM docs),
+ids AS (SELECT unnest(range(0, {N_BOOT} * D)) AS id, D FROM nd),
+dr AS (SELECT id // D AS b, id % D AS j, D FROM ids),
+draws AS (SELECT b, {sql_h_parts(str(SEED), 'b', 'j')} % D AS k, count(*) AS mult FROM dr GROUP BY 1, 2),
+rep0 AS (SELECT b, model, prompt, sum(TP * mult) AS TP, sum(FN * mult) AS FN, sum(FP * mult) AS FP, sum(TN * mult) AS TN
+  FROM draws JOIN docs USING (k) JOIN dc USING (doc_id) GROUP BY b, model, prompt),
+rep AS (SELECT b, model, prompt, {kappa_sql('TP', 'FN', 'FP', 'TN')} AS kappa FROM rep0),
+pk0 AS (SELECT model, prompt, sum(TP) AS TP, sum(FN) AS FN, sum(FP) AS FP, sum(TN) AS TN FROM dc GROUP BY model, prompt),
+pk AS (SELECT model, prompt, {kappa_sql('TP', 'FN', 'FP', 'TN')} AS kappa FROM pk0)"""
+
+_CONTRASTS = [(f"{a} C - {b} C", a, "C", b, "C") for a, b in CONTRAST_MODEL_PAIRS]
+for _m in MODEL_ORDER:
+    _CONTRASTS += [(f"{_m} C - {_m} A", _m, "C", _m, "A"), (f"{_m} B - {_m} A", _m, "B", _m, "A")]
+_CON = "con AS (SELECT * FROM (VALUES " + ", ".join(
+    "(" + ", ".join(f"'{v}'" for v in row) + ")" for row in _CONTRASTS) + ") t(contrasto, m1, p1, m2, p2))"
+_CONTRAST_CTE = f"""{_CON},
+d AS (SELECT con.contrasto, r1.kappa - r2.kappa AS d FROM con
+  JOIN rep r1 ON r1.model = con.m1 AND r1.prompt = con.p1
+  JOIN rep r2 ON r2.model = con.m2 AND r2.prompt = con.p2 AND r2.b = r1.b),
+st AS (SELECT contrasto, quantile_cont(d, 0.025) AS ic_inf, quantile_cont(d, 0.975) AS ic_sup,
+              avg(CAST(d <= 0 AS DOUBLE)) AS le, avg(CAST(d >= 0 AS DOUBLE)) AS ge FROM d GROUP BY contrasto),
+dl AS (SELECT con.contrasto, a.kappa - b.kappa AS delta_kappa FROM con
+  JOIN pk a ON a.model = con.m1 AND a.prompt = con.p1 JOIN pk b ON b.model = con.m2 AND b.prompt = con.p2),
+ct AS (SELECT dl.contrasto, delta_kappa, ic_inf, ic_sup, least(1.0, 2 * least(le, ge)) AS p FROM dl JOIN st USING (contrasto)),
+hj AS (SELECT *, row_number() OVER (ORDER BY p, contrasto) - 1 AS j, count(*) OVER () AS m FROM ct),
+ho AS (SELECT *, max(least(1.0, CAST(m - j AS DOUBLE) * p)) OVER (ORDER BY p, contrasto ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p_holm FROM hj)"""
+
+
+def _replicates(spark, sf):
+    return I.bootstrap_replicates(spark, _lf(spark, sf), N_BOOT, SEED)
+
+
+# ------------------------------------------------------------------ I2
+register("bootstrap_kappa", with_base(_DC, _BOOT) + """,
+ci AS (SELECT model, prompt, quantile_cont(kappa, 0.025) AS lo, quantile_cont(kappa, 0.975) AS hi FROM rep GROUP BY model, prompt)
+SELECT pk.model AS modello, pk.prompt, round(pk.kappa, 6) AS kappa, round(lo, 6) AS ic_inf, round(hi, 6) AS ic_sup
+FROM pk JOIN ci USING (model, prompt)""")(
+    lambda spark, sf: I.bootstrap_kappa(spark, _lf(spark, sf), N_BOOT, SEED))
+
+# ------------------------------------------------------------------ I3 / I4
+register("bootstrap_contrasts", with_base(_DC, _BOOT, _CONTRAST_CTE) + """
+SELECT contrasto, round(delta_kappa, 6) AS delta_kappa, round(ic_inf, 6) AS ic_inf, round(ic_sup, 6) AS ic_sup,
+       round(p, 6) AS p, round(p_holm, 6) AS p_holm FROM ho""")(
+    lambda spark, sf: I.bootstrap_contrasts(spark, _lf(spark, sf), N_BOOT, SEED))
+
+register("holm", with_base(_DC, _BOOT, _CONTRAST_CTE) + """
+SELECT contrasto, round(p, 6) AS p, round(p_holm, 6) AS p_holm FROM ho""")(
+    lambda spark, sf: I.bootstrap_contrasts(spark, _lf(spark, sf), N_BOOT, SEED).select("contrasto", "p", "p_holm"))
+
+# ------------------------------------------------------------------ I7 - I9
+def _stab_sql(rows_cte: str) -> str:
+    f = "CAST(f AS DOUBLE)"
+    cols = [f"avg(CASE WHEN gold = 1 THEN {f} END) AS recall"]
+    for p in PERIOD_LABELS:
+        cols += [f"1 - avg(CASE WHEN gold = 0 AND period = '{p}' THEN {f} END) AS \"sp_{p}\"",
+                 f"avg(CASE WHEN gold = 1 AND period = '{p}' THEN {f} END) AS \"rec_{p}\""]
+    first, last = PERIOD_LABELS[0], PERIOD_LABELS[-1]
+    outs = ["round(recall, 6) AS recall"]
+    for p in PERIOD_LABELS:
+        outs += [f"round(\"sp_{p}\", 6) AS \"sp_{p}\"", f"round(\"rec_{p}\", 6) AS \"rec_{p}\""]
+    eff = repr(1 - 0.03)
+    return with_base(rows_cte, f"sa AS (SELECT rule AS regola, {', '.join(cols)} FROM rr GROUP BY rule)",
+                     f"sd AS (SELECT *, \"sp_{last}\" - \"sp_{first}\" AS delta_sp FROM sa)") + f"""
+SELECT regola, {', '.join(outs)}, round(delta_sp, 6) AS delta_sp,
+       round((-delta_sp * {eff}) / recall * 100, 6) AS effetto_equivalente_punti FROM sd"""
+
+
+_VOTES = f"""vt AS (SELECT block_id, max(gold) AS gold, max(period) AS period,
+    CAST(sum(CASE WHEN model IN ({_lst(COMMERCIAL_MODELS)}) THEN pred ELSE 0 END) AS BIGINT) AS yes_commercial,
+    CAST(sum(pred) AS BIGINT) AS yes_all FROM lf WHERE prompt = 'C' GROUP BY block_id)"""
+
+register("stability", _stab_sql(
+    "rr AS (SELECT model AS rule, gold, period, CAST(pred = 1 AS INTEGER) AS f FROM lf WHERE prompt = 'C')"))(
+    lambda spark, sf: I.stability(I.rule_rows(_lf(spark, sf), "model")))
+register("stability_highconf", _stab_sql(
+    f"""rr AS (SELECT model || '{I.HIGHCONF_SUFFIX}' AS rule, gold, period, CAST(pred = 1 AND high AS INTEGER) AS f
+  FROM lf WHERE prompt = 'C' AND model IN ({_lst(HIGHCONF_MODELS)}))"""))(
+    lambda spark, sf: I.stability(I.rule_rows(_lf(spark, sf), "highconf")))
+register("stability_votes", _stab_sql(_VOTES + f""",
+rr AS (SELECT '{I.VOTE_RULES[0]}' AS rule, gold, period, CAST(yes_commercial >= 2 AS INTEGER) AS f FROM vt
+  UNION ALL SELECT '{I.VOTE_RULES[1]}', gold, period, CAST(yes_commercial = 3 AS INTEGER) FROM vt
+  UNION ALL SELECT '{I.VOTE_RULES[2]}', gold, period, CAST(yes_all = 5 AS INTEGER) FROM vt)"""))(
+    lambda spark, sf: I.stability(I.rule_rows(_lf(spark, sf), "votes")))
+register("votes", with_base(_VOTES) + """
+SELECT *, yes_commercial >= 2 AS majority3, yes_commercial = 3 AS unanimity3, yes_all = 5 AS unanimity5 FROM vt""")(
+    lambda spark, sf: I.votes(_lf(spark, sf)))
+
+# ------------------------------------------------------------------ I10
+register("ppv", with_base("""pa AS (SELECT model AS modello,
+    avg(CASE WHEN gold = 1 THEN CAST(correct AS DOUBLE) END) AS se,
+    avg(CASE WHEN gold = 0 THEN CAST(correct AS DOUBLE) END) AS sp FROM lf WHERE prompt = 'C' GROUP BY model)""") + f"""
+SELECT modello, round(se, 6) AS recall, round(sp, 6) AS specificita,
+  round(se * {repr(865 / 29293)} / NULLIF(se * {repr(865 / 29293)} + (1 - sp) * (1 - {repr(865 / 29293)}), 0), 6) AS ppv_prevalenza_reale,
+  CAST(round_even(se * 865, 0) AS BIGINT) AS blocchi_dil_recuperati_su_865,
+  CAST(round_even((1 - sp) * 28428, 0) AS BIGINT) AS segnalazioni_non_confermate FROM pa""")(
+    lambda spark, sf: I.ppv(_lf(spark, sf)))
+
+# ------------------------------------------------------------------ I12 / I13 / I14
+_DOCSP = """ds AS (SELECT doc_id, any_value(year) AS year, CAST(count(*) FILTER (WHERE gold = 0) AS DOUBLE) / 5 AS nneg,
+    avg(CASE WHEN gold = 0 THEN CAST(correct AS DOUBLE) END) AS sp FROM lf WHERE prompt = 'C' GROUP BY doc_id)"""
+register("doc_specificity", with_base(_DOCSP) + "\nSELECT * FROM ds")(
+    lambda spark, sf: I.doc_specificity(_lf(spark, sf)))
+register("spearman_year", with_base(_DOCSP, """r AS (SELECT
+    rank() OVER (ORDER BY year) + (count(*) OVER (PARTITION BY year) - 1) / 2.0 AS ry,
+    rank() OVER (ORDER BY sp) + (count(*) OVER (PARTITION BY sp) - 1) / 2.0 AS rs FROM ds WHERE nneg >= 5)""") + """
+SELECT round(corr(ry, rs), 6) AS rho, count(*) AS romanzi FROM r""")(
+    lambda spark, sf: I.spearman_year(_lf(spark, sf)))
+_F, _L = PERIOD_LABELS[0], PERIOD_LABELS[-1]
+register("leave_one_out", with_base(f"""pd AS (SELECT doc_id,
+    sum(CASE WHEN gold = 0 AND period = '{_F}' THEN correct ELSE 0 END) AS s1, count(*) FILTER (WHERE gold = 0 AND period = '{_F}') AS n1,
+    sum(CASE WHEN gold = 0 AND period = '{_L}' THEN correct ELSE 0 END) AS s2, count(*) FILTER (WHERE gold = 0 AND period = '{_L}') AS n2
+  FROM lf WHERE prompt = 'C' GROUP BY doc_id)""", """x AS (SELECT
+    CAST(sum(s1) OVER () - s1 AS DOUBLE) AS s1, CAST(sum(n1) OVER () - n1 AS DOUBLE) AS n1,
+    CAST(sum(s2) OVER () - s2 AS DOUBLE) AS s2, CAST(sum(n2) OVER () - n2 AS DOUBLE) AS n2 FROM pd)""") + """
+SELECT round(min(s2 / NULLIF(n2, 0) - s1 / NULLIF(n1, 0)), 6) AS min_delta_sp,
+       round(max(s2 / NULLIF(n2, 0) - s1 / NULLIF(n1, 0)), 6) AS max_delta_sp FROM x""")(
+    lambda spark, sf: I.leave_one_out(_lf(spark, sf)))
+
+# ------------------------------------------------------------------ I5 / I6 sufficient statistics
+register("clogit_stats", with_base("""bs AS (SELECT block_id, sum(correct) AS k, count(*) AS m,
+    array_to_string(list_sort(list(model || '@' || prompt)), ',') AS sig FROM lf GROUP BY block_id)""") + """
+SELECT sig AS signature, k, count(*) AS n_blocks FROM bs WHERE k > 0 AND k < m GROUP BY sig, k""")(
+    lambda spark, sf: I.clogit_stats(_lf(spark, sf), F.concat_ws("@", "model", "prompt")))
+register("informative_blocks", with_base("""b AS (SELECT model, block_id, min(correct) AS lo, max(correct) AS hi
+  FROM lf GROUP BY model, block_id)""") + """
+SELECT model AS modello, count(*) FILTER (WHERE lo <> hi) AS blocchi_informativi FROM b GROUP BY model""")(
+    lambda spark, sf: I.informative_blocks(_lf(spark, sf)))
+
+
+# ------------------------------------------------------------------ I5 / I6 / I11 fits (no SQL oracle)
+def _clogit_lr(spark, sf):
+    rows = MD.clogit_lr_tests(_lf(spark, sf).cache())
+    return spark.createDataFrame(rows, "test string, osservazioni string, chi2 double, gl int, p double")
+
+
+def _odds_ratio(spark, sf):
+    lf = _lf(spark, sf).cache()
+    rows = MD.odds_ratios(lf, MODEL_ORDER)
+    ors = spark.createDataFrame(rows, "modello string, confronto string, odds_ratio double, ic_inf double, "
+                                      "ic_sup double, p double")
+    return ors.join(I.informative_blocks(lf), "modello", "left")
+
+
+def _year_trend(spark, sf):
+    lf = _lf(spark, sf)
+    rows = []
+    for lab, g in [("specificita", 0), ("recall", 1)]:
+        r = MD.logit_cluster(spark, lf.where(F.col("gold") == g), "correct", "model", "prompt", "year", "doc_id")
+        rows.append((f"trend_anno_{lab}", r["beta"], r["se"], r["p"]))
+    return spark.createDataFrame(rows, "check string, beta double, se double, p double")
+
+
+def _robustness(spark, sf):
+    lf = _lf(spark, sf).cache()
+    sp = I.spearman_year(lf).first()
+    loo = I.leave_one_out(lf).first()
+    rho = sp["rho"]
+    rows = [("spearman_anno_specificita", "rho", rho),
+            ("spearman_anno_specificita", "p", spearman_p(rho, int(sp["romanzi"])) if rho is not None else None),
+            ("spearman_anno_specificita", "romanzi", float(sp["romanzi"])),
+            ("leave_one_out_delta_sp", "min", loo["min_delta_sp"]),
+            ("leave_one_out_delta_sp", "max", loo["max_delta_sp"])]
+    return spark.createDataFrame(rows, "check string, stat string, value double")
+
+
+register("clogit_lr")(_clogit_lr)
+register("odds_ratio")(_odds_ratio)
+register("year_trend")(_year_trend)
+register("robustness")(_robustness)
