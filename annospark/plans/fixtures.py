@@ -145,3 +145,42 @@ def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(shape.isin(7, 10), F.concat(F.lit("reasoning: "), lab)).alias("reasoning_text"),
         (F.lit(300) + h_parts("block_id", "model_key", "prompt", F.lit("tin")) % 200).alias("tokens_in"),
         (F.lit(5) + h_parts("block_id", "model_key", "prompt", F.lit("tout")) % 20).alias("tokens_out"))
+
+
+# ---------------------------------------------------------------- annotation job views
+LOG_MODELS = ["claude-opus-4-6", "claude-sonnet-4-6", "claude-haiku-4-5", "gpt-5.2"]
+
+
+def annotation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job log derived from `events`: one row per processed request."""
+    ev = table(spark, sf_dir, "events")
+    models = F.array(*[F.lit(m) for m in LOG_MODELS])
+    return ev.select(
+        "ts",
+        F.element_at(models, (F.col("user_id") % len(LOG_MODELS) + 1).cast("int")).alias("model"),
+        (F.lit(100) + F.floor(F.col("value") * 40)).cast("bigint").alias("tokens_in"),
+        (F.lit(5) + F.col("event_id") % 20).cast("bigint").alias("tokens_out"),
+        F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"))
+
+
+def requests_for(spark: SparkSession, sf_dir: str, model_key: str = "claude_sonnet46") -> DataFrame:
+    """(request_id, block_id, prompt) for one model's run."""
+    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"))
+    return b.select(F.inline(F.array(*[F.struct(
+        F.concat(F.lit(f"prompt{p}_row"), F.col("block_id").cast("string")).alias("request_id"),
+        F.col("block_id"), F.lit(p).alias("prompt")) for p in PROMPTS])))
+
+
+def batch_results(spark: SparkSession, sf_dir: str, model_key: str = "claude_sonnet46") -> DataFrame:
+    """Parsed batch results of one model: some requests missing, some delivered twice."""
+    from annospark.operators.answers import normalize_answers
+    raw = raw_answers(spark, sf_dir).where(F.col("model_key") == model_key)
+    parsed = normalize_answers(raw, "json_think").where(h_parts("request_id", F.lit("drop")) % 25 != 0)
+    orig = parsed.select("request_id", "result_type", "label", "confidence",
+                         (h_parts("request_id", F.lit("arr")) * 2).alias("arrival"))
+    dup = (parsed.where(h_parts("request_id", F.lit("dup")) % 20 == 0)
+           .select("request_id", F.lit("succeeded").alias("result_type"),
+                   F.when(F.col("label") == "yes", "no").otherwise("yes").alias("label"),
+                   F.lit("low").alias("confidence"),
+                   (h_parts("request_id", F.lit("arr2")) * 2 + 1).alias("arrival")))
+    return orig.unionByName(dup)

@@ -1 +1,174 @@
-"""Queries registered by this module."""
+"""Annotation-job queries: scoring, attach, resume, cost, progress, rule annotator."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from annospark.functions.hashing import sql_h_parts
+from annospark.operators import annotate as AN
+from annospark.operators.answers import normalize_answers
+from annospark.operators.metrics import condition_long, markers_by_outcome, outcome
+from annospark.plans import fixtures as fx
+from annospark.plans.catalog import register
+from annospark.plans.oracle_base import RAW, with_base
+from annospark.plans.q_answers import PARSED_JSON
+from annospark.plans.q_text import q
+from annospark.sources.tables import table
+from annospark.streaming.annotate_stream import stream_annotate
+
+BASE = with_base(RAW) + ", " + PARSED_JSON
+MODEL = "claude_sonnet46"
+
+_REQ = """req AS (SELECT 'prompt' || t.p || '_row' || CAST(d.doc_id AS VARCHAR) AS request_id, d.doc_id AS block_id, t.p AS prompt
+  FROM documents d, (VALUES ('A'), ('B'), ('C')) t(p))"""
+_RES = f"""res0 AS (SELECT request_id, result_type, label, confidence FROM pj
+  WHERE model_key = '{MODEL}' AND {sql_h_parts('request_id', "'drop'")} % 25 <> 0),
+res AS (SELECT request_id, result_type, label, confidence, {sql_h_parts('request_id', "'arr'")} * 2 AS arrival FROM res0
+  UNION ALL SELECT request_id, 'succeeded', CASE WHEN label = 'yes' THEN 'no' ELSE 'yes' END, 'low',
+                   {sql_h_parts('request_id', "'arr2'")} * 2 + 1 FROM res0 WHERE {sql_h_parts('request_id', "'dup'")} % 20 = 0),
+lst AS (SELECT request_id, arg_max(result_type, arrival) AS rt, arg_max(label, arrival) AS lab,
+               arg_max(confidence, arrival) AS cf FROM res GROUP BY request_id),
+att AS (SELECT req.request_id, req.block_id, req.prompt,
+  CASE WHEN lst.request_id IS NULL THEN 'missing' WHEN rt = 'succeeded' THEN lab ELSE 'error' END AS label,
+  CASE WHEN lst.request_id IS NULL THEN 'unknown' WHEN rt = 'succeeded' THEN cf ELSE 'unknown' END AS confidence
+  FROM req LEFT JOIN lst ON lst.request_id = req.request_id)"""
+
+
+def _attached(spark, sf):
+    return AN.attach_results(fx.requests_for(spark, sf, MODEL), fx.batch_results(spark, sf, MODEL))
+
+
+# ------------------------------------------------------------------ A2
+register("attach_results", BASE + f", {_REQ}, {_RES}\nSELECT * FROM att")(_attached)
+
+# ------------------------------------------------------------------ A3
+register("pending_blocks", BASE + f", {_REQ}, {_RES}" + """
+SELECT request_id, block_id, prompt FROM req
+WHERE request_id NOT IN (SELECT request_id FROM att WHERE label IN ('yes', 'no'))""")(
+    lambda spark, sf: AN.pending(fx.requests_for(spark, sf, MODEL),
+                                 _attached(spark, sf).where(F.col("label").isin("yes", "no")), ["request_id"]))
+
+
+# ------------------------------------------------------------------ A4
+def _pending_conditions(spark, sf):
+    parsed = normalize_answers(fx.raw_answers(spark, sf), "json_think")
+    works = fx.blocks(spark, sf).select("block_id", "work")
+    grp = (parsed.join(works, "block_id").groupBy("work", "model_key", "prompt")
+           .agg(F.bool_and(F.col("label").isin("yes", "no")).alias("complete")))
+    return AN.pending(grp.select("work", "model_key", "prompt"), grp.where("complete"),
+                      ["work", "model_key", "prompt"], label_col=None)
+
+
+register("pending_conditions", BASE + """, g AS (SELECT b.work, pj.model_key, pj.prompt,
+    bool_and(pj.label IN ('yes', 'no')) AS complete FROM pj JOIN blocks b USING (block_id)
+  GROUP BY b.work, pj.model_key, pj.prompt)
+SELECT work, model_key, prompt FROM g WHERE NOT complete""")(_pending_conditions)
+
+# ------------------------------------------------------------------ A6 / A7
+_LOG = "lg AS (SELECT ts, ([" + ", ".join(f"'{m}'" for m in fx.LOG_MODELS) + """])[CAST(user_id % 4 + 1 AS INTEGER)] AS model,
+    CAST(100 + floor(value * 40) AS BIGINT) AS tokens_in, CAST(5 + event_id % 20 AS BIGINT) AS tokens_out,
+    CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status FROM events)"""
+_PR = "pr AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{m}', CAST({pi} AS DOUBLE), CAST({po} AS DOUBLE))" for m, (pi, po) in AN.PRICES.items()) + ") t(model, price_in, price_out))"
+register("cost_rollup", f"""WITH {_LOG}, {_PR},
+a AS (SELECT model, count(*) AS processed, CAST(sum(tokens_in) AS BIGINT) AS tokens_in,
+             CAST(sum(tokens_out) AS BIGINT) AS tokens_out FROM lg GROUP BY model),
+c AS (SELECT a.*, CAST(tokens_in AS DOUBLE) / 1e6 * price_in + CAST(tokens_out AS DOUBLE) / 1e6 * price_out AS cost
+      FROM a JOIN pr USING (model))
+SELECT model, processed, tokens_in, tokens_out, round(cost, 6) AS cost, round(cost * {AN.BATCH_DISCOUNT}, 6) AS cost_batch,
+       round(cost / CAST(processed AS DOUBLE) * {AN.CORPUS_CHUNKS}, 6) AS cost_full_corpus FROM c""")(
+    lambda spark, sf: AN.cost_rollup(fx.annotation_log(spark, sf), AN.price_table(spark)))
+
+
+def _progress(spark, sf):
+    total = table(spark, sf, "documents").count() * 3   # requests per model (scalar)
+    return AN.progress(fx.annotation_log(spark, sf), total)
+
+
+register("progress", f"""WITH {_LOG}, t AS (SELECT count(*) * 3 AS total FROM documents),
+a AS (SELECT model, count(*) AS processed, count(*) FILTER (WHERE status = 'error') AS failed,
+             CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1e6 AS elapsed_s FROM lg GROUP BY model),
+b AS (SELECT a.*, t.total, CAST(processed AS DOUBLE) / NULLIF(elapsed_s, 0) AS rate,
+             greatest(t.total - processed, 0) AS remaining FROM a, t)
+SELECT model, processed, failed, round(elapsed_s, 6) AS elapsed_s,
+       round(CAST(processed AS DOUBLE) * 100 / total, 6) AS pct, round(rate * 60, 6) AS rate_per_min,
+       round(elapsed_s / NULLIF(CAST(processed AS DOUBLE), 0), 6) AS sec_per_block,
+       remaining, round(CAST(remaining AS DOUBLE) / NULLIF(rate, 0), 6) AS eta_s FROM b""")(_progress)
+
+register("progress_hourly", f"""WITH {_LOG}
+SELECT model, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n,
+       count(*) FILTER (WHERE status = 'error') AS failed FROM lg GROUP BY 1, 2""")(
+    lambda spark, sf: AN.hourly_throughput(fx.annotation_log(spark, sf))
+    .withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss")))
+
+
+# ------------------------------------------------------------------ A8
+def _smoke(spark, sf):
+    per = fx.blocks(spark, sf).groupBy("work").agg(F.count(F.lit(1)).alias("n_blocks"))
+    w_name, w_small = Window.orderBy("work"), Window.orderBy("n_blocks", "work")   # one row per work
+    x = (per.withColumn("name_rank", F.row_number().over(w_name))
+         .withColumn("is_smallest", F.row_number().over(w_small) == 1))
+    return x.where((F.col("name_rank") <= 10) | F.col("is_smallest"))
+
+
+register("smoke_sample", with_base("""p AS (SELECT work, count(*) AS n_blocks FROM blocks GROUP BY work),
+x AS (SELECT *, row_number() OVER (ORDER BY work) AS name_rank,
+             row_number() OVER (ORDER BY n_blocks, work) = 1 AS is_smallest FROM p)""") + """
+SELECT * FROM x WHERE name_rank <= 10 OR is_smallest""")(_smoke)
+
+
+# ------------------------------------------------------------------ A9
+def _flag_sql(rx: str) -> str:
+    return f"COALESCE(regexp_matches(lower(text), {q(rx)}), false)"
+
+
+_SCORE_SQL = "(0.0::DOUBLE" + "".join(
+    f" + CASE WHEN {_flag_sql(rx)} THEN CAST({w} AS DOUBLE) ELSE 0.0::DOUBLE END" for _, rx, w in AN.MARKERS) + ")"
+_FLAGS_SQL = ", ".join(f"CAST({_flag_sql(rx)} AS INTEGER) AS {name}" for name, rx, _ in AN.MARKERS)
+
+register("marker_flags", f"""
+SELECT doc_id AS block_id, {_FLAGS_SQL}, round({_SCORE_SQL}, 6) AS score FROM documents""")(
+    lambda spark, sf: table(spark, sf, "documents").select(
+        F.col("doc_id").alias("block_id"), *AN.marker_flags(F.col("text")),
+        F.round(AN.marker_score(F.col("text")), 6).alias("score")))
+
+register("rule_label", f"""WITH s AS (SELECT doc_id AS block_id, round({_SCORE_SQL}, 6) AS score FROM documents)
+SELECT block_id, score, CASE WHEN score >= {AN.RULE_THRESHOLD} THEN 'yes' ELSE 'no' END AS label FROM s""")(
+    lambda spark, sf: AN.rule_label(table(spark, sf, "documents").withColumnRenamed("doc_id", "block_id"),
+                                    keep=["block_id"]))
+
+_LIST_SQL = "list_filter([" + ", ".join(
+    f"CASE WHEN regexp_matches(lower(d.text), {q(rx)}) THEN '{name}' END" for name, rx, _ in AN.MARKERS) + "], lambda x: x IS NOT NULL)"
+
+
+def _markers_by_outcome(spark, sf):
+    cl = (condition_long(fx.annotations_wide(spark, sf))
+          .where((F.col("model_key") == MODEL) & (F.col("prompt") == "C")
+                 & F.col("gold").isNotNull() & F.col("pred").isNotNull())
+          .select("block_id", outcome(F.col("gold"), F.col("pred")).alias("outcome")))
+    mk = table(spark, sf, "documents").select(F.col("doc_id").alias("block_id"),
+                                              AN.marker_list(F.col("text")).alias("markers"))
+    return markers_by_outcome(cl.join(mk, "block_id"))
+
+
+register("markers_by_outcome", with_base(f"""o AS (SELECT block_id,
+    CASE WHEN g = 1 AND p = 1 THEN 'TP' WHEN g = 0 AND p = 1 THEN 'FP' WHEN g = 1 AND p = 0 THEN 'FN' ELSE 'TN' END AS outcome
+  FROM cl WHERE model_key = '{MODEL}' AND prompt = 'C' AND g IS NOT NULL AND p IS NOT NULL)""",
+                                         f"""om AS (SELECT o.outcome, {_LIST_SQL} AS markers FROM o JOIN documents d ON d.doc_id = o.block_id)""",
+                                         """sz AS (SELECT outcome, count(*) AS class_size FROM om GROUP BY outcome)""",
+                                         """mc AS (SELECT outcome, marker, count(*) AS n FROM (SELECT outcome, unnest(markers) AS marker FROM om) u GROUP BY outcome, marker)""") + """
+SELECT mc.outcome, marker, n, class_size, round(CAST(n AS DOUBLE) / CAST(class_size AS DOUBLE), 6) AS share
+FROM mc JOIN sz USING (outcome)""")(_markers_by_outcome)
+
+# ------------------------------------------------------------------ A1
+_RULE_RAW = (f"""'{{"label": "' || CASE WHEN round(s, 6) >= {AN.RULE_THRESHOLD} THEN 'yes' ELSE 'no' END ||
+  '", "confidence": "' || CASE WHEN abs(s - {AN.RULE_THRESHOLD}) >= 0.2 THEN 'high' ELSE 'low' END || '"}}'""")
+register("score_blocks", f"""WITH s AS (SELECT doc_id, text, {_SCORE_SQL} AS s FROM documents),
+r AS (SELECT doc_id, text, {_RULE_RAW} AS raw_text FROM s)
+SELECT doc_id, raw_text, 'ok' AS status, CAST(1 AS INTEGER) AS attempts, CAST(length(text) // 4 AS BIGINT) AS tokens_in,
+       CAST(length(raw_text) // 4 AS BIGINT) AS tokens_out FROM r""")(
+    lambda spark, sf: AN.score(table(spark, sf, "documents"), AN.rule_scorer, keep=["doc_id"]))
+
+# ------------------------------------------------------------------ A5 (streaming, rows-only check)
+register("stream_annotate")(lambda spark, sf: stream_annotate(spark, table(spark, sf, "documents"), "doc_id"))

@@ -30,13 +30,15 @@ SELECT {_K}, regexp_replace(raw_text, {q(A.THINK_RE)}, '', 'g') AS stripped FROM
 # ------------------------------------------------------------------ R2 (+R1)
 _STRIPPED = f"regexp_replace(raw_text, {q(A.THINK_RE)}, '', 'g')"
 _SL = f"regexp_extract({_utrim(_STRIPPED)}, {q(A.JSON_SLICE_RE)}, 0)"
-register("parse_json_answer", BASE + f""", s AS (SELECT {_K}, {_SL} AS sl FROM raw),
-v AS (SELECT *, COALESCE(CASE WHEN json_valid(sl) THEN json_type(sl) = 'OBJECT' ELSE false END, false) AS okj FROM s),
-e AS (SELECT *, CASE WHEN okj THEN lower({_utrim("json_extract_string(sl, '$.label')")}) END AS lab,
-                CASE WHEN okj THEN lower({_utrim("json_extract_string(sl, '$.confidence')")}) END AS conf FROM v)
-SELECT {_K}, CASE WHEN lab IN ('yes', 'no') THEN lab ELSE 'error' END AS label,
+PARSED_JSON = f"""pj_s AS (SELECT {_K}, result_type, {_SL} AS sl FROM raw),
+pj_v AS (SELECT *, COALESCE(CASE WHEN json_valid(sl) THEN json_type(sl) = 'OBJECT' ELSE false END, false) AS okj FROM pj_s),
+pj_e AS (SELECT *, CASE WHEN okj THEN lower({_utrim("json_extract_string(sl, '$.label')")}) END AS lab,
+                CASE WHEN okj THEN lower({_utrim("json_extract_string(sl, '$.confidence')")}) END AS conf FROM pj_v),
+pj AS (SELECT {_K}, result_type, CASE WHEN lab IN ('yes', 'no') THEN lab ELSE 'error' END AS label,
        CASE WHEN lab IN ('yes', 'no') AND conf IN ('high', 'medium', 'low') THEN conf ELSE 'unknown' END AS confidence
-FROM e""")(lambda spark, sf: normalize_answers(_raw(spark, sf), "json_think").select(*KEYS, "label", "confidence"))
+FROM pj_e)"""
+register("parse_json_answer", BASE + ", " + PARSED_JSON + f"""
+SELECT {_K}, label, confidence FROM pj""")(lambda spark, sf: normalize_answers(_raw(spark, sf), "json_think").select(*KEYS, "label", "confidence"))
 
 # ------------------------------------------------------------------ R3
 _TOKS = f"string_split_regex(lower({_utrim('raw_text')}), {q(WS + '+')})"
