@@ -42,8 +42,15 @@ def _kappa_cols(prefix: str = "") -> F.Column:
 
 
 # ---------------------------------------------------------------- I2
+def cluster_counts_checkpointed(spark: SparkSession, lf: DataFrame, cluster: str = "doc_id") -> DataFrame:
+    """Per-cluster counts, materialised once in the shared checkpoint folder (clusters x conditions rows)."""
+    from annospark.session import checkpoint_dir
+    checkpoint_dir(spark)
+    return cluster_counts(lf, cluster).checkpoint(eager=True)
+
+
 def bootstrap_replicates(spark: SparkSession, lf: DataFrame, n_boot: int = 2000, seed: int = 42,
-                         cluster: str = "doc_id") -> DataFrame:
+                         cluster: str = "doc_id", counts: DataFrame | None = None) -> DataFrame:
     """(b, model, prompt, kappa) for n_boot cluster-bootstrap replicates.
 
     Replicate b draws D clusters with replacement: draw j picks cluster
@@ -52,8 +59,8 @@ def bootstrap_replicates(spark: SparkSession, lf: DataFrame, n_boot: int = 2000,
     additive per-cluster counts.  Rows handled: n_boot x D x conditions,
     independent of the number of blocks.
     """
-    counts = cluster_counts(lf, cluster)
-    idx = (lf.select(cluster).distinct()
+    counts = counts if counts is not None else cluster_counts_checkpointed(spark, lf, cluster)
+    idx = (counts.select(cluster).distinct()
            .withColumn("k", (F.row_number().over(Window.orderBy(cluster)) - 1).cast("bigint")))  # one row per cluster
     n_clusters = idx.count()
     draws = (spark.range(n_boot * n_clusters)
@@ -67,8 +74,8 @@ def bootstrap_replicates(spark: SparkSession, lf: DataFrame, n_boot: int = 2000,
     return rep.select("b", "model", "prompt", _kappa_cols().alias("kappa"))
 
 
-def point_kappa(lf: DataFrame) -> DataFrame:
-    c = cluster_counts(lf).groupBy("model", "prompt").agg(
+def point_kappa(lf: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    c = (counts if counts is not None else cluster_counts(lf)).groupBy("model", "prompt").agg(
         *[F.sum(x).alias(x) for x in ("TP", "FN", "FP", "TN")])
     return c.select("model", "prompt", _kappa_cols().alias("kappa"))
 
@@ -76,9 +83,10 @@ def point_kappa(lf: DataFrame) -> DataFrame:
 def bootstrap_kappa(spark: SparkSession, lf: DataFrame, n_boot: int = 2000, seed: int = 42,
                     replicates: DataFrame | None = None) -> DataFrame:
     """Point kappa on all rows and the 2.5 / 97.5 percentile interval (linear interpolation)."""
-    rep = replicates if replicates is not None else bootstrap_replicates(spark, lf, n_boot, seed)
+    counts = cluster_counts_checkpointed(spark, lf)
+    rep = replicates if replicates is not None else bootstrap_replicates(spark, lf, n_boot, seed, counts=counts)
     ci = rep.groupBy("model", "prompt").agg(F.percentile("kappa", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return (point_kappa(lf).join(ci, ["model", "prompt"])
+    return (point_kappa(lf, counts).join(ci, ["model", "prompt"])
             .select(F.col("model").alias("modello"), "prompt", F.round("kappa", 6).alias("kappa"),
                     F.round(F.col("q")[0], 6).alias("ic_inf"), F.round(F.col("q")[1], 6).alias("ic_sup")))
 
@@ -94,7 +102,8 @@ def contrast_table(spark: SparkSession) -> DataFrame:
 def bootstrap_contrasts(spark: SparkSession, lf: DataFrame, n_boot: int = 2000, seed: int = 42,
                         replicates: DataFrame | None = None) -> DataFrame:
     """Paired contrasts on the same draws: delta, percentile CI, two-sided p, Holm-adjusted p."""
-    rep = replicates if replicates is not None else bootstrap_replicates(spark, lf, n_boot, seed)
+    counts = cluster_counts_checkpointed(spark, lf)
+    rep = replicates if replicates is not None else bootstrap_replicates(spark, lf, n_boot, seed, counts=counts)
     con = F.broadcast(contrast_table(spark))  # fixed 16 rows
     r1 = rep.select("b", F.col("model").alias("m1"), F.col("prompt").alias("p1"), F.col("kappa").alias("k1"))
     r2 = rep.select("b", F.col("model").alias("m2"), F.col("prompt").alias("p2"), F.col("kappa").alias("k2"))
@@ -103,7 +112,7 @@ def bootstrap_contrasts(spark: SparkSession, lf: DataFrame, n_boot: int = 2000,
     stats = d.groupBy("contrasto").agg(
         F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q"),
         F.avg((F.col("d") <= 0).cast(_D)).alias("le"), F.avg((F.col("d") >= 0).cast(_D)).alias("ge"))
-    pk = point_kappa(lf)
+    pk = point_kappa(lf, counts)
     delta = (con.join(pk.select(F.col("model").alias("m1"), F.col("prompt").alias("p1"), F.col("kappa").alias("k1")), ["m1", "p1"])
              .join(pk.select(F.col("model").alias("m2"), F.col("prompt").alias("p2"), F.col("kappa").alias("k2")), ["m2", "p2"])
              .select("contrasto", (F.col("k1") - F.col("k2")).alias("delta_kappa")))

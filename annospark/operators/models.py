@@ -47,41 +47,63 @@ def clogit_data(rows: DataFrame, cond: F.Column) -> ClogitData:
                       {r["cond"]: float(r["s"]) for r in succ})
 
 
-def _log_esp_and_probs(eta: np.ndarray, k: int) -> tuple[float, np.ndarray]:
-    """log e_k(exp(eta)) and inclusion probabilities pi_i = w_i e_{k-1}(w_-i) / e_k(w)."""
-    shift = eta.max()
-    w = np.exp(eta - shift)
-
-    def esp(ws):
-        e = np.zeros(k + 1)
-        e[0] = 1.0
-        for x in ws:
-            e[1:] = e[1:] + x * e[:-1]
-        return e
-
-    full = esp(w)
-    ek = full[k]
-    pis = np.empty(len(w))
-    for i in range(len(w)):
-        rest = esp(np.delete(w, i))
-        pis[i] = w[i] * rest[k - 1] / ek
-    return math.log(ek) + k * shift, pis
+def _esp_stats(W: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For G groups of m weights (G, m) and sizes k (G,): e_k(w) and inclusion
+    probabilities pi_i = w_i e_{k-1}(w without i) / e_k(w), vectorised over groups.
+
+    Uses prefix and suffix elementary symmetric polynomials (no subtraction,
+    hence numerically stable).
+    """
+    G, m = W.shape
+    pre = np.zeros((m + 1, G, m + 1))
+    pre[0][:, 0] = 1.0
+    for i in range(m):
+        pre[i + 1] = pre[i]
+        pre[i + 1][:, 1:] += W[:, i:i + 1] * pre[i][:, :-1]
+    suf = np.zeros((m + 1, G, m + 1))
+    suf[m][:, 0] = 1.0
+    for i in range(m - 1, -1, -1):
+        suf[i] = suf[i + 1]
+        suf[i][:, 1:] += W[:, i:i + 1] * suf[i + 1][:, :-1]
+    rows = np.arange(G)
+    ek = pre[m][rows, k]
+    pis = np.empty((G, m))
+    km1 = k - 1
+    for i in range(m):
+        # e_{k-1}(w_-i) = sum_t pre_i[t] * suf_{i+1}[k-1-t]
+        acc = np.zeros(G)
+        for t in range(m):
+            idx = km1 - t
+            ok = idx >= 0
+            acc += np.where(ok, pre[i][:, t] * suf[i + 1][rows, np.clip(idx, 0, m)], 0.0)
+        pis[:, i] = W[:, i] * acc / ek
+    return ek, pis
 
 
 def fit_clogit(data: ClogitData, design: dict[str, np.ndarray], max_iter: int = 100) -> dict:
-    """Newton-Raphson on the conditional log-likelihood; returns params, cov, llf."""
+    """Newton-Raphson on the conditional log-likelihood; returns params, cov, llf.
+
+    Groups with the same number of observations are evaluated together as
+    arrays (G, m, p); the driver work is independent of the number of blocks.
+    """
     p = len(next(iter(design.values())))
     T = np.zeros(p)
     for c, s in data.successes.items():
         T += s * design[c]
-    groups = [(np.array([design[c] for c in conds]), k, n) for conds, k, n in data.groups]
+    by_m: dict[int, list] = {}
+    for conds, k, n in data.groups:
+        by_m.setdefault(len(conds), []).append((np.array([design[c] for c in conds]), k, n))
+    packs = [(np.stack([g[0] for g in gs]), np.array([g[1] for g in gs]), np.array([g[2] for g in gs], float))
+             for gs in by_m.values()]
 
     def ll_grad(beta):
         ll, g = float(beta @ T), T.copy()
-        for X, k, n in groups:
-            lek, pis = _log_esp_and_probs(X @ beta, k)
-            ll -= n * lek
-            g -= n * (pis @ X)
+        for X, k, n in packs:
+            eta = X @ beta                                  # (G, m)
+            shift = eta.max(axis=1, keepdims=True)
+            ek, pis = _esp_stats(np.exp(eta - shift), k)
+            ll -= float(n @ (np.log(ek) + k * shift[:, 0]))
+            g -= np.einsum("g,gi,gip->p", n, pis, X)
         return ll, g
 
     def hessian(beta, eps=1e-6):
@@ -168,6 +190,76 @@ def odds_ratios(lf: DataFrame, models: list[str]) -> list[tuple]:
 
 
 # ---------------------------------------------------------------- cluster-robust logit
+def _irls_partials(x: DataFrame, xcols: list[str], beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the binomial log-likelihood at beta.
+
+    Each task reduces its rows with numpy to k + k*k partial sums (beta is
+    closed over, so no per-iteration code generation); Spark sums the
+    partials with one small group-by; only those k + k*k numbers reach the
+    driver.
+    """
+    import pandas as pd
+    k = len(xcols)
+    b = beta.copy()
+
+    def partial(batches):
+        g = np.zeros(k)
+        H = np.zeros((k, k))
+        for pdf in batches:
+            X = pdf[xcols].to_numpy(dtype=float)
+            n, y = pdf["__n"].to_numpy(dtype=float), pdf["__y"].to_numpy(dtype=float)
+            p = 1.0 / (1.0 + np.exp(-(X @ b)))
+            g += X.T @ (y - n * p)
+            H += X.T @ (X * (n * p * (1.0 - p))[:, None])
+        yield pd.DataFrame({"i": np.arange(k + k * k), "v": np.concatenate([g, H.ravel()])})
+
+    rows = (x.select(*xcols, "__n", "__y").mapInPandas(partial, "i long, v double")
+            .groupBy("i").agg(F.sum("v").alias("v")).collect())
+    vec = np.zeros(k + k * k)
+    for r in rows:
+        vec[r["i"]] = r["v"]
+    return vec[:k], vec[k:].reshape(k, k)
+
+
+
+def _cluster_meat(x: DataFrame, xcols: list[str], beta: np.ndarray, cluster: str) -> np.ndarray:
+    """Sum over clusters of s_g s_g^T, s_g = sum of x (y - n p) over the cluster's rows.
+
+    Row scores are computed in tasks (numpy), summed per cluster by a Spark
+    group-by, and the outer products are reduced per task to k*k partials.
+    """
+    import pandas as pd
+    k = len(xcols)
+    b = beta.copy()
+    scols = [f"s{j}" for j in range(k)]
+
+    def row_scores(batches):
+        for pdf in batches:
+            X = pdf[xcols].to_numpy(dtype=float)
+            n, y = pdf["__n"].to_numpy(dtype=float), pdf["__y"].to_numpy(dtype=float)
+            r = y - n / (1.0 + np.exp(-(X @ b)))
+            out = pd.DataFrame(X * r[:, None], columns=scols)
+            out.insert(0, "__c", pdf["__c"].astype(str).to_numpy())
+            yield out
+
+    def outer(batches):
+        M = np.zeros((k, k))
+        for pdf in batches:
+            S = pdf[scols].to_numpy(dtype=float)
+            M += S.T @ S
+        yield pd.DataFrame({"i": np.arange(k * k), "v": M.ravel()})
+
+    schema = "__c string, " + ", ".join(f"{c} double" for c in scols)
+    per = (x.select(F.col(cluster).cast("string").alias("__c"), *xcols, "__n", "__y")
+           .mapInPandas(row_scores, schema)
+           .groupBy("__c").agg(*[F.sum(c).alias(c) for c in scols]))
+    rows = per.mapInPandas(outer, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    vec = np.zeros(k * k)
+    for r in rows:
+        vec[r["i"]] = r["v"]
+    return vec.reshape(k, k)
+
+
 def logit_cluster(spark: SparkSession, rows: DataFrame, y: str, model_col: str, prompt_col: str,
                   year_col: str, cluster: str, max_iter: int = 50) -> dict:
     """Logit  y ~ C(model) * C(prompt) + year  with cluster-robust (sandwich) errors.
@@ -188,48 +280,17 @@ def logit_cluster(spark: SparkSession, rows: DataFrame, y: str, model_col: str,
     cols += [F.col(year_col).cast("double") - 1880.0]        # centred: same slope and SE
     k = len(cols)
     x = coll.select(cluster, "__n", "__y", *[c.alias(f"x{j}") for j, c in enumerate(cols)]).checkpoint()
-    X = [F.col(f"x{j}") for j in range(k)]
+    xcols = [f"x{j}" for j in range(k)]
     beta = np.zeros(k)
-
-    def eta_col(b):
-        e = F.lit(0.0)
-        for j in range(k):
-            e = e + X[j] * float(b[j])
-        return e
-
     for _ in range(max_iter):
-        p = 1.0 / (1.0 + F.exp(-eta_col(beta)))
-        r = F.col("__y") - F.col("__n") * p
-        wt = F.col("__n") * p * (1.0 - p)
-        aggs = [F.sum(X[j] * r).alias(f"g{j}") for j in range(k)]
-        aggs += [F.sum(wt * X[i] * X[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-        row = x.agg(*aggs).first()
-        g = np.array([row[f"g{j}"] for j in range(k)])
-        H = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                H[i, j] = H[j, i] = row[f"h{i}_{j}"]
+        g, H = _irls_partials(x, xcols, beta)
         step = np.linalg.solve(H, g)
         beta = beta + step
         if np.max(np.abs(step)) < 1e-10:
             break
-    p = 1.0 / (1.0 + F.exp(-eta_col(beta)))
-    r = F.col("__y") - F.col("__n") * p
-    wt = F.col("__n") * p * (1.0 - p)
-    # Bread at the solution and per-cluster scores -> meat (all Spark aggregates).
-    hrow = x.agg(*[F.sum(wt * X[i] * X[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)],
-                 F.sum("__n").alias("N"), F.countDistinct(cluster).alias("G")).first()
-    H = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            H[i, j] = H[j, i] = hrow[f"h{i}_{j}"]
-    scores = x.groupBy(cluster).agg(*[F.sum(X[j] * r).alias(f"s{j}") for j in range(k)])
-    S = [F.col(f"s{j}") for j in range(k)]
-    mrow = scores.agg(*[F.sum(S[i] * S[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    M = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            M[i, j] = M[j, i] = mrow[f"m{i}_{j}"]
+    _, H = _irls_partials(x, xcols, beta)                      # bread at the solution
+    M = _cluster_meat(x, xcols, beta, cluster)
+    hrow = x.agg(F.sum("__n").alias("N"), F.countDistinct(cluster).alias("G")).first()
     n_obs, n_groups = float(hrow["N"]), float(hrow["G"])
     Hinv = np.linalg.inv(H)
     corr = n_groups / (n_groups - 1) * (n_obs - 1) / (n_obs - k)

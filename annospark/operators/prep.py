@@ -157,6 +157,14 @@ def corpus_summary(df: DataFrame, group_col: str, text_col: str = "text", n: int
 
 
 # ---------------------------------------------------------------- P3
+def _materialise(df: DataFrame) -> DataFrame:
+    """Vocabulary tables are read by two jobs: write them once to the shared
+    checkpoint folder (lineage cut, survives executor loss)."""
+    from annospark.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def tokens(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Whitespace tokens of every document (whole texts)."""
     return df.select(F.explode(F.split(collapse_ws(F.col(text_col)), " ")).alias("tok")).where(F.col("tok") != "")
@@ -173,6 +181,7 @@ def learn_abbreviations(df: DataFrame, text_col: str = "text", threshold: float
                     F.col("tok").endswith(".").alias("with_period"))
            .groupBy("type").agg(F.count(F.lit(1)).alias("c"),
                                 F.count_if("with_period").alias("a")))
+    per = _materialise(per)
     tot = per.agg(F.sum("c").alias("N"), F.sum("a").alias("P")).first()
     n_tok, n_per = float(tot["N"] or 0), float(tot["P"] or 0)
     if n_tok == 0 or n_per == 0 or n_per == n_tok:
@@ -207,6 +216,7 @@ def collocations(df: DataFrame, text_col: str = "text", threshold: float = 7.88,
            .select(norm(F.col("p.w1")).alias("t1"), norm(F.col("p.w2")).alias("t2"))
            .groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("cab")))
     uni = tokens(df, text_col).select(norm(F.col("tok")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("cnt"))
+    uni = _materialise(uni)
     n_tok = float(uni.agg(F.sum("cnt")).first()[0] or 0)
     j = (big.where(F.col("cab") >= min_count)
          .join(uni.withColumnRenamed("t", "t1").withColumnRenamed("cnt", "ca"), "t1")

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from annospark.constants import MODEL_LABELS, PROMPTS
 from annospark.functions.hashing import h, h_parts
-from annospark.operators.joins import sized_broadcast
 from annospark.sources.tables import table
 
 # Fixture parameters (ours, not the study's): % of answers agreeing with truth.
@@ -54,13 +53,24 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORKS_SMALL: dict[str, bool] = {}
+
+
+def _works_for_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The works dimension, broadcast only when its checked size is small (checked once per folder)."""
+    w = works(spark, sf_dir)
+    if sf_dir not in _WORKS_SMALL:
+        _WORKS_SMALL[sf_dir] = w.limit(100_001).count() <= 100_000
+    return F.broadcast(w) if _WORKS_SMALL[sf_dir] else w
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled blocks: block_id, doc_id, author, work, year, text, DIL, split."""
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("block_id"), F.col("source").alias("work"), "text")
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("block_id"), F.col("quality").alias("gold_q"))
-    w = sized_broadcast(works(spark, sf_dir), max_rows=100_000)
+    w = _works_for_join(spark, sf_dir)
     out = (docs.join(labels, "block_id", "left")
            .join(w, "work", "left")
            .select(
