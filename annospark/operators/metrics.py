@@ -127,17 +127,20 @@ def metrics_legacy(wide: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- M4
 def kappa_multiclass(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Cohen's kappa for k labels: one groupBy(a, b) then marginals (rows where both non-null)."""
-    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).count()
-    n = pairs.agg(F.sum("count").alias("n"))
-    ra = pairs.groupBy(a).agg(F.sum("count").alias("ra"))
-    cb = pairs.groupBy(b).agg(F.sum("count").alias("cb"))
-    agree = pairs.where(F.col(a) == F.col(b)).agg(F.sum("count").alias("agree"))
-    pe = (ra.join(cb, ra[a] == cb[b]).agg(F.sum(F.col("ra").cast(_D) * F.col("cb").cast(_D)).alias("s")))
-    return (n.crossJoin(agree).crossJoin(pe)  # three one-row aggregates
-            .select(F.col("n").cast("bigint").alias("n"),
-                    F.round(F.try_divide(F.col("n").cast(_D) * F.col("agree").cast(_D) - F.col("s"),
-                                         F.col("n").cast(_D) * F.col("n").cast(_D) - F.col("s")), 6).alias("kappa")))
+    """Cohen's kappa for k labels (rows where both are non-null).
+
+    One groupBy(a, b) gives the k x k table; column marginals are joined back
+    by label (equi-join on a k-row table) and a single aggregate forms
+    n, agreement and sum_l row_l * col_l = sum_(a,b) count * col(a).
+    """
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("c"))
+    cols = pairs.groupBy(F.col(b).alias("__l")).agg(F.sum("c").alias("cb"))
+    j = pairs.join(F.broadcast(cols), pairs[a] == cols["__l"], "left")  # k rows: number of labels
+    agg = j.agg(F.sum("c").alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col("c")).otherwise(0)).alias("agree"),
+                F.sum(F.col("c").cast(_D) * F.coalesce(F.col("cb"), F.lit(0)).cast(_D)).alias("s"))
+    n = F.col("n").cast(_D)
+    return agg.select(F.col("n").cast("bigint").alias("n"),
+                      F.round(F.try_divide(n * F.col("agree").cast(_D) - F.col("s"), n * n - F.col("s")), 6).alias("kappa"))
 
 
 def kappa_band(k: Column) -> Column:
@@ -250,10 +253,10 @@ def best_per_model(summary: DataFrame) -> DataFrame:
 
 def best_overall(summary: DataFrame) -> DataFrame:
     m = rank_models(summary).where(F.col("rank") == 1).select(
-        F.col("model_label").alias("best_model"), F.round("kappa_mean", 4).alias("best_model_kappa"))
+        "rank", F.col("model_label").alias("best_model"), F.round("kappa_mean", 4).alias("best_model_kappa"))
     p = rank_prompts(summary).where(F.col("rank") == 1).select(
-        F.col("prompt").alias("best_prompt"), F.round("kappa_mean", 4).alias("best_prompt_kappa"))
-    return m.crossJoin(p)  # 1 x 1 rows
+        "rank", F.col("prompt").alias("best_prompt"), F.round("kappa_mean", 4).alias("best_prompt_kappa"))
+    return m.join(p, "rank").drop("rank")   # one row each, joined on rank = 1
 
 
 def metric_matrix(summary: DataFrame, metric: str) -> DataFrame:
