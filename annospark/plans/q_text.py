@@ -148,3 +148,40 @@ SELECT doc_id, CASE WHEN length(text) > 150 THEN substring(text, 1, 150) || '...
        substring(text, 1, 100) || '...' AS preview_100 FROM documents""")(
     lambda spark, sf: _docs(spark, sf).select("doc_id", preview(F.col("text"), 150).alias("preview_150"),
                                               preview(F.col("text"), 100, always_ellipsis=True).alias("preview_100")))
+
+
+# ------------------------------------------------------------------ S1 / S4 / S5 (file round trips)
+def _scratch(spark, name):
+    import uuid
+    from annospark.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _read_corpus(spark, sf):
+    """One .txt file per work (documents of a source concatenated), read back with binaryFile."""
+    path = _scratch(spark, "corpus")
+    docs = _docs(spark, sf)
+    (docs.repartition("source").sortWithinPartitions("doc_id").select("source", "text")
+     .write.partitionBy("source").text(path))
+    files = P.read_corpus(spark, path)
+    return files.select(F.regexp_extract("path", r"source=([^/]+)", 1).alias("work"), "filename",
+                        F.length("text").alias("n_chars"),
+                        F.size(P.doc_sentence_array(F.col("text"))).alias("n_sentences"))
+
+
+register("read_corpus")(_read_corpus)
+
+
+def _files_count(spark, sf):
+    """Chunks written as one quoted CSV folder per work, re-read by glob; rows per work file."""
+    from annospark.sources.files import read_chunk_files, write_annotated
+    path = _scratch(spark, "chunks")
+    write_annotated(P.chunks(_docs(spark, sf), "doc_id", keep=["source"]), path, by="source")
+    back = read_chunk_files(spark, f"{path}/source=*/*.csv")
+    return (back.withColumn("source", F.regexp_extract(F.col("_metadata.file_path"), r"source=([^/]+)", 1))
+            .groupBy("source").agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+register("files_count", f"""WITH {SENT_CTE}
+SELECT d.source, count(DISTINCT (s.doc_id, s.sent_idx // 3)) AS n_rows
+FROM sent s JOIN documents d ON d.doc_id = s.doc_id GROUP BY d.source""")(_files_count)

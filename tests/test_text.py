@@ -79,3 +79,32 @@ def test_abbreviation_learning_scores(spark):
     df = spark.createDataFrame([(1, text)], "id int, text string")
     types = {r["type"] for r in P.learn_abbreviations(df).collect()}
     assert "sig" in types and "casa" not in types
+
+
+def test_collocations_bruteforce(spark):
+    import collections
+    import math as m
+    text = " ".join(["Arrivò il sig. Rossi e poi il sig. Rossi partì."] * 6 + ["Il cane dorme. Il gatto no."] * 4)
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    got = {(r["t1"], r["t2"]): r["ll"] for r in P.collocations(df, threshold=0.0).collect()}
+    toks = text.split()
+    norm = lambda t: t[:-1].lower() if t.endswith(".") else t.lower()
+    uni = collections.Counter(norm(t) for t in toks)
+    big = collections.Counter((norm(a), norm(b)) for a, b in zip(toks, toks[1:]) if a.endswith("."))
+    N = len(toks)
+
+    def lg(x):
+        return m.log(x) if x > 0 else 0.0
+
+    for (a, b), cab in big.items():
+        if cab < 2:
+            continue
+        ca, cb = uni[a], uni[b]
+        p, p1, p2 = cb / N, cab / ca, (cb - cab) / (N - ca)
+        s1 = cab * lg(p) + (ca - cab) * lg(1 - p)
+        s2 = (cb - cab) * lg(p) + (N - ca - cb + cab) * lg(1 - p)
+        s3 = 0.0 if ca == cab else cab * lg(p1) + (ca - cab) * lg(1 - p1)
+        s4 = 0.0 if cb == cab else (cb - cab) * lg(p2) + (N - ca - cb + cab) * lg(1 - p2)
+        ll = -2.0 * (s1 + s2 - s3 - s4)
+        if round(ll, 6) >= 0.0:
+            assert got[(a, b)] == round(ll, 6)
