@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from annospark.constants import MODEL_LABELS, PROMPTS
 from annospark.functions.hashing import h, h_parts
-from annospark.sources.tables import table
+from annospark.sources.tables import table, table_spread
 
 # Fixture parameters (ours, not the study's): % of answers agreeing with truth.
 ACCURACY = {
@@ -66,7 +66,7 @@ def _works_for_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled blocks: block_id, doc_id, author, work, year, text, DIL, split."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = table_spread(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("block_id"), F.col("source").alias("work"), "text")
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("block_id"), F.col("quality").alias("gold_q"))

@@ -14,7 +14,7 @@ from annospark.plans.catalog import register
 from annospark.plans.oracle_base import RAW, with_base
 from annospark.plans.q_answers import PARSED_JSON
 from annospark.plans.q_text import q
-from annospark.sources.tables import table
+from annospark.sources.tables import table, table_spread
 from annospark.streaming.annotate_stream import stream_annotate
 
 BASE = with_base(RAW) + ", " + PARSED_JSON
@@ -129,13 +129,13 @@ _FLAGS_SQL = ", ".join(f"CAST({_flag_sql(rx)} AS INTEGER) AS {name}" for name, r
 
 register("marker_flags", f"""
 SELECT doc_id AS block_id, {_FLAGS_SQL}, round({_SCORE_SQL}, 6) AS score FROM documents""")(
-    lambda spark, sf: table(spark, sf, "documents").select(
+    lambda spark, sf: table_spread(spark, sf, "documents").select(
         F.col("doc_id").alias("block_id"), *AN.marker_flags(F.col("text")),
         F.round(AN.marker_score(F.col("text")), 6).alias("score")))
 
 register("rule_label", f"""WITH s AS (SELECT doc_id AS block_id, round({_SCORE_SQL}, 6) AS score FROM documents)
 SELECT block_id, score, CASE WHEN score >= {AN.RULE_THRESHOLD} THEN 'yes' ELSE 'no' END AS label FROM s""")(
-    lambda spark, sf: AN.rule_label(table(spark, sf, "documents").withColumnRenamed("doc_id", "block_id"),
+    lambda spark, sf: AN.rule_label(table_spread(spark, sf, "documents").withColumnRenamed("doc_id", "block_id"),
                                     keep=["block_id"]))
 
 _LIST_SQL = "list_filter([" + ", ".join(
@@ -147,7 +147,7 @@ def _markers_by_outcome(spark, sf):
           .where((F.col("model_key") == MODEL) & (F.col("prompt") == "C")
                  & F.col("gold").isNotNull() & F.col("pred").isNotNull())
           .select("block_id", outcome(F.col("gold"), F.col("pred")).alias("outcome")))
-    mk = table(spark, sf, "documents").select(F.col("doc_id").alias("block_id"),
+    mk = table_spread(spark, sf, "documents").select(F.col("doc_id").alias("block_id"),
                                               AN.marker_list(F.col("text")).alias("markers"))
     return markers_by_outcome(cl.join(mk, "block_id"))
 
@@ -168,7 +168,7 @@ register("score_blocks", f"""WITH s AS (SELECT doc_id, text, {_SCORE_SQL} AS s F
 r AS (SELECT doc_id, text, {_RULE_RAW} AS raw_text FROM s)
 SELECT doc_id, raw_text, 'ok' AS status, CAST(1 AS INTEGER) AS attempts, CAST(length(text) // 4 AS BIGINT) AS tokens_in,
        CAST(length(raw_text) // 4 AS BIGINT) AS tokens_out FROM r""")(
-    lambda spark, sf: AN.score(table(spark, sf, "documents"), AN.rule_scorer, keep=["doc_id"]))
+    lambda spark, sf: AN.score(table_spread(spark, sf, "documents"), AN.rule_scorer, keep=["doc_id"]))
 
 # ------------------------------------------------------------------ A5 (streaming, rows-only check)
 register("stream_annotate")(lambda spark, sf: stream_annotate(spark, table(spark, sf, "documents"), "doc_id"))

@@ -10,7 +10,7 @@ from annospark.operators import prep as P
 from annospark.plans import fixtures as fx
 from annospark.plans.catalog import register
 from annospark.plans.oracle_base import with_base
-from annospark.sources.tables import table
+from annospark.sources.tables import table_spread
 
 # Prompt templates of the request builder (ours). {TEXT} = block, {CONTEXT} = bibliographic line.
 TEMPLATES = {
@@ -60,7 +60,7 @@ sent AS (SELECT doc_id, CAST(generate_subscripts(sents, 1) - 1 AS BIGINT) AS sen
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return table_spread(spark, sf, "documents")
 
 
 # ------------------------------------------------------------------ P1
