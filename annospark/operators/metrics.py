@@ -169,30 +169,32 @@ def compare_annotators(wide: DataFrame, col_a: str, col_b: str) -> DataFrame:
 def pairwise_kappa(wide: DataFrame, min_n: int = 10) -> DataFrame:
     """Kappa between every pair of conditions, pairwise-complete rows.
 
-    No pair rows are ever emitted: the 4 cells of every pair are sums over
-    blocks in ONE aggregation of the wide table (a Gram-matrix pass with
-    partial aggregation), then unpivoted into one row per pair.
+    No pair rows are emitted.  Each block is coded once as a vector of
+    condition codes (0 invalid, 1 no, 2 yes); the block then contributes one
+    row per valid condition i (its long form) carrying that vector, and a
+    groupBy(i) accumulates, for every j, the 4 cells of the (i, j) table
+    (a Gram-matrix pass: 4 x conditions counters per group, partial
+    aggregation, so a hot condition costs one partial row per task).
     """
     conds = detect_conditions(wide)
-    vals = {c: binarize(F.col(c)) for c, _, _ in conds}
-    aggs, items = [], []
-    for i, j in combinations(range(len(conds)), 2):
-        ci, ki, pi = conds[i]
-        cj, kj, pj = conds[j]
-        x, y = vals[ci], vals[cj]
-        tag = f"{i}_{j}"
-        aggs += [F.count_if((x == 1) & (y == 1)).alias(f"a11_{tag}"),
-                 F.count_if((x == 1) & (y == 0)).alias(f"a10_{tag}"),
-                 F.count_if((x == 0) & (y == 1)).alias(f"a01_{tag}"),
-                 F.count_if((x == 0) & (y == 0)).alias(f"a00_{tag}")]
-        items.append(F.struct(
-            F.lit(f"{MODEL_LABELS.get(ki, ki)} / Prompt {pi}").alias("system_A"),
-            F.lit(f"{MODEL_LABELS.get(kj, kj)} / Prompt {pj}").alias("system_B"),
-            *[F.col(f"{c}_{tag}").alias(c) for c in ("a11", "a10", "a01", "a00")]))
-    cells = wide.agg(*aggs).select(F.inline(F.array(*items)))
+    m = len(conds)
+    code = lambda c: F.when(F.col(c) == "yes", 2).when(F.col(c) == "no", 1).otherwise(0).cast("tinyint")
+    coded = wide.select(F.array(*[code(c) for c, _, _ in conds]).alias("cs"))
+    rows = coded.select(F.posexplode("cs").alias("i", "ci"), "cs").where(F.col("ci") > 0)
+    ci, cs = F.col("ci"), F.col("cs")
+    aggs = []
+    for j in range(m):
+        cj = cs[j]
+        aggs += [F.count_if((ci == 2) & (cj == 2)).alias(f"a11_{j}"), F.count_if((ci == 2) & (cj == 1)).alias(f"a10_{j}"),
+                 F.count_if((ci == 1) & (cj == 2)).alias(f"a01_{j}"), F.count_if((ci == 1) & (cj == 1)).alias(f"a00_{j}")]
+    per_i = rows.groupBy("i").agg(*aggs)
+    cells = per_i.select("i", F.inline(F.array(*[F.struct(
+        F.lit(j).alias("j"), *[F.col(f"{c}_{j}").alias(c) for c in ("a11", "a10", "a01", "a00")]) for j in range(m)])))
+    names = F.create_map(*[x for i, (_, k, p) in enumerate(conds)
+                           for x in (F.lit(i), F.lit(f"{MODEL_LABELS.get(k, k)} / Prompt {p}"))])
     n = F.col("a11") + F.col("a10") + F.col("a01") + F.col("a00")
-    return (cells.withColumn("n", n.cast("bigint")).where(F.col("n") >= min_n)
-            .select("system_A", "system_B",
+    return (cells.where(F.col("i") < F.col("j")).withColumn("n", n.cast("bigint")).where(F.col("n") >= min_n)
+            .select(F.element_at(names, F.col("i")).alias("system_A"), F.element_at(names, F.col("j")).alias("system_B"),
                     F.round(kappa_from_counts(F.col("a11"), F.col("a10"), F.col("a01"), F.col("a00")), 4).alias("kappa"),
                     "n"))
 

@@ -109,10 +109,12 @@ def pivot_long(long: DataFrame, key_cols: list[str], values: list[str],
 def merge_conditions(files: list[DataFrame], on: str = "block_id") -> DataFrame:
     """Wide merge of per-condition files onto the first file's base columns.
 
-    Left-join semantics of a chain of merges, executed as one union + pivot
-    (one shuffle on `on`) and one join, instead of N chained joins.  A
-    column already seen gets a `_dup_<i>` suffix, as colliding merges do.
-    Keys are assumed unique per file.
+    Left-join semantics of a chain of merges, executed as one union +
+    group-by (one shuffle on `on`) and one join, instead of N chained joins.
+    Per key the group holds one (column, value) entry per annotation column
+    (bounded by the schema, not the data) and is folded into a map by a
+    hash aggregate.  A column already seen gets a `_dup_<i>` suffix, as
+    colliding merges do.  Keys are assumed unique per file.
     """
     base_cols = [c for c in files[0].columns if not c.startswith(("DIL_", "confidence_"))]
     base = files[0].select(*base_cols)
@@ -129,8 +131,8 @@ def merge_conditions(files: list[DataFrame], on: str = "block_id") -> DataFrame:
         if pairs:
             parts.append(f.select(on, F.inline(F.array(*pairs))))
     longp = reduce(DataFrame.unionByName, parts)
-    wide = longp.groupBy(on).pivot("name", names).agg(F.first("value"))
-    return base.join(wide, on, "left").select(*base_cols, *names)
+    wide = longp.groupBy(on).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("__m"))
+    return base.join(wide, on, "left").select(*base_cols, *[F.col("__m")[n].alias(n) for n in names])
 
 
 # ---------------------------------------------------------------- J9
