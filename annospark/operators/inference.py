@@ -239,14 +239,17 @@ def leave_one_out(lf: DataFrame, periods: list[str] = PERIOD_LABELS) -> DataFram
 
 # ---------------------------------------------------------------- I5 / I6 sufficient statistics
 def block_signatures(rows: DataFrame, cond: F.Column, extra_sig: F.Column | None = None) -> DataFrame:
-    """Per block: k = successes, m = observations, signature = sorted condition list (+ extra).
+    """Per block: k = successes, m = observations, signature = sorted condition list (+ extra),
+    and the list of conditions answered correctly.
 
     Blocks without variation (k = 0 or k = m) carry no conditional likelihood
-    and are dropped; the rest are grouped by (signature, k).
+    and are dropped; the rest are grouped by (signature, k).  Lists are
+    bounded by the number of conditions.
     """
     b = rows.groupBy("block_id").agg(
         F.sum("correct").alias("k"), F.count(F.lit(1)).alias("m"),
         F.array_join(F.sort_array(F.collect_list(cond)), ",").alias("sig"),
+        F.collect_list(F.when(F.col("correct") == 1, cond)).alias("succ"),
         *([F.max(extra_sig).alias("extra")] if extra_sig is not None else []))
     if extra_sig is not None:
         b = b.withColumn("sig", F.concat_ws("#", "sig", "extra"))

@@ -40,8 +40,8 @@ def clogit_data(rows: DataFrame, cond: F.Column) -> ClogitData:
     """Collect only sufficient statistics: one row per (signature, k) and per condition."""
     sig = block_signatures(rows, cond).cache()
     pats = sig.groupBy("sig", "k").agg(F.count(F.lit(1)).alias("n")).collect()
-    succ = (rows.join(sig.select("block_id"), "block_id", "left_semi")
-            .groupBy(cond.alias("cond")).agg(F.sum("correct").alias("s")).collect())
+    succ = (sig.select(F.explode("succ").alias("cond")).groupBy("cond")
+            .agg(F.count(F.lit(1)).alias("s")).collect())
     sig.unpersist()
     return ClogitData([(r["sig"].split(","), int(r["k"]), int(r["n"])) for r in pats],
                       {r["cond"]: float(r["s"]) for r in succ})
@@ -140,12 +140,12 @@ def lr_interaction(rows: DataFrame, a_col: str, b_col: str, absorbed_b: bool = F
     When `absorbed_b` the b main effect is constant within blocks (e.g. the
     period of a block) and is left out of both models.
     """
-    levels = rows.select(a_col, b_col).distinct().collect()
-    la = sorted({r[0] for r in levels})
-    lb = sorted({r[1] for r in levels})
-    da, db = dummy_levels(la), dummy_levels(lb)
     cond = F.concat_ws("@", F.col(a_col), F.col(b_col))
     data = clogit_data(rows, cond)
+    seen = {c for conds, _, _ in data.groups for c in conds}       # levels from the statistics
+    la = sorted({c.split("@")[0] for c in seen})
+    lb = sorted({c.split("@")[1] for c in seen})
+    da, db = dummy_levels(la), dummy_levels(lb)
     d0, d1 = {}, {}
     for a in la:
         for b in lb:

@@ -50,6 +50,10 @@ def to_long(wide: DataFrame, id_cols: list[str]) -> DataFrame:
         conf = F.col(conf_col) if conf_col in cols else F.lit(None).cast("string")
         items.append(F.struct(F.lit(key).alias("model_key"), F.lit(p).alias("prompt"),
                               F.col(col).cast("string").alias("label"), conf.alias("confidence")))
+    if not items:   # no (non-excluded) condition columns: empty long table with the same schema
+        none = F.lit(None).cast("string")
+        return wide.select(*id_cols, none.alias("model_key"), none.alias("prompt"),
+                           none.alias("label"), none.alias("confidence")).where(F.lit(False))
     return wide.select(*id_cols, F.inline(F.array(*items)))
 
 

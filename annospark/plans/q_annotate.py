@@ -14,6 +14,7 @@ from annospark.plans.catalog import register
 from annospark.plans.oracle_base import RAW, with_base
 from annospark.plans.q_answers import PARSED_JSON
 from annospark.plans.q_text import q
+from annospark.functions.text import safe_name
 from annospark.sources.tables import table, table_spread
 from annospark.streaming.annotate_stream import stream_annotate
 
@@ -172,3 +173,11 @@ SELECT doc_id, raw_text, 'ok' AS status, CAST(1 AS INTEGER) AS attempts, CAST(le
 
 # ------------------------------------------------------------------ A5 (streaming, rows-only check)
 register("stream_annotate")(lambda spark, sf: stream_annotate(spark, table(spark, sf, "documents"), "doc_id"))
+
+# ------------------------------------------------------------------ P12
+register("safe_name", f"""WITH {_LOG}
+SELECT DISTINCT model, translate(model, '-.', '__') AS safe_model,
+       'DIL_' || translate(model, '-.', '__') AS label_column FROM lg""")(
+    lambda spark, sf: fx.annotation_log(spark, sf).select("model").distinct().select(
+        "model", safe_name(F.col("model")).alias("safe_model"),
+        F.concat(F.lit("DIL_"), safe_name(F.col("model"))).alias("label_column")))

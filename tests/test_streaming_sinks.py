@@ -63,3 +63,15 @@ def test_log_roundtrip_and_metrics_json(spark, tmp_path):
     summary = E.entry(spark)
     nested = FS.metrics_nested(summary).first()["metrics"]
     assert len(nested) == 15
+
+
+def test_read_annotations_directory(spark, tmp_path):
+    import csv
+    for key, p, lab in [("m1", "A", "yes"), ("m2", "B", "no"), ("minerva7b", "A", "yes")]:
+        with open(tmp_path / f"{key}_prompt{p}_annotated.csv", "w", newline="") as fh:
+            w = csv.writer(fh, quoting=csv.QUOTE_ALL)
+            w.writerow(["doc_id", "text", "DIL", f"DIL_{key}_prompt{p}", f"confidence_{key}_prompt{p}"])
+            w.writerow(["a_1881.txt", 'uno, "due"\ntre', "yes", lab, "high"])
+    long = FS.read_annotations(spark, str(tmp_path))
+    rows = sorted((r["model_key"], r["prompt"], r["label"], r["text"]) for r in long.collect())
+    assert rows == [("m1", "A", "yes", 'uno, "due"\ntre'), ("m2", "B", "no", 'uno, "due"\ntre')]  # excluded model dropped
