@@ -106,18 +106,23 @@ def fit_clogit(data: ClogitData, design: dict[str, np.ndarray], max_iter: int =
             g -= np.einsum("g,gi,gip->p", n, pis, X)
         return ll, g
 
-    def hessian(beta, eps=1e-6):
+    def hessian(beta, g0=None, eps=1e-6):
+        """Numerical Jacobian of the analytic gradient: forward differences
+        while iterating (g0 given), central differences for the final covariance."""
         H = np.zeros((p, p))
         for j in range(p):
             d = np.zeros(p)
             d[j] = eps
-            H[:, j] = (ll_grad(beta + d)[1] - ll_grad(beta - d)[1]) / (2 * eps)
+            if g0 is None:
+                H[:, j] = (ll_grad(beta + d)[1] - ll_grad(beta - d)[1]) / (2 * eps)
+            else:
+                H[:, j] = (ll_grad(beta + d)[1] - g0) / eps
         return (H + H.T) / 2
 
     beta = np.zeros(p)
     ll, g = ll_grad(beta)
     for _ in range(max_iter):
-        H = hessian(beta)
+        H = hessian(beta, g)
         step = np.linalg.solve(H, -g)
         t = 1.0
         while True:
