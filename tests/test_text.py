@@ -108,3 +108,17 @@ def test_collocations_bruteforce(spark):
         ll = -2.0 * (s1 + s2 - s3 - s4)
         if round(ll, 6) >= 0.0:
             assert got[(a, b)] == round(ll, 6)
+
+
+def test_abbreviation_join_path_matches_inline(spark):
+    from conftest import SF0001
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    ab = [r["type"] for r in P.learn_abbreviations(docs).collect()] + ["sig", "dott"]
+    inline = sorted((r[0], r[1], r[2]) for r in P.sentences(docs, "doc_id", abbrevs=ab).collect())
+    table = spark.createDataFrame([(a,) for a in ab], "type string")
+    joined = sorted((r[0], r[1], r[2]) for r in P.sentences(docs, "doc_id", abbrevs=table).collect())
+    assert inline == joined
+    df = spark.createDataFrame([(1, "Il sig. Rossi arrivò. Poi partì.")], "id int, text string")
+    got = [r["sentence"] for r in P.sentences(df, "id", abbrevs=spark.createDataFrame([("sig",)], "type string"))
+           .orderBy("sent_idx").collect()]
+    assert got == ["Il sig. Rossi arrivò.", "Poi partì."]
