@@ -249,13 +249,16 @@ def collocations(df: DataFrame, text_col: str = "text", threshold: float = 7.88,
     Bigrams are formed inside each document row (arrays_zip of the token
     array with itself shifted by one): no window, no self-join.
     """
-    toks = F.split(collapse_ws(F.col(text_col)), " ")
+    # tokenise once per row; the shifted views below reference the column
+    tok_df = df.select(F.split(collapse_ws(F.col(text_col)), " ").alias("__toks"))
+    toks = F.col("__toks")
     n = F.size(toks)
-    pairs = df.select(F.explode(F.arrays_zip(F.slice(toks, 1, F.greatest(n - 1, F.lit(0))).alias("w1"),
-                                              F.slice(toks, 2, F.greatest(n - 1, F.lit(0))).alias("w2"))).alias("p"))
+    zipped = F.arrays_zip(F.slice(toks, 1, F.greatest(n - 1, F.lit(0))).alias("w1"),
+                          F.slice(toks, 2, F.greatest(n - 1, F.lit(0))).alias("w2"))
+    # keep only pairs across a period inside the row, then explode the survivors
+    pairs = tok_df.select(F.explode(F.filter(zipped, lambda p: p["w1"].endswith("."))).alias("p"))
     norm = lambda c: F.lower(F.regexp_replace(c, r"\.$", ""))
-    big = (pairs.where(F.col("p.w1").endswith("."))
-           .select(norm(F.col("p.w1")).alias("t1"), norm(F.col("p.w2")).alias("t2"))
+    big = (pairs.select(norm(F.col("p.w1")).alias("t1"), norm(F.col("p.w2")).alias("t2"))
            .groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("cab")))
     uni = tokens(df, text_col).select(norm(F.col("tok")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("cnt"))
     uni = _materialise(uni)
