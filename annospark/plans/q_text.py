@@ -105,8 +105,7 @@ SELECT source, GROUPING(source) AS level, count(*) AS n_files, CAST(sum(n_sent)
 FROM sa GROUP BY ROLLUP (source)""")(lambda spark, sf: P.corpus_summary(_docs(spark, sf), "source"))
 
 # ------------------------------------------------------------------ P3
-register("abbrev_types", f"""
-WITH t AS (SELECT unnest(string_split({_collapse('text')}, ' ')) AS tok FROM documents),
+ABBREV_CTES = f"""t AS (SELECT unnest(string_split({_collapse('text')}, ' ')) AS tok FROM documents),
 per AS (SELECT lower(regexp_replace(tok, '\\.$', '')) AS type, count(*) AS c,
                count(*) FILTER (WHERE suffix(tok, '.')) AS a FROM t WHERE tok <> '' GROUP BY 1),
 tot AS (SELECT CAST(sum(c) AS DOUBLE) AS N, CAST(sum(a) AS DOUBLE) AS P FROM per),
@@ -117,12 +116,36 @@ sc AS (
     * exp(-CAST(length(replace(type, '.', '')) AS DOUBLE))
     * (CAST(length(type) - length(replace(type, '.', '')) AS DOUBLE) + 1)
     * pow(CAST(length(replace(type, '.', '')) AS DOUBLE), -(CAST(c AS DOUBLE) - CAST(a AS DOUBLE))) AS s
-  FROM per, tot WHERE a > 0 AND regexp_matches(type, '^[\\p{{L}}.]*\\p{{L}}[\\p{{L}}.]*$'))
+  FROM per, tot WHERE a > 0 AND regexp_matches(type, '^[\\p{{L}}.]*\\p{{L}}[\\p{{L}}.]*$'))"""
+
+register("abbrev_types", "WITH " + ABBREV_CTES + """
 SELECT type, a, c, round(s, 6) AS score FROM sc WHERE round(s, 6) >= 0.3""")(
     lambda spark, sf: P.learn_abbreviations(_docs(spark, sf)))
 
 # ------------------------------------------------------------------ P3b (no SQL oracle; pytest brute force)
-register("collocations")(lambda spark, sf: P.collocations(_docs(spark, sf)))
+def _lg(x: str) -> str:
+    return f"(CASE WHEN ({x}) > 0 THEN ln({x}) ELSE 0.0 END)"
+
+
+_NORM = "lower(regexp_replace({0}, '\\.$', ''))"
+register("collocations", f"""
+WITH tk AS (SELECT doc_id, string_split({_collapse('text')}, ' ') AS toks FROM documents),
+t AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM tk),
+big AS (SELECT {_NORM.format('a.tok')} AS t1, {_NORM.format('b.tok')} AS t2, count(*) AS cab
+        FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE suffix(a.tok, '.') GROUP BY 1, 2),
+uni AS (SELECT {_NORM.format('tok')} AS t, count(*) AS cnt FROM t WHERE tok <> '' GROUP BY 1),
+tot AS (SELECT CAST(sum(cnt) AS DOUBLE) AS ntok FROM uni),
+j AS (SELECT big.t1, big.t2, big.cab AS n, CAST(u1.cnt AS DOUBLE) AS ca, CAST(u2.cnt AS DOUBLE) AS cb,
+             CAST(big.cab AS DOUBLE) AS cab, tot.ntok
+      FROM big JOIN uni u1 ON u1.t = big.t1 JOIN uni u2 ON u2.t = big.t2, tot WHERE big.cab >= 2),
+q AS (SELECT *, cb / ntok AS p, cab / ca AS p1, (cb - cab) / NULLIF(ntok - ca, 0) AS p2 FROM j),
+s AS (SELECT t1, t2, n,
+  cab * {_lg('p')} + (ca - cab) * {_lg('1 - p')} AS s1,
+  (cb - cab) * {_lg('p')} + (ntok - ca - cb + cab) * {_lg('1 - p')} AS s2,
+  CASE WHEN ca = cab THEN 0.0 ELSE cab * {_lg('p1')} + (ca - cab) * {_lg('1 - p1')} END AS s3,
+  CASE WHEN cb = cab THEN 0.0 ELSE (cb - cab) * {_lg('p2')} + (ntok - ca - cb + cab) * {_lg('1 - p2')} END AS s4 FROM q)
+SELECT t1, t2, CAST(n AS BIGINT) AS n, round(-2.0 * (s1 + s2 - s3 - s4), 6) AS ll FROM s
+WHERE round(-2.0 * (s1 + s2 - s3 - s4), 6) >= 7.88""")(lambda spark, sf: P.collocations(_docs(spark, sf)))
 
 # ------------------------------------------------------------------ P4 with learned abbreviations (R)
 def _sentences_abbrev(spark, sf):
@@ -131,7 +154,22 @@ def _sentences_abbrev(spark, sf):
     return P.sentences(docs, "doc_id", abbrevs=ab)
 
 
-register("sentences_abbrev")(_sentences_abbrev)
+_LASTTYPE = ("lower(regexp_replace(regexp_extract(piece, " + q("([^" + WS[1:-1] + "]+)$") + ", 1), '\\.$', ''))")
+register("sentences_abbrev", "WITH " + ABBREV_CTES + f""",
+ab AS (SELECT type FROM sc WHERE round(s, 6) >= 0.3),
+pa AS (SELECT doc_id, {_para_array('text')} AS paras FROM documents),
+pp AS (SELECT doc_id, generate_subscripts(paras, 1) AS para_idx, unnest(paras) AS par FROM pa),
+pc AS (SELECT doc_id, para_idx, string_split(regexp_replace(par, {q(P.BOUNDARY_RE)}, '\\1' || chr(57346), 'g'), chr(57346)) AS pcs FROM pp),
+pi AS (SELECT doc_id, para_idx, generate_subscripts(pcs, 1) AS piece_idx, unnest(pcs) AS piece FROM pc),
+fl AS (SELECT pi.*, (suffix(piece, '.') AND {_LASTTYPE} IN (SELECT type FROM ab)) AS isab FROM pi),
+st AS (SELECT *, CASE WHEN COALESCE(lag(isab) OVER (PARTITION BY doc_id, para_idx ORDER BY piece_idx), false)
+                      THEN 0 ELSE 1 END AS start FROM fl),
+g AS (SELECT *, sum(start) OVER (PARTITION BY doc_id, para_idx ORDER BY piece_idx ROWS UNBOUNDED PRECEDING) AS grp FROM st),
+se AS (SELECT doc_id, para_idx, grp, {_collapse("string_agg(piece, ' ' ORDER BY piece_idx)")} AS sentence
+       FROM g GROUP BY doc_id, para_idx, grp),
+ok AS (SELECT * FROM se WHERE length(sentence) > 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, grp) - 1 AS BIGINT) AS sent_idx, sentence
+FROM ok""")(_sentences_abbrev)
 
 # ------------------------------------------------------------------ P10
 _TV = ", ".join(f"({q(k)}, {q(v)})" for k, v in sorted(TEMPLATES.items()))
