@@ -172,7 +172,12 @@ SELECT doc_id, raw_text, 'ok' AS status, CAST(1 AS INTEGER) AS attempts, CAST(le
     lambda spark, sf: AN.score(table_spread(spark, sf, "documents"), AN.rule_scorer, keep=["doc_id"]))
 
 # ------------------------------------------------------------------ A5 (streaming, rows-only check)
-register("stream_annotate")(lambda spark, sf: stream_annotate(spark, table(spark, sf, "documents"), "doc_id"))
+register("stream_annotate", f"""WITH s AS (SELECT doc_id, text, {_SCORE_SQL} AS s FROM documents)
+SELECT doc_id, CASE WHEN round(s, 6) >= {AN.RULE_THRESHOLD} THEN 'yes' ELSE 'no' END AS label,
+       CASE WHEN abs(s - {AN.RULE_THRESHOLD}) >= 0.2 THEN 'high' ELSE 'low' END AS confidence,
+       'ok' AS status, CAST(1 AS INTEGER) AS attempts, CAST(length(text) // 4 AS BIGINT) AS tokens_in,
+       CAST(length({_RULE_RAW.replace("round(s, 6)", "round(s, 6)")}) // 4 AS BIGINT) AS tokens_out FROM s""")(
+    lambda spark, sf: stream_annotate(spark, table(spark, sf, "documents"), "doc_id").drop("batch_id"))
 
 # ------------------------------------------------------------------ P12
 register("safe_name", f"""WITH {_LOG}

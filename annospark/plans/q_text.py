@@ -199,15 +199,19 @@ def _read_corpus(spark, sf):
     """One .txt file per work (documents of a source concatenated), read back with binaryFile."""
     path = _scratch(spark, "corpus")
     docs = _docs(spark, sf)
-    (docs.repartition("source").sortWithinPartitions("doc_id").select("source", "text")
+    # one file per work, documents in doc_id order (the order satisfies the writer's partition sort)
+    (docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text")
      .write.partitionBy("source").text(path))
     files = P.read_corpus(spark, path)
-    return files.select(F.regexp_extract("path", r"source=([^/]+)", 1).alias("work"), "filename",
-                        F.length("text").alias("n_chars"),
-                        F.size(P.doc_sentence_array(F.col("text"))).alias("n_sentences"))
+    return files.select(F.regexp_extract("path", r"source=([^/]+)", 1).alias("work"),
+                        F.length("text").cast("bigint").alias("n_chars"),
+                        F.size(P.doc_sentence_array(F.col("text"))).cast("bigint").alias("n_sentences"))
 
 
-register("read_corpus")(_read_corpus)
+register("read_corpus", f"""
+WITH f AS (SELECT source AS work, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY source)
+SELECT work, CAST(length(text) AS BIGINT) AS n_chars, CAST(len({_doc_sents('text')}) AS BIGINT) AS n_sentences FROM f""")(
+    _read_corpus)
 
 
 def _files_count(spark, sf):

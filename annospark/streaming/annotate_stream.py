@@ -49,4 +49,4 @@ def stream_annotate(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     docs.select(id_col, text_col).repartition(n_files).write.parquet(src)
     q = start_stream(spark, src, sink, ckpt, id_col, text_col)
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).drop("batch")   # folder name; batch_id is a data column
