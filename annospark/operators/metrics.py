@@ -232,7 +232,7 @@ def rank_models(summary: DataFrame) -> DataFrame:
         F.avg("kappa").alias("kappa_mean"), F.stddev_samp("kappa").alias("kappa_std"),
         F.avg("f1").alias("f1_mean"), F.avg("accuracy").alias("accuracy_mean"))
     w = Window.orderBy(F.desc("kappa_mean"), "model_key")  # one row per model: tiny
-    return agg.select(F.row_number().over(w).alias("rank"), "model_key",
+    return agg.select(F.row_number().over(w).cast("bigint").alias("rank"), "model_key",
                       display_name(F.col("model_key")).alias("model_label"),
                       *[F.round(c, 6).alias(c) for c in ("kappa_mean", "kappa_std", "f1_mean", "accuracy_mean")])
 
@@ -242,7 +242,7 @@ def rank_prompts(summary: DataFrame) -> DataFrame:
         F.avg("kappa").alias("kappa_mean"), F.stddev_samp("kappa").alias("kappa_std"),
         F.avg("f1").alias("f1_mean"))
     w = Window.orderBy(F.desc("kappa_mean"), "prompt")
-    return agg.select(F.row_number().over(w).alias("rank"), "prompt",
+    return agg.select(F.row_number().over(w).cast("bigint").alias("rank"), "prompt",
                       *[F.round(c, 6).alias(c) for c in ("kappa_mean", "kappa_std", "f1_mean")])
 
 
@@ -280,7 +280,7 @@ def errors_by(long: DataFrame, keys: list[str], min_n: int = 1) -> DataFrame:
 def errors_by_author(long: DataFrame, top: int = 10, min_n: int = 5) -> DataFrame:
     e = errors_by(long, ["author"], min_n)
     w = Window.partitionBy("model", "prompt").orderBy(F.desc("error_rate"), "author")
-    return e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return e.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top)
 
 
 def coverage_rollup(long_all: DataFrame) -> DataFrame:

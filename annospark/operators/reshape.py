@@ -198,4 +198,4 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Colum
     w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
     return (salted.withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= n)
             .withColumn("__r2", F.row_number().over(w2)).where(F.col("__r2") <= n)
-            .drop("__salt", "__r1").withColumnRenamed("__r2", "rank"))
+            .drop("__salt", "__r1").withColumn("rank", F.col("__r2").cast("bigint")).drop("__r2"))

@@ -108,7 +108,7 @@ SELECT model, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, cou
 def _smoke(spark, sf):
     per = fx.blocks(spark, sf).groupBy("work").agg(F.count(F.lit(1)).alias("n_blocks"))
     w_name, w_small = Window.orderBy("work"), Window.orderBy("n_blocks", "work")   # one row per work
-    x = (per.withColumn("name_rank", F.row_number().over(w_name))
+    x = (per.withColumn("name_rank", F.row_number().over(w_name).cast("bigint"))
          .withColumn("is_smallest", F.row_number().over(w_small) == 1))
     return x.where((F.col("name_rank") <= 10) | F.col("is_smallest"))
 

@@ -153,7 +153,7 @@ SELECT round(min(s2 / NULLIF(n2, 0) - s1 / NULLIF(n1, 0)), 6) AS min_delta_sp,
 # ------------------------------------------------------------------ I5 / I6 sufficient statistics
 register("clogit_stats", with_base("""bs AS (SELECT block_id, sum(correct) AS k, count(*) AS m,
     array_to_string(list_sort(list(model || '@' || prompt)), ',') AS sig FROM lf GROUP BY block_id)""") + """
-SELECT sig AS signature, k, count(*) AS n_blocks FROM bs WHERE k > 0 AND k < m GROUP BY sig, k""")(
+SELECT sig AS signature, CAST(k AS BIGINT) AS k, count(*) AS n_blocks FROM bs WHERE k > 0 AND k < m GROUP BY sig, k""")(
     lambda spark, sf: I.clogit_stats(_lf(spark, sf), F.concat_ws("@", "model", "prompt")))
 register("informative_blocks", with_base("""b AS (SELECT model, block_id, min(correct) AS lo, max(correct) AS hi
   FROM lf GROUP BY model, block_id)""") + """
