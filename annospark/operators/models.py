@@ -274,17 +274,18 @@ def logit_cluster(spark: SparkSession, rows: DataFrame, y: str, model_col: str,
     """
     checkpoint_dir(spark)
     coll = (rows.groupBy(model_col, prompt_col, year_col, cluster)
-            .agg(F.count(F.lit(1)).cast("double").alias("__n"), F.sum(y).cast("double").alias("__y")))
-    levels = coll.select(model_col, prompt_col).distinct().collect()
-    dm = dummy_levels(sorted({r[0] for r in levels}))
-    dp = dummy_levels(sorted({r[1] for r in levels}))
+            .agg(F.count(F.lit(1)).cast("double").alias("__n"), F.sum(y).cast("double").alias("__y"))
+            .checkpoint(eager=True))                       # conditions x clusters x years rows
+    meta = coll.agg(F.collect_set(model_col).alias("m"), F.collect_set(prompt_col).alias("p"),
+                    F.sum("__n").alias("N"), F.countDistinct(cluster).alias("G")).first()
+    dm, dp = dummy_levels(sorted(meta["m"])), dummy_levels(sorted(meta["p"]))
     cols = [F.lit(1.0)]
     cols += [F.when(F.col(model_col) == m, 1.0).otherwise(0.0) for m in dm]
     cols += [F.when(F.col(prompt_col) == p, 1.0).otherwise(0.0) for p in dp]
     cols += [F.when((F.col(model_col) == m) & (F.col(prompt_col) == p), 1.0).otherwise(0.0) for m in dm for p in dp]
     cols += [F.col(year_col).cast("double") - 1880.0]        # centred: same slope and SE
     k = len(cols)
-    x = coll.select(cluster, "__n", "__y", *[c.alias(f"x{j}") for j, c in enumerate(cols)]).checkpoint()
+    x = coll.select(cluster, "__n", "__y", *[c.alias(f"x{j}") for j, c in enumerate(cols)])
     xcols = [f"x{j}" for j in range(k)]
     beta = np.zeros(k)
     for _ in range(max_iter):
@@ -295,8 +296,7 @@ def logit_cluster(spark: SparkSession, rows: DataFrame, y: str, model_col: str,
             break
     _, H = _irls_partials(x, xcols, beta)                      # bread at the solution
     M = _cluster_meat(x, xcols, beta, cluster)
-    hrow = x.agg(F.sum("__n").alias("N"), F.countDistinct(cluster).alias("G")).first()
-    n_obs, n_groups = float(hrow["N"]), float(hrow["G"])
+    n_obs, n_groups = float(meta["N"]), float(meta["G"])
     Hinv = np.linalg.inv(H)
     corr = n_groups / (n_groups - 1) * (n_obs - 1) / (n_obs - k)
     V = Hinv @ M @ Hinv * corr

@@ -132,7 +132,8 @@ def annotations_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     ck = checkpoint_dir(spark)
     key = (ck, sf_dir)
     if key not in _MATERIALISED:
-        path = f"{ck.rstrip('/')}/fixture-wide-{abs(hash(sf_dir)) % 10**12}"
+        import hashlib
+        path = f"{ck.rstrip('/')}/fixture-wide-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
         _build_wide(spark, sf_dir).write.mode("overwrite").parquet(path)
         _MATERIALISED[key] = path
     return spark.read.parquet(_MATERIALISED[key])
