@@ -95,3 +95,31 @@ def test_bootstrap_draws_match_bruteforce(spark):
             assert rep[b] is None
         else:
             assert rep[b] == pytest.approx(exp, abs=1e-12)
+
+
+# published period-stability rows: (rule, recall, sp first period, sp last period, delta_sp, equivalent effect)
+STABILITY = [
+    ("Claude Sonnet 4.6", 0.786, 0.8816, 0.6835, -0.198, 24.4394),
+    ("GPT-5.5", 0.766, 0.9079, 0.7089, -0.199, 25.204),
+    ("Gemini 3.5 Flash", 0.662, 0.9737, 0.8291, -0.1446, 21.1833),
+    ("Qwen3-35B-A3B", 0.752, 0.8553, 0.7025, -0.1527, 19.7007),
+    ("GPT-OSS-120B", 0.512, 0.8882, 0.7785, -0.1097, 20.7786),
+    ("maggioranza tre commerciali", 0.736, 0.9539, 0.7468, -0.2071, 27.296),
+    ("unanimità cinque modelli", 0.402, 0.9934, 0.9241, -0.0694, 16.7386),
+]
+
+
+def test_stability_reproduces_published_deltas(spark):
+    rows = []
+    for rule, rec, sp1, sp3, _, _ in STABILITY:
+        n = 10000
+        rows += [(rule, 0, "1830-1870", int(i < round((1 - sp1) * n))) for i in range(n)]
+        rows += [(rule, 0, "1901-1930", int(i < round((1 - sp3) * n))) for i in range(n)]
+        rows += [(rule, 1, "1871-1900", int(i < round(rec * 1000))) for i in range(1000)]
+    df = spark.createDataFrame(rows, "rule string, gold int, period string, f int")
+    got = {r["regola"]: r for r in I.stability(df).collect()}
+    for rule, rec, sp1, sp3, delta, effect in STABILITY:
+        r = got[rule]
+        assert r["recall"] == pytest.approx(rec, abs=1e-9)
+        assert r["delta_sp"] == pytest.approx(delta, abs=6e-4)          # published values are rounded
+        assert r["effetto_equivalente_punti"] == pytest.approx(effect, abs=0.05)
