@@ -93,3 +93,24 @@ def test_long_then_pivot_is_identity(spark):
     a = sorted((r.block_id, r.cond, r.pred) for r in melted.collect())
     b = sorted((r.block_id, f"{r.model_key}_prompt{r.prompt}", r.pred) for r in back.collect())
     assert a == b
+
+
+PUBLISHED_KAPPA = {  # model_key -> kappa for prompts A, B, C (published summary)
+    "claude_sonnet46": (0.464, 0.536, 0.57), "gemini35flash": (0.548, 0.526, 0.556),
+    "gpt55": (0.548, 0.538, 0.558), "gpt_oss_120b": (0.22, 0.1952, 0.346), "qwen3_35b": (0.43, 0.462, 0.502),
+}
+
+
+def test_published_ranking(spark):
+    from annospark.constants import MODEL_LABELS
+    rows = [(MODEL_LABELS[k], k, f"Prompt {p}", kap, 0.5, 0.5)
+            for k, ks in PUBLISHED_KAPPA.items() for p, kap in zip("ABC", ks)]
+    summary = spark.createDataFrame(rows, "model string, model_key string, prompt string, kappa double, f1 double, accuracy double")
+    best = M.best_overall(summary).first()
+    assert (best["best_model"], best["best_model_kappa"]) == ("GPT-5.5", 0.548)
+    assert (best["best_prompt"], best["best_prompt_kappa"]) == ("Prompt C", 0.5064)
+    per = {r["model_key"]: r["prompt"] for r in M.best_per_model(summary).collect()}
+    assert per == {"claude_sonnet46": "Prompt C", "gemini35flash": "Prompt C", "gpt55": "Prompt C",
+                   "gpt_oss_120b": "Prompt C", "qwen3_35b": "Prompt C"}
+    ranks = [r["model_key"] for r in M.rank_models(summary).orderBy("rank").collect()]
+    assert ranks == ["gpt55", "gemini35flash", "claude_sonnet46", "qwen3_35b", "gpt_oss_120b"]
