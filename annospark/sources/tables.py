@@ -19,13 +19,14 @@ def spread_small_input(df: DataFrame) -> DataFrame:
 
     A table stored as a handful of files with one row group each is scanned
     by a single task, which serialises per-document work (regex splitting,
-    JSON parsing, scorer calls).  When the input has fewer files and splits
-    than the cluster has cores, rows are round-robin repartitioned (column
-    pruning still applies below the exchange).  Large inputs (many files)
-    are left untouched, so no full shuffle is added at scale.
+    JSON parsing, scorer calls).  When the scan has fewer splits than the
+    cluster has cores, rows are round-robin repartitioned (column pruning
+    still applies below the exchange).  Large inputs have far more splits
+    than cores and are left untouched, so no shuffle is added at scale.
+    The check uses the planned split count only (no file listing on the driver).
     """
     par = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < par and df.rdd.getNumPartitions() < par:
+    if df.rdd.getNumPartitions() < par:
         return df.repartition(par)
     return df
 
