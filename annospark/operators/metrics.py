@@ -228,10 +228,15 @@ def metric_delta(summary: DataFrame, prompt_a: str = "Prompt C", prompt_b: str =
 
 
 # ---------------------------------------------------------------- M10 - M14
+def mean_4dp(c: str) -> Column:
+    """Mean of values rounded to 4 dp, summed exactly in units of 1e-4 (ties stay exact)."""
+    return F.sum(F.round(F.col(c) * 10000).cast("bigint")).cast(_D) / F.count(c).cast(_D) / 10000.0
+
+
 def rank_models(summary: DataFrame) -> DataFrame:
     agg = summary.groupBy("model_key").agg(
-        F.avg("kappa").alias("kappa_mean"), F.stddev_samp("kappa").alias("kappa_std"),
-        F.avg("f1").alias("f1_mean"), F.avg("accuracy").alias("accuracy_mean"))
+        mean_4dp("kappa").alias("kappa_mean"), F.stddev_samp("kappa").alias("kappa_std"),
+        mean_4dp("f1").alias("f1_mean"), mean_4dp("accuracy").alias("accuracy_mean"))
     w = Window.orderBy(F.desc("kappa_mean"), "model_key")  # one row per model: tiny
     return agg.select(F.row_number().over(w).cast("bigint").alias("rank"), "model_key",
                       display_name(F.col("model_key")).alias("model_label"),
@@ -240,8 +245,8 @@ def rank_models(summary: DataFrame) -> DataFrame:
 
 def rank_prompts(summary: DataFrame) -> DataFrame:
     agg = summary.groupBy("prompt").agg(
-        F.avg("kappa").alias("kappa_mean"), F.stddev_samp("kappa").alias("kappa_std"),
-        F.avg("f1").alias("f1_mean"))
+        mean_4dp("kappa").alias("kappa_mean"), F.stddev_samp("kappa").alias("kappa_std"),
+        mean_4dp("f1").alias("f1_mean"))
     w = Window.orderBy(F.desc("kappa_mean"), "prompt")
     return agg.select(F.row_number().over(w).cast("bigint").alias("rank"), "prompt",
                       *[F.round(c, 6).alias(c) for c in ("kappa_mean", "kappa_std", "f1_mean")])

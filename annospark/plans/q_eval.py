@@ -134,13 +134,13 @@ WHERE a.prompt = 'Prompt C' AND b.prompt = 'Prompt A'""")(
 _LABEL_CASE = "CASE model_key " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in fx.MODEL_LABELS.items()) + " ELSE model_key END"
 _RANK_MODELS = f"""rm AS (
-  SELECT model_key, avg(kappa) AS kappa_mean, stddev_samp(kappa) AS kappa_std, avg(f1) AS f1_mean,
-         avg(accuracy) AS accuracy_mean FROM summary GROUP BY model_key),
+  SELECT model_key, CAST(sum(CAST(round(kappa * 10000) AS BIGINT)) AS DOUBLE) / CAST(count(kappa) AS DOUBLE) / 10000.0 AS kappa_mean, stddev_samp(kappa) AS kappa_std, CAST(sum(CAST(round(f1 * 10000) AS BIGINT)) AS DOUBLE) / CAST(count(f1) AS DOUBLE) / 10000.0 AS f1_mean,
+         CAST(sum(CAST(round(accuracy * 10000) AS BIGINT)) AS DOUBLE) / CAST(count(accuracy) AS DOUBLE) / 10000.0 AS accuracy_mean FROM summary GROUP BY model_key),
 rmr AS (SELECT row_number() OVER (ORDER BY kappa_mean DESC, model_key) AS rank, model_key,
          {_LABEL_CASE} AS model_label, round(kappa_mean, 6) AS kappa_mean, round(kappa_std, 6) AS kappa_std,
          round(f1_mean, 6) AS f1_mean, round(accuracy_mean, 6) AS accuracy_mean FROM rm)"""
 _RANK_PROMPTS = """rp AS (
-  SELECT prompt, avg(kappa) AS kappa_mean, stddev_samp(kappa) AS kappa_std, avg(f1) AS f1_mean
+  SELECT prompt, CAST(sum(CAST(round(kappa * 10000) AS BIGINT)) AS DOUBLE) / CAST(count(kappa) AS DOUBLE) / 10000.0 AS kappa_mean, stddev_samp(kappa) AS kappa_std, CAST(sum(CAST(round(f1 * 10000) AS BIGINT)) AS DOUBLE) / CAST(count(f1) AS DOUBLE) / 10000.0 AS f1_mean
   FROM summary GROUP BY prompt),
 rpr AS (SELECT row_number() OVER (ORDER BY kappa_mean DESC, prompt) AS rank, prompt,
          round(kappa_mean, 6) AS kappa_mean, round(kappa_std, 6) AS kappa_std, round(f1_mean, 6) AS f1_mean FROM rp)"""
