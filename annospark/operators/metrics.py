@@ -101,11 +101,10 @@ def confusion_table(wide: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- M3
 def metrics_strict(wide: DataFrame) -> DataFrame:
-    """Only rows where both labels are yes/no (after lower/strip); every zero division -> 0; unrounded."""
+    """Only rows where both labels are exactly 'yes'/'no' (case-sensitive); every zero division -> 0; unrounded."""
     lg = to_long(wide, ["block_id", "DIL"])
-    clean = lambda c: F.lower(F.trim(c))
-    lg = (lg.withColumn("gold", binarize(clean(F.col("DIL"))))
-            .withColumn("pred", binarize(clean(F.col("label"))))
+    lg = (lg.withColumn("gold", binarize(F.col("DIL")))
+            .withColumn("pred", binarize(F.col("label")))
             .where(F.col("gold").isNotNull() & F.col("pred").isNotNull()))
     conf = confusion(lg, ["model_key", "prompt"])
     out = add_rates(conf, digits=None, spec_zero=0.0, kappa_zero=0.0)

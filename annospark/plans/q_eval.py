@@ -42,8 +42,8 @@ def _lf(spark, sf, extra=None):
 # ------------------------------------------------------------------ M3
 register("metrics_strict", with_base(f"""cs AS (
   SELECT model_key, prompt,
-         CASE lower(trim(DIL)) WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS g,
-         CASE lower(trim(label)) WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS p FROM ann)""",
+         CASE DIL WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS g,
+         CASE label WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS p FROM ann)""",
                                      f"""cm AS (SELECT model_key, prompt, {confusion_sql()} FROM cs
   WHERE g IS NOT NULL AND p IS NOT NULL GROUP BY model_key, prompt)""") + f"""
 SELECT model_key, prompt, n_valid, TP, FP, FN, TN, {rates_sql(None, '0.0', '0.0')} FROM cm""")(
