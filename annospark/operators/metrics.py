@@ -162,7 +162,8 @@ def compare_annotators(wide: DataFrame, col_a: str, col_b: str) -> DataFrame:
         F.count_if(both & (a == 0) & (b == 0)).alias("both_no"),
         F.count_if(both & (a == 1) & (b == 0)).alias("yes_no"),
         F.count_if(both & (a == 0) & (b == 1)).alias("no_yes"),
-    ).withColumn("rate", F.round(F.try_divide(F.col("agreement").cast(_D), F.col("total").cast(_D)), 6))
+    ).withColumn("rate", F.round(F.coalesce(F.try_divide(F.col("agreement").cast(_D), F.col("total").cast(_D)),
+                                            F.lit(0.0)), 6))
 
 
 # ---------------------------------------------------------------- M6 / M7

@@ -88,8 +88,8 @@ SELECT count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS total,
        count(*) FILTER (WHERE a = 0 AND b = 0) AS both_no,
        count(*) FILTER (WHERE a = 1 AND b = 0) AS yes_no,
        count(*) FILTER (WHERE a = 0 AND b = 1) AS no_yes,
-       round(CAST(count(*) FILTER (WHERE a = b) AS DOUBLE) /
-             NULLIF(CAST(count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS DOUBLE), 0), 6) AS rate
+       round(COALESCE(CAST(count(*) FILTER (WHERE a = b) AS DOUBLE) /
+             NULLIF(CAST(count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS DOUBLE), 0), 0.0), 6) AS rate
 FROM w""")(lambda spark, sf: M.compare_annotators(_wide(spark, sf), _CA, _CB))
 
 # ------------------------------------------------------------------ M6 / M7
