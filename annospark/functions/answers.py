@@ -89,8 +89,8 @@ def parse_structured(raw: Column, result_type: Column) -> Column:
     """Structured (schema-constrained) answer of the whole text.
 
     status: api_error / expired from the request outcome, parse_error when the
-    text is not one JSON object, else ok with dil default 'error' and
-    confidenza default 'sconosciuta'.
+    text is not one JSON object, else ok with defaults dil 'error',
+    confidenza 'sconosciuta', ragionamento '' and marcatori [].
     """
     obj = parse_json_object(utrim(raw), STRUCTURED_SCHEMA)
     status = (F.when(result_type == "errored", F.lit("api_error"))
@@ -102,8 +102,8 @@ def parse_structured(raw: Column, result_type: Column) -> Column:
         status.alias("status"),
         F.when(ok, F.coalesce(obj["dil"], F.lit("error"))).alias("dil"),
         F.when(ok, F.coalesce(obj["confidenza"], F.lit("sconosciuta"))).alias("confidenza"),
-        F.when(ok, obj["ragionamento"]).alias("ragionamento"),
-        F.when(ok, obj["marcatori"]).alias("marcatori"),
+        F.when(ok, F.coalesce(obj["ragionamento"], F.lit(""))).alias("ragionamento"),
+        F.when(ok, F.coalesce(obj["marcatori"], F.array().cast("array<string>"))).alias("marcatori"),
         F.when(status == "parse_error", F.substring(raw, 1, 500)).alias("raw_prefix"))
 
 

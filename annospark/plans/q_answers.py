@@ -71,8 +71,8 @@ st AS (SELECT *, CASE WHEN result_type = 'errored' THEN 'api_error' WHEN result_
 SELECT {_K}, status,
   CASE WHEN status = 'ok' THEN COALESCE(json_extract_string(t, '$.dil'), 'error') END AS dil,
   CASE WHEN status = 'ok' THEN COALESCE(json_extract_string(t, '$.confidenza'), 'sconosciuta') END AS confidenza,
-  CASE WHEN status = 'ok' THEN json_extract_string(t, '$.ragionamento') END AS ragionamento,
-  CASE WHEN status = 'ok' THEN array_to_string(CAST(json_extract(t, '$.marcatori') AS VARCHAR[]), '|') END AS marcatori,
+  CASE WHEN status = 'ok' THEN COALESCE(json_extract_string(t, '$.ragionamento'), '') END AS ragionamento,
+  CASE WHEN status = 'ok' THEN array_to_string(COALESCE(CAST(json_extract(t, '$.marcatori') AS VARCHAR[]), CAST([] AS VARCHAR[])), '|') END AS marcatori,
   CASE WHEN status = 'parse_error' THEN substring(raw_text, 1, 500) END AS raw_prefix
 FROM st""")(lambda spark, sf: normalize_answers(_raw(spark, sf), "structured").select(
     *KEYS, "status", "dil", "confidenza", "ragionamento", F.array_join("marcatori", "|").alias("marcatori"),
