@@ -230,9 +230,9 @@ def leave_one_out(lf: DataFrame, periods: list[str] = PERIOD_LABELS) -> DataFram
         F.count_if(neg & (F.col("period") == first)).alias("n1"),
         F.sum(F.when(neg & (F.col("period") == last), F.col("correct")).otherwise(0)).alias("s2"),
         F.count_if(neg & (F.col("period") == last)).alias("n2"))
-    tot = Window.partitionBy()  # over the per-document table (one row per document)
-    x = per_doc.select(
-        *[(F.sum(k).over(tot) - F.col(k)).cast(_D).alias(k) for k in ("s1", "n1", "s2", "n2")])
+    # corpus totals as four scalars (one aggregate), then each document's leave-out values
+    tot = per_doc.agg(*[F.sum(k).alias(k) for k in ("s1", "n1", "s2", "n2")]).first()
+    x = per_doc.select(*[(F.lit(float(tot[k] or 0)) - F.col(k).cast(_D)).alias(k) for k in ("s1", "n1", "s2", "n2")])
     delta = F.try_divide(F.col("s2"), F.col("n2")) - F.try_divide(F.col("s1"), F.col("n1"))
     return x.agg(F.round(F.min(delta), 6).alias("min_delta_sp"), F.round(F.max(delta), 6).alias("max_delta_sp"))
 
