@@ -139,15 +139,8 @@ def fit_clogit(data: ClogitData, design: dict[str, np.ndarray], max_iter: int =
     return {"params": beta, "cov": cov, "llf": ll}
 
 
-def lr_interaction(rows: DataFrame, a_col: str, b_col: str, absorbed_b: bool = False) -> tuple[float, int, float]:
-    """LR test of the a x b interaction in a conditional logit grouped by block.
-
-    When `absorbed_b` the b main effect is constant within blocks (e.g. the
-    period of a block) and is left out of both models.
-    """
-    cond = F.concat_ws("@", F.col(a_col), F.col(b_col))
-    data = clogit_data(rows, cond)
-    seen = {c for conds, _, _ in data.groups for c in conds}       # levels from the statistics
+def _designs(seen: set[str], absorbed_b: bool) -> tuple[dict, dict, int]:
+    """Main-effect and interaction designs for conditions 'a@b' (treatment coding)."""
     la = sorted({c.split("@")[0] for c in seen})
     lb = sorted({c.split("@")[1] for c in seen})
     da, db = dummy_levels(la), dummy_levels(lb)
@@ -159,23 +152,63 @@ def lr_interaction(rows: DataFrame, a_col: str, b_col: str, absorbed_b: bool = F
             xi = [(1.0 if a == x else 0.0) * (1.0 if b == y else 0.0) for x in da for y in db]
             d0[f"{a}@{b}"] = np.array(xa + xb)
             d1[f"{a}@{b}"] = np.array(xa + xb + xi)
+    return d0, d1, len(da) * len(db)
+
+
+def _lr_from_data(data: ClogitData, absorbed_b: bool) -> tuple[float, int, float]:
+    seen = {c for conds, _, _ in data.groups for c in conds}       # levels from the statistics
+    d0, d1, df = _designs(seen, absorbed_b)
     m0, m1 = fit_clogit(data, d0), fit_clogit(data, d1)
     lr = 2 * (m1["llf"] - m0["llf"])
-    df = len(da) * len(db)
     return float(lr), int(df), float(chi2_sf(lr, df))
 
 
+def lr_interaction(rows: DataFrame, a_col: str, b_col: str, absorbed_b: bool = False) -> tuple[float, int, float]:
+    """LR test of the a x b interaction in a conditional logit grouped by block.
+
+    When `absorbed_b` the b main effect is constant within blocks (e.g. the
+    period of a block) and is left out of both models.
+    """
+    return _lr_from_data(clogit_data(rows, F.concat_ws("@", F.col(a_col), F.col(b_col))), absorbed_b)
+
+
+def _data_from_blocks(b: DataFrame, k: str, m: str, sig: str, succ: str) -> ClogitData:
+    inf = b.where((F.col(k) > 0) & (F.col(k) < F.col(m)))
+    pats = inf.groupBy(sig, k).agg(F.count(F.lit(1)).alias("n")).collect()
+    sc = inf.select(F.explode(succ).alias("cond")).groupBy("cond").agg(F.count(F.lit(1)).alias("s")).collect()
+    return ClogitData([(r[sig].split(","), int(r[k]), int(r["n"])) for r in pats],
+                      {r["cond"]: float(r["s"]) for r in sc})
+
+
 def clogit_lr_tests(lf: DataFrame) -> list[tuple]:
     """The five interaction tests: model x prompt (all / positives / negatives) and
-    model x period at prompt C (positives / negatives)."""
+    model x period at prompt C (positives / negatives).
+
+    One group-by over the long fact yields, per block, both signatures (all
+    conditions; prompt-C models with the block's period), their success
+    lists and the block's gold class; the five tests then only filter that
+    block table (lists bounded by the number of conditions).
+    """
+    mp = F.concat_ws("@", "model", "prompt")
+    mper = F.concat_ws("@", "model", "period")
+    is_c = F.col("prompt") == "C"
+    ok = F.col("correct") == 1
+    b = lf.groupBy("block_id").agg(
+        F.max("gold").alias("gold"),
+        F.sum("correct").alias("k_all"), F.count(F.lit(1)).alias("m_all"),
+        F.array_join(F.sort_array(F.collect_list(mp)), ",").alias("sig_all"),
+        F.collect_list(F.when(ok, mp)).alias("succ_all"),
+        F.sum(F.when(is_c, F.col("correct")).otherwise(0)).alias("k_c"), F.count_if(is_c).alias("m_c"),
+        F.array_join(F.sort_array(F.collect_list(F.when(is_c, mper))), ",").alias("sig_c"),
+        F.collect_list(F.when(is_c & ok, mper)).alias("succ_c")).cache()
     out = []
-    for lab, sub in [("tutti", lf), ("positivi", lf.where(F.col("gold") == 1)),
-                     ("negativi", lf.where(F.col("gold") == 0))]:
-        out.append(("modello x prompt", lab, *lr_interaction(sub, "model", "prompt")))
-    c = lf.where(F.col("prompt") == "C")
+    for lab, cond in [("tutti", F.lit(True)), ("positivi", F.col("gold") == 1), ("negativi", F.col("gold") == 0)]:
+        data = _data_from_blocks(b.where(cond), "k_all", "m_all", "sig_all", "succ_all")
+        out.append(("modello x prompt", lab, *_lr_from_data(data, absorbed_b=False)))
     for lab, g in [("positivi", 1), ("negativi", 0)]:
-        out.append(("modello x periodo (prompt C)", lab,
-                    *lr_interaction(c.where(F.col("gold") == g), "model", "period", absorbed_b=True)))
+        data = _data_from_blocks(b.where(F.col("gold") == g), "k_c", "m_c", "sig_c", "succ_c")
+        out.append(("modello x periodo (prompt C)", lab, *_lr_from_data(data, absorbed_b=True)))
+    b.unpersist()
     return out
 
 
