@@ -82,3 +82,18 @@ def test_logit_cluster_matches_numpy(spark):
     V = np.linalg.inv(H) @ M @ np.linalg.inv(H) * G / (G - 1) * (n - 1) / (n - kp)
     assert got["beta"] == pytest.approx(beta[-1], abs=1e-9)
     assert got["se"] == pytest.approx(math.sqrt(V[-1, -1]), rel=1e-6)
+
+
+def test_single_pass_lr_tests_equal_per_subset_fits(spark):
+    from conftest import SF0001
+    from annospark.operators.reshape import long_fact
+    from annospark.plans import fixtures as fx
+    lf = long_fact(fx.annotations_wide(spark, SF0001)).cache()
+    got = MD.clogit_lr_tests(lf)
+    ref = [MD.lr_interaction(lf, "model", "prompt"),
+           MD.lr_interaction(lf.where("gold = 1"), "model", "prompt"),
+           MD.lr_interaction(lf.where("gold = 0"), "model", "prompt"),
+           MD.lr_interaction(lf.where("prompt = 'C' AND gold = 1"), "model", "period", absorbed_b=True),
+           MD.lr_interaction(lf.where("prompt = 'C' AND gold = 0"), "model", "period", absorbed_b=True)]
+    for g, r in zip(got, ref):
+        assert g[2] == pytest.approx(r[0], abs=1e-6) and g[3] == r[1]
