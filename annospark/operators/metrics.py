@@ -290,9 +290,10 @@ def errors_by_author(long: DataFrame, top: int = 10, min_n: int = 5) -> DataFram
 
 
 def coverage_rollup(long_all: DataFrame) -> DataFrame:
-    """Coverage / yes-rate / error-rate at work, author, period and total level."""
+    """Coverage / yes-rate / error-rate at work, author, decade, period and total level."""
     valid = F.col("pred").isNotNull()
-    return (long_all.rollup("period", "author", "work").agg(
+    long_all = long_all.withColumn("decade", (F.floor(F.col("year") / 10) * 10).cast("int"))
+    return (long_all.rollup("period", "decade", "author", "work").agg(
         F.grouping_id().alias("level"),
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(valid).alias("n_valid"),

@@ -201,12 +201,13 @@ SELECT * FROM r WHERE rank <= 10""")(
 register("coverage_rollup", with_base("""la AS (
   SELECT *, CASE WHEN year > 1820 AND year <= 1870 THEN '1830-1870' WHEN year > 1870 AND year <= 1900 THEN '1871-1900'
     WHEN year > 1900 AND year <= 1935 THEN '1901-1930' ELSE 'nan' END AS period FROM lf0)""") + """
-SELECT period, author, work, GROUPING(period, author, work) AS level, count(*) AS n_rows,
+SELECT period, decade, author, work, GROUPING(period, decade, author, work) AS level, count(*) AS n_rows,
        count(pred) AS n_valid, count(*) FILTER (WHERE pred = 1) AS n_yes,
        round(CAST(count(pred) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS coverage,
        round(CAST(count(*) FILTER (WHERE pred = 1) AS DOUBLE) / NULLIF(CAST(count(pred) AS DOUBLE), 0), 6) AS yes_rate,
        round(1 - CAST(count(pred) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS error_rate
-FROM la GROUP BY ROLLUP (period, author, work)""")(
+FROM (SELECT *, CAST(floor(year / 10) * 10 AS INTEGER) AS decade FROM la) x
+GROUP BY ROLLUP (period, decade, author, work)""")(
     lambda spark, sf: M.coverage_rollup(
         __import__("annospark.operators.reshape", fromlist=["x"]).long_all(_wide(spark, sf), ["author", "work"])))
 
