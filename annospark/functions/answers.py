@@ -110,3 +110,19 @@ def parse_structured(raw: Column, result_type: Column) -> Column:
 def answer_text(content: Column, reasoning: Column) -> Column:
     """Content when non-blank, else the reasoning text."""
     return F.coalesce(F.nullif(utrim(content), F.lit("")), reasoning)
+
+
+def output_text(direct: Column, items: Column) -> Column:
+    """Text of a structured response: the direct output text when non-blank, else the
+    concatenated `text` items, else the reasoning summaries joined by a space, else ''.
+
+    `items` is array<struct<type:string, text:string, summary:array<string>>>.
+    """
+    texts = F.filter(F.transform(F.filter(items, lambda x: x["type"] == "text"), lambda x: x["text"]),
+                     lambda t: t.isNotNull() & (t != ""))
+    sums = F.flatten(F.transform(F.filter(items, lambda x: x["type"] == "reasoning"),
+                                 lambda x: F.coalesce(x["summary"], F.array().cast("array<string>"))))
+    return (F.when(F.coalesce(utrim(direct), F.lit("")) != "", utrim(direct))
+            .when(F.coalesce(F.size(texts), F.lit(0)) > 0, utrim(F.array_join(texts, "")))
+            .when(F.coalesce(F.size(sums), F.lit(0)) > 0, utrim(F.array_join(sums, " ")))
+            .otherwise(F.lit("")))

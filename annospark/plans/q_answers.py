@@ -97,3 +97,26 @@ register("status_distribution", BASE + f""", c AS (SELECT {_CONTAINS} AS status
 a AS (SELECT status, count(*) AS n FROM c GROUP BY status)
 SELECT status, n, round(CAST(n AS DOUBLE) * 100 / CAST(sum(n) OVER () AS DOUBLE), 6) AS pct FROM a""")(
     lambda spark, sf: status_distribution(normalize_answers(_raw(spark, sf), "contains")))
+
+
+# ------------------------------------------------------------------ R8 (structured response items)
+def _responses(spark, sf):
+    """Responses with a direct text (shape 0 only) and output items: a reasoning item with a
+    summary, then a text item carrying the raw answer."""
+    raw = _raw(spark, sf)
+    items = F.array(
+        F.struct(F.lit("reasoning").alias("type"), F.lit(None).cast("string").alias("text"),
+                 F.array(F.concat(F.lit("summary "), F.col("request_id"))).alias("summary")),
+        F.struct(F.lit("text").alias("type"), F.col("raw_text").alias("text"),
+                 F.lit(None).cast("array<string>").alias("summary")))
+    direct = F.when(F.col("raw_text").startswith('{"label": '), F.col("raw_text"))
+    return raw.select(*KEYS, direct.alias("direct"), items.alias("items"))
+
+
+register("output_text", BASE + f"""
+SELECT {_K},
+  CASE WHEN starts_with(raw_text, '{{"label": ') AND {_utrim('raw_text')} <> '' THEN {_utrim('raw_text')}
+       WHEN raw_text IS NOT NULL AND raw_text <> '' THEN {_utrim('raw_text')}
+       ELSE 'summary ' || request_id END AS answer
+FROM raw""")(lambda spark, sf: _responses(spark, sf).select(
+    *KEYS, A.output_text(F.col("direct"), F.col("items")).alias("answer")))

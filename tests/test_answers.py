@@ -74,3 +74,15 @@ def test_strip_think_and_answer_text(spark):
     df = spark.createDataFrame([("<THINK>x\ny</think>ok", "  ", "r")], "a string, b string, c string")
     r = df.select(A.strip_think(F.col("a")).alias("s"), A.answer_text(F.col("b"), F.col("c")).alias("t")).first()
     assert r["s"] == "ok" and r["t"] == "r"
+
+
+def test_output_text_items(spark):
+    schema = ("i int, direct string, items array<struct<type:string,text:string,summary:array<string>>>")
+    df = spark.createDataFrame([
+        (0, " yes high ", [("text", "ignored", None)]),
+        (1, None, [("reasoning", None, ["r1"]), ("text", "ye", None), ("text", "s", None)]),
+        (2, "", [("reasoning", None, ["a", "b"]), ("reasoning", None, ["c"]), ("text", "", None)]),
+        (3, None, []),
+    ], schema)
+    got = [r[0] for r in df.orderBy("i").select(A.output_text(F.col("direct"), F.col("items"))).collect()]
+    assert got == ["yes high", "yes", "a b c", ""]
