@@ -96,3 +96,26 @@ FROM works""")(
         year_from_filename(F.col("doc_id")).alias("year"),
         year_from_filename(F.regexp_replace("doc_id", "-", "_")).alias("year_alt"),
         year_from_filename(F.col("work")).alias("year_none")))
+
+
+# ------------------------------------------------------------------ S2 (block CSV round trip)
+def _read_blocks(spark, sf):
+    """Blocks (texts with quotes, commas, newlines) written as quoted CSV and read back with the
+    explicit block schema; per work and label: rows, characters and a text fingerprint."""
+    import uuid
+    from annospark.session import checkpoint_dir
+    from annospark.sources.files import read_blocks, write_annotated
+    path = f"{checkpoint_dir(spark).rstrip('/')}/blocks-csv-{uuid.uuid4().hex}"
+    b = fx.blocks(spark, sf).select("author", "work", "year", F.col("block_id").cast("string").alias("doc_id"),
+                                    "text", "DIL", "split")
+    write_annotated(b, path, by=None)
+    back = read_blocks(spark, path)
+    return back.groupBy("work", "DIL").agg(
+        F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length("text")).cast("bigint").alias("n_chars"),
+        F.sum(F.conv(F.substring(F.md5(F.col("text")), 1, 8), 16, 10).cast("bigint")).alias("text_hash"))
+
+
+register("read_blocks", with_base() + """
+SELECT work, DIL, count(*) AS n_blocks, CAST(sum(length(text)) AS BIGINT) AS n_chars,
+       CAST(sum(CAST(('0x' || substr(md5(text), 1, 8)) AS BIGINT)) AS BIGINT) AS text_hash
+FROM blocks GROUP BY work, DIL""")(_read_blocks)
