@@ -217,3 +217,24 @@ register("metrics_by_split", with_base(f"""cm AS (
 SELECT split, model, model_key, 'Prompt ' || prompt AS prompt, n_total, n_valid, n_error,
        {rates_sql(4)}, TP, FP, FN, TN FROM cm""")(
     lambda spark, sf: M.metrics_summary(_wide(spark, sf), by=["split"]))
+
+
+# ------------------------------------------------------------------ S6 (metric CSV + nested JSON round trip)
+_METRIC_STRUCT = ("struct<model:string,prompt:string,n_total:bigint,n_valid:bigint,n_error:bigint,"
+                  "accuracy:double,precision:double,recall:double,f1:double,specificity:double,kappa:double,"
+                  "TP:bigint,FP:bigint,FN:bigint,TN:bigint>")
+
+
+def _metrics_json(spark, sf):
+    import uuid
+    from annospark.session import checkpoint_dir
+    from annospark.sources.files import write_metrics
+    path = f"{checkpoint_dir(spark).rstrip('/')}/metrics-{uuid.uuid4().hex}"
+    write_metrics(_summary(spark, sf), path)
+    back = spark.read.schema(f"metrics map<string,{_METRIC_STRUCT}>").json(f"{path}/json")
+    return back.select(F.explode("metrics").alias("condition", "m")).select("condition", "m.*")
+
+
+register("metrics_json", SUMMARY_SQL + """
+SELECT model_key || '_prompt' || right(prompt, 1) AS condition, model, prompt, n_total, n_valid, n_error,
+       accuracy, precision, recall, f1, specificity, kappa, TP, FP, FN, TN FROM summary""")(_metrics_json)
