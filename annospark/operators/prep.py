@@ -266,17 +266,7 @@ def collocations(df: DataFrame, text_col: str = "text", threshold: float = 7.88,
     j = (big.where(F.col("cab") >= min_count)
          .join(uni.withColumnRenamed("t", "t1").withColumnRenamed("cnt", "ca"), "t1")
          .join(uni.withColumnRenamed("t", "t2").withColumnRenamed("cnt", "cb"), "t2"))
-    ca, cb, cab, N = (F.col("ca").cast("double"), F.col("cb").cast("double"),
-                      F.col("cab").cast("double"), F.lit(n_tok))
-    lg = lambda x: F.when(x > 0, F.log(x)).otherwise(F.lit(0.0))
-    p = cb / N
-    p1 = cab / ca
-    p2 = F.try_divide(cb - cab, N - ca)
-    s1 = cab * lg(p) + (ca - cab) * lg(1 - p)
-    s2 = (cb - cab) * lg(p) + (N - ca - cb + cab) * lg(1 - p)
-    s3 = F.when(ca == cab, 0.0).otherwise(cab * lg(p1) + (ca - cab) * lg(1 - p1))
-    s4 = F.when(cb == cab, 0.0).otherwise((cb - cab) * lg(p2) + (N - ca - cb + cab) * lg(1 - p2))
-    ll = -2.0 * (s1 + s2 - s3 - s4)
+    ll = _col_ll(F.col("ca").cast("double"), F.col("cb").cast("double"), F.col("cab").cast("double"), F.lit(n_tok))
     return (j.select("t1", "t2", F.col("cab").cast("bigint").alias("n"), F.round(ll, 6).alias("ll"))
             .where(F.col("ll") >= threshold))
 
@@ -301,3 +291,45 @@ def build_requests(blocks: DataFrame, templates: dict[str, str], id_col: str = "
                      F.lit("{CONTEXT}"), F.col("context"))
     return x.select(F.concat(F.lit("prompt"), F.col("prompt"), F.lit("_row"), F.col(id_col).cast("string")).alias("request_id"),
                     id_col, "prompt", body.alias("request_text"))
+
+
+def _col_ll(ca: Column, cb: Column, cab: Column, N: Column) -> Column:
+    """Dunning log-likelihood of a (first, second) co-occurrence (same form as for collocations)."""
+    lg = lambda x: F.when(x > 0, F.log(x)).otherwise(F.lit(0.0))
+    p = cb / N
+    p1 = cab / ca
+    p2 = F.try_divide(cb - cab, N - ca)
+    s1 = cab * lg(p) + (ca - cab) * lg(1 - p)
+    s2 = (cb - cab) * lg(p) + (N - ca - cb + cab) * lg(1 - p)
+    s3 = F.when(ca == cab, 0.0).otherwise(cab * lg(p1) + (ca - cab) * lg(1 - p1))
+    s4 = F.when(cb == cab, 0.0).otherwise((cb - cab) * lg(p2) + (N - ca - cb + cab) * lg(1 - p2))
+    return -2.0 * (s1 + s2 - s3 - s4)
+
+
+def sentence_starters(df: DataFrame, text_col: str = "text", threshold: float = 30.0) -> DataFrame:
+    """Types that frequently start a sentence: the type after a period-final token, tested
+    against the number of sentence breaks (log-likelihood >= threshold and more likely after
+    a break than overall).  Bigrams are formed inside each row; counts are group-bys."""
+    tok_df = df.select(F.split(collapse_ws(F.col(text_col)), " ").alias("__toks"))
+    toks = F.col("__toks")
+    n = F.size(toks)
+    zipped = F.arrays_zip(F.slice(toks, 1, F.greatest(n - 1, F.lit(0))).alias("w1"),
+                          F.slice(toks, 2, F.greatest(n - 1, F.lit(0))).alias("w2"))
+    norm = lambda c: F.lower(F.regexp_replace(c, r"\.$", ""))
+    after = (tok_df.select(F.explode(F.filter(zipped, lambda p: p["w1"].endswith("."))).alias("p"))
+             .select(norm(F.col("p.w2")).alias("t")))
+    at_break = after.groupBy("t").agg(F.count(F.lit(1)).alias("cab"))
+    uni = _materialise(tokens(df, text_col).select(norm(F.col("tok")).alias("t"))
+                       .groupBy("t").agg(F.count(F.lit(1)).alias("cnt")))
+    stats = uni.agg(F.sum("cnt").alias("N")).first()
+    n_breaks = at_break.agg(F.sum("cab").alias("B")).first()["B"] or 0
+    n_tok = float(stats["N"] or 0)
+    if n_tok == 0 or n_breaks == 0:
+        return at_break.where(F.lit(False)).select("t", F.col("cab").cast("bigint").alias("n"), F.lit(0.0).alias("ll"))
+    j = at_break.where(F.col("t") != "").join(uni, "t")
+    ca, cb, cab, N = F.lit(float(n_breaks)), F.col("cnt").cast("double"), F.col("cab").cast("double"), F.lit(n_tok)
+    ll = _col_ll(ca, cb, cab, N)
+    return (j.where(F.col("cnt") >= F.col("cab"))
+            .select("t", F.col("cab").cast("bigint").alias("n"), F.round(ll, 6).alias("ll"),
+                    (N / ca > cb / cab).alias("__more"))
+            .where((F.col("ll") >= threshold) & F.col("__more")).drop("__more"))

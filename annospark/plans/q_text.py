@@ -227,3 +227,25 @@ def _files_count(spark, sf):
 register("files_count", f"""WITH {SENT_CTE}
 SELECT d.source, count(DISTINCT (s.doc_id, s.sent_idx // 3)) AS n_rows
 FROM sent s JOIN documents d ON d.doc_id = s.doc_id GROUP BY d.source""")(_files_count)
+
+
+# ------------------------------------------------------------------ P3b sentence starters
+register("sentence_starters", f"""
+WITH tk AS (SELECT doc_id, string_split({_collapse('text')}, ' ') AS toks FROM documents),
+t AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM tk),
+ab AS (SELECT {_NORM.format('b.tok')} AS t, count(*) AS cab
+       FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE suffix(a.tok, '.') GROUP BY 1),
+uni AS (SELECT {_NORM.format('tok')} AS t, count(*) AS cnt FROM t WHERE tok <> '' GROUP BY 1),
+tot AS (SELECT CAST(sum(cnt) AS DOUBLE) AS ntok FROM uni),
+br AS (SELECT CAST(sum(cab) AS DOUBLE) AS nbr FROM ab),
+j AS (SELECT ab.t, ab.cab AS n, br.nbr AS ca, CAST(uni.cnt AS DOUBLE) AS cb, CAST(ab.cab AS DOUBLE) AS cab, tot.ntok
+      FROM ab JOIN uni ON uni.t = ab.t, tot, br WHERE ab.t <> '' AND uni.cnt >= ab.cab),
+q AS (SELECT *, cb / ntok AS p, cab / ca AS p1, (cb - cab) / NULLIF(ntok - ca, 0) AS p2 FROM j),
+s AS (SELECT t, n, ca, cb, cab, ntok,
+  cab * {_lg('p')} + (ca - cab) * {_lg('1 - p')} AS s1,
+  (cb - cab) * {_lg('p')} + (ntok - ca - cb + cab) * {_lg('1 - p')} AS s2,
+  CASE WHEN ca = cab THEN 0.0 ELSE cab * {_lg('p1')} + (ca - cab) * {_lg('1 - p1')} END AS s3,
+  CASE WHEN cb = cab THEN 0.0 ELSE (cb - cab) * {_lg('p2')} + (ntok - ca - cb + cab) * {_lg('1 - p2')} END AS s4 FROM q)
+SELECT t, CAST(n AS BIGINT) AS n, round(-2.0 * (s1 + s2 - s3 - s4), 6) AS ll FROM s
+WHERE round(-2.0 * (s1 + s2 - s3 - s4), 6) >= 30 AND ntok / ca > cb / cab""")(
+    lambda spark, sf: P.sentence_starters(_docs(spark, sf)))
