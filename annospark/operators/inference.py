@@ -158,8 +158,8 @@ def rule_rows(lf: DataFrame, kind: str) -> DataFrame:
 def votes(lf: DataFrame, models: list[str] = COMMERCIAL_MODELS) -> DataFrame:
     """Per block at prompt C: yes votes of the listed models and of all models (missing = 0)."""
     c = lf.where(F.col("prompt") == "C")
-    return (c.groupBy("block_id").agg(
-        F.max("gold").alias("gold"), F.max("period").alias("period"),
+    # gold and period are block attributes: grouping keys, not string aggregates (keeps a hash aggregate)
+    return (c.groupBy("block_id", "gold", "period").agg(
         F.sum(F.when(F.col("model").isin(models), F.col("pred")).otherwise(0)).alias("yes_commercial"),
         F.sum("pred").alias("yes_all"))
         .withColumn("majority3", F.col("yes_commercial") >= 2)
