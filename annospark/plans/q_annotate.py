@@ -186,3 +186,18 @@ SELECT DISTINCT model, translate(model, '-.', '__') AS safe_model,
     lambda spark, sf: fx.annotation_log(spark, sf).select("model").distinct().select(
         "model", safe_name(F.col("model")).alias("safe_model"),
         F.concat(F.lit("DIL_"), safe_name(F.col("model"))).alias("label_column")))
+
+
+def _smoke_rows(spark, sf, n=5):
+    """First n blocks (by id) of the smallest work: the smoke-test input of a run."""
+    from annospark.operators.reshape import top_n_per_group
+    smallest = _smoke(spark, sf).where("is_smallest").select("work")          # one row
+    b = fx.blocks(spark, sf).join(smallest, "work", "left_semi").select("work", "block_id", "text")
+    return top_n_per_group(b, ["work"], [F.col("block_id")], n, salt_col="block_id")
+
+
+register("smoke_rows", with_base("""p AS (SELECT work, count(*) AS n_blocks FROM blocks GROUP BY work),
+s AS (SELECT work FROM p ORDER BY n_blocks, work LIMIT 1),
+r AS (SELECT b.work, b.block_id, b.text, row_number() OVER (PARTITION BY b.work ORDER BY b.block_id) AS rank
+      FROM blocks b JOIN s ON s.work = b.work)""") + """
+SELECT work, block_id, text, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 5""")(_smoke_rows)
