@@ -9,14 +9,11 @@ engine gets the identical double.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annospark.constants import KAPPA_BAND_TOP, KAPPA_BANDS, MODEL_LABELS
-from annospark.operators.reshape import (binarize, condition_name, detect_conditions,
-                                         display_name, to_long)
+from annospark.operators.reshape import binarize, detect_conditions, display_name, to_long
 
 _D = "double"
 

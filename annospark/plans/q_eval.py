@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annospark.operators import metrics as M
-from annospark.operators.reshape import long_fact
+from annospark.operators.reshape import long_all, long_fact, top_n_per_group
 from annospark.plans import fixtures as fx
 from annospark.plans.catalog import register
-from annospark.plans.oracle_base import (confusion_sql, kappa_sql, rates_sql, ratio_sql,
+from annospark.plans.oracle_base import (confusion_sql, kappa_sql, rates_sql,
                                          with_base)
 
 # ------------------------------------------------------------------ M1
@@ -192,7 +192,7 @@ register("error_examples", with_base("""o AS (
   FROM lf WHERE pred <> gold),
 r AS (SELECT *, row_number() OVER (PARTITION BY model, prompt, outcome ORDER BY block_id) AS rank FROM o)""") + """
 SELECT * FROM r WHERE rank <= 10""")(
-    lambda spark, sf: __import__("annospark.operators.reshape", fromlist=["x"]).top_n_per_group(
+    lambda spark, sf: top_n_per_group(
         _lf(spark, sf).where(F.col("pred") != F.col("gold"))
         .select("model", "prompt", "block_id", M.outcome(F.col("gold"), F.col("pred")).alias("outcome")),
         ["model", "prompt", "outcome"], [F.col("block_id")], 10, salt_col="block_id"))
@@ -208,8 +208,7 @@ SELECT period, decade, author, work, GROUPING(period, decade, author, work) AS l
        round(1 - CAST(count(pred) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS error_rate
 FROM (SELECT *, CAST(floor(year / 10) * 10 AS INTEGER) AS decade FROM la) x
 GROUP BY ROLLUP (period, decade, author, work)""")(
-    lambda spark, sf: M.coverage_rollup(
-        __import__("annospark.operators.reshape", fromlist=["x"]).long_all(_wide(spark, sf), ["author", "work"])))
+    lambda spark, sf: M.coverage_rollup(long_all(_wide(spark, sf), ["author", "work"])))
 
 # ------------------------------------------------------------------ M21
 register("metrics_by_split", with_base(f"""cm AS (
