@@ -177,10 +177,9 @@ def _odds_ratio(spark, sf):
 
 def _year_trend(spark, sf):
     lf = _lf(spark, sf)
-    rows = []
-    for lab, g in [("specificita", 0), ("recall", 1)]:
-        r = MD.logit_cluster(spark, lf.where(F.col("gold") == g), "correct", "model", "prompt", "year", "doc_id")
-        rows.append((f"trend_anno_{lab}", r["beta"], r["se"], r["p"]))
+    fits = MD.logit_cluster_by(spark, lf, "correct", "model", "prompt", "year", "doc_id", "gold", [0, 1])
+    rows = [(f"trend_anno_{lab}", fits[g]["beta"], fits[g]["se"], fits[g]["p"])
+            for lab, g in [("specificita", 0), ("recall", 1)]]
     return spark.createDataFrame(rows, "check string, beta double, se double, p double")
 
 

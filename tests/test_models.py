@@ -97,3 +97,14 @@ def test_single_pass_lr_tests_equal_per_subset_fits(spark):
            MD.lr_interaction(lf.where("prompt = 'C' AND gold = 0"), "model", "period", absorbed_b=True)]
     for g, r in zip(got, ref):
         assert g[2] == pytest.approx(r[0], abs=1e-6) and g[3] == r[1]
+
+
+def test_joint_block_diagonal_logit_equals_separate_fits(spark):
+    rows = [r + (r[0] % 2,) for r in _synthetic(seed=2, n_blocks=300)]
+    df = spark.createDataFrame(rows, "block_id long, doc_id string, year int, model string, prompt string, "
+                                     "correct int, cls int")
+    joint = MD.logit_cluster_by(spark, df, "correct", "model", "prompt", "year", "doc_id", "cls", [0, 1])
+    for lv in (0, 1):
+        sep = MD.logit_cluster(spark, df.where(F.col("cls") == lv), "correct", "model", "prompt", "year", "doc_id")
+        assert joint[lv]["beta"] == pytest.approx(sep["beta"], abs=1e-10)
+        assert joint[lv]["se"] == pytest.approx(sep["se"], rel=1e-8)
