@@ -213,17 +213,30 @@ def clogit_lr_tests(lf: DataFrame) -> list[tuple]:
 
 
 def odds_ratios(lf: DataFrame, models: list[str]) -> list[tuple]:
-    """Per model: odds ratio of B and C vs A with Wald 95 % CI and p (conditional logit by block)."""
+    """Per model: odds ratio of B and C vs A with Wald 95 % CI and p (conditional logit by block),
+    plus the number of informative blocks.
+
+    One group-by over (model, block) yields every model's block signatures;
+    each model's fit then reads only its slice of that table.
+    """
+    b = lf.groupBy("model", "block_id").agg(
+        F.sum("correct").alias("k"), F.count(F.lit(1)).alias("m"),
+        F.array_join(F.sort_array(F.collect_list("prompt")), ",").alias("sig"),
+        F.collect_list(F.when(F.col("correct") == 1, F.col("prompt"))).alias("succ")).cache()
+    informative = {r["model"]: int(r["n"]) for r in
+                   b.where((F.col("k") > 0) & (F.col("k") < F.col("m"))).groupBy("model")
+                   .agg(F.count(F.lit(1)).alias("n")).collect()}
+    design = {"A": np.array([0.0, 0.0]), "B": np.array([1.0, 0.0]), "C": np.array([0.0, 1.0])}
     out = []
-    for m in models:
-        rows = lf.where(F.col("model") == m)
-        data = clogit_data(rows, F.col("prompt"))
-        design = {"A": np.array([0.0, 0.0]), "B": np.array([1.0, 0.0]), "C": np.array([0.0, 1.0])}
+    for mdl in models:
+        data = _data_from_blocks(b.where(F.col("model") == mdl), "k", "m", "sig", "succ")
         fit = fit_clogit(data, design)
         for j, p in enumerate(["B", "C"]):
-            b, se = fit["params"][j], math.sqrt(fit["cov"][j, j])
-            out.append((m, f"{p} vs A", float(math.exp(b)), float(math.exp(b - Z975 * se)),
-                        float(math.exp(b + Z975 * se)), float(2 * norm_sf(abs(b / se)))))
+            beta, se = fit["params"][j], math.sqrt(fit["cov"][j, j])
+            out.append((mdl, f"{p} vs A", float(math.exp(beta)), float(math.exp(beta - Z975 * se)),
+                        float(math.exp(beta + Z975 * se)), float(2 * norm_sf(abs(beta / se))),
+                        informative.get(mdl, 0)))
+    b.unpersist()
     return out
 
 

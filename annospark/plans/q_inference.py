@@ -168,11 +168,9 @@ def _clogit_lr(spark, sf):
 
 
 def _odds_ratio(spark, sf):
-    lf = _lf(spark, sf).cache()
-    rows = MD.odds_ratios(lf, MODEL_ORDER)
-    ors = spark.createDataFrame(rows, "modello string, confronto string, odds_ratio double, ic_inf double, "
-                                      "ic_sup double, p double")
-    return ors.join(I.informative_blocks(lf), "modello", "left")
+    rows = MD.odds_ratios(_lf(spark, sf), MODEL_ORDER)
+    return spark.createDataFrame(rows, "modello string, confronto string, odds_ratio double, ic_inf double, "
+                                       "ic_sup double, p double, blocchi_informativi bigint")
 
 
 def _year_trend(spark, sf):
