@@ -25,10 +25,12 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     than cores and are left untouched, so no shuffle is added at scale.
     The check uses the planned split count only (no file listing on the driver).
     """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the plan as it is
+        return df
+    return df.repartition(par) if splits < par else df
 
 
 def table_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
