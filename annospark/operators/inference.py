@@ -104,6 +104,8 @@ def bootstrap_contrasts(spark: SparkSession, lf: DataFrame, n_boot: int = 2000,
     """Paired contrasts on the same draws: delta, percentile CI, two-sided p, Holm-adjusted p."""
     counts = cluster_counts_checkpointed(spark, lf)
     rep = replicates if replicates is not None else bootstrap_replicates(spark, lf, n_boot, seed, counts=counts)
+    # replicates: n_boot x conditions rows, materialised once and reused by both sides of the pairing
+    rep = sized_broadcast(rep.checkpoint(eager=True), 5_000_000)
     con = F.broadcast(contrast_table(spark))  # fixed 16 rows
     r1 = rep.select("b", F.col("model").alias("m1"), F.col("prompt").alias("p1"), F.col("kappa").alias("k1"))
     r2 = rep.select("b", F.col("model").alias("m2"), F.col("prompt").alias("p2"), F.col("kappa").alias("k2"))
