@@ -67,7 +67,8 @@ def bootstrap_replicates(spark: SparkSession, lf: DataFrame, n_boot: int = 2000,
              .select(F.expr(f"id div {n_clusters}").alias("b"), F.expr(f"id % {n_clusters}").alias("j"))
              .select("b", (h_parts(F.lit(seed), "b", "j") % n_clusters).alias("k"))
              .groupBy("b", "k").agg(F.count(F.lit(1)).alias("mult")))
-    draws = draws.join(sized_broadcast(idx, 2_000_000), "k").select("b", cluster, "mult")
+    idx_side = F.broadcast(idx) if n_clusters <= 2_000_000 else idx     # size already counted above
+    draws = draws.join(idx_side, "k").select("b", cluster, "mult")
     rep = (draws.join(sized_broadcast(counts, 5_000_000), cluster)
            .groupBy("b", "model", "prompt")
            .agg(*[F.sum(F.col(c) * F.col("mult")).alias(c) for c in ("TP", "FN", "FP", "TN")]))
