@@ -80,7 +80,8 @@ def _esp_stats(W: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ek, pis
 
 
-def fit_clogit(data: ClogitData, design: dict[str, np.ndarray], max_iter: int = 100) -> dict:
+def fit_clogit(data: ClogitData, design: dict[str, np.ndarray], max_iter: int = 100,
+               beta0: np.ndarray | None = None) -> dict:
     """Newton-Raphson on the conditional log-likelihood; returns params, cov, llf.
 
     Groups with the same number of observations are evaluated together as
@@ -119,7 +120,7 @@ def fit_clogit(data: ClogitData, design: dict[str, np.ndarray], max_iter: int =
                 H[:, j] = (ll_grad(beta + d)[1] - g0) / eps
         return (H + H.T) / 2
 
-    beta = np.zeros(p)
+    beta = np.zeros(p) if beta0 is None else np.asarray(beta0, dtype=float).copy()
     ll, g = ll_grad(beta)
     for _ in range(max_iter):
         H = hessian(beta, g)
@@ -158,7 +159,10 @@ def _designs(seen: set[str], absorbed_b: bool) -> tuple[dict, dict, int]:
 def _lr_from_data(data: ClogitData, absorbed_b: bool) -> tuple[float, int, float]:
     seen = {c for conds, _, _ in data.groups for c in conds}       # levels from the statistics
     d0, d1, df = _designs(seen, absorbed_b)
-    m0, m1 = fit_clogit(data, d0), fit_clogit(data, d1)
+    m0 = fit_clogit(data, d0)
+    # the interaction design extends the main-effect design: warm start from its solution
+    start = np.concatenate([m0["params"], np.zeros(len(next(iter(d1.values()))) - len(m0["params"]))])
+    m1 = fit_clogit(data, d1, beta0=start)
     lr = 2 * (m1["llf"] - m0["llf"])
     return float(lr), int(df), float(chi2_sf(lr, df))
 
