@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annospark.llm import mixing, sharding
+from annospark.llm import bpe, chat, mixing, sharding
 from annospark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,22 @@ def op3(spark, sf_dir):
     return sharding.kd_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+@register("op4_reply_trees", chat.oracle())
+def op4(spark, sf_dir):
+    rows = chat.linear_messages(chat.with_probe(table(spark, sf_dir, "conversations")))
+    return chat.digests(chat.format_reply_trees(rows, conv_col="conv", id_col="id", parent_col="parent",
+                                                role_col="role", text_col="text"))
+
+
+@register("op8_backtracking_bpe")
+def op8(spark, sf_dir, vocabulary_path: str | None = None):
+    if vocabulary_path is None:
+        import public_tokenizers
+        vocabulary_path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path,
+                             outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 @register("op9_weighted_fair_mix", mixing.oracle())
 def op9(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
