@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from annospark.llm import bpe, chat, mixing, sharding
+from annospark.llm import bpe, chat, langid, mixing, sharding, urlfilter
 from annospark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,18 @@ def op4(spark, sf_dir):
                                                 role_col="role", text_col="text"))
 
 
+@register("op6_url_language_models")
+def op6(spark, sf_dir):
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+@register("op7_language_bitmasks")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @register("op8_backtracking_bpe")
 def op8(spark, sf_dir, vocabulary_path: str | None = None):
     if vocabulary_path is None:
