@@ -107,12 +107,12 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     places = F.array(*[F.shiftrightunsigned("gram", k * LOG_POSITIONS).bitwiseAND(F.lit(POSITIONS - 1)) for k in range(HASHES)])
     words = (kept.select((F.col("number") / SLICE_LANGS).cast("int").alias("slice"), F.explode(places).alias("position"),
                          F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("number") % SLICE_LANGS).cast("int")).alias("bit"))
-             .groupBy("slice", "position").agg(F.bit_or("bit").alias("word")).toPandas())
+             .groupBy("slice", "position").agg(F.bit_or("bit").alias("word")).toArrow())
     table, rates = [], []
     for s in range(-(-len(languages) // SLICE_LANGS)):
-        own = words[words["slice"] == s]
+        own = words.column("slice").to_numpy() == s
         full = np.zeros(POSITIONS, dtype=np.uint64)
-        full[own["position"].to_numpy()] = own["word"].to_numpy().astype(np.uint64)
+        full[words.column("position").to_numpy()[own]] = words.column("word").to_numpy()[own].astype(np.uint64)
         here = languages[s * SLICE_LANGS:(s + 1) * SLICE_LANGS]
         rates += [float(np.mean((full >> np.uint64(i)) & np.uint64(1))) ** HASHES for i in range(len(here))]
         table.append(full.astype(np.uint8) if len(here) <= 8 else full.astype(np.uint16) if len(here) <= 16 else full)

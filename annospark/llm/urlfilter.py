@@ -106,9 +106,9 @@ def fit(labelled: DataFrame, slots: int = SLOTS) -> np.ndarray | None:
                 values, n = np.unique(keys, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], names=["slot", "n"])
 
-    sums = labelled.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    sums = labelled.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(2 * slots)
-    table[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    table[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
     table = table.reshape(2, slots)
     return table if table.sum(axis=1).all() else None
 
