@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import bpe, chat, langid, mixing, sharding, urlfilter
+from annospark.llm import bpe, chat, digest, langid, minhash, mixing, sharding, urlfilter
 from annospark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,16 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
+@register("op1_minhash", minhash.oracle())
+def op1(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+@register("op2_quartile_digest")
+def op2(spark, sf_dir):
+    return digest.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 @register("op3_kd_shards")
 def op3(spark, sf_dir):
     return sharding.kd_shards(table(spark, sf_dir, "documents"), shards=8)
