@@ -147,18 +147,20 @@ def judge(text: str | None, model: dict) -> tuple[str, float]:
     return model["languages"][best], float(min(1.0, true[best] / len(h)))
 
 
-def predict(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every text."""
+def predict(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns to carry, lang_pred, score) of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [id_col, *carry]
+    small = docs.select(*[F.col(c) for c in names], F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [judge(t, shared.value) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()),
-                                              pa.array([f[1] for f in found], pa.float64())], names=[id_col, "lang_pred", "score"])
+            found = [judge(t, shared.value) for t in batch.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], pa.array([f[0] for f in found], pa.string()),
+                                              pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    small = docs.select(F.col(id_col), F.col(text_col))
-    return small.mapInArrow(run, f"`{id_col}` {dict(small.dtypes)[id_col]}, lang_pred string, score double")
+    kinds = dict(small.dtypes)
+    return small.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

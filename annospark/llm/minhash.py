@@ -11,11 +11,12 @@ Documents with equal sets are one class from the start.  Within a bucket the
 candidate edges are a star, from the class whose buckets are most crowded to
 the others, so a bucket of n classes gives n - 1 pairs; pairs are confirmed on
 the full sets.
-A star can miss a link between two of its outer members.  Rounds make it exact:
-buckets whose classes are not yet in one component go on with their next 1, 2,
-4, ... centres against every class of another component; what has become one
-component needs no more tests.  So no link is lost and a large group of
-near copies costs little more than its first star.
+A star can miss a link between two of its outer members.  Where the classes of a
+bucket are not all of one component after the stars, the classes that meet in
+such buckets, directly or by way of others, form a crowd, and each two blocks of
+a crowd's sets meet once in a task, which counts all their intersections exactly
+and returns only edges that join components.  So no link is lost, no pair is a
+row, and what the first stars have joined costs nothing more.
 
 Shuffled are bands, class ids and, for the confirmation, the sets of classes that
 have a candidate; texts are not, but for the one join that reads these sets.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annospark.llm.common import shipped, stored, worker_state
@@ -40,7 +41,8 @@ from annospark.llm.graph import components
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
-SALTS = 64
+DENSE = 32                                        # shingles with so many holders are counted as matrix columns
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,6 +155,86 @@ def confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return both.where((100 + percent) * shared >= percent * (F.size("left") + F.size("right"))).select("a", "b")
 
 
+def same_crowd_links(ids: np.ndarray, comps: np.ndarray, sets_: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the components which links between these sets join. Intersections are counted exactly."""
+    m, sizes = len(ids), np.array([len(x) for x in sets_], dtype=np.int64)
+    owner = np.repeat(np.arange(m), sizes)
+    _, element, held_by = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+    shared = np.zeros((m, m), np.float32)          # counts below 2^24 are exact
+    rank = np.argsort(element, kind="stable")
+    element, owner = element[rank], owner[rank]
+    for common in np.array_split(np.flatnonzero(held_by >= DENSE), max(1, -(-int((held_by >= DENSE).sum()) // 4096))):
+        if len(common):
+            at = np.searchsorted(common, element)
+            mine = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == element)
+            grid = np.zeros((m, len(common)), np.float32)
+            grid[owner[mine], at[mine]] = 1
+            shared += grid @ grid.T
+    rare = held_by[element] < DENSE
+    element, owner = element[rare], owner[rare]
+    for k in range(1, DENSE):                      # the k-th next holder of the same element
+        hit = element[k:] == element[:-k]
+        if not hit.any():
+            break
+        both = np.bincount(owner[:-k][hit] * m + owner[k:][hit], minlength=m * m).reshape(m, m)
+        shared += both + both.T
+    total = sizes[:, None] + sizes[None, :]
+    linked = ((100 + percent) * shared.astype(np.int64) >= percent * total) & (comps[:, None] != comps[None, :])
+    label = np.arange(m)
+    while True:
+        lower = np.minimum(label, np.where(linked, label[None, :], m).min(axis=1))
+        lower = lower[lower]
+        if (lower == label).all():
+            break
+        label = lower
+    moved = label != np.arange(m)
+    return ids[label[moved]], ids[moved]
+
+
+def links_in_crowds(rows: DataFrame, crowd: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, component), crowds (id, component) -> (a, b): components of a crowd that have a link.
+
+    Every two members of a crowd are compared, in tasks of two blocks; a block holds about BLOCK_DOCS sets and
+    BLOCK_SHINGLES shingles at most, and each set travels once for every other block of its crowd.
+    """
+    c = crowd.select(F.col("id").alias("w_id"), F.col("component").alias("crowd"))
+    sized = (rows.join(c, F.col("doc_id") == F.col("w_id")).drop("w_id")
+             .join(full.select(F.col("doc_id").alias("f_id"), "members"), F.col("doc_id") == F.col("f_id")).drop("f_id"))
+    per_crowd = sized.groupBy(F.col("crowd").alias("p_crowd")).agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum(F.size("members")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+        F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")),
+                    lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
+    dealt = (sized.join(per_crowd, F.col("crowd") == F.col("p_crowd")).withColumn("block", mine)
+             .select("crowd", F.explode(pairs).alias("p"), "doc_id", "component", "members")
+             .select("crowd", "p.i", "p.j", "doc_id", "component", "members"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(parts, "crowd", "i", "j").sortWithinPartitions("crowd", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+
+        def close():
+            if len({h[1] for h in held}) < 2:
+                return []
+            a, b = same_crowd_links(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held], percent)
+            of = {h[0]: h[1] for h in held}
+            return [pa.RecordBatch.from_arrays([pa.array([of[x] for x in ends.tolist()], pa.int64()) for ends in (a, b)], names=["a", "b"])]
+
+        for batch in batches:
+            columns = [x.to_pylist() for x in batch.columns[:5]]
+            for i, (*now, doc, component) in enumerate(zip(*columns)):
+                if now != key:
+                    yield from close()
+                    held, key = [], now
+                held.append((doc, component, batch.column(5)[i].values.to_numpy()))
+        yield from close()
+
+    return ordered.mapInArrow(run, "a long, b long")
+
+
 def crowded_buckets(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """heads: one document for each distinct set; buckets: the rows of buckets that hold two heads or more.
 
@@ -191,30 +273,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = stored(pairs_with(stars, buckets, F.col("v") > F.col("c")))
     label = components(links)
 
-    taken, step = 1, 1                            # the first `taken` places of every bucket have been centres
-    while True:
-        named = (buckets.join(label, F.col("v.doc_id") == F.col("id"), "left")
-                 .select("bucket", "v", "lo", "hi", F.coalesce("component", "v.doc_id").alias("component")))
-        split = (named.groupBy(F.col("bucket").alias("s_bucket")).agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("heads"))
-            .where((F.col("low") < F.col("high")) & (F.col("heads") > taken + 1)).select("s_bucket"))
-        open_rows = stored(named.join(split, F.col("bucket") == F.col("s_bucket")).drop("s_bucket"))
-        if open_rows.isEmpty():
-            break
-        salted = Window.partitionBy("bucket", F.pmod(F.xxhash64("v"), F.lit(SALTS))).orderBy("v")
-        first = open_rows.withColumn("place", F.row_number().over(salted)).where(F.col("place") <= taken + step)
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("v"))
-        centres = (first.withColumn("place", place).where((F.col("place") > taken) & (F.col("place") <= taken + step))
-                   .select(F.col("bucket").alias("c_bucket"), F.col("v").alias("c"), F.col("lo").alias("c_lo"), F.col("hi").alias("c_hi"),
-                           F.col("component").alias("c_component")))
-        found = stored(pairs_with(centres, open_rows, (F.col("v") > F.col("c")) & (F.col("component") != F.col("c_component"))))
-        taken, step = taken + step, 2 * step
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            label = components(links)
+    named = (buckets.join(label, F.col("v.doc_id") == F.col("id"), "left")
+             .select("bucket", "v", F.coalesce("component", "v.doc_id").alias("component")))
+    split = (named.groupBy(F.col("bucket").alias("s_bucket")).agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("heads"))
+        .where((F.col("low") < F.col("high")) & (F.col("heads") > 2)).select("s_bucket"))
+    open_rows = stored(named.join(split, F.col("bucket") == F.col("s_bucket")).drop("s_bucket"))
+    meet = open_rows.join(stars.select("c_bucket", "c"), F.col("bucket") == F.col("c_bucket"))
+    crowd = components(meet.select(F.col("c.doc_id").alias("a"), F.col("v.doc_id").alias("b")))
+    outer = links_in_crowds(open_rows.select(F.col("v.doc_id").alias("doc_id"), "component").distinct(), crowd, full, percent)
+    joined = components(outer).select(F.col("id").alias("j_id"), F.col("component").alias("joined"))
 
     names = (heads.join(label, F.col("head") == F.col("id"), "left")
-             .select(F.col("name_a").alias("h_a"), F.col("name_b").alias("h_b"), F.coalesce("component", "head").alias("component")))
+             .withColumn("own", F.coalesce("component", "head")).join(joined, F.col("own") == F.col("j_id"), "left")
+             .select(F.col("name_a").alias("h_a"), F.col("name_b").alias("h_b"), F.coalesce("joined", "own").alias("component")))
     lone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     rest = (signed.where("n_shingles > 0 and doc_id is not null")
             .join(names, (F.col("name_a") == F.col("h_a")) & (F.col("name_b") == F.col("h_b")))

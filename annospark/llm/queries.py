@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import bpe, chat, digest, langid, minhash, mixing, sharding, urlfilter
+from annospark.llm import bpe, chat, digest, langid, minhash, mixing, sharding, substrings, topk, urlfilter
 from annospark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,12 @@ def op4(spark, sf_dir):
                                                 role_col="role", text_col="text"))
 
 
+@register("op5_suffix_trees", substrings.oracle())
+def op5(spark, sf_dir):
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @register("op6_url_language_models")
 def op6(spark, sf_dir):
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
@@ -69,3 +75,8 @@ def op8(spark, sf_dir, vocabulary_path: str | None = None):
 @register("op9_weighted_fair_mix", mixing.oracle())
 def op9(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+@register("op10_norm_buckets", topk.oracle())
+def op10(spark, sf_dir):
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
