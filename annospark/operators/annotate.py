@@ -8,6 +8,7 @@ made by this package; the bundled scorer is the rule annotator.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -31,9 +32,13 @@ SCORE_SCHEMA = "raw_text string, status string, attempts int, tokens_in bigint,
 
 # ---------------------------------------------------------------- A1
 def score(df: DataFrame, scorer: Callable[[pd.Series], pd.Series], text_col: str = "text",
-          keep: list[str] | None = None, partitions: int | None = None, max_retries: int = 3) -> DataFrame:
+          keep: list[str] | None = None, partitions: int | None = None, max_retries: int = 3,
+          backoff: float = 0.0) -> DataFrame:
     """Run `scorer` over every row; failures become status 'error' (never abort the job).
 
+    A call that raises is repeated in halves, down to single rows, so a bad row
+    fails alone; `backoff` seconds, doubled each round, pass between rounds.
+
     `partitions` bounds the number of concurrent scorer calls (like a
     semaphore).  Output: keep columns + raw_text, status, attempts,
     tokens_in, tokens_out.
@@ -46,8 +51,18 @@ def score(df: DataFrame, scorer: Callable[[pd.Series], pd.Series], text_col: str
     out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in in_fields)
     out_schema = f"{out_schema}, {SCORE_SCHEMA}" if out_schema else SCORE_SCHEMA
 
+    def call(texts: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(list(scorer(texts)), index=texts.index, dtype=object)
+        except Exception:  # noqa: BLE001 - a failed call is split, retried, then recorded
+            if len(texts) == 1:
+                return pd.Series([None], index=texts.index, dtype=object)
+            half = len(texts) // 2
+            return pd.concat([call(texts.iloc[:half]), call(texts.iloc[half:])])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
             texts = pdf[text_col]
             raw = pd.Series([None] * len(pdf), dtype=object)
             attempts = pd.Series([0] * len(pdf), dtype="int32")
@@ -55,14 +70,13 @@ def score(df: DataFrame, scorer: Callable[[pd.Series], pd.Series], text_col: str
             for attempt in range(1, max_retries + 1):
                 if not todo.any():
                     break
+                if attempt > 1 and backoff:
+                    time.sleep(backoff * 2 ** (attempt - 2))
                 idx = todo[todo].index
                 attempts.loc[idx] = attempt
-                try:
-                    got = pd.Series(scorer(texts.loc[idx]), index=idx)
-                    raw.loc[idx] = got
-                    todo.loc[idx] = got.isna()
-                except Exception:  # noqa: BLE001 - a failed call is retried, then recorded
-                    continue
+                got = call(texts.loc[idx])
+                raw.loc[idx] = got
+                todo.loc[idx] = got.isna()
             out = pdf[keep].copy()
             out["raw_text"] = raw.values
             out["status"] = ["ok" if r is not None and r == r else "error" for r in raw.values]
@@ -160,7 +174,7 @@ def pending(todo: DataFrame, done: DataFrame, keys: list[str], label_col: str |
     if label_col is not None:
         ok = done.where(F.col(label_col).isNotNull() &
                         (F.regexp_replace(F.col(label_col), f"^{WS}+|{WS}+$", "") != ""))
-    return todo.join(ok.select(*keys).distinct(), keys, "left_anti")
+    return todo.join(ok.select(*keys), keys, "left_anti")
 
 
 # ---------------------------------------------------------------- A6 / A7
@@ -170,11 +184,14 @@ def price_table(spark) -> DataFrame:
 
 
 def cost_rollup(log: DataFrame, prices: DataFrame, total_units: int = CORPUS_CHUNKS) -> DataFrame:
-    """Tokens and cost per model, batch price, and extrapolation to the full corpus."""
+    """Tokens and cost per model, batch price, and extrapolation to the full corpus.
+
+    A model without a price keeps its row; its costs are NULL.
+    """
     agg = log.groupBy("model").agg(
         F.count(F.lit(1)).alias("processed"),
         F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
-    j = agg.join(F.broadcast(prices), "model")          # price table: one row per model
+    j = agg.join(F.broadcast(prices), "model", "left")  # price table: one row per model
     cost = (F.col("tokens_in").cast("double") / 1e6 * F.col("price_in")
             + F.col("tokens_out").cast("double") / 1e6 * F.col("price_out"))
     return j.select("model", "processed", "tokens_in", "tokens_out",

@@ -244,7 +244,9 @@ def learn_abbreviations(df: DataFrame, text_col: str = "text", threshold: float
 # ---------------------------------------------------------------- P3b
 def collocations(df: DataFrame, text_col: str = "text", threshold: float = 7.88,
                  min_count: int = 2) -> DataFrame:
-    """Word pairs across a period (first token ends with '.') with Dunning log-likelihood >= threshold.
+    """Word pairs across a period (first token ends with '.') with Dunning log-likelihood >= threshold
+    that occur together more often than by chance (N / c1 > c2 / c12) and `min_count` times or more,
+    the published rule's least count.
 
     Bigrams are formed inside each document row (arrays_zip of the token
     array with itself shifted by one): no window, no self-join.
@@ -267,7 +269,8 @@ def collocations(df: DataFrame, text_col: str = "text", threshold: float = 7.88,
          .join(uni.withColumnRenamed("t", "t1").withColumnRenamed("cnt", "ca"), "t1")
          .join(uni.withColumnRenamed("t", "t2").withColumnRenamed("cnt", "cb"), "t2"))
     ll = _col_ll(F.col("ca").cast("double"), F.col("cb").cast("double"), F.col("cab").cast("double"), F.lit(n_tok))
-    return (j.select("t1", "t2", F.col("cab").cast("bigint").alias("n"), F.round(ll, 6).alias("ll"))
+    more = F.lit(n_tok) / F.col("ca") > F.col("cb") / F.col("cab")
+    return (j.where(more).select("t1", "t2", F.col("cab").cast("bigint").alias("n"), F.round(ll, 6).alias("ll"))
             .where(F.col("ll") >= threshold))
 
 

@@ -76,7 +76,7 @@ register("cost_rollup", f"""WITH {_LOG}, {_PR},
 a AS (SELECT model, count(*) AS processed, CAST(sum(tokens_in) AS BIGINT) AS tokens_in,
              CAST(sum(tokens_out) AS BIGINT) AS tokens_out FROM lg GROUP BY model),
 c AS (SELECT a.*, CAST(tokens_in AS DOUBLE) / 1e6 * price_in + CAST(tokens_out AS DOUBLE) / 1e6 * price_out AS cost
-      FROM a JOIN pr USING (model))
+      FROM a LEFT JOIN pr USING (model))
 SELECT model, processed, tokens_in, tokens_out, round(cost, 6) AS cost, round(cost * {AN.BATCH_DISCOUNT}, 6) AS cost_batch,
        round(cost / CAST(processed AS DOUBLE) * {AN.CORPUS_CHUNKS}, 6) AS cost_full_corpus FROM c""")(
     lambda spark, sf: AN.cost_rollup(fx.annotation_log(spark, sf), AN.price_table(spark)))

@@ -137,7 +137,8 @@ uni AS (SELECT {_NORM.format('tok')} AS t, count(*) AS cnt FROM t WHERE tok <> '
 tot AS (SELECT CAST(sum(cnt) AS DOUBLE) AS ntok FROM uni),
 j AS (SELECT big.t1, big.t2, big.cab AS n, CAST(u1.cnt AS DOUBLE) AS ca, CAST(u2.cnt AS DOUBLE) AS cb,
              CAST(big.cab AS DOUBLE) AS cab, tot.ntok
-      FROM big JOIN uni u1 ON u1.t = big.t1 JOIN uni u2 ON u2.t = big.t2, tot WHERE big.cab >= 2),
+      FROM big JOIN uni u1 ON u1.t = big.t1 JOIN uni u2 ON u2.t = big.t2, tot
+      WHERE big.cab >= 2 AND tot.ntok / u1.cnt > CAST(u2.cnt AS DOUBLE) / big.cab),
 q AS (SELECT *, cb / ntok AS p, cab / ca AS p1, (cb - cab) / NULLIF(ntok - ca, 0) AS p2 FROM j),
 s AS (SELECT t1, t2, n,
   cab * {_lg('p')} + (ca - cab) * {_lg('1 - p')} AS s1,

@@ -47,20 +47,24 @@ def get_spark(master: str | None = None, app: str = "annospark",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster.
+    """The shared checkpoint folder of the cluster, as `spark.checkpoint.dir` names it.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (local tests) a private scratch folder is created and registered.
+    Where it is unset, a local master (tests, bench) gets a scratch folder; any
+    other master is refused, as its executors could not see one.
     """
+    conf = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - Spark Connect: the server's spark.checkpoint.dir applies
-        return spark.conf.get("spark.checkpoint.dir", None) or ""
+    except Exception as e:  # noqa: BLE001 - Spark Connect has no context; the server's setting applies
+        if not conf:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share") from e
+        return conf
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="annospark-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
