@@ -8,10 +8,12 @@ made by this package; the bundled scorer is the rule annotator.
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -219,3 +221,7 @@ def progress(log: DataFrame, total: int) -> DataFrame:
 def hourly_throughput(log: DataFrame) -> DataFrame:
     return (log.groupBy("model", F.date_trunc("hour", "ts").alias("hour"))
             .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("failed")))
+
+
+# the scorer travels with the job, so workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
