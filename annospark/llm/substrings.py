@@ -162,8 +162,9 @@ def subtree_places(rows: DataFrame) -> DataFrame:
 def repeated_places(docs: DataFrame, window: int) -> DataFrame:
     """(row_key, text) -> row_key, places array<int>: the windows that start elsewhere too."""
     runs = stored(candidate_runs(docs, window))
-    often = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        F.col("run").alias("o_run"), (F.col("n") > GROUP_ROWS).alias("large"))
+    # stored, so that the join below deals both sides itself and Spark can split a run with very many rows
+    often = stored(runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        F.col("run").alias("o_run"), (F.col("n") > GROUP_ROWS).alias("large")))
     mine = (runs.join(often, F.col("run") == F.col("o_run")).groupBy(F.col("row_key").alias("m_key"))
             .agg(F.collect_set(F.struct("run", "large")).alias("runs")))
     wide = stored(windows_of(docs.join(mine, F.col("row_key") == F.col("m_key")).select("row_key", "text", "runs"), window))
