@@ -321,10 +321,11 @@ def outcome(gold: Column, pred: Column) -> Column:
             .when((gold == 1) & (pred == 0), "FN").when((gold == 0) & (pred == 0), "TN"))
 
 
-def markers_by_outcome(scored: DataFrame, markers_col: str = "markers") -> DataFrame:
-    """Marker frequency per outcome class and its share of the class size."""
-    sized = scored.groupBy("outcome").agg(F.count(F.lit(1)).alias("class_size"))
-    counts = (scored.select("outcome", F.explode(markers_col).alias("marker"))
-              .groupBy("outcome", "marker").agg(F.count(F.lit(1)).alias("n")))
-    return (counts.join(F.broadcast(sized), "outcome")  # <= 4 rows
+def markers_by_outcome(scored: DataFrame, markers_col: str = "markers", by: tuple[str, ...] = ()) -> DataFrame:
+    """Marker frequency per outcome class (within each `by` group) and its share of the class size."""
+    keys = [*by, "outcome"]
+    sized = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("class_size"))
+    counts = (scored.select(*keys, F.explode(markers_col).alias("marker"))
+              .groupBy(*keys, "marker").agg(F.count(F.lit(1)).alias("n")))
+    return (counts.join(sized, keys)
             .withColumn("share", F.round(F.col("n").cast(_D) / F.col("class_size").cast(_D), 6)))

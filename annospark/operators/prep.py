@@ -102,21 +102,15 @@ def doc_sentence_array(text: Column, abbrevs: list[str] | None = None) -> Column
     return F.flatten(F.transform(paragraph_array(text), lambda p: sentence_array(p, abbrevs)))
 
 
-MAX_INLINE_ABBREVS = 10_000
-
-
 def sentences(df: DataFrame, id_col: str, text_col: str = "text",
               abbrevs: list[str] | DataFrame | None = None) -> DataFrame:
     """(id, sent_idx, sentence): explicit position instead of file line order.
 
-    `abbrevs` up to MAX_INLINE_ABBREVS types are inlined into the per-row
-    fold; a larger set (or a DataFrame with a `type` column) takes the exact
-    join-based path, so the learned set never has to fit in an expression.
+    Learned abbreviations are a DataFrame with a `type` column and are joined; a list, which
+    the caller wrote by hand, is inlined into the per-row fold.
     """
-    if isinstance(abbrevs, DataFrame) or (abbrevs is not None and len(abbrevs) > MAX_INLINE_ABBREVS):
-        table = abbrevs if isinstance(abbrevs, DataFrame) else \
-            df.sparkSession.createDataFrame([(a,) for a in sorted(set(abbrevs))], "type string")
-        return sentences_abbrev_join(df, id_col, table, text_col)
+    if isinstance(abbrevs, DataFrame):
+        return sentences_abbrev_join(df, id_col, abbrevs, text_col)
     s = doc_sentence_array(F.col(text_col), abbrevs)
     return (df.select(id_col, F.posexplode(s).alias("sent_idx", "sentence"))
             .withColumn("sent_idx", F.col("sent_idx").cast("bigint")))
@@ -126,17 +120,18 @@ def sentences_abbrev_join(df: DataFrame, id_col: str, abbrev_types: DataFrame, t
     """Abbreviation-aware splitting for an abbreviation table of any size.
 
     Candidates are exploded with their positions, flagged by an equi-join on
-    their final type (broadcast only after a size check), and re-joined by a
+    their final type (the planner broadcasts a small table), and re-joined by a
     running sum over each paragraph's candidates (a window bounded by one
     paragraph); sentences are then renumbered per document.
     """
     from pyspark.sql import Window
-    from annospark.operators.joins import sized_broadcast
     paras = df.select(id_col, F.posexplode(paragraph_array(F.col(text_col))).alias("para_idx", "p"))
     pieces = paras.select(id_col, "para_idx", F.posexplode(
         F.split(F.regexp_replace("p", BOUNDARY_RE, "$1" + SENT_MARK), SENT_MARK)).alias("piece_idx", "piece"))
-    ab = sized_broadcast(abbrev_types.select(F.col("type").alias("__t")).distinct(), 1_000_000)
-    flagged = (pieces.withColumn("__t", F.when(F.col("piece").endswith("."), _last_type(F.col("piece"))))
+    ab = abbrev_types.select(F.col("type").alias("__t")).distinct()
+    # candidates without a final period match nothing; a key of their own each spreads them over the join's tasks
+    alone = F.concat(F.lit(SENT_MARK), F.xxhash64(F.col(id_col), "para_idx", "piece_idx").cast("string"))
+    flagged = (pieces.withColumn("__t", F.when(F.col("piece").endswith("."), _last_type(F.col("piece"))).otherwise(alone))
                .join(ab.withColumn("__ab", F.lit(True)), "__t", "left")
                .withColumn("__ab", F.coalesce("__ab", F.lit(False))))
     w = Window.partitionBy(id_col, "para_idx").orderBy("piece_idx")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from annospark.constants import (CONDITION_COLUMN_RE, EXCLUDE_MODELS, MODEL_LABE
                                  PERIOD_EDGES, PERIOD_LABELS)
 from annospark.functions.hashing import h_parts
 from annospark.functions.text import year_from_filename
+from annospark.operators.joins import null_safe_join
 
 
 # ---------------------------------------------------------------- J2 / J4
@@ -111,32 +111,23 @@ def pivot_long(long: DataFrame, key_cols: list[str], values: list[str],
 
 # ---------------------------------------------------------------- J1
 def merge_conditions(files: list[DataFrame], on: str = "block_id") -> DataFrame:
-    """Wide merge of per-condition files onto the first file's base columns.
-
-    Left-join semantics of a chain of merges, executed as one union +
-    group-by (one shuffle on `on`) and one join, instead of N chained joins.
-    Per key the group holds one (column, value) entry per annotation column
-    (bounded by the schema, not the data) and is folded into a map by a
-    hash aggregate.  A column already seen gets a `_dup_<i>` suffix, as
-    colliding merges do.  Keys are assumed unique per file.
+    """Left-merge per-condition files onto the first file, which stays whole.
+
+    A null key matches null keys and a repeated key fans out, as in a chain of
+    left merges.  All joins share one null-safe key, so the growing left side
+    is shuffled once and every file once.  An annotation column already seen
+    gets a `_dup_<i>` suffix, as colliding merges do.
     """
-    base_cols = [c for c in files[0].columns if not c.startswith(("DIL_", "confidence_"))]
-    base = files[0].select(*base_cols)
-    seen: set[str] = set()
-    parts, names = [], []
-    for i, f in enumerate(files):
-        ann = [c for c in f.columns if c.startswith(("DIL_", "confidence_"))]
-        pairs = []
-        for c in ann:
-            name = c if c not in seen else f"{c}_dup_{i}"
-            seen.add(c)
-            names.append(name)
-            pairs.append(F.struct(F.lit(name).alias("name"), F.col(c).cast("string").alias("value")))
-        if pairs:
-            parts.append(f.select(on, F.inline(F.array(*pairs))))
-    longp = reduce(DataFrame.unionByName, parts)
-    wide = longp.groupBy(on).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("__m"))
-    return base.join(wide, on, "left").select(*base_cols, *[F.col("__m")[n].alias(n) for n in names])
+    def annotations(f: DataFrame) -> list[str]:
+        return [c for c in f.columns if c.startswith(("DIL_", "confidence_"))]
+
+    out, seen = files[0], set(annotations(files[0]))
+    for i, f in enumerate(files[1:], 1):
+        ann = annotations(f)
+        named = [F.col(c).cast("string").alias(f"{c}_dup_{i}" if c in seen else c) for c in ann]
+        seen.update(ann)
+        out = null_safe_join(out, f.select(on, *named), [on])
+    return out
 
 
 # ---------------------------------------------------------------- J9

@@ -203,23 +203,22 @@ def annotation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"))
 
 
-def requests_for(spark: SparkSession, sf_dir: str, model_key: str = "claude_sonnet46") -> DataFrame:
-    """(request_id, block_id, prompt) for one model's run."""
+def requests_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model_key, request_id, block_id, prompt) of every model's run."""
     b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"))
     return b.select(F.inline(F.array(*[F.struct(
-        F.concat(F.lit(f"prompt{p}_row"), F.col("block_id").cast("string")).alias("request_id"),
-        F.col("block_id"), F.lit(p).alias("prompt")) for p in PROMPTS])))
+        F.lit(k).alias("model_key"), F.concat(F.lit(f"prompt{p}_row"), F.col("block_id").cast("string")).alias("request_id"),
+        F.col("block_id"), F.lit(p).alias("prompt")) for k, p in conditions()])))
 
 
-def batch_results(spark: SparkSession, sf_dir: str, model_key: str = "claude_sonnet46") -> DataFrame:
-    """Parsed batch results of one model: some requests missing, some delivered twice."""
+def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed batch results of all models: some requests missing, some delivered twice."""
     from annospark.operators.answers import normalize_answers
-    raw = raw_answers(spark, sf_dir).where(F.col("model_key") == model_key)
-    parsed = normalize_answers(raw, "json_think").where(h_parts("request_id", F.lit("drop")) % 25 != 0)
-    orig = parsed.select("request_id", "result_type", "label", "confidence",
+    parsed = normalize_answers(raw_answers(spark, sf_dir), "json_think").where(h_parts("request_id", F.lit("drop")) % 25 != 0)
+    orig = parsed.select("model_key", "request_id", "result_type", "label", "confidence",
                          (h_parts("request_id", F.lit("arr")) * 2).alias("arrival"))
     dup = (parsed.where(h_parts("request_id", F.lit("dup")) % 20 == 0)
-           .select("request_id", F.lit("succeeded").alias("result_type"),
+           .select("model_key", "request_id", F.lit("succeeded").alias("result_type"),
                    F.when(F.col("label") == "yes", "no").otherwise("yes").alias("label"),
                    F.lit("low").alias("confidence"),
                    (h_parts("request_id", F.lit("arr2")) * 2 + 1).alias("arrival")))

@@ -19,25 +19,25 @@ from annospark.sources.tables import table, table_spread
 from annospark.streaming.annotate_stream import stream_annotate
 
 BASE = with_base(RAW) + ", " + PARSED_JSON
-MODEL = "claude_sonnet46"
-
-_REQ = """req AS (SELECT 'prompt' || t.p || '_row' || CAST(d.doc_id AS VARCHAR) AS request_id, d.doc_id AS block_id, t.p AS prompt
-  FROM documents d, (VALUES ('A'), ('B'), ('C')) t(p))"""
-_RES = f"""res0 AS (SELECT request_id, result_type, label, confidence FROM pj
-  WHERE model_key = '{MODEL}' AND {sql_h_parts('request_id', "'drop'")} % 25 <> 0),
-res AS (SELECT request_id, result_type, label, confidence, {sql_h_parts('request_id', "'arr'")} * 2 AS arrival FROM res0
-  UNION ALL SELECT request_id, 'succeeded', CASE WHEN label = 'yes' THEN 'no' ELSE 'yes' END, 'low',
+RUN_KEY = ["model_key", "request_id"]
+
+_REQ = """req AS (SELECT 'prompt' || t.prompt || '_row' || CAST(d.doc_id AS VARCHAR) AS request_id, d.doc_id AS block_id, t.prompt, t.model_key
+  FROM documents d, conds t)"""
+_RES = f"""res0 AS (SELECT model_key, request_id, result_type, label, confidence FROM pj
+  WHERE {sql_h_parts('request_id', "'drop'")} % 25 <> 0),
+res AS (SELECT model_key, request_id, result_type, label, confidence, {sql_h_parts('request_id', "'arr'")} * 2 AS arrival FROM res0
+  UNION ALL SELECT model_key, request_id, 'succeeded', CASE WHEN label = 'yes' THEN 'no' ELSE 'yes' END, 'low',
                    {sql_h_parts('request_id', "'arr2'")} * 2 + 1 FROM res0 WHERE {sql_h_parts('request_id', "'dup'")} % 20 = 0),
-lst AS (SELECT request_id, arg_max(result_type, arrival) AS rt, arg_max(label, arrival) AS lab,
-               arg_max(confidence, arrival) AS cf FROM res GROUP BY request_id),
-att AS (SELECT req.request_id, req.block_id, req.prompt,
+lst AS (SELECT model_key, request_id, arg_max(result_type, arrival) AS rt, arg_max(label, arrival) AS lab,
+               arg_max(confidence, arrival) AS cf FROM res GROUP BY model_key, request_id),
+att AS (SELECT req.model_key, req.request_id, req.block_id, req.prompt,
   CASE WHEN lst.request_id IS NULL THEN 'missing' WHEN rt = 'succeeded' THEN lab ELSE 'error' END AS label,
   CASE WHEN lst.request_id IS NULL THEN 'unknown' WHEN rt = 'succeeded' THEN cf ELSE 'unknown' END AS confidence
-  FROM req LEFT JOIN lst ON lst.request_id = req.request_id)"""
+  FROM req LEFT JOIN lst ON lst.request_id = req.request_id AND lst.model_key = req.model_key)"""
 
 
 def _attached(spark, sf):
-    return AN.attach_results(fx.requests_for(spark, sf, MODEL), fx.batch_results(spark, sf, MODEL))
+    return AN.attach_results(fx.requests_for(spark, sf), fx.batch_results(spark, sf), RUN_KEY)
 
 
 # ------------------------------------------------------------------ A2
@@ -45,10 +45,10 @@ register("attach_results", BASE + f", {_REQ}, {_RES}\nSELECT * FROM att")(_attac
 
 # ------------------------------------------------------------------ A3
 register("pending_blocks", BASE + f", {_REQ}, {_RES}" + """
-SELECT request_id, block_id, prompt FROM req
-WHERE request_id NOT IN (SELECT request_id FROM att WHERE label IN ('yes', 'no'))""")(
-    lambda spark, sf: AN.pending(fx.requests_for(spark, sf, MODEL),
-                                 _attached(spark, sf).where(F.col("label").isin("yes", "no")), ["request_id"]))
+SELECT model_key, request_id, block_id, prompt FROM req
+ANTI JOIN (SELECT model_key, request_id FROM att WHERE label IN ('yes', 'no')) a USING (model_key, request_id)""")(
+    lambda spark, sf: AN.pending(fx.requests_for(spark, sf),
+                                 _attached(spark, sf).where(F.col("label").isin("yes", "no")), RUN_KEY))
 
 
 # ------------------------------------------------------------------ A4
@@ -57,8 +57,7 @@ def _pending_conditions(spark, sf):
     works = fx.blocks(spark, sf).select("block_id", "work")
     grp = (parsed.join(works, "block_id").groupBy("work", "model_key", "prompt")
            .agg(F.bool_and(F.col("label").isin("yes", "no")).alias("complete")))
-    return AN.pending(grp.select("work", "model_key", "prompt"), grp.where("complete"),
-                      ["work", "model_key", "prompt"], label_col=None)
+    return grp.where(~F.coalesce("complete", F.lit(False))).select("work", "model_key", "prompt")
 
 
 register("pending_conditions", BASE + """, g AS (SELECT b.work, pj.model_key, pj.prompt,
@@ -107,10 +106,15 @@ SELECT model, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, cou
 # ------------------------------------------------------------------ A8
 def _smoke(spark, sf):
     per = fx.blocks(spark, sf).groupBy("work").agg(F.count(F.lit(1)).alias("n_blocks"))
-    w_name, w_small = Window.orderBy("work"), Window.orderBy("n_blocks", "work")   # one row per work
-    x = (per.withColumn("name_rank", F.row_number().over(w_name).cast("bigint"))
-         .withColumn("is_smallest", F.row_number().over(w_small) == 1))
-    return x.where((F.col("name_rank") <= 10) | F.col("is_smallest"))
+    small = per.orderBy("n_blocks", "work").limit(1).select(F.col("work").alias("s_work"), F.col("n_blocks").alias("s_blocks"))
+    rank = F.row_number().over(Window.orderBy("work")).cast("bigint")                   # over ten rows
+    first = (per.orderBy("work").limit(10).withColumn("name_rank", rank)
+             .join(F.broadcast(small), F.col("work") == F.col("s_work"), "left")       # one row
+             .select("work", "n_blocks", "name_rank", F.col("s_work").isNotNull().alias("is_smallest")))
+    later = (per.join(F.broadcast(small), F.col("work") <= F.col("s_work")).groupBy("s_work", "s_blocks")
+             .agg(F.count(F.lit(1)).alias("name_rank")).where("name_rank > 10")
+             .select(F.col("s_work").alias("work"), F.col("s_blocks").alias("n_blocks"), "name_rank", F.lit(True).alias("is_smallest")))
+    return first.unionByName(later)
 
 
 register("smoke_sample", with_base("""p AS (SELECT work, count(*) AS n_blocks FROM blocks GROUP BY work),
@@ -145,22 +149,21 @@ _LIST_SQL = "list_filter([" + ", ".join(
 
 def _markers_by_outcome(spark, sf):
     cl = (condition_long(fx.annotations_wide(spark, sf))
-          .where((F.col("model_key") == MODEL) & (F.col("prompt") == "C")
-                 & F.col("gold").isNotNull() & F.col("pred").isNotNull())
-          .select("block_id", outcome(F.col("gold"), F.col("pred")).alias("outcome")))
+          .where(F.col("gold").isNotNull() & F.col("pred").isNotNull())
+          .select("block_id", "model_key", "prompt", outcome(F.col("gold"), F.col("pred")).alias("outcome")))
     mk = table_spread(spark, sf, "documents").select(F.col("doc_id").alias("block_id"),
                                               AN.marker_list(F.col("text")).alias("markers"))
-    return markers_by_outcome(cl.join(mk, "block_id"))
+    return markers_by_outcome(cl.join(mk, "block_id"), by=("model_key", "prompt"))
 
 
-register("markers_by_outcome", with_base(f"""o AS (SELECT block_id,
+register("markers_by_outcome", with_base(f"""o AS (SELECT block_id, model_key, prompt,
     CASE WHEN g = 1 AND p = 1 THEN 'TP' WHEN g = 0 AND p = 1 THEN 'FP' WHEN g = 1 AND p = 0 THEN 'FN' ELSE 'TN' END AS outcome
-  FROM cl WHERE model_key = '{MODEL}' AND prompt = 'C' AND g IS NOT NULL AND p IS NOT NULL)""",
-                                         f"""om AS (SELECT o.outcome, {_LIST_SQL} AS markers FROM o JOIN documents d ON d.doc_id = o.block_id)""",
-                                         """sz AS (SELECT outcome, count(*) AS class_size FROM om GROUP BY outcome)""",
-                                         """mc AS (SELECT outcome, marker, count(*) AS n FROM (SELECT outcome, unnest(markers) AS marker FROM om) u GROUP BY outcome, marker)""") + """
-SELECT mc.outcome, marker, n, class_size, round(CAST(n AS DOUBLE) / CAST(class_size AS DOUBLE), 6) AS share
-FROM mc JOIN sz USING (outcome)""")(_markers_by_outcome)
+  FROM cl WHERE g IS NOT NULL AND p IS NOT NULL)""",
+                                         f"""om AS (SELECT o.model_key, o.prompt, o.outcome, {_LIST_SQL} AS markers FROM o JOIN documents d ON d.doc_id = o.block_id)""",
+                                         """sz AS (SELECT model_key, prompt, outcome, count(*) AS class_size FROM om GROUP BY ALL)""",
+                                         """mc AS (SELECT model_key, prompt, outcome, marker, count(*) AS n FROM (SELECT model_key, prompt, outcome, unnest(markers) AS marker FROM om) u GROUP BY ALL)""") + """
+SELECT model_key, prompt, outcome, marker, n, class_size, round(CAST(n AS DOUBLE) / CAST(class_size AS DOUBLE), 6) AS share
+FROM mc JOIN sz USING (model_key, prompt, outcome)""")(_markers_by_outcome)
 
 # ------------------------------------------------------------------ A1
 _RULE_RAW = (f"""'{{"label": "' || CASE WHEN round(s, 6) >= {AN.RULE_THRESHOLD} THEN 'yes' ELSE 'no' END ||

@@ -127,10 +127,10 @@ def _reasoning_log(spark, sf):
     import uuid
     from annospark.session import checkpoint_dir
     from annospark.sources.files import read_log, write_log
-    raw = _raw(spark, sf).where(F.col("model_key") == "claude_sonnet46")
-    p = normalize_answers(raw, "structured").where(F.col("status") != "expired")   # expired: no log row
+    p = normalize_answers(_raw(spark, sf), "structured").where(F.col("status") != "expired")   # expired: no log row
     ok = F.col("status") == "ok"
     log = p.select(
+        "model_key",
         F.col("block_id").cast("int").alias("index"),
         F.when(ok, F.col("dil")).otherwise(F.col("status")).alias("decisione"),
         F.when(ok, F.col("confidenza")).alias("confidenza"),
@@ -142,26 +142,26 @@ def _reasoning_log(spark, sf):
         F.col("raw_prefix").alias("risposta_grezza"),
         F.when(F.col("status") == "api_error", F.col("result_type")).alias("tipo_errore"))
     path = f"{checkpoint_dir(spark).rstrip('/')}/reasoning-log-{uuid.uuid4().hex}"
-    write_log(log, path)
+    write_log(log, path, by="model_key")
     back = read_log(spark, path)
-    return back.groupBy("decisione").agg(
+    return back.groupBy("model_key", "decisione").agg(
         F.count(F.lit(1)).alias("n"), F.sum("tokens_input").alias("tokens_input"),
         F.sum("tokens_output").alias("tokens_output"),
         F.sum(F.coalesce(F.size("marcatori"), F.lit(0))).cast("bigint").alias("n_markers"),
         F.count("errore").alias("n_parse_errors"), F.count("tipo_errore").alias("n_api_errors"))
 
 
-register("reasoning_log", BASE + f""", t AS (SELECT block_id, result_type, raw_text, tokens_in, tokens_out,
-    {_utrim('raw_text')} AS t FROM raw WHERE model_key = 'claude_sonnet46'),
+register("reasoning_log", BASE + f""", t AS (SELECT model_key, block_id, result_type, raw_text, tokens_in, tokens_out,
+    {_utrim('raw_text')} AS t FROM raw),
 st AS (SELECT *, CASE WHEN result_type = 'errored' THEN 'api_error' WHEN result_type = 'expired' THEN 'expired'
         WHEN COALESCE(CASE WHEN json_valid(t) THEN json_type(t) = 'OBJECT' ELSE false END, false) THEN 'ok'
         ELSE 'parse_error' END AS status FROM t),
-lg AS (SELECT CASE WHEN status = 'ok' THEN COALESCE(json_extract_string(t, '$.dil'), 'error') ELSE status END AS decisione,
+lg AS (SELECT model_key, CASE WHEN status = 'ok' THEN COALESCE(json_extract_string(t, '$.dil'), 'error') ELSE status END AS decisione,
     tokens_in, tokens_out,
     CASE WHEN status = 'ok' THEN COALESCE(len(CAST(json_extract(t, '$.marcatori') AS VARCHAR[])), 0) ELSE 0 END AS nm,
     status FROM st WHERE status <> 'expired')
-SELECT decisione, count(*) AS n, CAST(sum(tokens_in) AS BIGINT) AS tokens_input,
+SELECT model_key, decisione, count(*) AS n, CAST(sum(tokens_in) AS BIGINT) AS tokens_input,
        CAST(sum(tokens_out) AS BIGINT) AS tokens_output, CAST(sum(nm) AS BIGINT) AS n_markers,
        count(*) FILTER (WHERE status = 'parse_error') AS n_parse_errors,
        count(*) FILTER (WHERE status = 'api_error') AS n_api_errors
-FROM lg GROUP BY decisione""")(_reasoning_log)
+FROM lg GROUP BY model_key, decisione""")(_reasoning_log)

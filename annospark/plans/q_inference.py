@@ -134,20 +134,24 @@ _DOCSP = """ds AS (SELECT doc_id, any_value(year) AS year, CAST(count(*) FILTER
     avg(CASE WHEN gold = 0 THEN CAST(correct AS DOUBLE) END) AS sp FROM lf WHERE prompt = 'C' GROUP BY doc_id)"""
 register("doc_specificity", with_base(_DOCSP) + "\nSELECT * FROM ds")(
     lambda spark, sf: I.doc_specificity(_lf(spark, sf)))
-register("spearman_year", with_base(_DOCSP, """r AS (SELECT
+_SPEAR = [_DOCSP, """r AS (SELECT
     rank() OVER (ORDER BY year) + (count(*) OVER (PARTITION BY year) - 1) / 2.0 AS ry,
-    rank() OVER (ORDER BY sp) + (count(*) OVER (PARTITION BY sp) - 1) / 2.0 AS rs FROM ds WHERE nneg >= 5)""") + """
-SELECT round(corr(ry, rs), 6) AS rho, count(*) AS romanzi FROM r""")(
+    rank() OVER (ORDER BY sp) + (count(*) OVER (PARTITION BY sp) - 1) / 2.0 AS rs FROM ds WHERE nneg >= 5)""",
+          "sr AS (SELECT round(corr(ry, rs), 6) AS rho, count(*) AS romanzi FROM r)"]
+register("spearman_year", with_base(*_SPEAR) + """
+SELECT rho, romanzi FROM sr""")(
     lambda spark, sf: I.spearman_year(_lf(spark, sf)))
 _F, _L = PERIOD_LABELS[0], PERIOD_LABELS[-1]
-register("leave_one_out", with_base(f"""pd AS (SELECT doc_id,
+_LOO = [f"""pd AS (SELECT doc_id,
     sum(CASE WHEN gold = 0 AND period = '{_F}' THEN correct ELSE 0 END) AS s1, count(*) FILTER (WHERE gold = 0 AND period = '{_F}') AS n1,
     sum(CASE WHEN gold = 0 AND period = '{_L}' THEN correct ELSE 0 END) AS s2, count(*) FILTER (WHERE gold = 0 AND period = '{_L}') AS n2
   FROM lf WHERE prompt = 'C' GROUP BY doc_id)""", """x AS (SELECT
     CAST(sum(s1) OVER () - s1 AS DOUBLE) AS s1, CAST(sum(n1) OVER () - n1 AS DOUBLE) AS n1,
-    CAST(sum(s2) OVER () - s2 AS DOUBLE) AS s2, CAST(sum(n2) OVER () - n2 AS DOUBLE) AS n2 FROM pd)""") + """
-SELECT round(min(s2 / NULLIF(n2, 0) - s1 / NULLIF(n1, 0)), 6) AS min_delta_sp,
-       round(max(s2 / NULLIF(n2, 0) - s1 / NULLIF(n1, 0)), 6) AS max_delta_sp FROM x""")(
+    CAST(sum(s2) OVER () - s2 AS DOUBLE) AS s2, CAST(sum(n2) OVER () - n2 AS DOUBLE) AS n2 FROM pd)""",
+        """lo AS (SELECT round(min(s2 / NULLIF(n2, 0) - s1 / NULLIF(n1, 0)), 6) AS min_delta_sp,
+       round(max(s2 / NULLIF(n2, 0) - s1 / NULLIF(n1, 0)), 6) AS max_delta_sp FROM x)"""]
+register("leave_one_out", with_base(*_LOO) + """
+SELECT min_delta_sp, max_delta_sp FROM lo""")(
     lambda spark, sf: I.leave_one_out(_lf(spark, sf)))
 
 # ------------------------------------------------------------------ I5 / I6 sufficient statistics
@@ -161,14 +165,14 @@ SELECT model AS modello, count(*) FILTER (WHERE lo <> hi) AS blocchi_informativi
     lambda spark, sf: I.informative_blocks(_lf(spark, sf)))
 
 
-# ------------------------------------------------------------------ I5 / I6 / I11 fits (no SQL oracle)
+# ------------------------------------------------------------------ I5 / I6 / I11 fits, I12 together
 def _clogit_lr(spark, sf):
     rows = MD.clogit_lr_tests(_lf(spark, sf).cache())
     return spark.createDataFrame(rows, "test string, osservazioni string, chi2 double, gl int, p double")
 
 
 def _odds_ratio(spark, sf):
-    rows = MD.odds_ratios(_lf(spark, sf), MODEL_ORDER)
+    rows = [(m, what, *(round(x, 6) for x in numbers), n) for m, what, *numbers, n in MD.odds_ratios(_lf(spark, sf), MODEL_ORDER)]
     return spark.createDataFrame(rows, "modello string, confronto string, odds_ratio double, ic_inf double, "
                                        "ic_sup double, p double, blocchi_informativi bigint")
 
@@ -187,14 +191,61 @@ def _robustness(spark, sf):
     loo = I.leave_one_out(lf).first()
     rho = sp["rho"]
     rows = [("spearman_anno_specificita", "rho", rho),
-            ("spearman_anno_specificita", "p", spearman_p(rho, int(sp["romanzi"])) if rho is not None else None),
+            ("spearman_anno_specificita", "p", round(spearman_p(rho, int(sp["romanzi"])), 6) if rho is not None else None),
             ("spearman_anno_specificita", "romanzi", float(sp["romanzi"])),
             ("leave_one_out_delta_sp", "min", loo["min_delta_sp"]),
             ("leave_one_out_delta_sp", "max", loo["max_delta_sp"])]
     return spark.createDataFrame(rows, "check string, stat string, value double")
 
 
+# Odds ratios in SQL: Newton's method on the conditional likelihood of a block's answers given their number of
+# successes k. With weights 1, exp(x), exp(y) of the prompts A, B, C that the block has, the likelihood of k = 1 or 2
+# successes has the elementary symmetric sum e as its denominator; pb, pc, pbc are the chances of a success at B, C, both.
+NEWTON_STEPS = 12
+
+
+def _newton(i: int) -> str:
+    return f"""w{i} AS MATERIALIZED (SELECT op.*, x, y, a AS wa, b * exp(x) AS wb, c * exp(y) AS wc FROM op JOIN be{i} USING (model)),
+e{i} AS (SELECT *, CASE k WHEN 1 THEN wa + wb + wc ELSE wa * wb + wa * wc + wb * wc END AS e FROM w{i}),
+p{i} AS (SELECT *, CASE k WHEN 1 THEN wb ELSE wb * (wa + wc) END / e AS pb, CASE k WHEN 1 THEN wc ELSE wc * (wa + wb) END / e AS pc,
+    CASE k WHEN 1 THEN 0 ELSE wb * wc END / e AS pbc FROM e{i}),
+g{i} AS MATERIALIZED (SELECT model, any_value(x) AS x, any_value(y) AS y, sum(tb - n * pb) AS g1, sum(tc - n * pc) AS g2,
+    sum(n * pb * (1 - pb)) AS h1, sum(n * pc * (1 - pc)) AS h2, sum(n * (pbc - pb * pc)) AS h3, sum(n) AS blocks FROM p{i} GROUP BY model),
+be{i + 1} AS MATERIALIZED (SELECT model, x + (h2 * g1 - h3 * g2) / (h1 * h2 - h3 * h3) AS x, y + (h1 * g2 - h3 * g1) / (h1 * h2 - h3 * h3) AS y FROM g{i})"""
+
+
+def _prompt_has(p: str) -> str:
+    return f"CAST(max(CASE WHEN prompt = '{p}' THEN 1 ELSE 0 END) AS DOUBLE)"
+
+
+_OP = f"""ob AS (SELECT model, block_id, sum(correct) AS k, count(*) AS m, {_prompt_has('A')} AS a, {_prompt_has('B')} AS b, {_prompt_has('C')} AS c,
+    sum(CASE WHEN prompt = 'B' THEN correct ELSE 0 END) AS tb, sum(CASE WHEN prompt = 'C' THEN correct ELSE 0 END) AS tc
+  FROM lf GROUP BY model, block_id),
+op AS MATERIALIZED (SELECT model, k, a, b, c, CAST(count(*) AS DOUBLE) AS n, CAST(sum(tb) AS DOUBLE) AS tb, CAST(sum(tc) AS DOUBLE) AS tc
+  FROM ob WHERE k > 0 AND k < m GROUP BY model, k, a, b, c),
+be0 AS (SELECT DISTINCT model, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y FROM op)"""
+# two-sided normal tail: 1 - erf(u), u = |z| / sqrt 2, erf(u) = exp(-u^2) * sum of u^(2j+1) / gamma(j + 3/2)
+_ERF = "list_sum(list_transform(range(0, 400), lambda j: exp((2 * j + 1) * ln(u) - lgamma(j + 1.5) - u * u)))"
+register("odds_ratio", with_base(_OP, *[_newton(i) for i in range(NEWTON_STEPS)], f"""co AS (
+  SELECT model, 'B vs A' AS confronto, x AS beta, sqrt(h2 / (h1 * h2 - h3 * h3)) AS se, blocks FROM g{NEWTON_STEPS - 1}
+  UNION ALL SELECT model, 'C vs A', y, sqrt(h1 / (h1 * h2 - h3 * h3)), blocks FROM g{NEWTON_STEPS - 1}),
+cu AS (SELECT *, greatest(abs(beta / se) / sqrt(2.0), 1e-300) AS u FROM co)""") + f"""
+SELECT model AS modello, confronto, round(exp(beta), 6) AS odds_ratio, round(exp(beta - {MD.Z975!r} * se), 6) AS ic_inf,
+       round(exp(beta + {MD.Z975!r} * se), 6) AS ic_sup, round(greatest(1 - {_ERF}, 0), 6) AS p,
+       CAST(blocks AS BIGINT) AS blocchi_informativi FROM cu""")(_odds_ratio)
+
+# Student's t tail with v degrees of freedom as the finite sums in the angle atan(|t| / sqrt v), one for even and one for odd v.
+_T_TAIL = ["tv AS (SELECT *, romanzi - 2 AS v, atan(abs(rho) / sqrt(1 - rho * rho)) AS angle FROM sr)",
+           """tp AS (SELECT *, CASE WHEN v % 2 = 0 THEN
+    sin(angle) * list_sum(list_transform(range(0, v // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(cos(angle), 2 * j)))
+  ELSE 2 / pi() * (angle + sin(angle) * coalesce(list_sum(list_transform(range(0, (v - 1) // 2),
+    lambda j: sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5)) * pow(cos(angle), 2 * j + 1))), 0)) END AS inside FROM tv)"""]
+register("robustness", with_base(*_SPEAR, *_LOO, *_T_TAIL) + """
+SELECT 'spearman_anno_specificita' AS "check", 'rho' AS stat, rho AS value FROM tp
+UNION ALL SELECT 'spearman_anno_specificita', 'p', round(1 - inside, 6) FROM tp
+UNION ALL SELECT 'spearman_anno_specificita', 'romanzi', CAST(romanzi AS DOUBLE) FROM tp
+UNION ALL SELECT 'leave_one_out_delta_sp', 'min', min_delta_sp FROM lo
+UNION ALL SELECT 'leave_one_out_delta_sp', 'max', max_delta_sp FROM lo""")(_robustness)
+
 register("clogit_lr")(_clogit_lr)
-register("odds_ratio")(_odds_ratio)
 register("year_trend")(_year_trend)
-register("robustness")(_robustness)

@@ -48,6 +48,24 @@ SELECT b.block_id, b.doc_id, b.author, b.work, b.year, b.DIL, b.split, m.* EXCLU
 FROM blocks b LEFT JOIN m ON m.block_id = b.block_id""")(
     lambda spark, sf: R.merge_conditions([fx.condition_file(spark, sf, k, p) for k, p in fx.conditions()]))
 
+
+def _merge_repeated(spark, sf):
+    """Three files keyed by pairs of blocks, the first keys null, the second file with its sure answers only:
+    repeated keys fan out, null meets null, keys without an answer keep their row."""
+    key = F.when(F.col("block_id") >= 3, F.floor(F.col("block_id") / 2)).cast("bigint").alias("pair")
+    a, b, c = (fx.condition_file(spark, sf, "gpt55", p) for p in "ABC")
+    return R.merge_conditions([a.select(key, "block_id", "DIL_gpt55_promptA"),
+                               b.where(F.col("confidence_gpt55_promptB") == "high").select(key, "DIL_gpt55_promptB"),
+                               c.select(key, "DIL_gpt55_promptC")], on="pair")
+
+
+register("merge_repeated", with_base("""k AS (SELECT block_id, prompt, label, confidence,
+    CASE WHEN block_id >= 3 THEN block_id // 2 END AS pair FROM ann WHERE model_key = 'gpt55')""") + """
+SELECT a.pair, a.block_id, a.label AS "DIL_gpt55_promptA", b.label AS "DIL_gpt55_promptB", c.label AS "DIL_gpt55_promptC"
+FROM (SELECT * FROM k WHERE prompt = 'A') a
+LEFT JOIN (SELECT * FROM k WHERE prompt = 'B' AND confidence = 'high') b ON b.pair IS NOT DISTINCT FROM a.pair
+LEFT JOIN (SELECT * FROM k WHERE prompt = 'C') c ON c.pair IS NOT DISTINCT FROM a.pair""")(_merge_repeated)
+
 # ------------------------------------------------------------------ J9
 register("stratified_sample", with_base(f"""s AS (
   SELECT block_id, DIL, row_number() OVER (PARTITION BY DIL ORDER BY {sql_h_parts("42", "block_id")}, block_id) AS rn
@@ -119,3 +137,21 @@ register("read_blocks", with_base() + """
 SELECT work, DIL, count(*) AS n_blocks, CAST(sum(length(text)) AS BIGINT) AS n_chars,
        CAST(sum(CAST(('0x' || substr(md5(text), 1, 8)) AS BIGINT)) AS BIGINT) AS text_hash
 FROM blocks GROUP BY work, DIL""")(_read_blocks)
+
+
+# ------------------------------------------------------------------ S3 (folder of annotated files)
+def _read_annotations(spark, sf):
+    """Every condition written as an annotated CSV of one folder, read back as one long source."""
+    import uuid
+    from annospark.session import checkpoint_dir
+    from annospark.sources.files import read_annotations, write_annotated
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/annotated-{uuid.uuid4().hex}"
+    for k, p in fx.conditions():
+        write_annotated(fx.condition_file(spark, sf, k, p), f"{folder}/{k}_prompt{p}_annotated.csv", by=None)
+    return read_annotations(spark, folder).groupBy("source_file", "doc_id", "model_key", "prompt", "label", "confidence").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+register("read_annotations", with_base() + """
+SELECT cond || '_annotated.csv' AS source_file, doc_id, model_key, prompt, label, confidence, count(*) AS n
+FROM ann GROUP BY ALL""")(_read_annotations)

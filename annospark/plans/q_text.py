@@ -151,8 +151,7 @@ WHERE round(-2.0 * (s1 + s2 - s3 - s4), 6) >= 7.88""")(lambda spark, sf: P.collo
 # ------------------------------------------------------------------ P4 with learned abbreviations (R)
 def _sentences_abbrev(spark, sf):
     docs = _docs(spark, sf)
-    ab = [r["type"] for r in P.learn_abbreviations(docs).select("type").collect()]  # learned set, bounded
-    return P.sentences(docs, "doc_id", abbrevs=ab)
+    return P.sentences(docs, "doc_id", abbrevs=P.learn_abbreviations(docs).select("type"))
 
 
 _LASTTYPE = ("lower(regexp_replace(regexp_extract(piece, " + q("([^" + WS[1:-1] + "]+)$") + ", 1), '\\.$', ''))")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import glob as _glob
 import os
+from fnmatch import fnmatch
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +36,21 @@ def read_blocks(spark: SparkSession, path: str, schema: T.StructType | None = BL
 
 # ---------------------------------------------------------------- S3 / S4
 def read_annotations(spark: SparkSession, directory: str, pattern: str = "*_annotated.csv") -> DataFrame:
-    """Every annotated CSV of a directory, unpivoted to the long form and unioned (one job)."""
+    """Every annotated CSV (a file, or a folder of part files) of a directory on any file system
+    Spark reads, unpivoted to the long form and unioned (one job); no row if there is none.
+
+    Headers differ, so each file is a source of its own; only their names come to the driver.
+    """
     from annospark.operators.reshape import to_long
-    files = sorted(_glob.glob(os.path.join(directory, pattern)))   # file listing is metadata only
+    try:
+        listed = spark.read.format("binaryFile").load(f"{directory.rstrip('/')}/{pattern}").select("path").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        listed = []
+    files = sorted({p if fnmatch(os.path.basename(p), pattern) else os.path.dirname(p) for p, in listed})
+    if not files:
+        return spark.createDataFrame([], "model_key string, prompt string, label string, confidence string, source_file string")
     parts = []
     for f in files:
         df = read_blocks(spark, f, schema=None)
@@ -78,8 +91,10 @@ def write_metrics(summary: DataFrame, path: str) -> None:
 
 
 # ---------------------------------------------------------------- S7
-def write_log(log: DataFrame, path: str) -> None:
-    log.write.mode("append").json(path)
+def write_log(log: DataFrame, path: str, by: str | None = None) -> None:
+    """JSON lines, in one folder for each value of `by` (a model), which reading finds again as a column."""
+    w = log.write.mode("append")
+    (w.partitionBy(by) if by else w).json(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

@@ -114,3 +114,23 @@ def test_published_ranking(spark):
                    "gpt_oss_120b": "Prompt C", "qwen3_35b": "Prompt C"}
     ranks = [r["model_key"] for r in M.rank_models(summary).orderBy("rank").collect()]
     assert ranks == ["gpt55", "gemini35flash", "claude_sonnet46", "qwen3_35b", "gpt_oss_120b"]
+
+
+def test_merge_conditions_repeated_and_null_keys(spark):
+    from annospark.operators.reshape import merge_conditions
+    a = spark.createDataFrame([("t", 1, "yes"), (None, 2, "no"), ("u", 3, "no")], "text string, row int, DIL_m_promptA string")
+    b = spark.createDataFrame([("t", "yes"), ("t", "no"), (None, "yes"), ("v", "no")], "text string, DIL_m_promptB string")
+    c = spark.createDataFrame([("u", "no")], "text string, DIL_m_promptA string")
+    got = merge_conditions([a, b, c], on="text")
+    assert got.columns == ["text", "row", "DIL_m_promptA", "DIL_m_promptB", "DIL_m_promptA_dup_2"]
+    assert sorted(map(tuple, got.drop("text").collect()), key=str) == sorted(
+        [(1, "yes", "yes", None), (1, "yes", "no", None), (2, "no", "yes", None), (3, "no", None, "no")], key=str)
+
+
+def test_smoke_sample_ranks_a_smallest_work_beyond_the_first_ten(spark, tmp_path):
+    from annospark.plans.q_annotate import _smoke
+    docs = [(10 * w + i, f"w{w:02d}") for w in range(13) for i in range(1 if w == 12 else 2)]
+    spark.createDataFrame(docs, "doc_id long, source string").selectExpr("*", "'x' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = {r["work"]: (r["n_blocks"], r["name_rank"], r["is_smallest"]) for r in _smoke(spark, str(tmp_path)).collect()}
+    assert len(rows) == 11 and rows["w12"] == (1, 13, True) and rows["w03"] == (2, 4, False)

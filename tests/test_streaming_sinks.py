@@ -75,3 +75,14 @@ def test_read_annotations_directory(spark, tmp_path):
     long = FS.read_annotations(spark, str(tmp_path))
     rows = sorted((r["model_key"], r["prompt"], r["label"], r["text"]) for r in long.collect())
     assert rows == [("m1", "A", "yes", 'uno, "due"\ntre'), ("m2", "B", "no", 'uno, "due"\ntre')]  # excluded model dropped
+
+
+def test_read_annotations_of_an_empty_folder(spark, tmp_path):
+    assert FS.read_annotations(spark, str(tmp_path)).count() == 0
+
+
+def test_read_annotations_reads_folders_of_part_files(spark, tmp_path):
+    df = spark.createDataFrame([("n-1850.txt", "a, \"b\"\nc", "yes", "no")], "doc_id string, text string, DIL string, DIL_m_promptA string")
+    FS.write_annotated(df, f"{tmp_path}/m_annotated.csv", by=None)
+    row, = FS.read_annotations(spark, str(tmp_path)).collect()
+    assert (row["text"], row["model_key"], row["label"], row["source_file"]) == ("a, \"b\"\nc", "m", "no", "m_annotated.csv")
