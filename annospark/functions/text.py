@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 # NEL, and every Unicode separator (Zs, Zl, Zp).
 WS = r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\p{Z}]"
 
+# The same characters one by one, for `btrim`, which looks at the ends only.
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 # FIXED VALUES: chapter-title line patterns (case-insensitive) - an optional
 # section keyword CAPITOLO / PARTE / CAP / CAP. followed by only a Roman
 # numeral (letters IVXLCDM) or only Arabic digits, optional final period.
@@ -24,7 +27,7 @@ YEAR_IN_FILENAME_RE = r"[-_](\d{4})\.txt$"
 
 def utrim(c: Column) -> Column:
     """Unicode-aware strip (Python str.strip semantics)."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def collapse_ws(c: Column) -> Column:

@@ -4,15 +4,11 @@ All per-document steps are *narrow*: each document row is turned into arrays
 with higher-order functions (`transform`, `filter`, `aggregate`) and only
 then exploded, so splitting and chunking need no shuffle and no window.
 A document is one row, so the work per task is bounded by the row size.
-Corpus-wide statistics (abbreviation learning, collocations) are ordinary
-group-bys with map-side partial aggregation; corpus totals reach the driver
-as two scalars.
+`splitter` learns abbreviations, starters and collocations from the corpus.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,51 +98,16 @@ def doc_sentence_array(text: Column, abbrevs: list[str] | None = None) -> Column
     return F.flatten(F.transform(paragraph_array(text), lambda p: sentence_array(p, abbrevs)))
 
 
-def sentences(df: DataFrame, id_col: str, text_col: str = "text",
-              abbrevs: list[str] | DataFrame | None = None) -> DataFrame:
-    """(id, sent_idx, sentence): explicit position instead of file line order.
+def sentences(df: DataFrame, id_col: str, text_col: str = "text", abbrevs: list[str] | None = None) -> DataFrame:
+    """(id, sent_idx, sentence) by the boundary pattern: explicit position instead of file line order.
 
-    Learned abbreviations are a DataFrame with a `type` column and are joined; a list, which
-    the caller wrote by hand, is inlined into the per-row fold.
+    A hand-written abbreviation list is inlined into the per-row fold; `splitter` learns one.
     """
-    if isinstance(abbrevs, DataFrame):
-        return sentences_abbrev_join(df, id_col, abbrevs, text_col)
     s = doc_sentence_array(F.col(text_col), abbrevs)
     return (df.select(id_col, F.posexplode(s).alias("sent_idx", "sentence"))
             .withColumn("sent_idx", F.col("sent_idx").cast("bigint")))
 
 
-def sentences_abbrev_join(df: DataFrame, id_col: str, abbrev_types: DataFrame, text_col: str = "text") -> DataFrame:
-    """Abbreviation-aware splitting for an abbreviation table of any size.
-
-    Candidates are exploded with their positions, flagged by an equi-join on
-    their final type (the planner broadcasts a small table), and re-joined by a
-    running sum over each paragraph's candidates (a window bounded by one
-    paragraph); sentences are then renumbered per document.
-    """
-    from pyspark.sql import Window
-    paras = df.select(id_col, F.posexplode(paragraph_array(F.col(text_col))).alias("para_idx", "p"))
-    pieces = paras.select(id_col, "para_idx", F.posexplode(
-        F.split(F.regexp_replace("p", BOUNDARY_RE, "$1" + SENT_MARK), SENT_MARK)).alias("piece_idx", "piece"))
-    ab = abbrev_types.select(F.col("type").alias("__t")).distinct()
-    # candidates without a final period match nothing; a key of their own each spreads them over the join's tasks
-    alone = F.concat(F.lit(SENT_MARK), F.xxhash64(F.col(id_col), "para_idx", "piece_idx").cast("string"))
-    flagged = (pieces.withColumn("__t", F.when(F.col("piece").endswith("."), _last_type(F.col("piece"))).otherwise(alone))
-               .join(ab.withColumn("__ab", F.lit(True)), "__t", "left")
-               .withColumn("__ab", F.coalesce("__ab", F.lit(False))))
-    w = Window.partitionBy(id_col, "para_idx").orderBy("piece_idx")
-    start = F.coalesce(~F.lag("__ab").over(w), F.lit(True)).cast("int")
-    grouped = (flagged.withColumn("__start", start)
-               .withColumn("__g", F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    sent = (grouped.groupBy(id_col, "para_idx", "__g")
-            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_idx", "piece"))),
-                                          lambda x: x["piece"]), " ").alias("raw"))
-            .select(id_col, "para_idx", "__g", collapse_ws(F.col("raw")).alias("sentence"))
-            .where(F.length("sentence") > 1))
-    wd = Window.partitionBy(id_col).orderBy("para_idx", "__g")
-    return sent.select(id_col, (F.row_number().over(wd) - 1).cast("bigint").alias("sent_idx"), "sentence")
-
-
 # ---------------------------------------------------------------- P7
 def chunk_array(sents: Column, n: int = 3) -> Column:
     """array<struct<chunk_idx, text, n_sent>>: consecutive, non-overlapping, residual kept."""
@@ -164,8 +125,13 @@ def chunks(df: DataFrame, id_col: str, text_col: str = "text", n: int = 3,
     keep = keep or []
     # Materialise the sentence array once: the chunk lambda references it
     # several times and must not re-split the document per chunk.
-    with_s = df.select(id_col, *keep, doc_sentence_array(F.col(text_col), abbrevs).alias("__sents"))
-    return with_s.select(id_col, *keep, F.inline(chunk_array(F.col("__sents"), n)))
+    with_s = df.select(id_col, *keep, doc_sentence_array(F.col(text_col), abbrevs).alias("sents"))
+    return chunks_of(with_s, [id_col, *keep], n)
+
+
+def chunks_of(split: DataFrame, keep: list[str], n: int = 3) -> DataFrame:
+    """Blocks of n sentences from documents that are split already (column `sents`)."""
+    return split.select(*keep, F.inline(chunk_array(F.col("sents"), n)))
 
 
 # ---------------------------------------------------------------- P8
@@ -181,8 +147,12 @@ def block_labels(sent: DataFrame, id_col: str, label_col: str = "label", n: int
 # ---------------------------------------------------------------- P9
 def corpus_summary(df: DataFrame, group_col: str, text_col: str = "text", n: int = 3) -> DataFrame:
     """Files, sentences, chunks and sentences per chunk per group, plus the grand total (rollup)."""
-    s = doc_sentence_array(F.col(text_col))
-    per_doc = df.select(group_col, F.size(s).alias("n_sent"))
+    return corpus_summary_of(df.select(group_col, doc_sentence_array(F.col(text_col)).alias("sents")), group_col, n)
+
+
+def corpus_summary_of(split: DataFrame, group_col: str, n: int = 3) -> DataFrame:
+    """The same from documents that are split already (column `sents`)."""
+    per_doc = split.select(group_col, F.size("sents").alias("n_sent"))
     per_doc = per_doc.withColumn("n_chunks", F.ceil(F.col("n_sent") / F.lit(n)).cast("bigint"))
     return (per_doc.rollup(group_col).agg(
         F.grouping_id().alias("level"),
@@ -193,82 +163,6 @@ def corpus_summary(df: DataFrame, group_col: str, text_col: str = "text", n: int
                                                            F.col("n_chunks").cast("double")), 6)))
 
 
-# ---------------------------------------------------------------- P3
-def _materialise(df: DataFrame) -> DataFrame:
-    """Vocabulary tables are read by two jobs: write them once to the shared
-    checkpoint folder (lineage cut, survives executor loss)."""
-    from annospark.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def tokens(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Whitespace tokens of every document (whole texts)."""
-    return df.select(F.explode(F.split(collapse_ws(F.col(text_col)), " ")).alias("tok")).where(F.col("tok") != "")
-
-
-def learn_abbreviations(df: DataFrame, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Unsupervised abbreviation types (Kiss & Strunk 2006 log-likelihood score).
-
-    Job 1: per-type counts with and without a final period (partial
-    aggregation) and corpus totals N, P (two scalars).  Job 2: column math.
-    """
-    t = tokens(df, text_col)
-    per = (t.select(F.lower(F.regexp_replace("tok", r"\.$", "")).alias("type"),
-                    F.col("tok").endswith(".").alias("with_period"))
-           .groupBy("type").agg(F.count(F.lit(1)).alias("c"),
-                                F.count_if("with_period").alias("a")))
-    per = _materialise(per)
-    tot = per.agg(F.sum("c").alias("N"), F.sum("a").alias("P")).first()
-    n_tok, n_per = float(tot["N"] or 0), float(tot["P"] or 0)
-    if n_tok == 0 or n_per == 0 or n_per == n_tok:
-        return per.where(F.lit(False)).select("type", "a", "c", F.lit(0.0).alias("score"))
-    p1 = n_per / n_tok
-    a, c = F.col("a").cast("double"), F.col("c").cast("double")
-    ll = -2.0 * (a * math.log(p1) + (c - a) * math.log(1 - p1)
-                 - (a * math.log(0.99) + (c - a) * math.log(0.01)))
-    length = F.length(F.regexp_replace("type", r"\.", "")).cast("double")
-    periods = (F.length("type") - F.length(F.regexp_replace("type", r"\.", ""))).cast("double")
-    score = ll * F.exp(-length) * (periods + 1) * F.pow(length, -(c - a))
-    cand = per.where((F.col("a") > 0) & F.col("type").rlike(r"^[\p{L}.]*\p{L}[\p{L}.]*$"))
-    return (cand.select("type", F.col("a").cast("bigint").alias("a"), F.col("c").cast("bigint").alias("c"),
-                        F.round(score, 6).alias("score"))
-            .where(F.col("score") >= threshold))
-
-
-# ---------------------------------------------------------------- P3b
-def collocations(df: DataFrame, text_col: str = "text", threshold: float = 7.88,
-                 min_count: int = 2) -> DataFrame:
-    """Word pairs across a period (first token ends with '.') with Dunning log-likelihood >= threshold
-    that occur together more often than by chance (N / c1 > c2 / c12) and `min_count` times or more,
-    the published rule's least count.
-
-    Bigrams are formed inside each document row (arrays_zip of the token
-    array with itself shifted by one): no window, no self-join.
-    """
-    # tokenise once per row; the shifted views below reference the column
-    tok_df = df.select(F.split(collapse_ws(F.col(text_col)), " ").alias("__toks"))
-    toks = F.col("__toks")
-    n = F.size(toks)
-    zipped = F.arrays_zip(F.slice(toks, 1, F.greatest(n - 1, F.lit(0))).alias("w1"),
-                          F.slice(toks, 2, F.greatest(n - 1, F.lit(0))).alias("w2"))
-    # keep only pairs across a period inside the row, then explode the survivors
-    pairs = tok_df.select(F.explode(F.filter(zipped, lambda p: p["w1"].endswith("."))).alias("p"))
-    norm = lambda c: F.lower(F.regexp_replace(c, r"\.$", ""))
-    big = (pairs.select(norm(F.col("p.w1")).alias("t1"), norm(F.col("p.w2")).alias("t2"))
-           .groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("cab")))
-    uni = tokens(df, text_col).select(norm(F.col("tok")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("cnt"))
-    uni = _materialise(uni)
-    n_tok = float(uni.agg(F.sum("cnt")).first()[0] or 0)
-    j = (big.where(F.col("cab") >= min_count)
-         .join(uni.withColumnRenamed("t", "t1").withColumnRenamed("cnt", "ca"), "t1")
-         .join(uni.withColumnRenamed("t", "t2").withColumnRenamed("cnt", "cb"), "t2"))
-    ll = _col_ll(F.col("ca").cast("double"), F.col("cb").cast("double"), F.col("cab").cast("double"), F.lit(n_tok))
-    more = F.lit(n_tok) / F.col("ca") > F.col("cb") / F.col("cab")
-    return (j.where(more).select("t1", "t2", F.col("cab").cast("bigint").alias("n"), F.round(ll, 6).alias("ll"))
-            .where(F.col("ll") >= threshold))
-
-
 # ---------------------------------------------------------------- P10 / P11
 def build_requests(blocks: DataFrame, templates: dict[str, str], id_col: str = "block_id",
                    text_col: str = "text") -> DataFrame:
@@ -289,45 +183,3 @@ def build_requests(blocks: DataFrame, templates: dict[str, str], id_col: str = "
                      F.lit("{CONTEXT}"), F.col("context"))
     return x.select(F.concat(F.lit("prompt"), F.col("prompt"), F.lit("_row"), F.col(id_col).cast("string")).alias("request_id"),
                     id_col, "prompt", body.alias("request_text"))
-
-
-def _col_ll(ca: Column, cb: Column, cab: Column, N: Column) -> Column:
-    """Dunning log-likelihood of a (first, second) co-occurrence (same form as for collocations)."""
-    lg = lambda x: F.when(x > 0, F.log(x)).otherwise(F.lit(0.0))
-    p = cb / N
-    p1 = cab / ca
-    p2 = F.try_divide(cb - cab, N - ca)
-    s1 = cab * lg(p) + (ca - cab) * lg(1 - p)
-    s2 = (cb - cab) * lg(p) + (N - ca - cb + cab) * lg(1 - p)
-    s3 = F.when(ca == cab, 0.0).otherwise(cab * lg(p1) + (ca - cab) * lg(1 - p1))
-    s4 = F.when(cb == cab, 0.0).otherwise((cb - cab) * lg(p2) + (N - ca - cb + cab) * lg(1 - p2))
-    return -2.0 * (s1 + s2 - s3 - s4)
-
-
-def sentence_starters(df: DataFrame, text_col: str = "text", threshold: float = 30.0) -> DataFrame:
-    """Types that frequently start a sentence: the type after a period-final token, tested
-    against the number of sentence breaks (log-likelihood >= threshold and more likely after
-    a break than overall).  Bigrams are formed inside each row; counts are group-bys."""
-    tok_df = df.select(F.split(collapse_ws(F.col(text_col)), " ").alias("__toks"))
-    toks = F.col("__toks")
-    n = F.size(toks)
-    zipped = F.arrays_zip(F.slice(toks, 1, F.greatest(n - 1, F.lit(0))).alias("w1"),
-                          F.slice(toks, 2, F.greatest(n - 1, F.lit(0))).alias("w2"))
-    norm = lambda c: F.lower(F.regexp_replace(c, r"\.$", ""))
-    after = (tok_df.select(F.explode(F.filter(zipped, lambda p: p["w1"].endswith("."))).alias("p"))
-             .select(norm(F.col("p.w2")).alias("t")))
-    at_break = after.groupBy("t").agg(F.count(F.lit(1)).alias("cab"))
-    uni = _materialise(tokens(df, text_col).select(norm(F.col("tok")).alias("t"))
-                       .groupBy("t").agg(F.count(F.lit(1)).alias("cnt")))
-    stats = uni.agg(F.sum("cnt").alias("N")).first()
-    n_breaks = at_break.agg(F.sum("cab").alias("B")).first()["B"] or 0
-    n_tok = float(stats["N"] or 0)
-    if n_tok == 0 or n_breaks == 0:
-        return at_break.where(F.lit(False)).select("t", F.col("cab").cast("bigint").alias("n"), F.lit(0.0).alias("ll"))
-    j = at_break.where(F.col("t") != "").join(uni, "t")
-    ca, cb, cab, N = F.lit(float(n_breaks)), F.col("cnt").cast("double"), F.col("cab").cast("double"), F.lit(n_tok)
-    ll = _col_ll(ca, cb, cab, N)
-    return (j.where(F.col("cnt") >= F.col("cab"))
-            .select("t", F.col("cab").cast("bigint").alias("n"), F.round(ll, 6).alias("ll"),
-                    (N / ca > cb / cab).alias("__more"))
-            .where((F.col("ll") >= threshold) & F.col("__more")).drop("__more"))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from annospark.functions.hashing import h_parts, sql_h_parts
 from annospark.functions.text import CHAPTER_TITLE_RE, WS, preview
 from annospark.operators import prep as P
+from annospark.operators import splitter as S
 from annospark.plans import fixtures as fx
 from annospark.plans.catalog import register
 from annospark.plans.oracle_base import with_base
+from annospark.session import checkpoint_dir
 from annospark.sources.tables import table_spread
 
 # Prompt templates of the request builder (ours). {TEXT} = block, {CONTEXT} = bibliographic line.
@@ -79,97 +81,152 @@ SELECT doc_id, CAST(generate_subscripts(paras, 1) - 1 AS BIGINT) AS para_idx, un
 register("sentences", f"WITH {SENT_CTE}\nSELECT doc_id, sent_idx, sentence FROM sent")(
     lambda spark, sf: P.sentences(_docs(spark, sf), "doc_id"))
 
-# ------------------------------------------------------------------ P7 (minimum slice of text prep)
-register("chunks", f"""WITH {SENT_CTE}
+# ------------------------------------------------------------------ P3, P3b, P4: the learned splitter in SQL
+def _core(w: str) -> str:
+    return f"regexp_extract({w}, {q(S.WORD_RE)}, 1)"
+
+
+def _tail(w: str) -> str:
+    return f"(CASE WHEN {_core(w)} = '' THEN {w} ELSE regexp_extract({w}, {q(S.WORD_RE)}, 2) END)"
+
+
+def _type(w: str) -> str:
+    return f"(CASE WHEN regexp_matches(lower({_core(w)}), {q(S.NUMBER_RE)}) THEN '{S.NUMBER}' ELSE lower({_core(w)}) END)"
+
+
+def _case(w: str) -> str:
+    return (f"(CASE WHEN regexp_matches({_core(w)}, '^\\p{{Lu}}') THEN 'U' "
+            f"WHEN regexp_matches({_core(w)}, '^\\p{{Ll}}') THEN 'l' ELSE '' END)")
+
+
+def _end(w: str) -> str:
+    return (f"(CASE WHEN regexp_matches({_tail(w)}, '[,;:]') THEN 'none' "
+            f"WHEN {_core(w)} <> '' AND regexp_matches({_tail(w)}, '^\\.[^.!?…]*$') THEN 'period' "
+            f"WHEN regexp_matches({_tail(w)}, '[!?]') THEN 'mark' WHEN regexp_matches({_tail(w)}, '[.…]') THEN 'unknown' ELSE 'none' END)")
+
+
+def _cell(o: str, row: str, col: str) -> str:
+    return f"(CASE WHEN {o} > 0 THEN ({o}) * ln(({o}) * nn / (({row}) * ({col}))) ELSE 0.0 END)"
+
+
+#: Log-likelihood of columns c1, c2, c12 in a corpus of nn words.
+_LL = (f"round(2.0 * ({_cell('c12', 'c1', 'c2')} + {_cell('c1 - c12', 'c1', 'nn - c2')} + "
+       f"{_cell('c2 - c12', 'nn - c1', 'c2')} + {_cell('nn - c1 - c2 + c12', 'nn - c1', 'nn - c2')}), 6)")
+_FREE = f"(t1 = '{S.NUMBER}' OR regexp_matches(t1, '^\\p{{L}}$'))"
+
+LEARNED = f"""tk AS (SELECT string_split({_collapse('text')}, ' ') AS toks FROM documents),
+w0 AS (SELECT unnest(toks) AS w, unnest(list_concat(['{S.TEXT_START}'], toks[1:len(toks) - 1])) AS w0 FROM tk),
+wc AS (SELECT {_type('w')} AS t, {_case('w')} AS k, {_core('w')} <> '' AND regexp_matches({_tail('w')}, '^\\.([^.]|$)') AS period,
+              {_end('w0')} AS b, CASE WHEN {_end('w0')} = 'period' THEN {_type('w0')} END AS t1 FROM w0),
+cnt AS (SELECT t, k, period, b, t1, count(*) AS n FROM wc WHERE t <> '' GROUP BY ALL),
+per AS (SELECT t, CAST(sum(n) AS DOUBLE) AS c, CAST(COALESCE(sum(n) FILTER (WHERE period), 0) AS DOUBLE) AS a,
+               CAST(length(replace(t, '.', '')) AS DOUBLE) AS len FROM cnt GROUP BY t),
+tot AS (SELECT sum(c) AS nn, sum(a) / sum(c) AS p FROM per),
+ab AS (SELECT t AS type, CAST(a AS BIGINT) AS a, CAST(c AS BIGINT) AS c,
+              round(-2.0 * (a * ln(p) + (c - a) * ln(1 - p) - (a * ln(0.99) + (c - a) * ln(0.01)))
+                    * exp(-len) * (length(t) - len + 1) * pow(len, -(c - a)), 6) AS score
+       FROM per, tot WHERE a > 0 AND regexp_matches(t, {q(S.ABBREV_RE)})),
+abbr AS (SELECT * FROM ab WHERE score >= {S.ABBREV_SCORE}),
+ctx AS (SELECT *, (b = 'mark' OR (b = 'period' AND NOT {_FREE} AND t1 NOT IN (SELECT type FROM abbr))) AS starts FROM cnt),
+st0 AS (SELECT t, CAST(sum(n) AS DOUBLE) AS c2, CAST(COALESCE(sum(n) FILTER (WHERE starts), 0) AS DOUBLE) AS c12 FROM ctx GROUP BY t),
+st1 AS (SELECT t, c2, c12, sum(c12) OVER () AS c1, sum(c2) OVER () AS nn FROM st0),
+st AS (SELECT t, CAST(c12 AS BIGINT) AS n, {_LL} AS ll FROM st1
+       WHERE c12 > 0 AND c12 * nn > c1 * c2 AND regexp_matches(t, '^\\p{{L}}') AND {_LL} >= {S.STARTER_LL}),
+co0 AS (SELECT t1, t AS t2, CAST(sum(n) AS DOUBLE) AS c12 FROM cnt
+        WHERE b = 'period' AND regexp_matches(t, '^\\p{{L}}') AND {_FREE} GROUP BY t1, t),
+co1 AS (SELECT t1, t2, c12, x.c AS c1, y.c AS c2, nn FROM co0 JOIN per x ON x.t = t1 JOIN per y ON y.t = t2, tot
+        WHERE c12 >= {S.LEAST_PAIRS} AND t2 NOT IN (SELECT t FROM st)),
+co AS (SELECT t1, t2, CAST(c12 AS BIGINT) AS n, {_LL} AS ll FROM co1 WHERE c12 * nn > c1 * c2 AND {_LL} >= {S.COLLOCATION_LL}),
+cc AS (SELECT t, bool_or(k = 'l') AS low, bool_or(k = 'U') AS up, bool_or(k = 'U' AND b = 'none') AS up_inside,
+              bool_or(k = 'l' AND COALESCE(starts, false)) AS low_start FROM ctx GROUP BY t)"""
+
+_LASTW, _FIRSTW = (f"regexp_extract({x}, {q(r)}, 1)" for x, r in (("piece", S.LAST_WORD_RE), ("aft", S.FIRST_WORD_RE)))
+SPLIT = LEARNED + f""",
+pa AS (SELECT doc_id, {_para_array('text')} AS paras FROM documents),
+pp AS (SELECT doc_id, generate_subscripts(paras, 1) AS para, unnest(paras) AS par FROM pa),
+pc AS (SELECT doc_id, para, string_split(regexp_replace(par, {q(P.BOUNDARY_RE)}, '\\1' || chr(57346), 'g'), chr(57346)) AS pcs FROM pp),
+pi AS (SELECT doc_id, para, generate_subscripts(pcs, 1) AS nth, unnest(pcs) AS piece FROM pc),
+pn AS (SELECT *, lead(piece) OVER (PARTITION BY doc_id, para ORDER BY nth) AS aft FROM pi),
+pt AS (SELECT doc_id, para, nth, piece, aft IS NOT NULL AND {_end(_LASTW)} = 'period' AS open,
+              {_type(_LASTW)} AS t1, {_type(_FIRSTW)} AS t2, {_case(_FIRSTW)} AS k2 FROM pn),
+pk AS (SELECT pt.*, {_FREE.replace('t1', 'pt.t1')} AS free, pt.t1 IN (SELECT type FROM abbr) AS isab,
+              EXISTS (SELECT 1 FROM co WHERE co.t1 = pt.t1 AND co.t2 = pt.t2) AS pair, pt.t2 IN (SELECT t FROM st) AS starter,
+              COALESCE(low, false) AS low, COALESCE(up, false) AS up, COALESCE(up_inside, false) AS up_inside,
+              COALESCE(low_start, false) AS low_start
+       FROM pt LEFT JOIN cc ON cc.t = pt.t2),
+fl AS (SELECT *, open AND (pair
+         OR (free AND (isab OR t2 = '' OR (k2 = 'l' AND (up OR NOT low_start))
+                       OR (t1 <> '{S.NUMBER}' AND k2 = 'U' AND NOT low)))
+         OR (isab AND NOT free AND NOT (k2 = 'U' AND ((low AND NOT up_inside) OR starter)))) AS inner_ FROM pk),
+gr AS (SELECT *, sum(CASE WHEN prev THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, para ORDER BY nth) AS grp FROM
+       (SELECT *, lag(inner_, 1, false) OVER (PARTITION BY doc_id, para ORDER BY nth) AS prev FROM fl)),
+se AS (SELECT doc_id, para, grp, {_collapse("string_agg(piece, ' ' ORDER BY nth)")} AS sentence FROM gr GROUP BY doc_id, para, grp),
+sent AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para, grp) - 1 AS BIGINT) AS sent_idx, sentence
+         FROM se WHERE length(sentence) > 1)"""
+
+
+def _counts(spark, sf):
+    c = S.word_counts(_docs(spark, sf)).checkpoint(eager=True)
+    return c, S.abbreviations(c)
+
+
+def _ready(builder):
+    """The folder for stored tables is set before the query begins."""
+    def query(spark, sf):
+        checkpoint_dir(spark)
+        return builder(spark, sf)
+    return query
+
+
+register("abbrev_types", f"WITH {LEARNED}\nSELECT type, a, c, score FROM abbr")(
+    _ready(lambda spark, sf: _counts(spark, sf)[1]))
+register("sentence_starters", f"WITH {LEARNED}\nSELECT t, n, ll FROM st")(
+    _ready(lambda spark, sf: S.sentence_starters(*_counts(spark, sf))))
+
+
+@_ready
+def _collocations(spark, sf):
+    counts, abbrevs = _counts(spark, sf)
+    return S.collocations(counts, abbrevs, S.sentence_starters(counts, abbrevs))
+
+
+register("collocations", f"WITH {LEARNED}\nSELECT t1, t2, n, ll FROM co")(_collocations)
+
+
+def learned_sentences(spark, sf, keep=()):
+    """doc_id, *keep, sents: `documents` split with what is learned from all of it."""
+    docs = _docs(spark, sf)
+    return S.sentence_arrays(docs, "doc_id", S.fit(docs), keep=list(keep))
+
+
+register("sentences_abbrev", f"WITH {SPLIT}\nSELECT doc_id, sent_idx, sentence FROM sent")(
+    lambda spark, sf: S.sentences(_docs(spark, sf), "doc_id", S.fit(_docs(spark, sf))))
+
+# ------------------------------------------------------------------ P7
+register("chunks", f"""WITH {SPLIT}
 SELECT s.doc_id, d.source, CAST(s.sent_idx // 3 AS BIGINT) AS chunk_idx,
        string_agg(s.sentence, ' ' ORDER BY s.sent_idx) AS text, count(*) AS n_sent
 FROM sent s JOIN documents d ON d.doc_id = s.doc_id GROUP BY s.doc_id, d.source, s.sent_idx // 3""")(
-    lambda spark, sf: P.chunks(_docs(spark, sf), "doc_id", keep=["source"]))
+    lambda spark, sf: P.chunks_of(learned_sentences(spark, sf, ["source"]), ["doc_id", "source"]))
 
 # ------------------------------------------------------------------ P8
-register("block_labels", f"""WITH {SENT_CTE},
+register("block_labels", f"""WITH {SPLIT},
 lab AS (SELECT doc_id, sent_idx, CASE WHEN {sql_h_parts('doc_id', 'sent_idx', "'dil'")} % 10 = 0 THEN 'yes' ELSE 'no' END AS label FROM sent)
 SELECT doc_id, CAST(sent_idx // 3 AS BIGINT) AS chunk_idx, count(*) AS n_sent,
        CASE WHEN bool_or(label = 'yes') THEN 'yes' ELSE 'no' END AS label
 FROM lab GROUP BY doc_id, sent_idx // 3""")(
     lambda spark, sf: P.block_labels(
-        P.sentences(_docs(spark, sf), "doc_id").withColumn(
+        S.sentences(_docs(spark, sf), "doc_id", S.fit(_docs(spark, sf))).withColumn(
             "label", F.when(h_parts("doc_id", "sent_idx", F.lit("dil")) % 10 == 0, "yes").otherwise("no")),
         "doc_id"))
 
 # ------------------------------------------------------------------ P9
-register("corpus_summary", f"""WITH sa AS (SELECT source, len({_doc_sents('text')}) AS n_sent FROM documents)
+register("corpus_summary", f"""WITH {SPLIT},
+sa AS (SELECT d.source, count(s.doc_id) AS n_sent FROM documents d LEFT JOIN sent s ON s.doc_id = d.doc_id GROUP BY d.doc_id, d.source)
 SELECT source, GROUPING(source) AS level, count(*) AS n_files, CAST(sum(n_sent) AS BIGINT) AS n_sentences,
        CAST(sum(CAST(ceil(n_sent / 3) AS BIGINT)) AS BIGINT) AS n_chunks,
        round(CAST(sum(n_sent) AS DOUBLE) / NULLIF(CAST(sum(CAST(ceil(n_sent / 3) AS BIGINT)) AS DOUBLE), 0), 6) AS sent_per_chunk
-FROM sa GROUP BY ROLLUP (source)""")(lambda spark, sf: P.corpus_summary(_docs(spark, sf), "source"))
-
-# ------------------------------------------------------------------ P3
-ABBREV_CTES = f"""t AS (SELECT unnest(string_split({_collapse('text')}, ' ')) AS tok FROM documents),
-per AS (SELECT lower(regexp_replace(tok, '\\.$', '')) AS type, count(*) AS c,
-               count(*) FILTER (WHERE suffix(tok, '.')) AS a FROM t WHERE tok <> '' GROUP BY 1),
-tot AS (SELECT CAST(sum(c) AS DOUBLE) AS N, CAST(sum(a) AS DOUBLE) AS P FROM per),
-sc AS (
-  SELECT type, CAST(a AS BIGINT) AS a, CAST(c AS BIGINT) AS c,
-    (-2.0 * (CAST(a AS DOUBLE) * ln(P / N) + (CAST(c AS DOUBLE) - CAST(a AS DOUBLE)) * ln(1 - P / N)
-             - (CAST(a AS DOUBLE) * ln(0.99) + (CAST(c AS DOUBLE) - CAST(a AS DOUBLE)) * ln(0.01))))
-    * exp(-CAST(length(replace(type, '.', '')) AS DOUBLE))
-    * (CAST(length(type) - length(replace(type, '.', '')) AS DOUBLE) + 1)
-    * pow(CAST(length(replace(type, '.', '')) AS DOUBLE), -(CAST(c AS DOUBLE) - CAST(a AS DOUBLE))) AS s
-  FROM per, tot WHERE a > 0 AND regexp_matches(type, '^[\\p{{L}}.]*\\p{{L}}[\\p{{L}}.]*$'))"""
-
-register("abbrev_types", "WITH " + ABBREV_CTES + """
-SELECT type, a, c, round(s, 6) AS score FROM sc WHERE round(s, 6) >= 0.3""")(
-    lambda spark, sf: P.learn_abbreviations(_docs(spark, sf)))
-
-# ------------------------------------------------------------------ P3b (no SQL oracle; pytest brute force)
-def _lg(x: str) -> str:
-    return f"(CASE WHEN ({x}) > 0 THEN ln({x}) ELSE 0.0 END)"
-
-
-_NORM = "lower(regexp_replace({0}, '\\.$', ''))"
-register("collocations", f"""
-WITH tk AS (SELECT doc_id, string_split({_collapse('text')}, ' ') AS toks FROM documents),
-t AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM tk),
-big AS (SELECT {_NORM.format('a.tok')} AS t1, {_NORM.format('b.tok')} AS t2, count(*) AS cab
-        FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE suffix(a.tok, '.') GROUP BY 1, 2),
-uni AS (SELECT {_NORM.format('tok')} AS t, count(*) AS cnt FROM t WHERE tok <> '' GROUP BY 1),
-tot AS (SELECT CAST(sum(cnt) AS DOUBLE) AS ntok FROM uni),
-j AS (SELECT big.t1, big.t2, big.cab AS n, CAST(u1.cnt AS DOUBLE) AS ca, CAST(u2.cnt AS DOUBLE) AS cb,
-             CAST(big.cab AS DOUBLE) AS cab, tot.ntok
-      FROM big JOIN uni u1 ON u1.t = big.t1 JOIN uni u2 ON u2.t = big.t2, tot
-      WHERE big.cab >= 2 AND tot.ntok / u1.cnt > CAST(u2.cnt AS DOUBLE) / big.cab),
-q AS (SELECT *, cb / ntok AS p, cab / ca AS p1, (cb - cab) / NULLIF(ntok - ca, 0) AS p2 FROM j),
-s AS (SELECT t1, t2, n,
-  cab * {_lg('p')} + (ca - cab) * {_lg('1 - p')} AS s1,
-  (cb - cab) * {_lg('p')} + (ntok - ca - cb + cab) * {_lg('1 - p')} AS s2,
-  CASE WHEN ca = cab THEN 0.0 ELSE cab * {_lg('p1')} + (ca - cab) * {_lg('1 - p1')} END AS s3,
-  CASE WHEN cb = cab THEN 0.0 ELSE (cb - cab) * {_lg('p2')} + (ntok - ca - cb + cab) * {_lg('1 - p2')} END AS s4 FROM q)
-SELECT t1, t2, CAST(n AS BIGINT) AS n, round(-2.0 * (s1 + s2 - s3 - s4), 6) AS ll FROM s
-WHERE round(-2.0 * (s1 + s2 - s3 - s4), 6) >= 7.88""")(lambda spark, sf: P.collocations(_docs(spark, sf)))
-
-# ------------------------------------------------------------------ P4 with learned abbreviations (R)
-def _sentences_abbrev(spark, sf):
-    docs = _docs(spark, sf)
-    return P.sentences(docs, "doc_id", abbrevs=P.learn_abbreviations(docs).select("type"))
-
-
-_LASTTYPE = ("lower(regexp_replace(regexp_extract(piece, " + q("([^" + WS[1:-1] + "]+)$") + ", 1), '\\.$', ''))")
-register("sentences_abbrev", "WITH " + ABBREV_CTES + f""",
-ab AS (SELECT type FROM sc WHERE round(s, 6) >= 0.3),
-pa AS (SELECT doc_id, {_para_array('text')} AS paras FROM documents),
-pp AS (SELECT doc_id, generate_subscripts(paras, 1) AS para_idx, unnest(paras) AS par FROM pa),
-pc AS (SELECT doc_id, para_idx, string_split(regexp_replace(par, {q(P.BOUNDARY_RE)}, '\\1' || chr(57346), 'g'), chr(57346)) AS pcs FROM pp),
-pi AS (SELECT doc_id, para_idx, generate_subscripts(pcs, 1) AS piece_idx, unnest(pcs) AS piece FROM pc),
-fl AS (SELECT pi.*, (suffix(piece, '.') AND {_LASTTYPE} IN (SELECT type FROM ab)) AS isab FROM pi),
-st AS (SELECT *, CASE WHEN COALESCE(lag(isab) OVER (PARTITION BY doc_id, para_idx ORDER BY piece_idx), false)
-                      THEN 0 ELSE 1 END AS start FROM fl),
-g AS (SELECT *, sum(start) OVER (PARTITION BY doc_id, para_idx ORDER BY piece_idx ROWS UNBOUNDED PRECEDING) AS grp FROM st),
-se AS (SELECT doc_id, para_idx, grp, {_collapse("string_agg(piece, ' ' ORDER BY piece_idx)")} AS sentence
-       FROM g GROUP BY doc_id, para_idx, grp),
-ok AS (SELECT * FROM se WHERE length(sentence) > 1)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, grp) - 1 AS BIGINT) AS sent_idx, sentence
-FROM ok""")(_sentences_abbrev)
+FROM sa GROUP BY ROLLUP (source)""")(lambda spark, sf: P.corpus_summary_of(learned_sentences(spark, sf, ["source"]), "source"))
 
 # ------------------------------------------------------------------ P10
 _TV = ", ".join(f"({q(k)}, {q(v)})" for k, v in sorted(TEMPLATES.items()))
@@ -227,25 +284,3 @@ def _files_count(spark, sf):
 register("files_count", f"""WITH {SENT_CTE}
 SELECT d.source, count(DISTINCT (s.doc_id, s.sent_idx // 3)) AS n_rows
 FROM sent s JOIN documents d ON d.doc_id = s.doc_id GROUP BY d.source""")(_files_count)
-
-
-# ------------------------------------------------------------------ P3b sentence starters
-register("sentence_starters", f"""
-WITH tk AS (SELECT doc_id, string_split({_collapse('text')}, ' ') AS toks FROM documents),
-t AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM tk),
-ab AS (SELECT {_NORM.format('b.tok')} AS t, count(*) AS cab
-       FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE suffix(a.tok, '.') GROUP BY 1),
-uni AS (SELECT {_NORM.format('tok')} AS t, count(*) AS cnt FROM t WHERE tok <> '' GROUP BY 1),
-tot AS (SELECT CAST(sum(cnt) AS DOUBLE) AS ntok FROM uni),
-br AS (SELECT CAST(sum(cab) AS DOUBLE) AS nbr FROM ab),
-j AS (SELECT ab.t, ab.cab AS n, br.nbr AS ca, CAST(uni.cnt AS DOUBLE) AS cb, CAST(ab.cab AS DOUBLE) AS cab, tot.ntok
-      FROM ab JOIN uni ON uni.t = ab.t, tot, br WHERE ab.t <> '' AND uni.cnt >= ab.cab),
-q AS (SELECT *, cb / ntok AS p, cab / ca AS p1, (cb - cab) / NULLIF(ntok - ca, 0) AS p2 FROM j),
-s AS (SELECT t, n, ca, cb, cab, ntok,
-  cab * {_lg('p')} + (ca - cab) * {_lg('1 - p')} AS s1,
-  (cb - cab) * {_lg('p')} + (ntok - ca - cb + cab) * {_lg('1 - p')} AS s2,
-  CASE WHEN ca = cab THEN 0.0 ELSE cab * {_lg('p1')} + (ca - cab) * {_lg('1 - p1')} END AS s3,
-  CASE WHEN cb = cab THEN 0.0 ELSE (cb - cab) * {_lg('p2')} + (ntok - ca - cb + cab) * {_lg('1 - p2')} END AS s4 FROM q)
-SELECT t, CAST(n AS BIGINT) AS n, round(-2.0 * (s1 + s2 - s3 - s4), 6) AS ll FROM s
-WHERE round(-2.0 * (s1 + s2 - s3 - s4), 6) >= 30 AND ntok / ca > cb / cab""")(
-    lambda spark, sf: P.sentence_starters(_docs(spark, sf)))
