@@ -17,10 +17,12 @@ from annospark.constants import (COMMERCIAL_MODELS, CONTRAST_MODEL_PAIRS, HIGHCO
                                  MODEL_ORDER, PERIOD_LABELS, PREVALENCE_NEG, PREVALENCE_POS,
                                  PREVALENCE_TOTAL)
 from annospark.functions.hashing import h_parts
-from annospark.operators.joins import sized_broadcast
 from annospark.operators.metrics import kappa_from_counts
+from annospark.session import checkpoint_dir
 
 _D = "double"
+#: Distinct values per block when ranks are summed.
+RANK_BLOCK = 100_000
 
 # FIXED VALUES: names of the decision rules of the period-stability table.
 HIGHCONF_SUFFIX = ", solo alta confidenza"
@@ -44,11 +46,22 @@ def _kappa_cols(prefix: str = "") -> F.Column:
 # ---------------------------------------------------------------- I2
 def cluster_counts_checkpointed(spark: SparkSession, lf: DataFrame, cluster: str = "doc_id") -> DataFrame:
     """Per-cluster counts, materialised once in the shared checkpoint folder (clusters x conditions rows)."""
-    from annospark.session import checkpoint_dir
     checkpoint_dir(spark)
     return cluster_counts(lf, cluster).checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, by: str) -> DataFrame:
+    """`df` of distinct `by` with k = 0, 1, ... in that order: ranks inside range partitions plus the
+    partitions' offsets, so that no task orders the whole table."""
+    parts = df.repartitionByRange(by).withColumn("__part", F.spark_partition_id()).checkpoint(eager=True)
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))     # one row per partition
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(by)) - 1
+    return parts.withColumn("__nth", nth).join(offsets, "__part").withColumn("k", F.col("__before") + F.col("__nth")) \
+                .drop("__part", "__nth", "__before")
+
+
 def bootstrap_replicates(spark: SparkSession, lf: DataFrame, n_boot: int = 2000, seed: int = 42,
                          cluster: str = "doc_id", counts: DataFrame | None = None) -> DataFrame:
     """(b, model, prompt, kappa) for n_boot cluster-bootstrap replicates.
@@ -60,16 +73,15 @@ def bootstrap_replicates(spark: SparkSession, lf: DataFrame, n_boot: int = 2000,
     independent of the number of blocks.
     """
     counts = counts if counts is not None else cluster_counts_checkpointed(spark, lf, cluster)
-    idx = (counts.select(cluster).distinct()
-           .withColumn("k", (F.row_number().over(Window.orderBy(cluster)) - 1).cast("bigint")))  # one row per cluster
+    checkpoint_dir(spark)
+    idx = numbered(counts.select(cluster).distinct(), cluster).checkpoint(eager=True)
     n_clusters = idx.count()
     draws = (spark.range(n_boot * n_clusters)
              .select(F.expr(f"id div {n_clusters}").alias("b"), F.expr(f"id % {n_clusters}").alias("j"))
              .select("b", (h_parts(F.lit(seed), "b", "j") % n_clusters).alias("k"))
              .groupBy("b", "k").agg(F.count(F.lit(1)).alias("mult")))
-    idx_side = F.broadcast(idx) if n_clusters <= 2_000_000 else idx     # size already counted above
-    draws = draws.join(idx_side, "k").select("b", cluster, "mult")
-    rep = (draws.join(sized_broadcast(counts, 5_000_000), cluster)
+    # the counts take their cluster's number first, so the draws are joined once; the planner picks the join
+    rep = (draws.join(counts.join(idx, cluster), "k")
            .groupBy("b", "model", "prompt")
            .agg(*[F.sum(F.col(c) * F.col("mult")).alias(c) for c in ("TP", "FN", "FP", "TN")]))
     return rep.select("b", "model", "prompt", _kappa_cols().alias("kappa"))
@@ -106,7 +118,7 @@ def bootstrap_contrasts(spark: SparkSession, lf: DataFrame, n_boot: int = 2000,
     counts = cluster_counts_checkpointed(spark, lf)
     rep = replicates if replicates is not None else bootstrap_replicates(spark, lf, n_boot, seed, counts=counts)
     # replicates: n_boot x conditions rows, materialised once and reused by both sides of the pairing
-    rep = sized_broadcast(rep.checkpoint(eager=True), 5_000_000)
+    rep = rep.checkpoint(eager=True)
     con = F.broadcast(contrast_table(spark))  # fixed 16 rows
     r1 = rep.select("b", F.col("model").alias("m1"), F.col("prompt").alias("p1"), F.col("kappa").alias("k1"))
     r2 = rep.select("b", F.col("model").alias("m2"), F.col("prompt").alias("p2"), F.col("kappa").alias("k2"))
@@ -212,14 +224,25 @@ def doc_specificity(lf: DataFrame, n_models: int = 5) -> DataFrame:
 
 def spearman_year(lf: DataFrame, min_neg: float = 5) -> DataFrame:
     """Spearman rho of year vs per-document specificity (average ranks), documents with >= min_neg negatives."""
+    checkpoint_dir(lf.sparkSession)
     d = doc_specificity(lf).where(F.col("nneg") >= min_neg)
 
-    def avg_rank(col):
-        w = Window.orderBy(col)                          # over documents only
-        ties = Window.partitionBy(col)
-        return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-
-    r = d.select(avg_rank("year").alias("ry"), avg_rank("sp").alias("rs"))
+    d = d.select("year", "sp").checkpoint(eager=True)
+
+    def ranks(col):
+        """Average rank of each distinct value: the rows below it and the middle of its own."""
+        per = numbered(d.groupBy(col).agg(F.count(F.lit(1)).alias("__n")), col)
+        block = F.floor(F.col("k") / RANK_BLOCK)
+        sums = per.groupBy(block.alias("__b")).agg(F.sum("__n").alias("__s"))    # one row per RANK_BLOCK values
+        lower = F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+        inside = F.sum("__n").over(Window.partitionBy("__b").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+        full = per.withColumn("__b", block).join(sums.select("__b", F.coalesce(lower, F.lit(0)).alias("__lower")), "__b")
+        rank = F.col("__lower") + F.coalesce(inside, F.lit(0)) + (F.col("__n") + 1) / 2.0
+        return full.select(F.col(col).alias(f"__{col}"), rank.alias(f"r_{col}"))
+
+    r = (d.join(ranks("year"), F.col("year").eqNullSafe(F.col("__year")))
+         .join(ranks("sp"), F.col("sp").eqNullSafe(F.col("__sp")))
+         .select(F.col("r_year").alias("ry"), F.col("r_sp").alias("rs")))
     return r.agg(F.round(F.corr("ry", "rs"), 6).alias("rho"), F.count(F.lit(1)).alias("romanzi"))
 
 

@@ -1,4 +1,4 @@
-"""Join helpers: broadcast only behind a size check, null-safe keys."""
+"""Join helper: null-safe keys.  Which side is broadcast is the planner's choice, by bytes."""
 
 from __future__ import annotations
 
@@ -8,17 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast `df` only if it provably has at most `max_rows` rows.
-
-    The check is a bounded count (`limit(max_rows + 1)`), so it never scans
-    more than needed.  Beyond the bound the plain DataFrame is returned and the
-    planner uses a shuffle join (AQE may still convert it at run time).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join that matches NULL keys to NULL keys (pandas merge semantics)."""
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])

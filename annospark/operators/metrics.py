@@ -131,8 +131,7 @@ def kappa_multiclass(df: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("c"))
     cols = pairs.groupBy(F.col(b).alias("__l")).agg(F.sum("c").alias("cb"))
-    from annospark.operators.joins import sized_broadcast
-    j = pairs.join(sized_broadcast(cols, 100_000), pairs[a] == cols["__l"], "left")  # one row per label
+    j = pairs.join(cols, pairs[a] == cols["__l"], "left")  # one row per label
     agg = j.agg(F.sum("c").alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col("c")).otherwise(0)).alias("agree"),
                 F.sum(F.col("c").cast(_D) * F.coalesce(F.col("cb"), F.lit(0)).cast(_D)).alias("s"))
     n = F.col("n").cast(_D)

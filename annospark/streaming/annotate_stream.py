@@ -27,9 +27,12 @@ def annotate_batch(batch: DataFrame, id_col: str, text_col: str = "text", scorer
 
 
 def start_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, id_col: str,
-                 text_col: str = "text", files_per_trigger: int = 1, available_now: bool = True):
+                 text_col: str = "text", files_per_trigger: int | None = None, available_now: bool = True):
     schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:       # a rate; unset, a batch takes all that has landed
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    stream = reader.parquet(source)
 
     def write_batch(bdf: DataFrame, batch_id: int) -> None:
         (annotate_batch(bdf, id_col, text_col).withColumn("batch_id", F.lit(batch_id))
@@ -41,12 +44,12 @@ def start_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, i
 
 
 def stream_annotate(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str = "text",
-                    n_files: int = 4) -> DataFrame:
-    """Land `docs` as n_files chunk files in the shared checkpoint folder, run the
+                    files_per_trigger: int | None = None) -> DataFrame:
+    """Land `docs`, one file per partition, in the shared checkpoint folder, run the
     stream to completion, and return the annotated table."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     src, sink, ckpt = f"{base}/landing", f"{base}/annotated", f"{base}/checkpoint"
-    docs.select(id_col, text_col).repartition(n_files).write.parquet(src)
-    q = start_stream(spark, src, sink, ckpt, id_col, text_col)
+    docs.select(id_col, text_col).write.parquet(src)
+    q = start_stream(spark, src, sink, ckpt, id_col, text_col, files_per_trigger)
     q.awaitTermination()
     return spark.read.parquet(sink).drop("batch")   # folder name; batch_id is a data column

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from annospark.functions.hashing import h_parts
 from annospark.operators import prep as P
-from annospark.operators.joins import sized_broadcast
+from annospark.operators import inference as I
 from annospark.operators.metrics import metrics_summary, pairwise_kappa
 from annospark.operators.reshape import stratified_sample, top_n_per_group
 from conftest import SF0001
@@ -37,13 +37,10 @@ def test_stratified_sample_is_exact(spark):
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in ref.collect())
 
 
-def test_sized_broadcast_falls_back(spark):
-    small = spark.range(10)
-    big = spark.range(1000)
-    assert "ResolvedHint" in small.join(sized_broadcast(small, 100), "id")._jdf.queryExecution().analyzed().toString() \
-        or "broadcast" in small.join(sized_broadcast(small, 100), "id")._jdf.queryExecution().optimizedPlan().toString().lower()
-    plan = spark.range(5).join(sized_broadcast(big, 100), "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "BROADCAST" not in plan.upper().replace("AUTOBROADCAST", "")
+def test_numbered_without_one_task(spark):
+    ids = spark.range(5000).select((F.col("id") * 7919 % 100003).alias("x"))
+    got = I.numbered(ids.repartition(13), "x")
+    assert [r.k for r in got.orderBy("x").collect()] == list(range(5000))
 
 
 def _physical(df):

@@ -11,7 +11,7 @@ from conftest import SF0001
 
 def test_stream_annotate_terminates_and_covers_input(spark):
     docs = spark.read.parquet(f"{SF0001}/documents.parquet")
-    out = stream_annotate(spark, docs, "doc_id", n_files=3)
+    out = stream_annotate(spark, docs.repartition(3), "doc_id", files_per_trigger=1)
     assert out.count() == docs.count()
     assert out.select("doc_id").distinct().count() == docs.count()
     assert set(r[0] for r in out.select("label").distinct().collect()) <= {"yes", "no"}
