@@ -11,9 +11,9 @@ from annospark.operators.answers import normalize_answers
 from annospark.operators.metrics import condition_long, markers_by_outcome, outcome
 from annospark.plans import fixtures as fx
 from annospark.plans.catalog import register
+from annospark.plans.q_text import SPLIT, TEXT_BLOCKS, q, text_blocks
 from annospark.plans.oracle_base import RAW, with_base
 from annospark.plans.q_answers import PARSED_JSON
-from annospark.plans.q_text import q
 from annospark.functions.text import safe_name
 from annospark.sources.tables import table, table_spread
 from annospark.streaming.annotate_stream import stream_annotate
@@ -168,11 +168,11 @@ FROM mc JOIN sz USING (model_key, prompt, outcome)""")(_markers_by_outcome)
 # ------------------------------------------------------------------ A1
 _RULE_RAW = (f"""'{{"label": "' || CASE WHEN round(s, 6) >= {AN.RULE_THRESHOLD} THEN 'yes' ELSE 'no' END ||
   '", "confidence": "' || CASE WHEN abs(s - {AN.RULE_THRESHOLD}) >= 0.2 THEN 'high' ELSE 'low' END || '"}}'""")
-register("score_blocks", f"""WITH s AS (SELECT doc_id, text, {_SCORE_SQL} AS s FROM documents),
-r AS (SELECT doc_id, text, {_RULE_RAW} AS raw_text FROM s)
-SELECT doc_id, raw_text, 'ok' AS status, CAST(1 AS INTEGER) AS attempts, CAST(length(text) // 4 AS BIGINT) AS tokens_in,
+register("score_blocks", with_base(SPLIT, TEXT_BLOCKS, f"""s AS (SELECT block_id, text, {_SCORE_SQL} AS s FROM tb),
+r AS (SELECT block_id, text, {_RULE_RAW} AS raw_text FROM s)""") + """
+SELECT block_id, raw_text, 'ok' AS status, CAST(1 AS INTEGER) AS attempts, CAST(length(text) // 4 AS BIGINT) AS tokens_in,
        CAST(length(raw_text) // 4 AS BIGINT) AS tokens_out FROM r""")(
-    lambda spark, sf: AN.score(table_spread(spark, sf, "documents"), AN.rule_scorer, keep=["doc_id"]))
+    lambda spark, sf: AN.score(text_blocks(spark, sf), AN.rule_scorer, keep=["block_id"]))
 
 # ------------------------------------------------------------------ A5 (streaming, rows-only check)
 register("stream_annotate", f"""WITH s AS (SELECT doc_id, text, {_SCORE_SQL} AS s FROM documents)

@@ -228,14 +228,26 @@ SELECT source, GROUPING(source) AS level, count(*) AS n_files, CAST(sum(n_sent)
        round(CAST(sum(n_sent) AS DOUBLE) / NULLIF(CAST(sum(CAST(ceil(n_sent / 3) AS BIGINT)) AS DOUBLE), 0), 6) AS sent_per_chunk
 FROM sa GROUP BY ROLLUP (source)""")(lambda spark, sf: P.corpus_summary_of(learned_sentences(spark, sf, ["source"]), "source"))
 
-# ------------------------------------------------------------------ P10
+# ------------------------------------------------------------------ P10 (over the 3-sentence blocks)
+def text_blocks(spark, sf):
+    """The unit of annotation: block_id (doc_id-chunk_idx), text, author, work, year."""
+    blocks = P.chunks_of(learned_sentences(spark, sf, ["source"]), ["doc_id", "source"])
+    return (blocks.join(fx.works(spark, sf).withColumnRenamed("doc_id", "file"), F.col("source") == F.col("work"), "left")
+            .select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_idx").cast("string")).alias("block_id"),
+                    "text", "author", "work", "year"))
+
+
+TEXT_BLOCKS = """tb0 AS (SELECT doc_id, sent_idx // 3 AS c, string_agg(sentence, ' ' ORDER BY sent_idx) AS text FROM sent GROUP BY doc_id, sent_idx // 3),
+tb AS (SELECT CAST(t.doc_id AS VARCHAR) || '-' || CAST(CAST(c AS BIGINT) AS VARCHAR) AS block_id, t.text, w.author, w.work, w.year
+       FROM tb0 t JOIN documents d ON d.doc_id = t.doc_id LEFT JOIN works w ON w.work = d.source)"""
+
 _TV = ", ".join(f"({q(k)}, {q(v)})" for k, v in sorted(TEMPLATES.items()))
-register("requests", with_base(f"tm AS (SELECT * FROM (VALUES {_TV}) t(prompt, template))") + """
-SELECT 'prompt' || tm.prompt || '_row' || CAST(b.block_id AS VARCHAR) AS request_id, b.block_id, tm.prompt,
+register("requests", with_base(SPLIT, TEXT_BLOCKS, f"tm AS (SELECT * FROM (VALUES {_TV}) t(prompt, template))") + """
+SELECT 'prompt' || tm.prompt || '_row' || b.block_id AS request_id, b.block_id, tm.prompt,
        replace(replace(tm.template, '{TEXT}', b.text), '{CONTEXT}',
                concat_ws(', ', COALESCE(b.author, 'Autore sconosciuto'), COALESCE(b.work, 'Opera sconosciuta'),
                          COALESCE(CAST(b.year AS VARCHAR), 'anno ignoto'))) AS request_text
-FROM blocks b, tm""")(lambda spark, sf: P.build_requests(fx.blocks(spark, sf), TEMPLATES))
+FROM tb b, tm""")(lambda spark, sf: P.build_requests(text_blocks(spark, sf), TEMPLATES))
 
 # ------------------------------------------------------------------ P11
 register("preview", """
