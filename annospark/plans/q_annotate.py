@@ -180,7 +180,7 @@ SELECT doc_id, CASE WHEN round(s, 6) >= {AN.RULE_THRESHOLD} THEN 'yes' ELSE 'no'
        CASE WHEN abs(s - {AN.RULE_THRESHOLD}) >= 0.2 THEN 'high' ELSE 'low' END AS confidence,
        'ok' AS status, CAST(1 AS INTEGER) AS attempts, CAST(length(text) // 4 AS BIGINT) AS tokens_in,
        CAST(length({_RULE_RAW.replace("round(s, 6)", "round(s, 6)")}) // 4 AS BIGINT) AS tokens_out FROM s""")(
-    lambda spark, sf: stream_annotate(spark, table(spark, sf, "documents"), "doc_id").drop("batch_id"))
+    lambda spark, sf: stream_annotate(spark, table_spread(spark, sf, "documents"), "doc_id").drop("batch_id"))
 
 # ------------------------------------------------------------------ P12
 register("safe_name", f"""WITH {_LOG}
