@@ -8,11 +8,13 @@ and is blended, from the empty context to ORDER characters, with its frequency
 after that context; contexts never met change nothing, so the order varies with
 what the corpus holds.  A URL's score is the difference of the two log-likelihoods
 per character, and the threshold is the one with the least balanced error on a
-tenth of the labelled rows, which the models do not learn from.
+tenth of the labelled rows, scored by the counts of the other nine; all other
+rows are scored by the counts of all labelled rows.
 
-Counts cover all labelled rows.  They are kept in `slots` hashed counters per
-model, summed by Spark; the finished counters are broadcast, and `slots` bounds
-their size whatever the input's.
+Counts are exact: each context and each (context, byte) has its own counter, in a
+stored table that grows with the input.  The distinct byte runs of the rows to
+score are joined with it, then the rows with their runs' gains; nothing of it
+reaches the driver or is bounded by a constant.
 
 Defined cases: a null url, or one without `://`, has empty host and path, fits no
 rule and is judged as the empty string (score 0); without labelled rows of both
@@ -31,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annospark.llm.common import shipped
+from annospark.llm.common import shipped, stored
 
 ORDER = 4
-SLOTS = 1 << 19
+SLOTS = 1 << 19                                   # counts that a task gathers before it passes them on
+SYMBOL_BITS = 9                                   # a byte, or the text's start
+CODE_BITS = SYMBOL_BITS * (ORDER + 1)
+UNIT = 1 << 32
 BLEND = 2.0
 ALPHABET = 256
 BINS, WIDEST = 2048, 8.0
@@ -63,74 +68,113 @@ def longest_rule(host: Column, path: Column, rules) -> Column:
     return out if out is not None else F.lit(None).cast("struct<verdict:string,rule:string>")
 
 
-def context_slots(texts: list[str], slots: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Of all bytes of the texts in a row: the text's number, and per order the counter of (context, byte) and of the context.
+def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of all bytes of the texts in a row: the text's number, and the byte behind its ORDER predecessors, SYMBOL_BITS bits each.
 
-    Contexts do not cross texts; order k of a byte with fewer than k bytes before it reads the text's start as byte 0.
+    Contexts do not cross texts; a predecessor before the text's start reads as 0, a byte b as b + 1.
     """
     data = [t.encode() for t in texts]
     sizes = np.array([len(d) for d in data], dtype=np.int64)
-    flat = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.uint64)
+    flat = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.int64) + 1
     owner = np.repeat(np.arange(len(data)), sizes)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    both, alone = [], []
-    context = np.zeros(len(flat), dtype=np.uint64)
+    code = flat.copy()
+    for k in range(1, ORDER + 1):
+        before = np.concatenate([np.zeros(min(k, len(flat)), np.int64), flat[:max(0, len(flat) - k)]])
+        code |= np.where(place >= k, before, 0) << (SYMBOL_BITS * k)
+    return owner, code
+
+
+def counter_keys() -> Column:
+    """The counters that a column `code` reads: number 2k is order k's (context, byte), 2k + 1 its context alone."""
+    out = []
     for k in range(ORDER + 1):
-        if k:
-            before = np.concatenate([np.zeros(min(k, len(flat)), np.uint64), flat[:max(0, len(flat) - k)]])
-            context = context * np.uint64(0x100000001B3) + np.where(place >= k, before + np.uint64(1), 0).astype(np.uint64)
-        for kind, out in ((flat + np.uint64(1), both), (np.uint64(0), alone)):
-            h = (context * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) + kind
-            h ^= h >> np.uint64(31)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            out.append(((h >> np.uint64(24)) % np.uint64(slots)).astype(np.int64))
-    return owner, both, alone
-
-
-def log_likelihood(both: list[np.ndarray], alone: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
-    p = np.full(len(both[0]), 1.0 / ALPHABET)
-    for b, a in zip(both, alone):
-        n = np.maximum(counts[a], counts[b])       # colliding counters never give more than 1
-        p = (counts[b] + BLEND * p) / (n + BLEND)
-    return np.log(p)
-
-
-def fit(labelled: DataFrame, slots: int = SLOTS) -> np.ndarray | None:
-    """(label 0 or 1, key) -> counters, shape (2, slots); row 1 is the accepted model. None if a label is missing."""
+        both = F.col("code").bitwiseAND(F.lit((1 << SYMBOL_BITS * (k + 1)) - 1))
+        out += [both + F.lit(2 * k << CODE_BITS), F.shiftright(both, SYMBOL_BITS) + F.lit(2 * k + 1 << CODE_BITS)]
+    return F.array(*out)
+
+
+def fit(labelled: DataFrame, slots: int = SLOTS) -> DataFrame | None:
+    """(label 0 or 1, key, perhaps held) -> the stored counters: key, all0, all1, and some0, some1 of the rows not held.
+
+    A task gathers about `slots` counts before it hands them to Spark's sum. None if a label is missing.
+    """
+    held = F.col("held") if "held" in labelled.columns else F.lit(False)
+    rows = labelled.select((F.col("label") * 2 + held.cast("int")).alias("cell"), "key")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed() -> pa.RecordBatch:
+            values, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([n for _, n in found])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(values >> 2), pa.array(values & 3), pa.array(n)], names=["code", "cell", "n"])
+
+        found: list[tuple] = []
         for batch in batches:
-            labels = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            owner, both, alone = context_slots(batch.column(1).to_pylist(), slots)
-            if len(owner):
-                keys = np.concatenate([labels[owner] * slots + s for s in (*both, *alone)])
-                values, n = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], names=["slot", "n"])
-
-    sums = labelled.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(2 * slots)
-    table[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
-    table = table.reshape(2, slots)
-    return table if table.sum(axis=1).all() else None
-
-
-def scored(rows: DataFrame, model: np.ndarray | None) -> DataFrame:
-    """Adds `score`, the accepted minus the rejected log-likelihood per byte of `key`."""
+            cells = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+            owner, code = gram_codes(batch.column(1).to_pylist())
+            if len(code):
+                found.append(np.unique(code << 2 | cells[owner], return_counts=True))
+            if sum(len(c) for c, _ in found) >= slots:
+                yield summed()
+                found.clear()
+        if found:
+            yield summed()
+
+    met = rows.mapInArrow(count, "code long, cell long, n long")
+    cells = {"all0": "cell < 2", "all1": "cell >= 2", "some0": "cell = 0", "some1": "cell = 2"}
+    codes = met.groupBy("code").agg(*[F.sum(F.when(F.expr(which), F.col("n")).otherwise(0)).alias(c) for c, which in cells.items()])
+    counters = stored(codes.select(F.explode(counter_keys()).alias("key"), *cells).groupBy("key").agg(*[F.sum(c).alias(c) for c in cells]))
+    total = counters.where(F.col("key") == F.lit(1 << CODE_BITS)).collect()     # order 0's context: one row
+    return counters if total and total[0].all0 and total[0].all1 else None
+
+
+def gains(codes: DataFrame, model: DataFrame) -> DataFrame:
+    """code, gain, trial: the accepted minus the rejected log-likelihood in UNITs, by all labelled rows and by those not held."""
+    cells = ("all0", "all1", "some0", "some1")
+    asked = codes.select("code", F.posexplode(counter_keys()).alias("number", "key"))
+    read = asked.join(model.withColumnRenamed("key", "m_key"), F.col("key") == F.col("m_key"), "left")
+    each = read.groupBy("code").agg(*[F.coalesce(F.max(F.when(F.col("number") == i, F.col(c))), F.lit(0)).alias(f"{c}_{i}")
+                                      for c in cells for i in range(2 * ORDER + 2)])
+
+    def likelihood(c: str) -> Column:
+        p = F.lit(1.0 / ALPHABET)
+        for k in range(ORDER + 1):
+            p = (F.col(f"{c}_{2 * k}") + BLEND * p) / (F.col(f"{c}_{2 * k + 1}") + BLEND)
+        return F.log(p)
+
+    def gain(c: str) -> Column:
+        both = (F.col(f"{c}0_1") > 0) & (F.col(f"{c}1_1") > 0)
+        return F.when(both, F.round((likelihood(f"{c}1") - likelihood(f"{c}0")) * UNIT)).otherwise(0).cast("bigint")
+
+    return each.select("code", gain("all").alias("gain"), gain("some").alias("trial"))
+
+
+def scored(rows: DataFrame, model: DataFrame | None) -> DataFrame:
+    """Adds `score`, the accepted minus the rejected log-likelihood per byte of `key`; rows `held`, if named, by the counts without them.
+
+    Gains are summed in whole UNITs, so equal keys have equal scores in whatever order Spark adds.
+    """
     if model is None:
         return rows.withColumn("score", F.lit(0.0))
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    names = rows.columns
-    at = names.index("key")
+    named = stored(rows.withColumn("__row", F.monotonically_increasing_id()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rejected, accepted = shared.value
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, both, alone = context_slots(batch.column(at).to_pylist(), len(accepted))
-            gain = log_likelihood(both, alone, accepted) - log_likelihood(both, alone, rejected)
-            n = np.bincount(owner, minlength=batch.num_rows)
-            score = np.bincount(owner, weights=gain, minlength=batch.num_rows) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*names, "score"])
-
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", score double")
+            numbers = batch.column(0).to_numpy()
+            owner, code = gram_codes(batch.column(1).to_pylist())
+            order = np.lexsort((code, owner))
+            owner, code = owner[order], code[order]
+            first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])])[:len(code)])
+            n = np.diff(np.append(first, len(code)))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[owner[first]]), pa.array(code[first]), pa.array(n)], names=["g_row", "code", "n"])
+
+    met = named.select("__row", "key").mapInArrow(grams, "g_row long, code long, n long")
+    gain = stored(gains(met.select("code").distinct(), model)).withColumnRenamed("code", "g_code")
+    sums = stored(met.join(gain, F.col("code") == F.col("g_code")).groupBy("g_row").agg(
+        F.sum(F.col("n") * F.col("gain")).alias("gain"), F.sum(F.col("n") * F.col("trial")).alias("trial")))
+    units = F.when(F.col("held"), F.col("trial")).otherwise(F.col("gain")) if "held" in rows.columns else F.col("gain")
+    score = F.coalesce(units / F.lit(float(UNIT)) / F.greatest(F.octet_length("key"), F.lit(1)), F.lit(0.0))
+    return named.join(sums, F.col("__row") == F.col("g_row"), "left").select(*rows.columns, score.alias("score"))
 
 
 def calibrated(held_out: DataFrame) -> float:
@@ -155,11 +199,12 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
             .withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
             .select(F.col(id_col), "host", "path", "fit.rule", F.col("fit.verdict").alias("ruled"),
                     F.concat("host", "path").alias("key")))
-    labelled = rows.where("ruled is not null").select(F.when(F.col("ruled") == "allow", 1).otherwise(0).alias("label"), "key",
-                                                      (F.pmod(F.xxhash64("key"), F.lit(10)) == 0).alias("held"))
-    model = fit(labelled.where("not held").select("label", "key"), slots)
-    threshold = calibrated(scored(labelled.where("held").select("label", "key"), model)) if model is not None else 0.0
-    judged = scored(rows.where("ruled is null"), model).withColumn(
+    rows = rows.withColumn("held", F.col("ruled").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(10)) == 0))
+    label = F.when(F.col("ruled") == "allow", 1).otherwise(0).alias("label")
+    model = fit(rows.where("ruled is not null").select(label, "key", "held"), slots)
+    scores = scored(rows.where("ruled is null or held"), model)
+    threshold = calibrated(scores.where("held").select(label, "score")) if model is not None else 0.0
+    judged = scores.where("ruled is null").withColumn(
         "verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     decided = rows.where("ruled is not null").withColumn("score", F.lit(None).cast("double")).withColumn("verdict", F.col("ruled"))
     return decided.unionByName(judged).select(F.col(id_col), "host", "path", "rule", "verdict", "score", F.lit(threshold).alias("threshold"))

@@ -78,3 +78,29 @@ def test_threshold_least_error(spark):
     rows = spark.createDataFrame([(1, 2.0)] * 5 + [(0, -2.0)] * 5, "label int, score double")
     assert -2.0 < urlfilter.calibrated(rows) <= 2.0 and abs(urlfilter.calibrated(rows)) < 0.1
     assert urlfilter.calibrated(rows.where("label = 1")) == 0.0
+
+
+def test_counts_are_exact_and_grow(spark):
+    texts = [("".join(chr(97 + (i * 7919 + j * j * 31 + i * j) % 26) for j in range(40)), i % 2) for i in range(60)]
+    labelled = spark.createDataFrame([(k, t, i % 10 == 0) for i, (t, k) in enumerate(texts)], "label int, key string, held boolean")
+    want = {c: Counter() for c in ("all0", "all1", "some0", "some1")}
+    for i, (t, k) in enumerate(texts):
+        symbols = [0] * urlfilter.ORDER + [b + 1 for b in t.encode()]
+        for at in range(urlfilter.ORDER, len(symbols)):
+            for o in range(urlfilter.ORDER + 1):
+                for kind, run in ((0, symbols[at - o:at + 1]), (1, symbols[at - o:at])):
+                    value = sum(x << urlfilter.SYMBOL_BITS * j for j, x in enumerate(reversed(run)))
+                    key = (2 * o + kind << urlfilter.CODE_BITS) + value
+                    want[f"all{k}"][key] += 1
+                    want[f"some{k}"][key] += i % 10 != 0
+    met = set(want["all0"]) | set(want["all1"])
+    for slots in (16, 1 << 20):                     # fewer slots than contexts share no counter
+        rows = urlfilter.fit(labelled, slots).collect()
+        assert {r.key for r in rows} == met and len(rows) == len(met) > 16
+        assert all(r[c] == want[c][r.key] for r in rows for c in want)
+
+
+def test_scores_do_not_change_with_slots(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    few, many = ({r.page_id: r for r in urlfilter.filter_urls(pages, slots=n).collect()} for n in (64, 1 << 22))
+    assert few == many
