@@ -3,7 +3,8 @@
 Rules name a host and a path prefix; a rule fits its host and all subdomains,
 and the longest fitting rule wins.  URLs that a rule decides are the labelled
 rows: one smoothed variable-order Markov model learns from the accepted ones,
-one from the rejected ones.  A character's probability starts from a uniform one
+one from the rejected ones.  The models read the whole url, with scheme, query
+and fragment; host and path serve the rules.  A character's probability starts from a uniform one
 and is blended, from the empty context to ORDER characters, with its frequency
 after that context; contexts never met change nothing, so the order varies with
 what the corpus holds.  A URL's score is the difference of the two log-likelihoods
@@ -16,8 +17,8 @@ stored table that grows with the input.  The distinct byte runs of the rows to
 score are joined with it, then the rows with their runs' gains; nothing of it
 reaches the driver or is bounded by a constant.
 
-Defined cases: a null url, or one without `://`, has empty host and path, fits no
-rule and is judged as the empty string (score 0); without labelled rows of both
+Defined cases: a null url, or one without `://`, has empty host and path and fits no
+rule; the models judge what it says, a null url as the empty string (score 0); without labelled rows of both
 kinds all scores are 0 and the threshold is 0, so the method allows; null
 ids and repeated rows are judged row by row; an empty table gives an empty
 result.  Only the named columns are read.
@@ -195,10 +196,9 @@ def calibrated(held_out: DataFrame) -> float:
 def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, slots: int = SLOTS) -> DataFrame:
     """page id, host, path, rule, verdict, score (null where a rule decides), threshold."""
     host, path = host_and_path(F.col(url_col))
-    rows = (pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    rows = (pages.select(F.col(id_col), host.alias("host"), path.alias("path"), F.coalesce(F.col(url_col), F.lit("")).alias("key"))
             .withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
-            .select(F.col(id_col), "host", "path", "fit.rule", F.col("fit.verdict").alias("ruled"),
-                    F.concat("host", "path").alias("key")))
+            .select(F.col(id_col), "host", "path", "fit.rule", F.col("fit.verdict").alias("ruled"), "key"))
     rows = rows.withColumn("held", F.col("ruled").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(10)) == 0))
     label = F.when(F.col("ruled") == "allow", 1).otherwise(0).alias("label")
     model = fit(rows.where("ruled is not null").select(label, "key", "held"), slots)

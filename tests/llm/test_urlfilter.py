@@ -104,3 +104,13 @@ def test_scores_do_not_change_with_slots(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     few, many = ({r.page_id: r for r in urlfilter.filter_urls(pages, slots=n).collect()} for n in (64, 1 << 22))
     assert few == many
+
+
+def test_models_read_the_whole_url(spark):
+    ruled = [(i, f"http://a{i}.com/x?good=yes#top") for i in range(40)] + [(100 + i, f"http://a{i}.net/fr/x?evil=no#end") for i in range(40)]
+    asked = ["http://q.org/x?good=yes#top", "http://q.org/x?evil=no#end", "good=yes#top", "evil=no#end", None]
+    pages = spark.createDataFrame(ruled + [(200 + i, u) for i, u in enumerate(asked)], "page_id long, url string")
+    got = {r.page_id: r for r in urlfilter.filter_urls(pages).collect()}
+    assert got[200].score > got[201].score and got[202].score > 0 > got[203].score and got[204].score == 0
+    assert [got[i].verdict for i in (200, 201, 202, 203)] == ["allow", "block", "allow", "block"]
+    assert (got[200].host, got[200].path, got[202].host, got[202].path) == ("q.org", "/x", "", "")
