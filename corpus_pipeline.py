@@ -19,14 +19,12 @@ from annospark.llm import bpe, langid, minhash, mixing, substrings
 from annospark.llm.common import same, stored, table, word_count
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: The share of a text's n-grams that its language must know, at least.
-LEAST_SCORE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts of which no learned language knows a LEAST_SCORE share."""
-    judged = langid.predict(docs, langid.fit(docs), carry=COLUMNS[1:])
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    """Drops texts without a letter and texts of which the languages know less than of the documents that taught them."""
+    judged = langid.predict(docs, langid.fit(docs, own=True), carry=COLUMNS[1:], typical=True)
+    return judged.where("typical").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from annospark.llm import langid, queries
 
 SF = "/root/testdata/sf0.01"
@@ -52,3 +53,30 @@ def test_many_languages():
             tables[i // langid.SLICE_LANGS][p] |= np.uint64(1 << i % langid.SLICE_LANGS)
     model = {"languages": names, "table": tables, "false_rate": [0.0] * 70}
     assert all(langid.hits(grams[i], model)[i] == len(grams[i]) for i in range(70))
+
+
+def test_languages_of_few_short_documents(spark):
+    """Of 1, 2, 3 and 10 documents without a common 4-gram, in scripts of their own: all are kept; a foreign text and noise are not."""
+    words = {n: ["".join(chr(start + (7 * i + 3 * j) % 24) for j in range(9)) for i in range(n)]
+             for n, start in ((1, 0x3B1), (2, 0x430), (3, 0x561), (10, 0x10D0))}
+    rows = [(100 * n + i, f"{w}{w[::-1]}", f"own{n:02d}") for n, ws in words.items() for i, w in enumerate(ws)]
+    english = [(5000 + i, f"the house and the garden of number {k} are old and the road there is long", "en")
+               for i, k in enumerate(["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"] * 12)]
+    strange = [(9000, "\u05e9\u05dc\u05d5\u05dd \u05e2\u05d5\u05dc\u05dd", None),
+               (9001, "the qzxj wvkq jjxz qqvw zxkj vwqz kkxj zqvx jwqk xzvj qkwz vxjq wzkx", None)]
+    docs = spark.createDataFrame(rows + english + strange, "doc_id long, text string, lang string")
+    docs = docs.withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("bigint"))
+    got = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs, own=True), typical=True).collect()}
+    for i, _, lang in rows + english:
+        assert (got[i].lang_pred, got[i].typical) == (lang, True) and got[i].score > 0.9
+    assert not got[9000].typical and not got[9001].typical
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows + english}
+
+
+def test_document_floor_is_one_share(spark):
+    """A 4-gram of one document in 50 is learned by the share alone, as in a language of one document."""
+    docs = spark.createDataFrame([(i, "common words" if i else "zygote", "xx") for i in range(50)], "doc_id long, text string, lang string")
+    h = langid.gram_hashes("zygote")
+    for size in (1, 2, 3, 50):
+        assert langid.hits(h, langid.fit(docs.where(f"doc_id < {size}")))[0] == len(h)
