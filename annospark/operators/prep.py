@@ -9,7 +9,7 @@ A document is one row, so the work per task is bounded by the row size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annospark.functions.text import WS, collapse_ws, is_chapter_title, utrim
@@ -21,7 +21,9 @@ SENT_MARK = "\ue002"
 
 # Sentence boundary (ours): a run of . ! ? or ellipsis, optional closing
 # quotes/brackets, then whitespace.  Semicolons are not boundaries.
-BOUNDARY_RE = "([.!?…]+[\"'»”’)\\]]*)" + WS + "+"
+SENTENCE_END = "[.!?…]+[\"'»”’)\\]]*"
+SENTENCE_END_RE = SENTENCE_END + r"\z"
+BOUNDARY_RE = "(" + SENTENCE_END + ")" + WS + "+"
 
 
 # ---------------------------------------------------------------- S1
@@ -71,6 +73,10 @@ def _last_type(s: Column) -> Column:
     return F.lower(F.regexp_replace(tok, r"\.$", ""))
 
 
+def _pieces(paragraph: Column) -> Column:
+    return F.split(F.regexp_replace(paragraph, BOUNDARY_RE, "$1" + SENT_MARK), SENT_MARK)
+
+
 def sentence_array(paragraph: Column, abbrevs: list[str] | None = None) -> Column:
     """Split one paragraph into cleaned sentences (length > 1).
 
@@ -78,7 +84,7 @@ def sentence_array(paragraph: Column, abbrevs: list[str] | None = None) -> Colum
     the next one (a left fold over the candidates of the paragraph).  The
     abbreviation list is a learned set of bounded size (hundreds of types).
     """
-    pieces = F.split(F.regexp_replace(paragraph, BOUNDARY_RE, "$1" + SENT_MARK), SENT_MARK)
+    pieces = _pieces(paragraph)
     if abbrevs:
         ab = F.array(*[F.lit(a) for a in sorted(set(abbrevs))])
 
@@ -98,6 +104,37 @@ def doc_sentence_array(text: Column, abbrevs: list[str] | None = None) -> Column
     return F.flatten(F.transform(paragraph_array(text), lambda p: sentence_array(p, abbrevs)))
 
 
+def sentence_counts(parts: DataFrame, id_col: str, part_col: str) -> DataFrame:
+    """(id, n_sentences) of texts that come in parts of whole lines, as `doc_sentence_array` counts them in the whole text.
+
+    A part's inner pieces count where they stand. Its first and last pieces go on in the neighbouring parts
+    unless a paragraph or a sentence ends there; only these, two rows a part, are put in order and joined.
+    """
+    lines = F.split(F.regexp_replace("text", r"\n\z", ""), "\n")
+    is_text = lambda line: (utrim(line) != "") & ~is_chapter_title(line)
+    cut = parts.select(F.col(id_col).alias("__id"), F.col(part_col).alias("__part"), "text", lines.alias("l")).select(
+        "__id", "__part", is_text(F.element_at("l", 1)).alias("head"), is_text(F.element_at("l", -1)).alias("tail"),
+        F.flatten(F.transform(paragraph_array(F.col("text")), _pieces)).alias("p"))
+    n = F.size("p")
+    counted = lambda piece: F.length(collapse_ws(piece)) > 1
+    inner = F.size(F.filter(F.slice("p", 2, F.greatest(n - 2, F.lit(0))), counted)).cast("bigint")
+    open_end = F.col("tail") & ~F.element_at("p", -1).rlike(SENTENCE_END_RE)
+    first = F.struct(F.lit(0).alias("side"), F.element_at("p", 1).alias("piece"), F.col("head").alias("joins"),
+                     ((n == 1) & open_end).alias("goes_on"), inner.alias("inner"))
+    last = F.struct(F.lit(1).alias("side"), F.element_at("p", -1).alias("piece"), F.lit(False).alias("joins"),
+                    open_end.alias("goes_on"), F.lit(0).cast("bigint").alias("inner"))
+    # a part without a piece has blank lines and titles only: its row ends the paragraph
+    none = F.struct(F.lit(0).alias("side"), F.lit("").alias("piece"), F.lit(False).alias("joins"), F.lit(False).alias("goes_on"),
+                    F.lit(0).cast("bigint").alias("inner"))
+    edges = cut.select("__id", "__part", F.inline(F.when(n == 0, F.array(none)).when(n == 1, F.array(first)).otherwise(F.array(first, last))))
+    order = Window.partitionBy("__id").orderBy("__part", "side")
+    new = ~(F.coalesce(F.lag("goes_on").over(order), F.lit(False)) & F.col("joins"))
+    whole = (edges.withColumn("new", new.cast("bigint")).withColumn("run", F.sum("new").over(order))
+             .groupBy("__id", "run").agg(F.sum("inner").alias("inner"), F.array_sort(F.collect_list(F.struct("__part", "side", "piece"))).alias("run_of")))
+    joined = F.array_join(F.transform("run_of", lambda r: r["piece"]), " ")
+    return whole.groupBy(F.col("__id").alias(id_col)).agg((F.sum("inner") + F.count_if(counted(joined))).alias("n_sentences"))
+
+
 def sentences(df: DataFrame, id_col: str, text_col: str = "text", abbrevs: list[str] | None = None) -> DataFrame:
     """(id, sent_idx, sentence) by the boundary pattern: explicit position instead of file line order.
 

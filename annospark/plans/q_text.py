@@ -264,17 +264,26 @@ def _scratch(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _read_corpus(spark, sf):
-    """One .txt file per work (documents of a source concatenated), read back with binaryFile."""
+PART_DOCS = 256     # documents a file, at most
+
+
+def _read_corpus(spark, sf, part_docs: int = PART_DOCS):
+    """.txt files of up to part_docs documents of a work in doc_id order, read back with binaryFile; figures per work.
+
+    A work's files are parts of one text: sentences that run across files count once (P.sentence_counts).
+    """
     path = _scratch(spark, "corpus")
-    docs = _docs(spark, sf)
-    # one file per work, documents in doc_id order (the order satisfies the writer's partition sort)
-    (docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text")
-     .write.partitionBy("source").text(path))
+    docs = _docs(spark, sf).select("source", "doc_id", "text").where("text is not null")
+    # ranges of (work, doc_id): a task's files and the tasks' numbers are in this order
+    (docs.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id").select("source", "text")
+     .write.option("maxRecordsPerFile", part_docs).partitionBy("source").text(path))
     files = P.read_corpus(spark, path)
-    return files.select(F.regexp_extract("path", r"source=([^/]+)", 1).alias("work"),
-                        F.length("text").cast("bigint").alias("n_chars"),
-                        F.size(P.doc_sentence_array(F.col("text"))).cast("bigint").alias("n_sentences"))
+    parts = files.select(F.regexp_extract("path", r"source=([^/]+)", 1).alias("work"),
+                         F.struct(F.regexp_extract("filename", r"^part-(\d+)", 1).cast("long").alias("task"),
+                                  F.regexp_extract("filename", r"c(\d+)\.txt$", 1).cast("long").alias("file")).alias("part"), "text")
+    chars = parts.groupBy("work").agg(F.sum(F.length("text")).cast("bigint").alias("n_chars"))
+    return chars.join(P.sentence_counts(parts, "work", "part"), "work", "left").select(
+        "work", "n_chars", F.coalesce("n_sentences", F.lit(0)).cast("bigint").alias("n_sentences"))
 
 
 register("read_corpus", f"""

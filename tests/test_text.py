@@ -129,3 +129,23 @@ def test_learned_splitting(spark):
     assert arrays[2] == [] and arrays[3] == [] and arrays[4] == ["Uno.", "Due."]
     empty = S.fit(train.where("false"))
     assert S.sentences(docs, "id", empty).where("id = 4").count() == 2
+
+
+def test_sentence_counts_of_parts_equal_the_whole(spark):
+    import random
+    rng = random.Random(7)
+    pool = ["Uno due", "tre.", "Fine! Poi", "", "IV", "  ", "e (così).»", ". ancora", "a", "…", "Capitolo IV", "Disse: no? Sì", "x."]
+    works = {w: [[rng.choice(pool) for _ in range(rng.randint(1, 4))] for _ in range(9)] for w in range(60)}
+    parts = spark.createDataFrame([(w, i, "".join(x + "\n" for x in p)) for w, ps in works.items() for i, p in enumerate(ps)],
+                                  "work int, part int, text string")
+    whole = spark.createDataFrame([(w, "".join(x + "\n" for p in ps for x in p)) for w, ps in works.items()], "work int, text string")
+    want = {r.work: r.n for r in whole.select("work", F.size(P.doc_sentence_array(F.col("text"))).alias("n")).collect()}
+    assert {r.work: r.n_sentences for r in P.sentence_counts(parts, "work", "part").collect()} == want
+
+
+def test_read_corpus_writes_bounded_parts(spark, tmp_path):
+    from annospark.plans import q_text
+    (spark.createDataFrame([(i, f"riga {i} va" + (".\n" if i % 3 else ""), "w") for i in range(50)], "doc_id long, text string, source string")
+     .write.parquet(str(tmp_path / "documents.parquet")))
+    few, one = (q_text._read_corpus(spark, str(tmp_path), part_docs=n).collect() for n in (7, 1000))
+    assert few == one and len(few) == 1
