@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept;
 its result is written as Parquet to the shared folder and read again.  All but
 the last return the columns of `documents`.
 
-Defined cases: rows with a null id are kept apart from each other by near-dedup;
-repeated rows become one there; a document that loses all its words keeps its
+Defined cases: near-dedup judges each row, whether its id is null, repeated or
+neither; repeated rows become one there; a document that loses all its words keeps its
 row until the mix, which takes nothing of it; an empty table gives an empty
 result; other columns of the input are dropped by the first stage.
 """
@@ -28,10 +28,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five words, similarity 0.8), the one with the smallest id."""
-    gone = minhash.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").withColumn("__hash", F.xxhash64("text"))
-    repeat = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("lang", "source"))
+    """Keeps one row of each group of near duplicates (five words, similarity 0.8): the smallest id, null ids last.
+
+    Rows are told apart by a stored key, so null and repeated ids are judged row by row.
+    """
+    rows = stored(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()))
+    groups = minhash.near_duplicates(rows, id_col="__row", words=5, percent=80).select(F.col("doc_id").alias("__g_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    kept = (rows.select("doc_id", "__row").join(groups, F.col("__row") == F.col("__g_row"))
+            .groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("__kept")))
+    left = rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").withColumn("__hash", F.xxhash64("text"))
+    repeat = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("lang", "source", "__row"))   # texts without a word
     return left.withColumn("__repeat", repeat).where(F.col("__repeat") == 1).select(*COLUMNS)
 
 

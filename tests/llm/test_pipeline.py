@@ -67,3 +67,15 @@ def test_empty_table(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
+
+
+def test_near_dedup_judges_rows_of_null_and_repeated_ids(spark):
+    words = lambda k: [f"{k}{i}" for i in range(60)]
+    text = lambda k, end="": " ".join(words(k) + [end] * bool(end))
+    rows = [(None, text("a")), (None, text("a", "x")),                   # near copies without an id: one stays
+            (5, text("b")), (5, text("b", "x")),                         # near copies under one id: one stays
+            (1, text("c")), (7, text("c", "x")), (7, text("d")),         # 7's copy of 1 goes, its other text stays
+            (None, text("e")), (9, text("e", "x"))]                      # the row with an id stays
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_dedup(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text.split()[0]) for r in got) == [("1", "c0"), ("5", "b0"), ("7", "d0"), ("9", "e0"), ("None", "a0")]
