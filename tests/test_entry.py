@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from annospark.sources.tables import TABLES
-from conftest import SF0001
+from paths import SF0001
 
 SAMPLE = ["metrics_summary", "pairwise_kappa", "long_fact", "chunks", "parse_json_answer",
           "bootstrap_contrasts", "stability_votes", "attach_results", "coverage_rollup", "abbrev_types"]

@@ -60,7 +60,7 @@ def test_ppv_published(spark, model, se, sp, ppv, rec, fa):
 
 
 def test_bootstrap_ci_contains_point(spark):
-    from conftest import SF0001
+    from paths import SF0001
     from annospark.operators.reshape import long_fact
     from annospark.plans import fixtures as fx
     lf = long_fact(fx.annotations_wide(spark, SF0001))

@@ -57,7 +57,7 @@ def test_kappa_symmetric_and_multiclass(spark):
 
 
 def test_pairwise_kappa_matches_pairwise_bruteforce(spark):
-    from conftest import SF0001
+    from paths import SF0001
     from annospark.plans import fixtures as fx
     wide = fx.annotations_wide(spark, SF0001)
     pw = {(r["system_A"], r["system_B"]): (r["kappa"], r["n"]) for r in M.pairwise_kappa(wide).collect()}
@@ -78,7 +78,7 @@ def test_pairwise_kappa_matches_pairwise_bruteforce(spark):
 
 
 def test_long_then_pivot_is_identity(spark):
-    from conftest import SF0001
+    from paths import SF0001
     from annospark.plans import fixtures as fx
     wide = fx.annotations_wide(spark, SF0001)
     lf = long_fact(wide, extra=["model_key"])

@@ -85,7 +85,7 @@ def test_logit_cluster_matches_numpy(spark):
 
 
 def test_single_pass_lr_tests_equal_per_subset_fits(spark):
-    from conftest import SF0001
+    from paths import SF0001
     from annospark.operators.reshape import long_fact
     from annospark.plans import fixtures as fx
     lf = long_fact(fx.annotations_wide(spark, SF0001)).cache()

@@ -8,7 +8,7 @@ from annospark.operators import prep as P
 from annospark.operators import inference as I
 from annospark.operators.metrics import metrics_summary, pairwise_kappa
 from annospark.operators.reshape import stratified_sample, top_n_per_group
-from conftest import SF0001
+from paths import SF0001
 
 
 def _skewed(spark, n=20000):

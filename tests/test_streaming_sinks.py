@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from annospark.operators import annotate as AN
 from annospark.sources import files as FS
 from annospark.streaming.annotate_stream import stream_annotate
-from conftest import SF0001
+from paths import SF0001
 
 
 def test_stream_annotate_terminates_and_covers_input(spark):

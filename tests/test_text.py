@@ -44,7 +44,7 @@ def test_short_and_unicode_whitespace(spark):
 
 
 def test_chunk_count_invariant(spark):
-    from conftest import SF0001
+    from paths import SF0001
     docs = spark.read.parquet(f"{SF0001}/documents.parquet")
     per = P.sentences(docs, "doc_id").groupBy("doc_id").count().collect()
     expected = sum(math.ceil(r["count"] / 3) for r in per)
