@@ -4,6 +4,8 @@
   U+0020 and U+0009..U+000D.  ``bytes.split()`` splits at exactly these bytes.
 * ``stored(df)`` cuts lineage by writing Parquet to the folder that the session
   names in ``spark.checkpoint.dir``, which driver and executors share.
+* ``bounded(batches)`` keeps what a Python worker holds at once to a few megabytes
+  of text, however many rows or bytes an Arrow batch has.
 * ``shipped(module)`` makes the functions of a module travel with the job, so
   the workers need no installed copy of this package.
 """
@@ -14,7 +16,11 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +60,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices whose texts (of this column) hold `limit` bytes at most, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import bpe, chat, digest, langid, minhash, mixing, sharding, substrings, topk, urlfilter
+from annospark.llm import bpe, chat, digest, infill, langid, minhash, mixing, sharding, substrings, topk, urlfilter
 from annospark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op9(spark, sf_dir):
 @register("op10_norm_buckets", topk.oracle())
 def op10(spark, sf_dir):
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@register("op11_infill", infill.oracle())
+def op11(spark, sf_dir):
+    return infill.digests(infill.fill_in_middle(table(spark, sf_dir, "documents")))
