@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import bpe, chat, digest, infill, langid, minhash, mixing, sharding, substrings, topk, urlfilter
+from annospark.llm import bpe, chat, digest, infill, langid, minhash, mixing, periods, sharding, substrings, topk, urlfilter
 from annospark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op10(spark, sf_dir):
 @register("op11_infill", infill.oracle())
 def op11(spark, sf_dir):
     return infill.digests(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+@register("op12_periods")
+def op12(spark, sf_dir):
+    return periods.digests(periods.periodic_runs(periods.with_planted_tails(table(spark, sf_dir, "documents"))))
