@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import bpe, chat, digest, infill, langid, minhash, mixing, periods, sharding, substrings, topk, urlfilter
+from annospark.llm import bpe, chat, digest, infill, langid, minhash, mixing, periods, pii, sharding, substrings, topk, urlfilter
 from annospark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ def op11(spark, sf_dir):
 @register("op12_periods")
 def op12(spark, sf_dir):
     return periods.digests(periods.periodic_runs(periods.with_planted_tails(table(spark, sf_dir, "documents"))))
+
+
+@register("op13_pii_boosting")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(pii.find(docs, pii.fit(docs)))
