@@ -1,10 +1,11 @@
 """Exact byte-pair encoding by backtracking, and decoding by an offset table.
 
-A word's byte string is scanned once by an Aho-Corasick automaton of all
-tokens, which gives the longest token at every position.  The encoder takes
-the longest one, checks it against its left neighbour in the
+A word's byte string is scanned by an Aho-Corasick automaton of all tokens for the
+longest ones from left to right, and again from any other position that the encoder comes to.
+The encoder takes the longest token, checks it against its left neighbour in the
 pair-compatibility table (two neighbours are compatible if merging their joined
-bytes by rank gives just these two tokens again), goes on to the next shorter
+bytes by rank gives just these two tokens again: no merge crosses the boundary between them while
+both are built), goes on to the next shorter
 token if it fails, and steps back over the neighbour if none is left.  Positions
 found to be dead ends are marked, so the work is linear in the word.
 
@@ -13,7 +14,8 @@ Decoding gathers from one buffer of all tokens' bytes through an offset table.
 The vocabulary is read by the driver from the tokenizer file whose path the
 caller gives, and broadcast: its size is that of the file, not of the data.
 Each Python worker builds the automaton once and keeps the encodings of words
-it has met, up to WORD_CACHE of them (then the memory starts anew).
+it has met, up to WORD_CACHE bytes of them (then the memory starts anew).  Texts are
+taken in slices of a few megabytes, and their ids are one flat array with offsets.
 
 Defined cases: a null or empty text has no tokens, the digest of no bytes and
 decodes to the empty text; the file's added tokens in a text become their ids;
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +36,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annospark.llm.common import shipped, worker_state
+from annospark.llm.common import bounded, shipped, worker_state
 
 # Fixed value: the split pattern of byte-level tokenizer files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORD_CACHE = 200_000
-PAIR_CACHE = 400_000
+#: What a worker remembers: bytes of words with their encodings (longer words are encoded anew), and pairs of tokens.
+WORD_CACHE, LONGEST_KEPT = 8 << 20, 64
+PAIR_CACHE = 200_000
+NEVER = float("inf")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -84,15 +89,23 @@ class Encoder:
         self.byte_id = {t: i for i, t in enumerate(self.tokens) if len(t) == 1 and i not in self.added.values()}
         self.ids: dict[bytes, int] = {}
         self.automaton = ahocorasick.Automaton()
+        self.parts: dict[int, tuple[int, int]] = {}                           # the two tokens of a token's last merge
+        special = set(self.added.values())
         for i, t in enumerate(self.tokens):       # a token that its own merges don't produce is never an encoding
-            if t and i not in self.added.values() and (len(t) == 1 or i in merged and self.merge(t) == [i]):
+            if t and i not in special and (len(t) == 1 or i in merged and self.merge(t) == [i]):
                 self.ids[t] = i
                 self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
+        made = {i: self.pairs[p][0] for i, p in self.parts.items()}           # the rank that makes a token
+        #: Merges use tokens of smaller ranks only, as in every learned file; then a pair is judged along its boundary.
+        self.ordered = all(max(made.get(a, -1), made.get(b, -1)) < rank for (a, b), (rank, _) in self.pairs.items())
+        self.made, self.spines = made, ({}, {})
         self.compatible: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int] = {}
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.held = 0                             # bytes of the words and encodings kept
         lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
+        self.sizes = lengths.tolist()
         self.lengths, self.offsets = lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
         self.buffer = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
 
@@ -104,15 +117,48 @@ class Encoder:
             if best is None:
                 break
             (_, new), at = best
+            if len(ids) == 2:
+                self.parts[new] = ids[0], ids[1]
             ids[at:at + 2] = [new]
         return ids
 
+    def spine(self, token: int, side: int) -> list[tuple[int, float]]:
+        """The tokens that touch the boundary while this one is built (side 0: its left end, 1: its right end), each
+        with the rank of the merge that takes it up; the token itself is last."""
+        found = self.spines[side].get(token)
+        if found is None:
+            found, at, until = [], token, NEVER
+            while True:
+                found.append((at, until))
+                if at not in self.parts:
+                    break
+                at, until = self.parts[at][side], self.made[at]
+            found.reverse()
+            self.spines[side][token] = found
+        return found
+
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Whether no merge crosses the boundary: at each step the lowest rank acts, of equal ones the leftmost."""
+        lefts, rights, i, j = self.spine(left, 1), self.spine(right, 0), 0, 0
+        while True:
+            (a, a_until), (b, b_until) = lefts[i], rights[j]
+            cross = self.pairs.get((a, b))
+            if cross is not None and cross[0] < a_until and cross[0] <= b_until:
+                return False
+            if a_until == b_until == NEVER:
+                return True
+            if a_until <= b_until:
+                i += 1
+            else:
+                j += 1
+
     def fits(self, left: int, right: int) -> bool:
         known = self.compatible.get((left, right))
         if known is None:
             if len(self.compatible) >= PAIR_CACHE:
                 self.compatible.clear()
-            known = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
+            known = (self.stay_apart(left, right) if self.ordered
+                     else self.merge(self.tokens[left] + self.tokens[right]) == [left, right])
             self.compatible[left, right] = known
         return known
 
@@ -126,32 +172,43 @@ class Encoder:
         return found
 
     def encode_word(self, word: bytes) -> list[int]:
-        n, tokens = len(word), self.tokens
-        longest, reach = [-1] * n, [0] * n
-        for end, i in self.automaton.iter(word.decode("latin-1")):
-            size = len(tokens[i])
-            if size > reach[end + 1 - size]:
-                longest[end + 1 - size], reach[end + 1 - size] = i, size
-        alive, out, at = bytearray(b"\1" * (n + 1)), [], 0
+        n, sizes, known, points = len(word), self.sizes, self.compatible.get, word.decode("latin-1")
+        longest, at = {}, 0                       # the longest token at the places met so far
+        for end, i in self.automaton.iter_long(points):
+            longest[at], at = i, end + 1
+        dead, out, at = set(), [], 0
         token = longest[0]
         while at < n:
-            while token >= 0 and not (alive[at + len(tokens[token])] and (not out or self.fits(out[-1], token))):
+            while token >= 0:
+                if at + sizes[token] not in dead:
+                    if not out:
+                        break
+                    fits = known((out[-1], token))
+                    if fits or fits is None and self.fits(out[-1], token):
+                        break
                 token = self.next_shorter(token)
             if token >= 0:
                 out.append(token)
-                at += len(tokens[token])
-                token = longest[at] if at < n else -1
+                at += sizes[token]
+                if at < n:
+                    token = longest.get(at, -1)
+                    if token < 0:
+                        token = longest[at] = next(self.automaton.iter_long(points, at))[1]
             else:
-                alive[at] = 0
+                dead.add(at)
                 token = out.pop()
-                at -= len(tokens[token])
+                at -= sizes[token]
         return out
 
     def known(self, word: str) -> tuple[bytes, str]:
         ids = self.encode_word(word.encode())
-        if len(self.words) >= WORD_CACHE:
-            self.words.clear()
-        entry = self.words[word] = (np.array(ids, dtype=np.uint32).tobytes(), ",".join(map(str, ids)))
+        entry = (array("I", ids).tobytes(), ",".join(map(str, ids)))
+        if len(word) <= LONGEST_KEPT:
+            self.held += len(word) + len(entry[0]) + len(entry[1])
+            if self.held > WORD_CACHE:
+                self.words.clear()
+                self.held = 0
+            self.words[word] = entry
         return entry
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
@@ -160,7 +217,7 @@ class Encoder:
         for part in self.specials.split(text) if self.specials else [text]:
             if part in self.added:
                 i = self.added[part]
-                found.append((np.array([i], dtype=np.uint32).tobytes(), str(i)))
+                found.append((array("I", [i]).tobytes(), str(i)))
             elif part:
                 found += [words.get(w) or known(w) for w in self.split.findall(part)]
         return np.frombuffer(b"".join([f[0] for f in found]), dtype=np.uint32), ",".join([f[1] for f in found])
@@ -194,16 +251,21 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_i
         encoder = state.get(vocabulary_path)
         if encoder is None:
             encoder = state[vocabulary_path] = Encoder(vocabulary.value)
-        for batch in batches:
-            made: dict[str, list] = {o: [] for o in outputs}
+        for batch in bounded(batches):
+            made: dict[str, list] = {o: [] for o in outputs if o != "ids"}
+            flat = []
             for text in batch.column(1).to_pylist():
                 ids, joined = encoder.encode(text or "")
                 decoded = encoder.decode(ids)
+                flat.append(ids)
                 for o, column in made.items():
-                    column.append(len(ids) if o == "n_tokens" else ids if o == "ids" else decoded if o == "decoded"
+                    column.append(len(ids) if o == "n_tokens" else decoded if o == "decoded"
                                   else hashlib.sha256((joined if o == "ids_sha256" else decoded).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(made[o], type=OUTPUTS[o]) for o in outputs)], names=[id_col, *outputs])
+            columns = {o: pa.array(column, type=OUTPUTS[o]) for o, column in made.items()}
+            if "ids" in outputs:
+                ends = np.cumsum([0, *map(len, flat)], dtype=np.int32)
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(columns[o] for o in outputs)], names=[id_col, *outputs])
 
     kind = dict(small.dtypes)[id_col]
     return small.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{o} {SPARK_TYPES[o]}" for o in outputs))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annospark.llm.common import shipped, worker_state
+from annospark.llm.common import bounded, shipped, worker_state
 
 GRAM = 4
 LOG_POSITIONS = 20
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     sample = labelled.withColumn("number", number).where(place < share).select("number", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             found: dict[int, list] = {}
             docs_of: dict[int, int] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -145,7 +145,7 @@ def own_scores(sample: DataFrame, others: dict, taught: dict[int, int]) -> list[
     shared = sample.sparkSession.sparkContext.broadcast(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             rows = [(number, shares(h, shared.value)[number]) for number, h in
                     zip(batch.column(0).to_pylist(), map(gram_hashes, batch.column(1).to_pylist())) if h is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64())],
@@ -223,11 +223,13 @@ def predict(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: s
     """(id, columns to carry, lang_pred, score, perhaps typical) of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names, more = [id_col, *carry], ["lang_pred", "score", "typical"][:3 if typical else 2]
-    small = docs.select(*[F.col(c) for c in names], F.col(text_col).alias("__text"))
+    sent = names if text_col in names else [*names, text_col]      # a text goes to Python once
+    at = sent.index(text_col)
+    small = docs.select(*[F.col(c) for c in sent])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [judged(t, shared.value) for t in batch.column(len(names)).to_pylist()]
+        for batch in bounded(batches, at):
+            found = [judged(t, shared.value) for t in batch.column(at).to_pylist()]
             added = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], *added[:len(more)]], names=[*names, *more])
 
