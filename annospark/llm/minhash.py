@@ -1,6 +1,6 @@
 """MinHash near-duplicates: one-permutation hashing, optimal densification, banded buckets, star edges.
 
-A document is the set of its distinct n-word shingles (one 64-bit hash each).
+A document is the set of its distinct n-word shingles (one 64-bit hash each, made of its words' hashes).
 One permutation deals the hashes into BANDS * ROWS bins by their leading bits and
 keeps each bin's smallest; an empty bin copies the bin that a hash sequence of
 its own number finds first among the filled ones (optimal densification).
@@ -36,28 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annospark.llm.common import shipped, stored, worker_state
+from annospark.llm.common import bounded, shipped, stored, worker_state
 from annospark.llm.graph import components
+from annospark.llm.wordhash import ODD, Runs, WordHashes, mixed
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
 DENSE = 32                                        # shingles with so many holders are counted as matrix columns
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * ODD)
-INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64)])
+SALT = np.uint64(0xF1DE83E19937733D)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -65,14 +52,9 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     parts = (text or "").encode().lower().split()
     if not parts:
         return np.zeros(0, np.uint64)
-    flat = np.frombuffer(b" ".join(parts) + b" ", dtype=np.uint8)
-    ends = np.flatnonzero(flat == 32)
-    starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(words, len(parts))
-    first, last = starts[:len(starts) - k + 1], ends[k - 1:]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[flat] * powers(ODD, len(flat))[:-1], dtype=np.uint64)])
-    h = (sums[last] - sums[first]) * powers(INVERSE, len(flat))[first]
-    return np.unique(mixed(h + (last - first).astype(np.uint64)))
+    known = worker_state("words").setdefault("lower", WordHashes())
+    return np.unique(mixed(Runs(known.of(parts)).of(k) + np.uint64(k)))
 
 
 def probe_order() -> np.ndarray:
@@ -114,14 +96,14 @@ def band_hashes(hashes: np.ndarray) -> np.ndarray:
 def set_name(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits that name the set: two different sums of its mixed members."""
     a = mixed(hashes * ODD + np.uint64(1)).sum(dtype=np.uint64)
-    b = mixed(hashes * INVERSE + np.uint64(2)).sum(dtype=np.uint64)
+    b = mixed(hashes * SALT + np.uint64(2)).sum(dtype=np.uint64)
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, name_a, name_b, bands array<long> (empty of empty sets)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             n, names, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingle_hashes(text, words)
@@ -139,7 +121,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 def sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, text) -> doc_id, the hashes of its set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             made = [shingle_hashes(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "members"])
 

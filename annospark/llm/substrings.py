@@ -36,34 +36,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annospark.llm.common import shipped, stored
-from annospark.llm.minhash import BYTE_VALUES, INVERSE, ODD, mixed, powers
+from annospark.llm.common import bounded, shipped, stored, worker_state
+from annospark.llm.wordhash import Runs, WordHashes
 
 PREFIX = 10
 GROUP_ROWS = 20_000
 
 
 class Words:
-    """The words of a text, and fingerprints of any run of them."""
+    """The words of a text, and fingerprints of the runs of them."""
 
     def __init__(self, text: str | None):
         self.parts = (text or "").encode().split()
         self.n = len(self.parts)
-        if self.n:
-            flat = np.frombuffer(b" ".join(self.parts) + b" ", dtype=np.uint8)
-            self.ends = np.flatnonzero(flat == 32) + 1
-            self.starts = np.concatenate([[0], self.ends[:-1]])
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[flat] * powers(ODD, len(flat))[:-1], dtype=np.uint64)])
-            self.back = powers(INVERSE, len(flat))
-
-    def runs(self, first: np.ndarray, words: int) -> np.ndarray:
-        """Fingerprints of the runs of so many words that start at these word numbers."""
-        a, b = self.starts[first], self.ends[first + words - 1]
-        return mixed((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64))
+        self.hashes = None
+
+    def runs(self, words: int) -> np.ndarray:
+        """Fingerprints of all runs of so many words."""
+        if self.hashes is None:
+            self.hashes = Runs(worker_state("words").setdefault("plain", WordHashes()).of(self.parts))
+        return self.hashes.of(words)
 
     def prefixes(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Of every window the fingerprint of its group's run, and the run's place."""
-        runs = self.runs(np.arange(self.n - PREFIX + 1), PREFIX)
+        runs = self.runs(PREFIX)
         width = window - PREFIX + 1
         at = np.lib.stride_tricks.sliding_window_view(runs, width).argmin(axis=1) + np.arange(len(runs) - width + 1)
         return runs[at], at
@@ -80,7 +76,7 @@ def covered(n: int, places: np.ndarray, window: int) -> np.ndarray:
 def candidate_runs(docs: DataFrame, window: int) -> DataFrame:
     """(row_key, text) -> one row per run that is some window's smallest: run, row_key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             keys, runs = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = Words(text)
@@ -99,18 +95,19 @@ def candidate_runs(docs: DataFrame, window: int) -> DataFrame:
 def windows_of(docs: DataFrame, window: int) -> DataFrame:
     """(row_key, text, runs) -> run, large, row_key, first, prints: the consecutive windows whose group is one of the runs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             out: list[tuple] = []
             for key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 w = Words(text)
                 names, at = w.prefixes(window)
+                prints = w.runs(window).view(np.int64)
                 asked = wanted.values.field(0).to_numpy().view(np.uint64)
                 large = set(asked[wanted.values.field(1).to_numpy(zero_copy_only=False)].tolist())
                 keep = np.isin(names, asked)
                 turn = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 for a, b in zip(turn.tolist(), [*turn[1:].tolist(), len(at)]):
                     if keep[a]:
-                        out.append((int(names[a].view(np.int64)), int(names[a]) in large, key, a, w.runs(np.arange(a, b), window).view(np.int64)))
+                        out.append((int(names[a].view(np.int64)), int(names[a]) in large, key, a, prints[a:b]))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.bool_()), pa.array([o[2] for o in out], pa.int64()),
@@ -193,7 +190,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     at = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             texts, n_words, n_removed = [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(at)):
                 parts = (text or "").encode().split()
