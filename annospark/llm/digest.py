@@ -8,14 +8,15 @@ differ by the sum of their buckets' two-bit distances (an extreme pair counts
 DIFF_EXTREME) plus a bounded length term; likeness is one minus the difference
 over its greatest value, so it lies between 0 and 1 and equal texts have 1.
 
-The neighbour of a document in descending id order is found without a global
-sort: cut points over the id (at most one per partition) deal the rows into
-ranges, each range is sorted in its task, and the first row of the next range
-that has rows is sent along to the range before it.
+The neighbour of a document in descending id order: Spark deals the rows into
+ranges of (id, hash of the text, a number of the row), so that one id or one row with very many
+copies takes several ranges; each range is sorted and judged in its task.  The first
+and the last row of every range are kept with their texts, and a second, small step
+judges each last row with the first row of the next range.
 
 Defined cases: null texts are empty and have the digest of no bytes; a text of
 fewer than three bytes has only its length; null ids come last, ties are ordered
-by text; repeated rows are separate documents; the only row of a table is its
+by a hash of the text; repeated rows are separate documents, next to each other; the only row of a table is its
 own neighbour; an empty table gives an empty result.  Only the named columns are
 read.
 """
@@ -28,16 +29,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annospark.llm.common import shipped
+from annospark.llm.common import bounded, shipped, stored, worker_state
 
 BUCKETS = 128
 DIFF_EXTREME = 6                                  # of the lowest and the highest quartile
 LENGTH_TERM = 12                                  # the length's part of the difference is at most this
 DIFFERENCE = np.array([[0, 1, 2, DIFF_EXTREME], [1, 0, 1, 2], [2, 1, 0, 1], [DIFF_EXTREME, 2, 1, 0]])
 GREATEST = BUCKETS * DIFF_EXTREME + LENGTH_TERM
+RANGE_ROWS = 256                                  # a range has about so many rows at least
+ARROW_TYPES = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
 PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 4))
 
 
@@ -87,67 +91,62 @@ def half_swapped(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def ranges_with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """(part, extra, id, text): rows dealt by descending id; `extra` marks the copy of the next range's first row."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = rows.select("id")
-    at = ids.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)] or [0.5], 10_000).alias("cuts")).first()["cuts"]
-    cuts = sorted(set(at or []))[:parts - 1]
-    ladder = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    above = F.size(F.filter(ladder, lambda c: c < F.col("id")))             # parts count down the ids; nulls last
-    part = F.when(F.col("id").isNull(), len(cuts) + 1).otherwise(len(cuts) - above)
-    dealt = rows.withColumn("part", part)
-    first = {r.part: r.id for r in ids.withColumn("part", part).groupBy("part").agg(F.max("id").alias("id")).collect()}
-    used = sorted(first)                          # at most one row per part reached the driver
-    before = {p: used[k - 1] for k, p in enumerate(used)}                   # the last range follows on to the first
-    lead = F.lit(False)
-    target = F.lit(None).cast("int")
-    for p in used:
-        is_first = (F.col("part") == p) & F.col("id").eqNullSafe(F.lit(first[p]).cast("bigint"))
-        lead, target = lead | is_first, F.when(is_first, before[p]).otherwise(target)
-    copies = F.when(lead, F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("extra")),
-                                  F.struct(target.alias("part"), F.lit(True).alias("extra")))
-                    ).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("extra"))))
-    return dealt.select(F.explode(copies).alias("c"), "id", "text").select("c.part", "c.extra", "id", "text")
-
-
-def with_following(docs: DataFrame, judge: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, names: list[str], *, id_col: str,
-                   text_col: str) -> DataFrame:
-    """Runs judge over ((id, text), next text) in descending id order, range by range."""
+def with_following(docs: DataFrame, judge: Callable[[str, str], tuple], fields: list[tuple[str, str]], *, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and what judge(text, next text) gives, as the `fields` (name, type), of every row in descending id order."""
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = ranges_with_next(docs, id_col, text_col, parts)
-    ordered = dealt.repartition(parts, "part").sortWithinPartitions(
-        "part", "extra", F.col("id").desc_nulls_last(), "text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"),
+                       F.xxhash64(F.monotonically_increasing_id()).alias("copy"))
+    ranges = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS)))
+    keys = [F.col("id").desc_nulls_last(), "tie", "copy"]
+    ordered = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    names = ["doc_id", *(n for n, _ in fields)]
+    kinds = [pa.int64(), *(ARROW_TYPES[k] for _, k in fields)]
+    schema = "doc_id long, " + ", ".join(f"{n} {k}" for n, k in fields)
+
+    def batch_of(out: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
+        """Judged rows, then the first or last row of a range (edge 1 or 2) with its text."""
+        cells = [*out, *((i, *[None] * len(fields)) for _, _, i, _ in edges)]
+        arrays = [pa.array(list(c), kind) for c, kind in zip(zip(*cells), kinds)]
+        more = [(0, None, None)] * len(out) + [(e, part, t) for e, part, _, t in edges]
+        return pa.RecordBatch.from_arrays([*arrays, *(pa.array(list(c), kind) for c, kind in zip(zip(*more), (pa.int32(), pa.int32(), pa.string())))],
+                                          names=[*names, "edge", "part", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs():
-            held, held_part, done = None, None, False
-            for batch in batches:
-                for part, extra, id_, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    if part != held_part:
-                        held, held_part, done = None, part, False
-                    if done:                      # ties of the next range's first row: the smallest text came first
-                        continue
-                    if held is not None:
-                        yield held, text
-                    held, done = (id_, text), extra
-        out = []
-        for row in judge(pairs()):
-            out.append(row)
-            if len(out) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
-
-    return ordered.mapInArrow(run, schema)
+        part, held = TaskContext.get().partitionId(), None
+        for batch in bounded(batches):
+            out, edges = [], []
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held is None:
+                    edges.append((1, part, *row))
+                else:
+                    out.append((held[0], *judge(held[1], row[1])))
+                held = row
+            if out or edges:
+                yield batch_of(out, edges)
+        if held is not None:
+            yield batch_of([], [(2, part, *held)])
+
+    made = stored(ordered.mapInArrow(run, f"{schema}, edge int, part int, text string"))
+    # at most two rows a range: the last row of each range is followed by the first of the next one, the very last by the very first
+    first = made.where("edge = 1").select(F.col("part").alias("f_part"), F.col("text").alias("following"))
+    after = Window.orderBy("f_part")
+    order = first.select("f_part", F.coalesce(F.lead("f_part").over(after), F.first("f_part").over(after)).alias("to"))
+    pairs = (made.where("edge = 2").select("doc_id", "part", "text").join(order, F.col("part") == F.col("f_part")).drop("f_part")
+             .join(first, F.col("to") == F.col("f_part")).select("doc_id", "text", "following"))
+
+    def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            out = [(i, *judge(t, following)) for i, t, following in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)], names=names)
+
+    return made.where("edge = 0").select(*names).unionByName(pairs.mapInArrow(run_pairs, schema))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint) of every text, without looking at neighbours."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             prints = [fingerprint((t or "").encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], names=[id_col, "fingerprint"])
 
@@ -157,17 +156,18 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def edited_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
-    def judge(pairs):
-        known = None                              # the next row's digest is the following row's own
-        for (id_, text), following in pairs:
-            own = known[1] if known and known[0] == text else fingerprint(text.encode())
-            edited = half_swapped(text, following).encode()
-            changed, known = fingerprint(edited), (following, fingerprint(following.encode()))
-            yield (id_, len(text), hashlib.sha256(edited).hexdigest(), own, changed, likeness(own, changed), likeness(own, known[1]))
-
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_following(docs, judge, schema, names, id_col=id_col, text_col=text_col)
+    def judge(text: str, following: str) -> tuple:
+        known = worker_state("digest")            # the next row's digest is the following row's own
+        if known.get("text") != text:
+            known["print"] = fingerprint(text.encode())
+        own, edited = known["print"], half_swapped(text, following).encode()
+        changed = fingerprint(edited)
+        known["text"], known["print"] = following, fingerprint(following.encode())
+        return len(text), hashlib.sha256(edited).hexdigest(), own, changed, likeness(own, changed), likeness(own, known["print"])
+
+    fields = [("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"),
+              ("near_edited", "double"), ("near_next", "double")]
+    return with_following(docs, judge, fields, id_col=id_col, text_col=text_col)
 
 
 shipped(__name__)
