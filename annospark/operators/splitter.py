@@ -3,8 +3,8 @@
 One pass over the texts counts (word type, case, final period) behind the type
 and mark of the word before.  From that stored table come the abbreviation
 types, the frequent sentence starters, the collocations and the case contexts.
-The decision whether a period ends a sentence is then made once per distinct
-(type before, type after, its case) and joined to the periods.
+The decision whether a period ends a sentence is made for open periods only (behind a
+possible abbreviation, a number or an initial), from the words around them.
 
 Words are split from the punctuation around them; all numbers are one type.
 """
@@ -12,9 +12,10 @@ Words are split from the punctuation around them; all numbers are one type.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annospark.functions.text import WS, collapse_ws
@@ -28,31 +29,30 @@ NUMBER = "##number##"
 WORD_RE = r"^[^\p{L}\p{N}]*([\p{L}\p{N}](?:.*[\p{L}\p{N}])?)(.*)$"
 NUMBER_RE = r"^\p{N}(?:[\p{N}.,]*\p{N})?$"
 ABBREV_RE = r"^[\p{L}.]*\p{L}[\p{L}.]*$"
-LAST_WORD_RE = f"([^{WS[1:-1]}]+)$"
+LAST_WORD_RE = f"(?s)^(?:.*{WS})?([^{WS[1:-1]}]+)$"
 FIRST_WORD_RE = f"^{WS}*([^{WS[1:-1]}]+)"
 #: Stands before the first word of a text: whether that begins a sentence is not known.
 TEXT_START = "…"
 
 
 # ---------------------------------------------------------------- words
-def word_type(w: Column) -> Column:
-    """Lower-cased word without the punctuation around it; one type for all numbers, '' without letter or digit."""
-    core = F.lower(F.regexp_extract(w, WORD_RE, 1))
-    return F.when(core.rlike(NUMBER_RE), NUMBER).otherwise(core)
+def _parts(word: str, name: str) -> list[Column]:
+    """core<name> and tail<name>: the word without the punctuation around it, and what follows it (all of a word without letter or digit)."""
+    core = F.regexp_extract(word, WORD_RE, 1)
+    return [core.alias(f"core{name}"), F.when(core == "", F.col(word)).otherwise(F.regexp_extract(word, WORD_RE, 2)).alias(f"tail{name}")]
 
 
-def word_case(w: Column) -> Column:
-    core = F.regexp_extract(w, WORD_RE, 1)
-    return F.when(core.rlike(r"^\p{Lu}"), "U").when(core.rlike(r"^\p{Ll}"), "l").otherwise("")
+def _type(core: Column) -> Column:
+    """Lower-cased core; one type for all numbers, '' without letter or digit."""
+    return F.when(core.rlike(NUMBER_RE), NUMBER).otherwise(F.lower(core))
 
 
-def _tail(w: Column) -> Column:
-    return F.when(F.regexp_extract(w, WORD_RE, 1) == "", w).otherwise(F.regexp_extract(w, WORD_RE, 2))
+def _case(core: Column) -> Column:
+    return F.when(core.rlike(r"^\p{Lu}"), "U").when(core.rlike(r"^\p{Ll}"), "l").otherwise("")
 
 
-def word_end(w: Column) -> Column:
+def _end(core: Column, tail: Column) -> Column:
     """What the end of a word says: 'period', 'mark' (! or ?), 'unknown' (an ellipsis, a lone point) or 'none'."""
-    core, tail = F.regexp_extract(w, WORD_RE, 1), _tail(w)
     return (F.when(tail.rlike("[,;:]"), "none")
             .when((core != "") & tail.rlike(r"^\.[^.!?…]*$"), "period")
             .when(tail.rlike("[!?]"), "mark")
@@ -75,12 +75,14 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     raw = (toks.where(n > 0).select(F.inline(pairs).alias("w", "w0"))
            .select("w", F.when(F.col("w0").rlike("[.!?…]"), F.col("w0")).alias("w0"))
            .groupBy("w", "w0").agg(F.count(F.lit(1)).alias("n")))
-    before = F.when(F.col("w0").isNull(), "none").otherwise(word_end(F.col("w0")))
-    typed = raw.select(word_type(F.col("w")).alias("t"), word_case(F.col("w")).alias("case"),
-                       ((F.regexp_extract("w", WORD_RE, 1) != "") & _tail(F.col("w")).rlike(r"^\.([^.]|$)")).alias("period"),
-                       before.alias("before"), F.when(before == "period", word_type(F.col("w0"))).alias("t0"), "n")
-    return (typed.where(F.col("t") != "").groupBy("t", "case", "period", "before", "t0")
-            .agg(F.sum("n").cast("bigint").alias("n")))
+    # each pattern runs once a row: its parts are columns that the next step reads
+    cut = raw.select("n", F.col("w0").isNull().alias("inside"), *_parts("w", ""), *_parts("w0", "0"))
+    before = F.when(F.col("inside"), "none").otherwise(_end(F.col("core0"), F.col("tail0")))
+    typed = cut.select("n", _type(F.col("core")).alias("t"), _case(F.col("core")).alias("case"),
+                       ((F.col("core") != "") & F.col("tail").rlike(r"^\.([^.]|$)")).alias("period"),
+                       before.alias("before"), "core0")
+    named = typed.where(F.col("t") != "").select("t", "case", "period", "before", F.when(F.col("before") == "period", _type(F.col("core0"))).alias("t0"), "n")
+    return named.groupBy("t", "case", "period", "before", "t0").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -90,6 +92,14 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """The same rows as a table of the shared folder, whose size Spark knows."""
+    from annospark.session import checkpoint_dir
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/splitter-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _log_likelihood(c1: Column, c2: Column, c12: Column, n: Column) -> Column:
     """2 * sum of O ln(O / E) over the four cells of (first, second); 0 ln 0 is 0."""
     def cell(o: Column, row: Column, col: Column) -> Column:
@@ -190,27 +200,81 @@ class Splitter:
 
 
 def fit(df: DataFrame, text_col: str = "text") -> Splitter:
-    counts = _stored(word_counts(df, text_col))
+    return finalised(_stored(word_counts(df, text_col)))
+
+
+def finalised(counts: DataFrame) -> Splitter:
+    """The model of stored word counts."""
     abbrevs = _stored(abbreviations(counts))
     starters = _stored(sentence_starters(counts, abbrevs))
     return Splitter(abbrevs, starters, collocations(counts, abbrevs, starters), case_contexts(counts, abbrevs))
 
 
-def inner_periods(seen: DataFrame, model: Splitter) -> DataFrame:
-    """Of the distinct word pairs (last, next) around a candidate end, those where the period does not end a sentence.
+def learn_part(df: DataFrame, folder: str, part: str, text_col: str = "text") -> None:
+    """Stores the word counts of one part of a corpus under its name; learning a part again replaces it.
+
+    Counts are additive over texts, so a part costs its own size only and parts may come in any order.
+    """
+    word_counts(df, text_col).withColumn("part", F.lit(part)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("part").parquet(folder)
+
+
+def merged_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The word counts of all parts stored in the folder, as `word_counts` gives them for the whole corpus."""
+    schema = "t string, case string, period boolean, before string, t0 string, n bigint, part string"
+    return (spark.read.schema(schema).parquet(folder).groupBy("t", "case", "period", "before", "t0")
+            .agg(F.sum("n").cast("bigint").alias("n")))
+
+
+#: Bits and hashes of the filter that holds the abbreviations; its size is fixed, a full one only lets more periods through.
+FILTER_BITS, FILTER_HASHES = 1 << 20, 4
+
+
+def _filter_places(t: Column) -> list[Column]:
+    h = F.xxhash64(t)
+    return [F.shiftrightunsigned(h, 12 * k).bitwiseAND(F.lit(FILTER_BITS - 1)) for k in range(FILTER_HASHES)]
+
+
+def abbreviation_filter(abbrevs: DataFrame) -> Column:
+    """The abbreviations as a Bloom filter of FILTER_BITS bits: an array of words, one row of a subquery."""
+    word = lambda c: F.shiftrightunsigned(c, 6)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    words = (abbrevs.select(F.explode(F.array(*_filter_places(F.col("type")))).alias("place"))
+             .groupBy(word(F.col("place")).alias("at")).agg(F.bit_or(bit).alias("bits")))
+    all_ = abbrevs.sparkSession.range(FILTER_BITS // 64).join(words, F.col("id") == F.col("at"), "left")
+    held = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    return _written(all_.agg(F.transform(held, lambda x: x["bits"]).alias("words"))).scalar()
+
+
+def may_be_abbreviation(t: Column, words: Column) -> Column:
+    hit = F.lit(True)
+    for place in _filter_places(t):
+        bits = F.get(words, F.shiftrightunsigned(place, 6).cast("int"))
+        hit = hit & (F.call_function("shiftright", bits, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return hit
+
+
+def inner_periods(ends: DataFrame, model: Splitter) -> DataFrame:
+    """Of candidate ends, rows with the words `last` and `next` around them, those where the period does not end a sentence.
 
     A collocation never breaks.  Behind an abbreviation a sentence begins only with a capital
     that the case contexts or the starters explain.  A number or initial runs on if it is an
     abbreviation, if the small letter after it is not usual at a sentence's start, or, for an
     initial, if the word after it is always written with a capital.
+
+    Whether a period is open at all (nothing else can be the first of a collocation) is tested where it
+    stands, by pattern and filter, so only open ones meet the learned tables.
     """
     first = F.col("t1")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    typed = (seen.where(word_end(F.col("last")) == "period")
-             .select("last", "next", word_type(F.col("last")).alias("t1"), word_type(F.col("next")).alias("t2"),
-                     word_case(F.col("next")).alias("case2")))
-    j = (typed.join(model.abbrevs.select(F.col("type").alias("t1"), F.lit(True).alias("ab")), "t1", "left")
-         .where(yes("ab") | is_number_or_initial(first))     # nothing else can be the first of a collocation
+    rest = [c for c in ends.columns if c not in ("last", "next")]
+    typed = (ends.select(*rest, "next", *_parts("last", "1")).where(_end(F.col("core1"), F.col("tail1")) == "period")
+             .select(*rest, "next", _type(F.col("core1")).alias("t1")))
+    open_ = typed.where(is_number_or_initial(first) | may_be_abbreviation(first, abbreviation_filter(model.abbrevs)))
+    open_ = (open_.select(*rest, "t1", *_parts("next", "2"))
+             .select(*rest, "t1", _type(F.col("core2")).alias("t2"), _case(F.col("core2")).alias("case2")))
+    j = (open_.join(model.abbrevs.select(F.col("type").alias("t1"), F.lit(True).alias("ab")), "t1", "left")
+         .where(yes("ab") | is_number_or_initial(first))
          .join(model.pairs.select("t1", "t2", F.lit(True).alias("pair")), ["t1", "t2"], "left")
          .join(model.starters.select(F.col("t").alias("t2"), F.lit(True).alias("starter")), "t2", "left")
          .join(model.contexts.withColumnRenamed("t", "t2"), "t2", "left"))
@@ -221,39 +285,55 @@ def inner_periods(seen: DataFrame, model: Splitter) -> DataFrame:
     inner = (yes("pair")
              | F.when(is_number_or_initial(first), yes("ab") | runs_on | name)
              .otherwise(~(begins | (capital & yes("starter")))))
-    return j.where(inner).select("last", "next")
+    return j.where(inner).select(*rest)
 
 
 # ---------------------------------------------------------------- P4
+def pieces_of(text: Column) -> Column:
+    """A text cut at every possible sentence end, in order; an empty piece stands between paragraphs."""
+    joined = F.array_join(paragraph_array(text), SENT_MARK + SENT_MARK)
+    return F.split(F.regexp_replace(joined, BOUNDARY_RE, "$1" + SENT_MARK), SENT_MARK)
+
+
+def candidate_ends(df: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
+    """(*key, nth, last, next): the pieces that end in a period inside a paragraph, with the words around it."""
+    p = df.select(*key, pieces_of(F.col(text_col)).alias("__p"))
+    ends = p.select(*key, F.posexplode(F.arrays_zip(
+        F.col("__p").alias("piece"), F.slice("__p", F.lit(2), F.greatest(F.size("__p") - 1, F.lit(0))).alias("after"))).alias("nth", "__z"))
+    return (ends.where((F.col("__z.after") != "") & F.col("__z.piece").rlike(r"\.[^.!?…]*$"))
+            .select(*key, "nth", F.regexp_extract("__z.piece", LAST_WORD_RE, 1).alias("last"),
+                    F.regexp_extract("__z.after", FIRST_WORD_RE, 1).alias("next")))
+
+
+def sentence_ends(pieces: Column, inner: Column) -> Column:
+    """Places of the pieces that end a sentence: all but those of `inner`."""
+    return F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.coalesce(inner, F.array().cast("array<int>")))
+
+
+def joined_pieces(pieces: Column, ends: Column, shortest: int = 2) -> Column:
+    """The cleaned sentences of so many characters. Give columns, not expressions: both are read once a sentence."""
+    begin = lambda j: F.when(j == 0, 0).otherwise(F.get(ends, j - 1) + 1)
+    sents = F.transform(ends, lambda e, j: collapse_ws(F.array_join(F.slice(pieces, begin(j) + 1, e - begin(j) + 1), " ")))
+    return F.filter(sents, lambda s: F.length(s) >= shortest)
+
+
 def sentence_arrays(df: DataFrame, id_col: str, model: Splitter, text_col: str = "text",
                     keep: list[str] | None = None) -> DataFrame:
     """(id, *keep, sents): the cleaned sentences of each document in order; ids are unique.
 
-    Possible ends are numbered inside the row; only the join of the periods with the decisions
-    and the gathering by document shuffle.  A document without text has no sentences.
+    Texts are cut where they are, twice: once for the open periods, of which only id, place and
+    words go on to the decisions, and once to split at the others.  Only the places of the periods
+    that end nothing come back, stored, so Spark sees their size when it chooses the join.
+    A document without text has no sentences.
     """
     keep = keep or []
-    paras = df.select(id_col, *keep, F.posexplode_outer(paragraph_array(F.col(text_col))).alias("para", "p"))
-    cut = paras.select(id_col, *keep, "para", F.split(F.regexp_replace("p", BOUNDARY_RE, "$1" + SENT_MARK), SENT_MARK).alias("__a"))
-    a, n = F.col("__a"), F.size("__a")
-    rows = cut.select(id_col, *keep, "para", F.posexplode_outer(
-        F.arrays_zip(a.alias("piece"), F.slice(a, 2, F.greatest(n - 1, F.lit(0))).alias("after"))).alias("nth", "__z"))
-    rows = rows.select(id_col, *keep, "para", "nth", "__z.piece", "__z.after")
-    rows = rows.select("*", F.when(F.col("after").isNotNull() & F.col("piece").rlike(r"\.[^.!?…]*$"), F.concat_ws(
-        SENT_MARK, F.regexp_extract("piece", LAST_WORD_RE, 1), F.regexp_extract("after", FIRST_WORD_RE, 1))).alias("__words"))
-    seen = rows.select("__words").where(F.col("__words").isNotNull()).distinct()
-    at = F.split("__words", SENT_MARK)
-    inner = (inner_periods(seen.select(at[0].alias("last"), at[1].alias("next")), model)
-             .select(F.concat_ws(SENT_MARK, "last", "next").alias("__k"), F.lit(True).alias("inner")))
-    # ends without a choice match nothing; a key of their own each spreads them over the join's tasks
-    alone = F.concat(F.lit(SENT_MARK), F.xxhash64(F.col(id_col), "para", "nth").cast("string"))
-    key = F.coalesce("__words", alone)
-    marked = rows.withColumn("__k", key).join(inner, "__k", "left")
-    piece = F.concat(F.col("piece"), F.when(F.col("inner"), " ").otherwise(SENT_MARK))
-    docs = marked.groupBy(id_col, *keep).agg(F.sort_array(F.collect_list(
-        F.when(F.col("piece").isNotNull(), F.struct("para", "nth", piece.alias("piece"))))).alias("__p"))
-    sents = F.split(F.array_join(F.transform("__p", lambda x: x["piece"]), ""), SENT_MARK)
-    return docs.select(id_col, *keep, F.filter(F.transform(sents, collapse_ws), lambda s: F.length(s) > 1).alias("sents"))
+    docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    inner = inner_periods(candidate_ends(docs, ["__id"], "__text"), model)
+    places = _written(inner.groupBy("__id").agg(F.array_sort(F.collect_list("nth")).alias("__inner")))
+    whole = df.select(id_col, *keep, F.col(text_col).alias("__text")).join(places, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    cut = whole.select(id_col, *keep, "__inner", F.coalesce(pieces_of(F.col("__text")), F.array(F.lit(""))).alias("__p"))
+    ended = cut.select(id_col, *keep, "__p", sentence_ends(F.col("__p"), F.col("__inner")).alias("__ends"))
+    return ended.select(id_col, *keep, joined_pieces(F.col("__p"), F.col("__ends")).alias("sents"))
 
 
 def sentences(df: DataFrame, id_col: str, model: Splitter, text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ from annospark.functions.hashing import h_parts, sql_h_parts
 from annospark.functions.text import CHAPTER_TITLE_RE, WS, preview
 from annospark.operators import prep as P
 from annospark.operators import splitter as S
+from annospark.operators.works import WorkSplitter, segments
 from annospark.plans import fixtures as fx
 from annospark.plans.catalog import register
 from annospark.plans.oracle_base import with_base
@@ -61,6 +62,12 @@ SENT_CTE = f"""sa AS (SELECT doc_id, source, {_doc_sents('text')} AS sents FROM
 sent AS (SELECT doc_id, CAST(generate_subscripts(sents, 1) - 1 AS BIGINT) AS sent_idx, unnest(sents) AS sentence FROM sa)"""
 
 
+def _scratch(spark, name):
+    import uuid
+    from annospark.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _docs(spark, sf):
     return table_spread(spark, sf, "documents")
 
@@ -115,29 +122,30 @@ _LL = (f"round(2.0 * ({_cell('c12', 'c1', 'c2')} + {_cell('c1 - c12', 'c1', 'nn
 _FREE = f"(t1 = '{S.NUMBER}' OR regexp_matches(t1, '^\\p{{L}}$'))"
 
 LEARNED = f"""tk AS (SELECT string_split({_collapse('text')}, ' ') AS toks FROM documents),
-w0 AS (SELECT unnest(toks) AS w, unnest(list_concat(['{S.TEXT_START}'], toks[1:len(toks) - 1])) AS w0 FROM tk),
+w1 AS (SELECT unnest(toks) AS w, unnest(list_concat(['{S.TEXT_START}'], toks[1:len(toks) - 1])) AS w0 FROM tk),
+w0 AS MATERIALIZED (SELECT w, CASE WHEN regexp_matches(w0, '[.!?…]') THEN w0 END AS w0, count(*) AS n FROM w1 GROUP BY ALL),
 wc AS (SELECT {_type('w')} AS t, {_case('w')} AS k, {_core('w')} <> '' AND regexp_matches({_tail('w')}, '^\\.([^.]|$)') AS period,
-              {_end('w0')} AS b, CASE WHEN {_end('w0')} = 'period' THEN {_type('w0')} END AS t1 FROM w0),
-cnt AS (SELECT t, k, period, b, t1, count(*) AS n FROM wc WHERE t <> '' GROUP BY ALL),
-per AS (SELECT t, CAST(sum(n) AS DOUBLE) AS c, CAST(COALESCE(sum(n) FILTER (WHERE period), 0) AS DOUBLE) AS a,
+              {_end('w0')} AS b, CASE WHEN {_end('w0')} = 'period' THEN {_type('w0')} END AS t1, n FROM w0),
+cnt AS MATERIALIZED (SELECT t, k, period, b, t1, sum(n) AS n FROM wc WHERE t <> '' GROUP BY ALL),
+per AS MATERIALIZED (SELECT t, CAST(sum(n) AS DOUBLE) AS c, CAST(COALESCE(sum(n) FILTER (WHERE period), 0) AS DOUBLE) AS a,
                CAST(length(replace(t, '.', '')) AS DOUBLE) AS len FROM cnt GROUP BY t),
 tot AS (SELECT sum(c) AS nn, sum(a) / sum(c) AS p FROM per),
 ab AS (SELECT t AS type, CAST(a AS BIGINT) AS a, CAST(c AS BIGINT) AS c,
               round(-2.0 * (a * ln(p) + (c - a) * ln(1 - p) - (a * ln(0.99) + (c - a) * ln(0.01)))
                     * exp(-len) * (length(t) - len + 1) * pow(len, -(c - a)), 6) AS score
        FROM per, tot WHERE a > 0 AND regexp_matches(t, {q(S.ABBREV_RE)})),
-abbr AS (SELECT * FROM ab WHERE score >= {S.ABBREV_SCORE}),
-ctx AS (SELECT *, (b = 'mark' OR (b = 'period' AND NOT {_FREE} AND t1 NOT IN (SELECT type FROM abbr))) AS starts FROM cnt),
+abbr AS MATERIALIZED (SELECT * FROM ab WHERE score >= {S.ABBREV_SCORE}),
+ctx AS MATERIALIZED (SELECT *, (b = 'mark' OR (b = 'period' AND NOT {_FREE} AND t1 NOT IN (SELECT type FROM abbr))) AS starts FROM cnt),
 st0 AS (SELECT t, CAST(sum(n) AS DOUBLE) AS c2, CAST(COALESCE(sum(n) FILTER (WHERE starts), 0) AS DOUBLE) AS c12 FROM ctx GROUP BY t),
 st1 AS (SELECT t, c2, c12, sum(c12) OVER () AS c1, sum(c2) OVER () AS nn FROM st0),
-st AS (SELECT t, CAST(c12 AS BIGINT) AS n, {_LL} AS ll FROM st1
+st AS MATERIALIZED (SELECT t, CAST(c12 AS BIGINT) AS n, {_LL} AS ll FROM st1
        WHERE c12 > 0 AND c12 * nn > c1 * c2 AND regexp_matches(t, '^\\p{{L}}') AND {_LL} >= {S.STARTER_LL}),
 co0 AS (SELECT t1, t AS t2, CAST(sum(n) AS DOUBLE) AS c12 FROM cnt
         WHERE b = 'period' AND regexp_matches(t, '^\\p{{L}}') AND {_FREE} GROUP BY t1, t),
 co1 AS (SELECT t1, t2, c12, x.c AS c1, y.c AS c2, nn FROM co0 JOIN per x ON x.t = t1 JOIN per y ON y.t = t2, tot
         WHERE c12 >= {S.LEAST_PAIRS} AND t2 NOT IN (SELECT t FROM st)),
-co AS (SELECT t1, t2, CAST(c12 AS BIGINT) AS n, {_LL} AS ll FROM co1 WHERE c12 * nn > c1 * c2 AND {_LL} >= {S.COLLOCATION_LL}),
-cc AS (SELECT t, bool_or(k = 'l') AS low, bool_or(k = 'U') AS up, bool_or(k = 'U' AND b = 'none') AS up_inside,
+co AS MATERIALIZED (SELECT t1, t2, CAST(c12 AS BIGINT) AS n, {_LL} AS ll FROM co1 WHERE c12 * nn > c1 * c2 AND {_LL} >= {S.COLLOCATION_LL}),
+cc AS MATERIALIZED (SELECT t, bool_or(k = 'l') AS low, bool_or(k = 'U') AS up, bool_or(k = 'U' AND b = 'none') AS up_inside,
               bool_or(k = 'l' AND COALESCE(starts, false)) AS low_start FROM ctx GROUP BY t)"""
 
 _LASTW, _FIRSTW = (f"regexp_extract({x}, {q(r)}, 1)" for x, r in (("piece", S.LAST_WORD_RE), ("aft", S.FIRST_WORD_RE)))
@@ -202,6 +210,41 @@ def learned_sentences(spark, sf, keep=()):
 register("sentences_abbrev", f"WITH {SPLIT}\nSELECT doc_id, sent_idx, sentence FROM sent")(
     lambda spark, sf: S.sentences(_docs(spark, sf), "doc_id", S.fit(_docs(spark, sf))))
 
+@_ready
+def _merged_training(spark, sf):
+    """Three parts of the corpus learned apart, stored, merged and finalised once: what the whole teaches."""
+    path = _scratch(spark, "counts")
+    docs = _docs(spark, sf)
+    for k in range(3):
+        S.learn_part(docs.where(h_parts("doc_id") % 3 == k), path, f"p{k}")
+    model = S.finalised(S._stored(S.merged_counts(spark, path)))
+    row = lambda df, kind, t2, n, value: df.select(F.lit(kind).alias("kind"), F.col(df.columns[0]).alias("t1"), t2.cast("string").alias("t2"),
+                                                   F.col(n).alias("n"), F.col(value).alias("value"))
+    return (row(model.abbrevs, "abbreviation", F.lit(None), "a", "score").unionByName(row(model.starters, "starter", F.lit(None), "n", "ll"))
+            .unionByName(row(model.pairs, "collocation", F.col("t2"), "n", "ll")))
+
+
+register("merged_training", f"""WITH {LEARNED}
+SELECT 'abbreviation' AS kind, type AS t1, CAST(NULL AS VARCHAR) AS t2, a AS n, score AS value FROM abbr
+UNION ALL SELECT 'starter', t, NULL, n, ll FROM st UNION ALL SELECT 'collocation', t1, t2, n, ll FROM co""")(_merged_training)
+
+# ------------------------------------------------------------------ P4 / P7 through whole works
+WORK_LINES = 200    # lines of a segment
+
+
+def _works(spark, sf, lines: int = WORK_LINES):
+    docs = _docs(spark, sf)
+    return WorkSplitter(segments(docs, "source", "doc_id", lines=lines), S.fit(docs))
+
+
+WORK_SPLIT = f"works_ AS (SELECT source AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents WHERE text IS NOT NULL GROUP BY source),\n" \
+    + SPLIT.replace("AS paras FROM documents", "AS paras FROM works_")
+register("work_sentences", f"WITH {WORK_SPLIT}\nSELECT doc_id AS work, sent_idx, sentence FROM sent")(
+    _ready(lambda spark, sf: _works(spark, sf).sentences()))
+register("work_chunks", f"""WITH {WORK_SPLIT}
+SELECT doc_id AS work, CAST(sent_idx // 3 AS BIGINT) AS chunk_idx, string_agg(sentence, ' ' ORDER BY sent_idx) AS text, count(*) AS n_sent
+FROM sent GROUP BY doc_id, sent_idx // 3""")(_ready(lambda spark, sf: _works(spark, sf).chunks()))
+
 # ------------------------------------------------------------------ P7
 register("chunks", f"""WITH {SPLIT}
 SELECT s.doc_id, d.source, CAST(s.sent_idx // 3 AS BIGINT) AS chunk_idx,
@@ -258,12 +301,6 @@ SELECT doc_id, CASE WHEN length(text) > 150 THEN substring(text, 1, 150) || '...
 
 
 # ------------------------------------------------------------------ S1 / S4 / S5 (file round trips)
-def _scratch(spark, name):
-    import uuid
-    from annospark.session import checkpoint_dir
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 PART_DOCS = 256     # documents a file, at most
 
 

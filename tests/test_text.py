@@ -149,3 +149,67 @@ def test_read_corpus_writes_bounded_parts(spark, tmp_path):
      .write.parquet(str(tmp_path / "documents.parquet")))
     few, one = (q_text._read_corpus(spark, str(tmp_path), part_docs=n).collect() for n in (7, 1000))
     assert few == one and len(few) == 1
+
+
+def test_works_are_split_alike_whatever_the_segments(spark):
+    import random
+    from annospark.operators.works import WorkSplitter, segments
+    rng = random.Random(8)
+    pool = ["Uno due", "tre.", "Fine! Poi", "", "IV", "  ", "e (così).»", ". ancora", "a", "…", "Capitolo IV", "il sig.", "Rossi no? Sì", "x.", "latte, ecc. e", "7.",
+            "maggio poi", "A.", "Rossi uscì. Il sig. Bianchi no."]
+    texts = {(w, d): "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9))) for w in range(40) for d in range(rng.randint(1, 5))}
+    texts |= {(50, 0): "\n".join(["parola"] * 40), (50, 1): "\n".join(["ancora"] * 30) + ".", (51, 0): "", (None, 3): "Senza opera.\nDue"}
+    docs = spark.createDataFrame([(w, d, t) for (w, d), t in texts.items()] + [(1, 99, None)], "work int, doc int, text string")
+    train = " ".join(["Il sig. Rossi uscì, poi ecc. e pane. Il sig. Bianchi no."] * 60 + ["e pane e uscì e poi no"] * 40)
+    model = S.fit(spark.createDataFrame([(1, train)], "id int, text string"))
+    whole = {}
+    for (w, d), t in sorted(texts.items(), key=lambda x: (str(x[0][0]), x[0][1])):
+        whole.setdefault(w, []).append(t)
+    one = spark.createDataFrame([(w, "\n".join(t)) for w, t in whole.items()], "work int, text string")
+    want = {(r.work, i, s) for r in S.sentence_arrays(one, "work", model).collect() for i, s in enumerate(r.sents)}
+    assert any("sig. " in s for _, _, s in want)
+    for lines in (1, 3, 1000):
+        split = WorkSplitter(segments(docs, "work", "doc", lines=lines), model)
+        assert {tuple(r) for r in split.sentences().collect()} == want
+        sents = {w: [s for _, _, s in sorted(x for x in want if x[0] == w)] for w in whole}
+        blocks = {(w, k // 3, " ".join(s[k:k + 3]), len(s[k:k + 3])) for w, s in sents.items() for k in range(0, len(s), 3)}
+        assert {tuple(r) for r in split.chunks().collect()} == blocks
+
+
+def test_running_total_over_many_blocks(spark, monkeypatch):
+    from annospark.operators import works
+    monkeypatch.setattr(works, "BLOCK", 7)
+    df = spark.range(100).select((F.col("id") * 3).alias("k"), (F.col("id") % 5).alias("v"))
+    got = {r.k: r.t for r in works.running_total(df, "k", "v", "t").collect()}
+    assert got == {3 * i: sum(j % 5 for j in range(i + 1)) for i in range(100)}
+
+
+def test_parts_learned_apart_teach_what_the_whole_teaches(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    folder = str(tmp_path / "counts")
+    half = F.col("doc_id") % 2 == 0
+    S.learn_part(docs.where(half), folder, "b")
+    S.learn_part(docs.where(~half).limit(3), folder, "a")
+    S.learn_part(docs.where(~half), folder, "a")        # learned again: replaced, and the other part stays
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, S.merged_counts(spark, folder).collect()), key=key) == sorted(map(tuple, S.word_counts(docs).collect()), key=key)
+
+
+def test_no_text_is_shuffled_before_the_split(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = S.fit(docs)
+    ends = S.candidate_ends(docs.select("doc_id", "text"), ["doc_id"])
+    plan = S.inner_periods(ends, model)._jdf.queryExecution().executedPlan().toString()
+    import re
+    assert not re.search(r"Exchange[^\n]*\n[^\n]*\btext#", plan) and "text" not in S.inner_periods(ends, model).columns
+    final = S.sentence_arrays(docs, "doc_id", model)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final
+
+
+def test_abbreviation_filter_lets_all_abbreviations_through(spark):
+    abbrevs = spark.createDataFrame([(f"a{i}",) for i in range(500)], "type string")
+    words = S.abbreviation_filter(abbrevs)
+    hits = lambda df: df.select(S.may_be_abbreviation(F.col("type"), words).alias("h")).where("h").count()
+    assert hits(abbrevs) == 500
+    assert hits(spark.createDataFrame([(f"b{i}",) for i in range(2000)], "type string")) < 5
+    assert hits(abbrevs.limit(0)) == 0
