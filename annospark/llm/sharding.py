@@ -7,10 +7,11 @@ bytes.  A node with more than one leaf to come is split along its widest
 dimension at the distributed weighted median (at a fraction of the weight, if
 its leaves do not halve evenly) until every leaf holds about the target bytes.
 
-The median is found by histograms: each pass sums the weights of at most BINS
-bins per open node and goes on inside the bin where the wanted weight is
-crossed, first over the coordinate, then, among equal coordinates, over the
-content hash.  Only the bins reach the driver, BINS rows per node.
+The medians of all nodes of a level are found together by histograms: each pass sums
+the weights of at most BINS bins per open node and goes on inside the bin where the
+wanted weight is crossed, first over the coordinate, then, among equal coordinates,
+over the content hash.  Nodes, bins and cuts are rows of tables; each level's points are
+stored with their node, so neither plans nor the driver grow with the number of leaves.
 
 Law: `bytes`.  A group heavier than a leaf is a shard of its own size.
 
@@ -22,8 +23,6 @@ named columns are read.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,75 +38,74 @@ def place(c: Column) -> Column:
     return F.crc32(F.coalesce(c, F.lit("")).cast("binary")) / F.lit(float(1 << 32))
 
 
-def _pick(values: list, node: Column, kind: str) -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), node + 1)
-
-
-def _crossing(points: DataFrame, node: Column, value: Column, ranges: dict[int, list]) -> dict[int, list]:
-    """One histogram pass. ranges: node -> [low, high, wanted weight below]; returns node -> the bin crossed."""
-    ids = sorted(ranges)
-    top = max(ids) + 1
-    low = _pick([ranges[i][0] if i in ranges else None for i in range(top)], node, "double")
-    high = _pick([ranges[i][1] if i in ranges else None for i in range(top)], node, "double")
-    b = F.when(high > low, F.least(F.floor((value - low) / (high - low) * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
-    sums = (points.where(node.isin(ids)).where(value.between(low, high))
-            .groupBy(node.alias("node"), b.alias("bin"))
-            .agg(F.sum("weight").alias("w"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect())
-    out = {}
-    for i in ids:
-        bins = sorted((r.bin, r.w, r.lo, r.hi) for r in sums if r.node == i)
-        want, below = ranges[i][2], 0
-        for k, (_, w, lo, hi) in enumerate(bins):
-            if below + w >= want or k == len(bins) - 1:
-                out[i] = [lo, hi, want - below, w]
-                break
-            below += w
-    return out
-
-
-def kd_splits(points: DataFrame, leaves: int) -> tuple[Column, int]:
-    """The leaf number of a point as a column expression, and how many leaves there are."""
-    extent = points.agg(*[f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))],
-                        F.sum("weight").alias("weight")).first()
+def crossing(rows: DataFrame, value: Column, state: DataFrame) -> DataFrame:
+    """Where the running weight of `value` reaches what its node wants: shard, at, want, w.
+
+    rows: shard, weight and the value's columns; state: s_shard, lo, hi, want of every open node.  `want`
+    comes back as what is left of it at the value `at`, whose rows weigh w.  Each pass sums at
+    most BINS bins a node and goes on inside the bin that is crossed, until that holds a single value.
+    """
+    after = Window.partitionBy("s_shard").orderBy("bin")
+    found, state = None, stored(state)
+    while True:
+        inside = rows.join(state, F.col("shard") == F.col("s_shard")).withColumn("value", value).where("value between lo and hi")
+        place = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
+        bins = (inside.groupBy("s_shard", F.when(F.col("hi") > F.col("lo"), place).otherwise(0).alias("bin"))
+                .agg(F.sum("weight").alias("w"), F.min("value").alias("b_lo"), F.max("value").alias("b_hi"), F.first("want").alias("want"))
+                .withColumn("through", F.sum("w").over(after)))
+        reached = F.col("through") >= F.col("want")
+        # the first bin that reaches it; the last one if rounding lets none
+        best = F.min(F.struct((~reached).alias("late"), F.when(reached, F.col("bin")).otherwise(-F.col("bin")).alias("nth"),
+                              F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), (F.col("want") - F.col("through") + F.col("w")).alias("want"), "w"))
+        state = stored(bins.groupBy("s_shard").agg(best.alias("b")).select("s_shard", "b.lo", "b.hi", "b.want", "b.w"))
+        done = state.where("lo = hi").select(F.col("s_shard").alias("c_shard"), F.col("lo").alias("at"), "want", "w")
+        found = done if found is None else found.unionByName(done)
+        state = state.where("lo < hi").drop("w")
+        if state.isEmpty():
+            return found
+
+
+def kd_leaves(points: DataFrame, leaves: int) -> DataFrame:
+    """`points` with their leaf number `shard`.
+
+    A point's node is named by its first leaf; `open` is how many leaves it is to have.  Each level's
+    cuts are rows that join the points by node, and its points are stored.
+    """
+    extent = points.agg(*[f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))]).first()
     span = {d: (extent[f"hi_{d}"] - extent[f"lo_{d}"]) or 1.0 for d in DIMS}
-    node, open_leaves, done = F.lit(0), [leaves], False
-    while not done:
-        split = [i for i, k in enumerate(open_leaves) if k > 1]
-        if not split:
-            break
-        found = {r.node: r for r in points.where(node.isin(split)).groupBy(node.alias("node")).agg(
+    points = points.withColumn("shard", F.lit(0)).withColumn("open", F.lit(leaves))
+    widest = leaves
+    while widest > 1:
+        here = points.where("open > 1")
+        nodes = stored(here.groupBy(F.col("shard").alias("s_shard")).agg(
             *[f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))],
-            F.sum("weight").alias("weight")).collect()}
-        dim = {i: max(DIMS, key=lambda d: ((found[i][f"hi_{d}"] - found[i][f"lo_{d}"]) / span[d], -DIMS.index(d)))
-               for i in split if i in found}
-        axis = _pick([DIMS.index(dim[i]) + 1 if i in dim else 1 for i in range(len(open_leaves))], node, "int")
-        value = F.element_at(F.array(*[F.col(d) for d in DIMS]), axis)
-        ranges = {i: [found[i][f"lo_{dim[i]}"], found[i][f"hi_{dim[i]}"],
-                      found[i]["weight"] * (open_leaves[i] // 2) / open_leaves[i]] for i in dim}
-        cut: dict[int, list] = {}
-        while ranges:                              # over the coordinate, until one value holds the crossing
-            crossed = _crossing(points, node, value, ranges)
-            cut |= {i: x for i, x in crossed.items() if x[0] == x[1]}
-            ranges = {i: x[:3] for i, x in crossed.items() if x[0] != x[1]}
-        at = _pick([cut[i][0] if i in cut else None for i in range(len(open_leaves))], node, "double")
-        hash_cut: dict[int, float] = {}
-        ties, mix = points.where(value == at), F.col("d_hash")
-        ranges = {i: [0.0, 1.0, cut[i][2]] for i in cut}
-        while ranges:                              # among equal coordinates, over the hash
-            crossed = _crossing(ties, node, mix, ranges)
-            for i, (lo, hi, want, w) in crossed.items():
-                if lo == hi:
-                    hash_cut[i] = lo if want >= w / 2 else math.nextafter(lo, -1.0)
-            ranges = {i: x[:3] for i, x in crossed.items() if x[0] != x[1]}
-        h_at = _pick([hash_cut.get(i) for i in range(len(open_leaves))], node, "double")
-        right = (value > at) | ((value == at) & (mix > h_at))
-        base, grown = [], []
-        for i, k in enumerate(open_leaves):
-            base.append(len(grown))
-            grown += [k // 2, k - k // 2] if i in cut else [1]
-        node = (_pick(base, node, "int") + F.when(F.coalesce(right, F.lit(False)), 1).otherwise(0))
-        open_leaves = grown
-    return node, len(open_leaves)
+            (F.sum("weight") * F.floor(F.first("open") / 2) / F.first("open")).alias("want")))
+        width = [(F.col(f"hi_{d}") - F.col(f"lo_{d}")) / span[d] for d in DIMS]
+        most = F.greatest(*width)
+        axis = F.coalesce(*[F.when(w == most, F.lit(k + 1)) for k, w in enumerate(width)])
+        choose = lambda names: F.element_at(F.array(*[F.col(c) for c in names]), F.col("axis"))
+        nodes = nodes.withColumn("axis", axis)
+        axes = nodes.select(F.col("s_shard").alias("a_shard"), "axis")
+        valued = here.join(axes, F.col("shard") == F.col("a_shard")).select("shard", "weight", choose(DIMS).alias("coordinate"), "d_hash")
+        state = nodes.select("s_shard", choose([f"lo_{d}" for d in DIMS]).alias("lo"), choose([f"hi_{d}" for d in DIMS]).alias("hi"), "want")
+        at = stored(crossing(valued, F.col("coordinate"), state))
+        ties = (valued.join(at.select("c_shard", "at"), (F.col("shard") == F.col("c_shard")) & (F.col("coordinate") == F.col("at")))
+                .select("shard", "weight", "d_hash"))
+        among = at.select(F.col("c_shard").alias("s_shard"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), "want")
+        hashes = crossing(ties, F.col("d_hash"), among).select(
+            F.col("c_shard").alias("h_shard"), F.col("at").alias("h_at"), (F.col("want") >= F.col("w") / 2).alias("keep"))
+        cuts = (at.select("c_shard", "at").join(hashes, F.col("c_shard") == F.col("h_shard")).join(axes, F.col("c_shard") == F.col("a_shard"))
+                .select("c_shard", "at", "h_at", "keep", "axis"))
+        value = choose(DIMS)
+        right = (value > F.col("at")) | ((value == F.col("at")) & (
+            (F.col("d_hash") > F.col("h_at")) | ((F.col("d_hash") == F.col("h_at")) & ~F.col("keep"))))
+        half = F.floor(F.col("open") / 2).cast("int")
+        moved = F.when(F.col("open") > 1, F.coalesce(right, F.lit(False)))
+        points = stored(points.join(cuts, F.col("shard") == F.col("c_shard"), "left").select(
+            *GROUP, "weight", *DIMS, "d_hash", (F.col("shard") + F.when(moved, half).otherwise(0)).alias("shard"),
+            F.when(moved, F.col("open") - half).when(F.col("open") > 1, half).otherwise(F.col("open")).alias("open")))
+        widest -= widest // 2
+    return points
 
 
 def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id",
@@ -129,8 +127,8 @@ def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int |
         .withColumn("d_hash", (F.shiftrightunsigned("text_hash", 11)) / F.lit(float(1 << 53))))
     total = points.agg(F.sum("weight").alias("w"), F.sum("n").alias("n")).first()
     leaves = shards or max(1, -(-(total.w or 0) // target_bytes))
-    leaf = kd_splits(points, leaves)[0] if total.n else F.lit(0)
-    where = points.select(*[F.col(c).alias(f"g_{c}") for c in GROUP], leaf.cast("int").alias("shard"))
+    leaf = kd_leaves(points, leaves) if total.n else points.withColumn("shard", F.lit(0))
+    where = leaf.select(*[F.col(c).alias(f"g_{c}") for c in GROUP], F.col("shard").cast("int").alias("shard"))
     key = [F.col(c) == F.col(f"g_{c}") for c in GROUP]
     placed = rows.join(where, key[0] & key[1] & key[2]).select(
         "doc_id", "size", "text_crc32", "text_hash", "shard",

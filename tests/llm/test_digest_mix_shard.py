@@ -40,8 +40,8 @@ def test_counts_and_likeness():
     assert digest.likeness(a, a) == 1.0 and digest.likeness(a, b) == digest.likeness(b, a) and 0 <= digest.likeness(a, b) < 0.9
 
 
-def expected(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+def expected(rows, tie):
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1] or ""]))
     out = []
     for (i, t, *_), (_, following, *_) in zip(order, order[1:] + order[:1]):
         t, following = t or "", following or ""
@@ -53,13 +53,32 @@ def expected(rows):
     return sorted(out, key=str)
 
 
-def test_neighbours(spark, weird):
-    assert sorted((tuple(r) for r in digest.edited_neighbours(weird).collect()), key=str) == expected(WEIRD)
+def ties(spark, rows):
+    texts = spark.createDataFrame([(t,) for t in {r[1] or "" for r in rows}], "t string")
+    return {r.t: r.h for r in texts.select("t", F.xxhash64("t").alias("h")).collect()}
+
+
+@pytest.mark.parametrize("partitions,range_rows", [(8, 256), (8, 1), (3000, 1)])
+def test_neighbours(spark, weird, monkeypatch, partitions, range_rows):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(digest, "RANGE_ROWS", range_rows)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert sorted((tuple(r) for r in digest.edited_neighbours(weird).collect()), key=str) == expected(WEIRD, ties(spark, WEIRD))
+        one = weird.where("doc_id = 12")
+        assert digest.edited_neighbours(one).first().near_next == 1.0
+        assert digest.edited_neighbours(weird.limit(0)).collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_neighbours_on_the_table_and_with_hot_ids(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert sorted((tuple(r) for r in digest.edited_neighbours(docs).collect()), key=str) == expected([(r.doc_id, r.text) for r in docs.collect()])
-    one = weird.where("doc_id = 12")
-    assert digest.edited_neighbours(one).first().near_next == 1.0
-    assert digest.edited_neighbours(weird.limit(0)).collect() == []
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted((tuple(r) for r in digest.edited_neighbours(docs).collect()), key=str) == expected(rows, ties(spark, rows))
+    hot = [(None, "no id")] * 700 + [(5, f"text {i % 40}") for i in range(700)] + [(i, "other") for i in range(600)]
+    got = digest.edited_neighbours(spark.createDataFrame(hot, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == expected(hot, ties(spark, hot))
 
 
 def test_mix_contract(spark):
@@ -102,3 +121,46 @@ def test_shards_contract(spark, weird):
     assert len(sharding.kd_shards(weird, shards=3).collect()) == len(WEIRD)
     assert {r.shard for r in sharding.kd_shards(weird, target_bytes=10**9).collect()} == {0}
     assert sharding.kd_shards(weird.limit(0), shards=8).collect() == []
+
+
+def exact_tree(points, leaves):
+    """Leaf of every point (weight, coordinates, hash): split at the exact weighted median along the widest dimension."""
+    dims = range(len(points[0][1]))
+    span = [(max(p[1][d] for p in points) - min(p[1][d] for p in points)) or 1.0 for d in dims]
+    out = {}
+
+    def split(rows, first, k):
+        if k == 1 or not rows:
+            out.update({r[2]: first for r in rows})
+            return
+        width = [(max(r[1][d] for r in rows) - min(r[1][d] for r in rows)) / span[d] for d in dims]
+        d = width.index(max(width))
+        rows, want, below = sorted(rows, key=lambda r: (r[1][d], r[2])), sum(r[0] for r in rows) * (k // 2) / k, 0
+        for at, r in enumerate(rows):
+            if below + r[0] >= want or at == len(rows) - 1:
+                at += want - below >= r[0] / 2
+                break
+            below += r[0]
+        split(rows[:at], first, k // 2)
+        split(rows[at:], first + k // 2, k - k // 2)
+
+    split(points, 0, leaves)
+    return out
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 7, 61])
+def test_leaves_are_those_of_the_exact_tree(spark, leaves):
+    draw = np.random.default_rng(leaves)
+    rows = [(int(w), int(i), int(h), int(w), 1, float(d), float(i), float(s), 0.5, float(h) / 2 ** 53) for i, (w, d, s, h) in enumerate(zip(
+        draw.integers(1, 400, 600), draw.integers(0, 5, 600), draw.random(600), draw.permutation(2 ** 20)[:600] * 2 ** 33))]
+    points = spark.createDataFrame(rows, "size long, text_crc32 long, text_hash long, weight long, n long, d_size double, d_id double, "
+                                         "d_source double, d_lang double, d_hash double")
+    got = {r.d_hash: r.shard for r in sharding.kd_leaves(points, leaves).collect()}
+    assert got == exact_tree([(r[3], r[5:9], r[9]) for r in rows], leaves)
+
+
+def test_target_bytes_of_many_leaves(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    total = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0]
+    rows = sharding.kd_shards(docs, target_bytes=total // 40).groupBy("shard").agg(F.sum("size").alias("b"), F.max("size").alias("m")).collect()
+    assert 15 <= len(rows) <= 41 and all(r.b <= total // 40 * 2 + r.m for r in rows)
