@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from annospark.functions.hashing import sql_h_parts
+from annospark.functions.hashing import h_parts, sql_h_parts
 from annospark.operators import annotate as AN
 from annospark.operators.answers import normalize_answers
+from annospark.operators.resume import StoredAnnotations
 from annospark.operators.metrics import condition_long, markers_by_outcome, outcome
 from annospark.plans import fixtures as fx
 from annospark.plans.catalog import register
@@ -15,8 +18,10 @@ from annospark.plans.q_text import SPLIT, TEXT_BLOCKS, q, text_blocks
 from annospark.plans.oracle_base import RAW, with_base
 from annospark.plans.q_answers import PARSED_JSON
 from annospark.functions.text import safe_name
+from annospark.session import checkpoint_dir
 from annospark.sources.tables import table, table_spread
 from annospark.streaming.annotate_stream import stream_annotate
+from annospark.streaming.attach_stream import attach_stream
 
 BASE = with_base(RAW) + ", " + PARSED_JSON
 RUN_KEY = ["model_key", "request_id"]
@@ -51,6 +56,35 @@ ANTI JOIN (SELECT model_key, request_id FROM att WHERE label IN ('yes', 'no')) a
                                  _attached(spark, sf).where(F.col("label").isin("yes", "no")), RUN_KEY))
 
 
+def _attach_stream(spark, sf):
+    """The results land in files of their own, the later ones of a key in any of them."""
+    return attach_stream(spark, fx.requests_for(spark, sf), fx.batch_results(spark, sf), RUN_KEY, files_per_trigger=1)
+
+
+register("attach_stream", BASE + f", {_REQ}, {_RES}\nSELECT * FROM att")(_attach_stream)
+
+
+# ------------------------------------------------------------------ A3 merge-back
+def _merge_back(spark, sf):
+    """A first run answers some requests, a second one fills what is pending, and is then replayed with other answers."""
+    results = fx.batch_results(spark, sf).select(*RUN_KEY, F.when((F.col("result_type") == "succeeded") & F.col("label").isin("yes", "no"),
+                                                                  F.col("label")).alias("label"), "confidence", "arrival")
+    early = h_parts("request_id", F.lit("run")) % 10 < 6
+    stored = StoredAnnotations(spark, f"{checkpoint_dir(spark).rstrip('/')}/annotations-{uuid.uuid4().hex}", RUN_KEY)
+    empty = F.lit(None).cast("string")
+    stored.create(fx.requests_for(spark, sf).select(*RUN_KEY, empty.alias("label"), empty.alias("confidence")))
+    stored.merge(results.where(early), 1).merge(results, 2).merge(results, 2)
+    return stored.read()
+
+
+register("merge_back", BASE + f""", {_REQ}, {_RES},
+ok AS (SELECT model_key, request_id, label, confidence, arrival, CASE WHEN {sql_h_parts('request_id', "'run'")} % 10 < 6 THEN 1 ELSE 2 END AS run
+       FROM res WHERE result_type = 'succeeded' AND label IN ('yes', 'no')),
+f AS (SELECT model_key, request_id, min(run) AS run, arg_max(label, arrival) AS label, arg_max(confidence, arrival) AS confidence FROM ok GROUP BY ALL)
+SELECT req.model_key, req.request_id, f.label, f.confidence, CAST(f.run AS INTEGER) AS run
+FROM req LEFT JOIN f ON f.model_key = req.model_key AND f.request_id = req.request_id""")(_merge_back)
+
+
 # ------------------------------------------------------------------ A4
 def _pending_conditions(spark, sf):
     parsed = normalize_answers(fx.raw_answers(spark, sf), "json_think")
@@ -172,7 +206,30 @@ register("score_blocks", with_base(SPLIT, TEXT_BLOCKS, f"""s AS (SELECT block_id
 r AS (SELECT block_id, text, {_RULE_RAW} AS raw_text FROM s)""") + """
 SELECT block_id, raw_text, 'ok' AS status, CAST(1 AS INTEGER) AS attempts, CAST(length(text) // 4 AS BIGINT) AS tokens_in,
        CAST(length(raw_text) // 4 AS BIGINT) AS tokens_out FROM r""")(
-    lambda spark, sf: AN.score(text_blocks(spark, sf), AN.rule_scorer, keep=["block_id"]))
+    lambda spark, sf: AN.rule_answers(text_blocks(spark, sf), keep=["block_id"]))
+
+IN_FLIGHT = 3
+
+
+def _slow_call(text):
+    """A scorer that waits, and that fails on some texts."""
+    import time
+    time.sleep(0.0005)
+    if len(text) % 50 == 7:
+        raise ValueError("no answer")
+    return '{"label": "yes"}' if len(text) % 2 == 0 else '{"label": "no"}'
+
+
+def _score_concurrent(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("block_id"), "text")
+    out = AN.score_concurrent(docs, _slow_call, keep=["block_id"], partitions=spark.sparkContext.defaultParallelism, in_flight=IN_FLIGHT)
+    return out.select("block_id", "raw_text", "status", "attempts", F.col("in_flight").between(1, IN_FLIGHT).alias("within_limit"))
+
+
+register("score_concurrent", """
+SELECT doc_id AS block_id, CASE WHEN length(text) % 50 <> 7 THEN CASE WHEN length(text) % 2 = 0 THEN '{"label": "yes"}' ELSE '{"label": "no"}' END END AS raw_text,
+       CASE WHEN length(text) % 50 = 7 THEN 'error' ELSE 'ok' END AS status, CAST(CASE WHEN length(text) % 50 = 7 THEN 3 ELSE 1 END AS INTEGER) AS attempts,
+       true AS within_limit FROM documents""")(_score_concurrent)
 
 # ------------------------------------------------------------------ A5 (streaming, rows-only check)
 register("stream_annotate", f"""WITH s AS (SELECT doc_id, text, {_SCORE_SQL} AS s FROM documents)

@@ -15,13 +15,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.operators.annotate import rule_scorer, score
+from annospark.operators.annotate import rule_answers, score
 from annospark.operators.answers import normalize_answers
 from annospark.session import checkpoint_dir
 
 
-def annotate_batch(batch: DataFrame, id_col: str, text_col: str = "text", scorer=rule_scorer) -> DataFrame:
-    scored = score(batch, scorer, text_col=text_col, keep=[id_col])
+def annotate_batch(batch: DataFrame, id_col: str, text_col: str = "text", scorer=None) -> DataFrame:
+    """Parsed answers of a scorer callback, or of the bundled rule."""
+    scored = (score(batch, scorer, text_col=text_col, keep=[id_col]) if scorer is not None
+              else rule_answers(batch, text_col=text_col, keep=[id_col]))
     return normalize_answers(scored, "json").select(id_col, "label", "confidence", "status", "attempts",
                                                    "tokens_in", "tokens_out")
 

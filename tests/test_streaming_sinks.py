@@ -86,3 +86,78 @@ def test_read_annotations_reads_folders_of_part_files(spark, tmp_path):
     FS.write_annotated(df, f"{tmp_path}/m_annotated.csv", by=None)
     row, = FS.read_annotations(spark, str(tmp_path)).collect()
     assert (row["text"], row["model_key"], row["label"], row["source_file"]) == ("a, \"b\"\nc", "m", "no", "m_annotated.csv")
+
+
+def test_concurrent_calls_keep_limit_order_and_fail_alone(spark):
+    import time
+
+    def call(text):
+        time.sleep(0.002 * (int(text) % 3))           # later rows finish first
+        if text == "13":
+            raise RuntimeError("bad row")
+        return f"<{text}>"
+
+    df = spark.range(60).select("id", F.col("id").cast("string").alias("text")).coalesce(1)
+    rows = AN.score_concurrent(df, call, keep=["id"], partitions=2, in_flight=4, max_retries=2).collect()
+    assert {r.id: (r.raw_text, r.status, r.attempts) for r in rows} == {
+        i: (None, "error", 2) if i == 13 else (f"<{i}>", "ok", 1) for i in range(60)}
+    assert 2 <= max(r.in_flight for r in rows) <= 4 and all(1 <= r.in_flight for r in rows)
+    by_task = {}
+    for r in rows:
+        by_task.setdefault(r.nth, []).append(r.id)
+    assert sorted(by_task) == list(range(len(by_task))) and all(len(v) <= 2 for v in by_task.values())
+
+
+def test_concurrent_calls_share_a_budget(spark):
+    import time
+    df = spark.range(40).select("id", F.lit("x").alias("text"))
+    warm = AN.score_concurrent(df, lambda t: "y", keep=["id"], partitions=2).count()
+    start = time.monotonic()
+    assert AN.score_concurrent(df, lambda t: "y", keep=["id"], partitions=2, calls_per_second=40).count() == warm == 40
+    assert time.monotonic() - start >= 0.8            # 40 calls at 40 a second, less the first of each task
+    assert AN.score_concurrent(df.limit(0), lambda t: "y", keep=["id"]).collect() == []
+
+
+def test_rule_answers_are_what_the_scorer_gives(spark):
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    a = {tuple(r) for r in AN.score(docs, AN.rule_scorer, keep=["doc_id"]).collect()}
+    assert a == {tuple(r) for r in AN.rule_answers(docs, keep=["doc_id"]).collect()}
+
+
+def test_latest_result_wins_over_batches_and_replays(spark, tmp_path):
+    from annospark.streaming.attach_stream import attach_stream, start_latest
+    req = spark.createDataFrame([(f"r{i}",) for i in range(40)], "request_id string")
+    res = [(f"r{i % 37}", "succeeded", "yes" if i % 2 else "no", "high", (i * 7919) % 1009) for i in range(300)]
+    results = spark.createDataFrame(res, "request_id string, result_type string, label string, confidence string, arrival long")
+    want = sorted(map(tuple, AN.attach_results(req, results).collect()))
+    got = attach_stream(spark, req, results, ["request_id"], landings=6, files_per_trigger=1)
+    assert sorted(map(tuple, got.collect())) == want
+    # more results land: the same checkpoint goes on from its state; old arrivals change nothing
+    source, sink, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    results.where("arrival >= 500").write.parquet(source)
+    start_latest(spark, source, sink, state, ["request_id"]).awaitTermination()
+    results.where("arrival < 500").write.mode("append").parquet(source)
+    start_latest(spark, source, sink, state, ["request_id"]).awaitTermination()
+    latest = spark.read.parquet(sink).drop("batch")
+    assert sorted(map(tuple, AN.attach_results(req, latest, ["request_id"]).collect())) == want
+
+
+def test_merge_back_fills_pending_rows_only(spark, tmp_path):
+    from annospark.operators.resume import StoredAnnotations
+    base = spark.createDataFrame([("a", "yes", "high", 1), ("b", " ", None, 2), ("c", None, None, 3), ("d", None, None, 4), (None, None, None, 5)],
+                                 "id string, label string, confidence string, extra int")
+    results = lambda rows: spark.createDataFrame(rows, "id string, label string, confidence string, arrival int")
+    table = StoredAnnotations(spark, str(tmp_path / "t"), ["id"]).create(base)
+    first = results([("a", "no", "low", 1), ("b", "no", "low", 1), ("b", "yes", "low", 2), ("x", "no", "low", 1), ("c", "", "low", 1), (None, "no", "low", 1)])
+    second = results([("b", "no", "high", 9), ("c", "yes", "high", 1)])
+    rows = lambda t: sorted((tuple(r) for r in t.read().collect()), key=str)
+    assert sorted(r.id for r in table.pending().where("id is not null").collect()) == ["b", "c", "d"]
+    table.merge(first, 1)
+    after = rows(table)
+    assert after == sorted([("a", 1, "yes", "high", 0), ("b", 2, "yes", "low", 1), ("c", 3, None, None, None), ("d", 4, None, None, None),
+                            (None, 5, "no", "low", 1)], key=str)
+    table.merge(second, 2)
+    done = rows(table)
+    assert ("c", 3, "yes", "high", 2) in done and ("b", 2, "yes", "low", 1) in done
+    assert rows(table.merge(second, 2)) == done and rows(table.merge(first, 1)) == done
