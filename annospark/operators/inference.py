@@ -10,7 +10,9 @@ Design notes (scale):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annospark.constants import (COMMERCIAL_MODELS, CONTRAST_MODEL_PAIRS, HIGHCONF_MODELS,
@@ -104,6 +106,37 @@ def bootstrap_kappa(spark: SparkSession, lf: DataFrame, n_boot: int = 2000, seed
                     F.round(F.col("q")[0], 6).alias("ic_inf"), F.round(F.col("q")[1], 6).alias("ic_sup")))
 
 
+#: A hash of 32 bits counts 0, 1, 2, ... for Poisson(1) by how many of these it reaches: the cumulative probabilities in 2^-32.
+POISSON_STEPS = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2 ** 32) for k in range(12)]
+
+
+def poisson_weight(u: Column) -> Column:
+    return sum((F.when(u >= step, 1).otherwise(0) for step in POISSON_STEPS), F.lit(0))
+
+
+def poisson_replicates(lf: DataFrame, n_boot: int = 2000, seed: int = 42, cluster: str = "doc_id") -> DataFrame:
+    """(b, model, prompt, kappa) of n_boot Poisson bootstrap replicates.
+
+    In replicate b a cluster counts Poisson(1) times, by h(seed|b|cluster); nothing is numbered or drawn beforehand.
+    A cluster's counts are one row, whose weights are made and summed where it is: one pass, and only sums
+    per (replicate, condition) are shuffled.
+    """
+    cells = cluster_counts(lf, cluster).groupBy(cluster).agg(F.collect_list(F.struct("model", "prompt", "TP", "FN", "FP", "TN")).alias("cells"))
+    drawn = (cells.select(cluster, "cells", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+             .select("cells", "b", poisson_weight(h_parts(F.lit(seed), "b", cluster)).alias("w")).where("w > 0"))
+    rep = (drawn.select("b", "w", F.inline("cells")).groupBy("b", "model", "prompt")
+           .agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("TP", "FN", "FP", "TN")]))
+    return rep.select("b", "model", "prompt", _kappa_cols().alias("kappa"))
+
+
+def bootstrap_poisson(lf: DataFrame, n_boot: int = 2000, seed: int = 42) -> DataFrame:
+    """`bootstrap_kappa` with Poisson weights: for very many clusters."""
+    ci = poisson_replicates(lf, n_boot, seed).groupBy("model", "prompt").agg(F.percentile("kappa", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return (point_kappa(lf).join(ci, ["model", "prompt"])
+            .select(F.col("model").alias("modello"), "prompt", F.round("kappa", 6).alias("kappa"),
+                    F.round(F.col("q")[0], 6).alias("ic_inf"), F.round(F.col("q")[1], 6).alias("ic_sup")))
+
+
 # ---------------------------------------------------------------- I3 / I4
 def contrast_table(spark: SparkSession) -> DataFrame:
     rows = [(f"{a} C - {b} C", a, "C", b, "C") for a, b in CONTRAST_MODEL_PAIRS]

@@ -162,6 +162,65 @@ def compare_annotators(wide: DataFrame, col_a: str, col_b: str) -> DataFrame:
                                             F.lit(0.0)), 6))
 
 
+def pair_cells(wide: DataFrame, columns: list[str], labels: list[str], gold: Column | None = None) -> DataFrame:
+    """(i, j, a, b, g, c): for every two columns i < j, how often they say labels[a] and labels[b] (a, b from 0), by `gold`.
+
+    A row is coded once as a vector of label numbers and counted in one group-by over (column, label, gold), which
+    keeps counters for every other column and label: no pairs of rows or columns are emitted.
+    """
+    code = lambda c: F.coalesce(*[F.when(F.col(c) == x, F.lit(k)) for k, x in enumerate(labels, 1)], F.lit(0)).cast("tinyint")
+    coded = wide.select(F.array(*[code(c) for c in columns]).alias("cs"), (F.lit(None).cast("int") if gold is None else gold).alias("g"))
+    rows = coded.select(F.posexplode("cs").alias("i", "a"), "cs", "g").where("a > 0")
+    cells = [(j, v) for j in range(1, len(columns)) for v in range(1, len(labels) + 1)]
+    counts = rows.groupBy("i", "a", "g").agg(*[F.count_if(F.col("cs")[j] == v).alias(f"c_{j}_{v}") for j, v in cells])
+    each = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(v - 1).alias("b"), F.col(f"c_{j}_{v}").alias("c")) for j, v in cells])
+    return counts.select("i", (F.col("a") - 1).cast("int").alias("a"), "g", F.inline(each)).where("i < j and c > 0").select("i", "j", "a", "b", "g", "c")
+
+
+def _named(cells: DataFrame, names: list[str], pair: tuple[str, str] = ("system_A", "system_B")) -> DataFrame:
+    """Pairs by name instead of number."""
+    name = F.array(*[F.lit(x) for x in names])
+    return cells.select(name[F.col("i")].alias(pair[0]), name[F.col("j")].alias(pair[1]), *[c for c in cells.columns if c not in ("i", "j")])
+
+
+def kappa_multiclass_pairs(wide: DataFrame, columns: list[str], labels: list[str]) -> DataFrame:
+    """(system_A, system_B, n, kappa): Cohen's kappa for k labels of every two columns, over rows where both are among the labels."""
+    cells = pair_cells(wide, columns, labels)
+    c = F.col("c").cast(_D)
+    # sum over cells of count * (column total of the row's label): each label's row total times its column total
+    own = (cells.groupBy("i", "j", F.col("b").alias("l")).agg(F.sum("c").alias("total"))
+           .select(F.col("i").alias("t_i"), F.col("j").alias("t_j"), "l", "total"))
+    met = cells.join(own, (F.col("i") == F.col("t_i")) & (F.col("j") == F.col("t_j")) & (F.col("a") == F.col("l")), "left")
+    agg = met.groupBy("i", "j").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("c")).otherwise(0)).alias("agree"),
+                                    F.sum(c * F.coalesce("total", F.lit(0)).cast(_D)).alias("s"))
+    n = F.col("n").cast(_D)
+    kappa = F.round(F.try_divide(n * F.col("agree").cast(_D) - F.col("s"), n * n - F.col("s")), 6)
+    return _named(agg.select("i", "j", F.col("n").cast("bigint").alias("n"), kappa.alias("kappa")), columns)
+
+
+def compare_annotators_pairs(wide: DataFrame) -> DataFrame:
+    """The two-annotator agreement table of every two conditions."""
+    conds = [c for c, _, _ in detect_conditions(wide)]
+    yes, no = 0, 1
+    of = lambda a, b: F.sum(F.when((F.col("a") == a) & (F.col("b") == b), F.col("c")).otherwise(0))
+    agg = pair_cells(wide, conds, ["yes", "no"]).groupBy("i", "j").agg(
+        F.sum("c").alias("total"), (of(yes, yes) + of(no, no)).alias("agreement"), of(yes, yes).alias("both_yes"), of(no, no).alias("both_no"),
+        of(yes, no).alias("yes_no"), of(no, yes).alias("no_yes"))
+    return _named(agg.withColumn("rate", F.round(F.try_divide(F.col("agreement").cast(_D), F.col("total").cast(_D)), 6)), conds)
+
+
+def disagreements_pairs(wide: DataFrame) -> DataFrame:
+    """Where every two conditions disagree: direction, count, share, and which side matches gold."""
+    conds = [c for c, _, _ in detect_conditions(wide)]
+    gold = F.when(F.col("DIL") == "yes", 0).when(F.col("DIL") == "no", 1)
+    cells = pair_cells(wide, conds, ["yes", "no"], gold).where("a <> b")
+    direction = F.when(F.col("a") == 0, "yes->no").otherwise("no->yes").alias("direction")
+    match = lambda side: F.sum(F.when(F.col("g") == F.col(side), F.col("c")).otherwise(0))
+    agg = cells.groupBy("i", "j", direction).agg(F.sum("c").alias("n"), match("a").alias("v1_matches_gold"), match("b").alias("v2_matches_gold"))
+    share = F.round(F.col("n").cast(_D) / F.sum("n").over(Window.partitionBy("i", "j")).cast(_D), 6)     # two rows a pair
+    return _named(agg.withColumn("share", share), conds)
+
+
 # ---------------------------------------------------------------- M6 / M7
 def pairwise_kappa(wide: DataFrame, min_n: int = 10) -> DataFrame:
     """Kappa between every pair of conditions, pairwise-complete rows.

@@ -92,6 +92,50 @@ SELECT count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS total,
              NULLIF(CAST(count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS DOUBLE), 0), 0.0), 6) AS rate
 FROM w""")(lambda spark, sf: M.compare_annotators(_wide(spark, sf), _CA, _CB))
 
+# every two conditions: the pair is part of the group
+def _pairs_cte(value: str) -> str:
+    return f"""v AS (SELECT block_id, cond, cond_idx, {value} AS x, CASE DIL WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS g FROM ann),
+pc AS (SELECT l.cond AS ca, r.cond AS cb, l.x AS a, r.x AS b, l.g AS g, count(*) AS c
+       FROM v l JOIN v r ON l.block_id = r.block_id AND l.cond_idx < r.cond_idx
+       WHERE l.x IS NOT NULL AND r.x IS NOT NULL GROUP BY ALL)"""
+
+
+_YES_NO = "CASE label WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END"
+_CONFIDENCE = ["high", "medium", "low"]
+
+
+def _confidence_pairs(spark, sf):
+    wide = _wide(spark, sf)
+    return M.kappa_multiclass_pairs(wide, [c.replace("DIL_", "confidence_", 1) for c, _, _ in M.detect_conditions(wide)], _CONFIDENCE)
+
+
+register("kappa_multiclass_pairs", with_base(_pairs_cte("confidence"), """
+ra AS (SELECT ca, cb, a, sum(c) AS ra FROM pc GROUP BY ALL), rb AS (SELECT ca, cb, b, sum(c) AS rb FROM pc GROUP BY ALL),
+pe AS (SELECT ca, cb, sum(CAST(ra AS DOUBLE) * CAST(rb AS DOUBLE)) AS s FROM ra JOIN rb USING (ca, cb) WHERE a = b GROUP BY ca, cb),
+tot AS (SELECT ca, cb, sum(c) AS n, COALESCE(sum(c) FILTER (WHERE a = b), 0) AS agree FROM pc GROUP BY ca, cb)""") + """
+SELECT 'confidence_' || ca AS "system_A", 'confidence_' || cb AS "system_B", CAST(n AS BIGINT) AS n,
+       round((CAST(n AS DOUBLE) * CAST(agree AS DOUBLE) - COALESCE(s, 0)) / NULLIF(CAST(n AS DOUBLE) * CAST(n AS DOUBLE) - COALESCE(s, 0), 0), 6) AS kappa
+FROM tot LEFT JOIN pe USING (ca, cb)""")(_confidence_pairs)
+
+register("compare_annotators_pairs", with_base(_pairs_cte(_YES_NO)) + """
+SELECT 'DIL_' || ca AS "system_A", 'DIL_' || cb AS "system_B", CAST(sum(c) AS BIGINT) AS total,
+       CAST(COALESCE(sum(c) FILTER (WHERE a = b), 0) AS BIGINT) AS agreement,
+       CAST(COALESCE(sum(c) FILTER (WHERE a = 1 AND b = 1), 0) AS BIGINT) AS both_yes,
+       CAST(COALESCE(sum(c) FILTER (WHERE a = 0 AND b = 0), 0) AS BIGINT) AS both_no,
+       CAST(COALESCE(sum(c) FILTER (WHERE a = 1 AND b = 0), 0) AS BIGINT) AS yes_no,
+       CAST(COALESCE(sum(c) FILTER (WHERE a = 0 AND b = 1), 0) AS BIGINT) AS no_yes,
+       round(CAST(COALESCE(sum(c) FILTER (WHERE a = b), 0) AS DOUBLE) / CAST(sum(c) AS DOUBLE), 6) AS rate
+FROM pc GROUP BY ca, cb""")(lambda spark, sf: M.compare_annotators_pairs(_wide(spark, sf)))
+
+register("disagreements_pairs", with_base(_pairs_cte(_YES_NO), """
+dd AS (SELECT ca, cb, CASE WHEN a = 1 THEN 'yes->no' ELSE 'no->yes' END AS direction, CAST(sum(c) AS BIGINT) AS n,
+              CAST(COALESCE(sum(c) FILTER (WHERE g = a), 0) AS BIGINT) AS v1_matches_gold,
+              CAST(COALESCE(sum(c) FILTER (WHERE g = b), 0) AS BIGINT) AS v2_matches_gold
+       FROM pc WHERE a <> b GROUP BY ca, cb, CASE WHEN a = 1 THEN 'yes->no' ELSE 'no->yes' END)""") + """
+SELECT 'DIL_' || ca AS "system_A", 'DIL_' || cb AS "system_B", direction, n, v1_matches_gold, v2_matches_gold,
+       round(CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY ca, cb) AS DOUBLE), 6) AS share FROM dd""")(
+    lambda spark, sf: M.disagreements_pairs(_wide(spark, sf)))
+
 # ------------------------------------------------------------------ M6 / M7
 _PAIRWISE_CTE = """pw AS (
   SELECT x.model || ' / Prompt ' || x.prompt AS system_A, y.model || ' / Prompt ' || y.prompt AS system_B,

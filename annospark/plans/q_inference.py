@@ -71,6 +71,19 @@ SELECT pk.model AS modello, pk.prompt, round(pk.kappa, 6) AS kappa, round(lo, 6)
 FROM pk JOIN ci USING (model, prompt)""")(
     lambda spark, sf: I.bootstrap_kappa(spark, _lf(spark, sf), N_BOOT, SEED))
 
+_W = " + ".join(f"CAST(u >= {step} AS INTEGER)" for step in I.POISSON_STEPS)
+register("bootstrap_poisson", with_base(_DC, f"""dd AS (SELECT DISTINCT doc_id FROM dc),
+u AS (SELECT doc_id, b, {sql_h_parts(str(SEED), 'b', 'doc_id')} AS u FROM dd, (SELECT unnest(range({N_BOOT})) AS b) r),
+w AS (SELECT doc_id, b, {_W} AS w FROM u),
+rep0 AS (SELECT b, model, prompt, sum(TP * w) AS TP, sum(FN * w) AS FN, sum(FP * w) AS FP, sum(TN * w) AS TN
+  FROM w JOIN dc USING (doc_id) WHERE w > 0 GROUP BY b, model, prompt),
+rep AS (SELECT model, prompt, {kappa_sql('TP', 'FN', 'FP', 'TN')} AS kappa FROM rep0),
+pk0 AS (SELECT model, prompt, sum(TP) AS TP, sum(FN) AS FN, sum(FP) AS FP, sum(TN) AS TN FROM dc GROUP BY model, prompt),
+pk AS (SELECT model, prompt, {kappa_sql('TP', 'FN', 'FP', 'TN')} AS kappa FROM pk0),
+ci AS (SELECT model, prompt, quantile_cont(kappa, 0.025) AS lo, quantile_cont(kappa, 0.975) AS hi FROM rep GROUP BY model, prompt)""") + """
+SELECT pk.model AS modello, pk.prompt, round(pk.kappa, 6) AS kappa, round(lo, 6) AS ic_inf, round(hi, 6) AS ic_sup
+FROM pk JOIN ci USING (model, prompt)""")(lambda spark, sf: I.bootstrap_poisson(_lf(spark, sf), N_BOOT, SEED))
+
 # ------------------------------------------------------------------ I3 / I4
 register("bootstrap_contrasts", with_base(_DC, _BOOT, _CONTRAST_CTE) + """
 SELECT contrasto, round(delta_kappa, 6) AS delta_kappa, round(ic_inf, 6) AS ic_inf, round(ic_sup, 6) AS ic_sup,

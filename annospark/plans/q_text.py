@@ -342,3 +342,24 @@ def _files_count(spark, sf):
 register("files_count", f"""WITH {SENT_CTE}
 SELECT d.source, count(DISTINCT (s.doc_id, s.sent_idx // 3)) AS n_rows
 FROM sent s JOIN documents d ON d.doc_id = s.doc_id GROUP BY d.source""")(_files_count)
+
+
+FILE_ROWS = 200     # rows of a file of the clustered write
+
+
+def _files_clustered(spark, sf):
+    """Chunks written as clustered CSV folders, re-read by glob: rows per work, and whether its files keep within bounds."""
+    from annospark.sources.files import read_chunk_files, write_clustered
+    path = _scratch(spark, "clustered")
+    write_clustered(P.chunks(_docs(spark, sf), "doc_id", keep=["source"]), path, "source", FILE_ROWS)
+    back = read_chunk_files(spark, f"{path}/source=*/*.csv").select(F.col("_metadata.file_path").alias("file"))
+    files = back.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    per = files.groupBy(F.regexp_extract("file", r"source=([^/]+)", 1).alias("source")).agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("files"), F.max("n").alias("most"))
+    least = F.ceil(F.col("n_rows") / FILE_ROWS)
+    return per.select("source", "n_rows", F.col("files").between(least, 2 * least).alias("files_within"), (F.col("most") <= FILE_ROWS).alias("rows_within"))
+
+
+register("files_clustered", f"""WITH {SENT_CTE}
+SELECT d.source, count(DISTINCT (s.doc_id, s.sent_idx // 3)) AS n_rows, true AS files_within, true AS rows_within
+FROM sent s JOIN documents d ON d.doc_id = s.doc_id GROUP BY d.source""")(_files_clustered)

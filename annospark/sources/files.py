@@ -77,6 +77,23 @@ def write_annotated(df: DataFrame, path: str, by: str | None = "doc_id", fmt: st
         w.parquet(path)
 
 
+def write_clustered(df: DataFrame, path: str, by: str, rows_per_file: int, fmt: str = "csv") -> None:
+    """One folder per work, in files of about `rows_per_file` rows and never more.
+
+    Each work's number of files follows from its count; its rows are dealt to so many parts by a hash, so a hot
+    work spans tasks, a small one is one file, and each (work, part) is written by one task.
+    """
+    counts = df.groupBy(F.col(by).alias("__by")).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("__parts"))
+    dealt = (df.join(counts, F.col(by).eqNullSafe(F.col("__by")))
+             .withColumn("__part", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("__parts"))).drop("__by", "__parts"))
+    ordered = dealt.repartition(by, "__part").sortWithinPartitions(by, "__part").drop("__part")
+    w = ordered.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(by)
+    if fmt == "csv":
+        w.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    else:
+        w.parquet(path)
+
+
 # ---------------------------------------------------------------- S6
 def metrics_nested(summary: DataFrame) -> DataFrame:
     """One row: map '<model_key>_prompt<X>' -> metric struct (bounded by the number of conditions)."""

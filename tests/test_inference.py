@@ -123,3 +123,26 @@ def test_stability_reproduces_published_deltas(spark):
         assert r["recall"] == pytest.approx(rec, abs=1e-9)
         assert r["delta_sp"] == pytest.approx(delta, abs=6e-4)          # published values are rounded
         assert r["effetto_equivalente_punti"] == pytest.approx(effect, abs=0.05)
+
+
+def test_poisson_weights_follow_their_distribution(spark):
+    import collections
+    import math
+    n = 40000
+    rows = spark.range(n).select(I.poisson_weight(I.h_parts(F.lit(1), "id")).alias("w")).groupBy("w").count().collect()
+    share = collections.Counter({r.w: r["count"] / n for r in rows})
+    assert all(abs(share[k] - math.exp(-1) / math.factorial(k)) < 0.01 for k in range(6)) and max(share) <= 12
+
+
+def test_poisson_bootstrap_agrees_with_resampling(spark):
+    from paths import SF0001
+    from annospark.operators.reshape import long_fact
+    from annospark.plans import fixtures as fx
+    lf = long_fact(fx.annotations_wide(spark, SF0001))
+    key = lambda r: (r.modello, r.prompt)
+    drawn = {key(r): r for r in I.bootstrap_kappa(spark, lf, n_boot=400).collect()}
+    poisson = {key(r): r for r in I.bootstrap_poisson(lf, n_boot=400).collect()}
+    assert drawn.keys() == poisson.keys()
+    for k, r in poisson.items():
+        assert r.kappa == drawn[k].kappa and r.ic_inf <= r.kappa <= r.ic_sup
+        assert abs((r.ic_sup - r.ic_inf) - (drawn[k].ic_sup - drawn[k].ic_inf)) < 0.12

@@ -134,3 +134,24 @@ def test_smoke_sample_ranks_a_smallest_work_beyond_the_first_ten(spark, tmp_path
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = {r["work"]: (r["n_blocks"], r["name_rank"], r["is_smallest"]) for r in _smoke(spark, str(tmp_path)).collect()}
     assert len(rows) == 11 and rows["w12"] == (1, 13, True) and rows["w03"] == (2, 4, False)
+
+
+def test_pairs_equal_the_reports_of_each_pair(spark):
+    from itertools import combinations
+    from paths import SF0001
+    from annospark.plans import fixtures as fx
+    wide = fx.annotations_wide(spark, SF0001)
+    conds = [c for c, _, _ in M.detect_conditions(wide)][:4]
+    few = wide.select("block_id", "DIL", *conds, *[c.replace("DIL_", "confidence_", 1) for c in conds])
+    got = {(r.system_A, r.system_B): r for r in M.compare_annotators_pairs(few).collect()}
+    apart = {(r.system_A, r.system_B, r.direction): (r.n, r.v1_matches_gold, r.v2_matches_gold, r.share) for r in M.disagreements_pairs(few).collect()}
+    names = [c.replace("DIL_", "confidence_", 1) for c in conds]
+    kappas = {(r.system_A, r.system_B): (r.n, r.kappa) for r in M.kappa_multiclass_pairs(few, names, ["high", "medium", "low"]).collect()}
+    assert len(got) == len(kappas) == 6
+    for a, b in combinations(conds, 2):
+        one = M.compare_annotators(few, a, b).first().asDict()
+        assert one == {k: v for k, v in got[a, b].asDict().items() if k in one}
+        for r in M.disagreements(few, a, b).collect():
+            assert apart[a, b, r.direction] == (r.n, r.v1_matches_gold, r.v2_matches_gold, r.share)
+        ca, cb = names[conds.index(a)], names[conds.index(b)]
+        assert tuple(M.kappa_multiclass(few, ca, cb).first()) == kappas[ca, cb]

@@ -161,3 +161,13 @@ def test_merge_back_fills_pending_rows_only(spark, tmp_path):
     done = rows(table)
     assert ("c", 3, "yes", "high", 2) in done and ("b", 2, "yes", "low", 1) in done
     assert rows(table.merge(second, 2)) == done and rows(table.merge(first, 1)) == done
+
+
+def test_clustered_write_bounds_files_and_spreads_a_hot_work(spark, tmp_path):
+    df = spark.range(3000).select("id", F.when(F.col("id") < 1000, "hot").otherwise(F.concat(F.lit("w"), (F.col("id") % 40).cast("string"))).alias("work"))
+    FS.write_clustered(df, str(tmp_path / "t"), "work", 100, fmt="parquet")
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted(r.id for r in back.collect()) == list(range(3000))
+    files = back.groupBy("work", F.col("_metadata.file_path").alias("f")).count().groupBy("work").agg(
+        F.count(F.lit(1)).alias("files"), F.max("count").alias("most")).collect()
+    assert all(r.most <= 100 and (r.files == 1 if r.work != "hot" else 10 <= r.files <= 20) for r in files)
