@@ -31,7 +31,6 @@ PRICES = {
     "gpt-5.2": (1.75, 14.0),
 }
 BATCH_DISCOUNT = 0.5
-CORPUS_CHUNKS = 536_676   # size of the full chunked corpus, for cost extrapolation
 
 SCORE_SCHEMA = "raw_text string, status string, attempts int, tokens_in bigint, tokens_out bigint"
 
@@ -277,8 +276,8 @@ def price_table(spark) -> DataFrame:
                                  "model string, price_in double, price_out double")
 
 
-def cost_rollup(log: DataFrame, prices: DataFrame, total_units: int = CORPUS_CHUNKS) -> DataFrame:
-    """Tokens and cost per model, batch price, and extrapolation to the full corpus.
+def cost_rollup(log: DataFrame, prices: DataFrame, total_units: int) -> DataFrame:
+    """Tokens and cost per model, batch price, and extrapolation to a corpus of so many units.
 
     A model without a price keeps its row; its costs are NULL.
     """

@@ -326,3 +326,23 @@ def informative_blocks(lf: DataFrame) -> DataFrame:
     b = lf.groupBy("model", "block_id").agg(F.min("correct").alias("lo"), F.max("correct").alias("hi"))
     return b.groupBy(F.col("model").alias("modello")).agg(
         F.count_if(F.col("lo") != F.col("hi")).alias("blocchi_informativi"))
+
+
+def clogit_score(lf: DataFrame) -> DataFrame:
+    """Score test at beta 0 of the conditional logit by block, condition by condition: (model, prompt, n_blocks, u, v, z).
+
+    Given k right answers among a block's m, each condition is right with probability k / m: u sums right
+    minus expected, v the variances k (m - k) / m^2.  Closed sums over any number of signatures.
+    """
+    per_block = lf.groupBy("block_id").agg(F.count(F.lit(1)).alias("m"), F.sum("correct").alias("k")).where("k > 0 and k < m")
+    rows = lf.select("block_id", "model", "prompt", "correct").join(per_block, "block_id")
+    # m takes few values: sums of whole numbers by m keep the result the same in any order
+    sums = rows.groupBy("model", "prompt", "m").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("right"), F.sum("k").alias("k"),
+                                                    F.sum(F.col("k") * (F.col("m") - F.col("k"))).alias("kv"))
+    total = sums.groupBy("model", "prompt").agg(
+        F.sum("n").alias("n_blocks"), F.array_sort(F.collect_list(F.struct(
+            "m", (F.col("right").cast(_D) - F.col("k").cast(_D) / F.col("m")).alias("u"), (F.col("kv").cast(_D) / (F.col("m") * F.col("m"))).alias("v")))).alias("by_m"))
+    add = lambda f: F.aggregate("by_m", F.lit(0.0), lambda acc, x: acc + x[f])
+    return total.select("model", "prompt", "n_blocks", add("u").alias("u"), add("v").alias("v")).select(
+        "model", "prompt", "n_blocks", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"),
+        F.round(F.try_divide(F.col("u"), F.sqrt("v")), 6).alias("z"))

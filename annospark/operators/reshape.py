@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annospark.constants import (CONDITION_COLUMN_RE, EXCLUDE_MODELS, MODEL_LABELS,
@@ -130,6 +130,30 @@ def merge_conditions(files: list[DataFrame], on: str = "block_id") -> DataFrame:
     return out
 
 
+BUCKET_KEY = "__key"
+
+
+def store_condition(df: DataFrame, name: str, path: str, on: str = "block_id", buckets: int = 200) -> None:
+    """Stores a condition file as a table of `buckets` buckets, one sorted file each, by its key as text (null has one of its own)."""
+    key = F.when(F.col(on).isNull(), F.lit("n")).otherwise(F.concat(F.lit("k"), F.col(on).cast("string")))
+    (df.withColumn(BUCKET_KEY, key).repartition(buckets, BUCKET_KEY).write.option("path", path)
+     .bucketBy(buckets, BUCKET_KEY).sortBy(BUCKET_KEY).saveAsTable(name))
+
+
+def merge_stored(spark: SparkSession, names: list[str], on: str = "block_id") -> DataFrame:
+    """`merge_conditions` of stored tables with as many buckets each: bucket meets bucket, nothing is shuffled or broadcast."""
+    out = spark.table(names[0])
+    seen = {c for c in out.columns if c.startswith(("DIL_", "confidence_"))}
+    for i, name in enumerate(names[1:], 1):
+        f = spark.table(name)
+        ann = [c for c in f.columns if c.startswith(("DIL_", "confidence_"))]
+        named = [F.col(c).cast("string").alias(f"{c}_dup_{i}" if c in seen else c) for c in ann]
+        seen.update(ann)
+        right = f.select(F.col(BUCKET_KEY).alias("__r"), *named).hint("merge")
+        out = out.join(right, F.col(BUCKET_KEY) == F.col("__r"), "left").drop("__r")
+    return out.drop(BUCKET_KEY)
+
+
 # ---------------------------------------------------------------- J9
 def stratified_sample(df: DataFrame, label_col: str, n: int, seed: int, id_col: str,
                       slack: float = 2.0) -> DataFrame:

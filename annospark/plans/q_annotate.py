@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from annospark.functions.hashing import h_parts, sql_h_parts
 from annospark.operators import annotate as AN
+from annospark.operators import prep as P
 from annospark.operators.answers import normalize_answers
 from annospark.operators.resume import StoredAnnotations
 from annospark.operators.metrics import condition_long, markers_by_outcome, outcome
 from annospark.plans import fixtures as fx
 from annospark.plans.catalog import register
-from annospark.plans.q_text import SPLIT, TEXT_BLOCKS, q, text_blocks
+from annospark.plans.q_text import SENT_CTE, SPLIT, TEXT_BLOCKS, q, text_blocks
 from annospark.plans.oracle_base import RAW, with_base
 from annospark.plans.q_answers import PARSED_JSON
 from annospark.functions.text import safe_name
@@ -105,14 +106,20 @@ _LOG = "lg AS (SELECT ts, ([" + ", ".join(f"'{m}'" for m in fx.LOG_MODELS) + """
     CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status FROM events)"""
 _PR = "pr AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{m}', CAST({pi} AS DOUBLE), CAST({po} AS DOUBLE))" for m, (pi, po) in AN.PRICES.items()) + ") t(model, price_in, price_out))"
-register("cost_rollup", f"""WITH {_LOG}, {_PR},
+def _cost_rollup(spark, sf):
+    """Priced for the 3-sentence blocks of the documents (cut by the boundary pattern)."""
+    units = P.corpus_summary(table_spread(spark, sf, "documents"), "source").where("level = 0").agg(F.sum("n_chunks")).first()[0] or 0
+    return AN.cost_rollup(fx.annotation_log(spark, sf), AN.price_table(spark), units)
+
+
+register("cost_rollup", f"""WITH {_LOG}, {_PR}, {SENT_CTE},
+nu AS (SELECT COALESCE(sum(CAST(ceil(len(sents) / 3.0) AS BIGINT)), 0) AS units FROM sa),
 a AS (SELECT model, count(*) AS processed, CAST(sum(tokens_in) AS BIGINT) AS tokens_in,
              CAST(sum(tokens_out) AS BIGINT) AS tokens_out FROM lg GROUP BY model),
 c AS (SELECT a.*, CAST(tokens_in AS DOUBLE) / 1e6 * price_in + CAST(tokens_out AS DOUBLE) / 1e6 * price_out AS cost
       FROM a LEFT JOIN pr USING (model))
 SELECT model, processed, tokens_in, tokens_out, round(cost, 6) AS cost, round(cost * {AN.BATCH_DISCOUNT}, 6) AS cost_batch,
-       round(cost / CAST(processed AS DOUBLE) * {AN.CORPUS_CHUNKS}, 6) AS cost_full_corpus FROM c""")(
-    lambda spark, sf: AN.cost_rollup(fx.annotation_log(spark, sf), AN.price_table(spark)))
+       round(cost / CAST(processed AS DOUBLE) * CAST(units AS DOUBLE), 6) AS cost_full_corpus FROM c, nu""")(_cost_rollup)
 
 
 def _progress(spark, sf):

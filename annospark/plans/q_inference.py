@@ -262,3 +262,10 @@ UNION ALL SELECT 'leave_one_out_delta_sp', 'max', max_delta_sp FROM lo""")(_robu
 
 register("clogit_lr")(_clogit_lr)
 register("year_trend")(_year_trend)
+
+
+register("clogit_score", with_base("""pb AS (SELECT block_id, count(*) AS m, sum(correct) AS k FROM lf GROUP BY block_id HAVING sum(correct) > 0 AND sum(correct) < count(*)),
+sm AS (SELECT model, prompt, m, count(*) AS n, sum(correct) AS r, sum(k) AS k, sum(k * (m - k)) AS kv FROM lf JOIN pb USING (block_id) GROUP BY model, prompt, m),
+uv AS (SELECT model, prompt, sum(n) AS n_blocks, sum(CAST(r AS DOUBLE) - CAST(k AS DOUBLE) / m) AS u, sum(CAST(kv AS DOUBLE) / (m * m)) AS v FROM sm GROUP BY model, prompt)""") + """
+SELECT model, prompt, CAST(n_blocks AS BIGINT) AS n_blocks, round(u, 6) AS u, round(v, 6) AS v, round(u / NULLIF(sqrt(v), 0), 6) AS z FROM uv""")(
+    lambda spark, sf: I.clogit_score(_lf(spark, sf)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from annospark.functions.hashing import sql_h_parts
@@ -10,6 +12,7 @@ from annospark.operators import reshape as R
 from annospark.operators.audit import input_audit
 from annospark.plans import fixtures as fx
 from annospark.plans.catalog import register
+from annospark.session import checkpoint_dir
 from annospark.plans.oracle_base import with_base
 from annospark.sources.tables import table
 
@@ -43,11 +46,27 @@ SELECT work, doc_id, year, {_PERIOD_CASE} AS period FROM works""")(
 _MERGE_COLS = ", ".join(
     f"max(label) FILTER (WHERE cond = '{c}') AS \"DIL_{c}\", max(confidence) FILTER (WHERE cond = '{c}') AS \"confidence_{c}\""
     for c in _CONDS)
-register("merge_conditions", with_base(f"""m AS (SELECT block_id, {_MERGE_COLS} FROM ann GROUP BY block_id)""") + """
+_MERGED = with_base(f"""m AS (SELECT block_id, {_MERGE_COLS} FROM ann GROUP BY block_id)""") + """
 SELECT b.block_id, b.doc_id, b.author, b.work, b.year, b.DIL, b.split, m.* EXCLUDE (block_id)
-FROM blocks b LEFT JOIN m ON m.block_id = b.block_id""")(
+FROM blocks b LEFT JOIN m ON m.block_id = b.block_id"""
+register("merge_conditions", _MERGED)(
     lambda spark, sf: R.merge_conditions([fx.condition_file(spark, sf, k, p) for k, p in fx.conditions()]))
 
+MERGE_BUCKETS = 16
+
+
+def _merge_stored(spark, sf):
+    """The condition files stored in buckets, then merged without a shuffle."""
+    run, base = uuid.uuid4().hex, checkpoint_dir(spark).rstrip("/")
+    names = []
+    for k, p in fx.conditions():
+        names.append(f"condition_{k}_{p}_{run}".lower())
+        R.store_condition(fx.condition_file(spark, sf, k, p), names[-1], f"{base}/{names[-1]}", buckets=MERGE_BUCKETS)
+    return R.merge_stored(spark, names)
+
+
+register("merge_stored", _MERGED)(_merge_stored)
+
 
 def _merge_repeated(spark, sf):
     """Three files keyed by pairs of blocks, the first keys null, the second file with its sure answers only:

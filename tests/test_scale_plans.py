@@ -61,3 +61,22 @@ def test_metrics_one_shuffle_and_pairwise_no_block_join(spark):
     pw = _physical(pairwise_kappa(wide))
     assert "SortMergeJoin" not in pw and "NestedLoopJoin" not in pw and "CartesianProduct" not in pw
     assert "PythonUDF" not in pw and "BatchEvalPython" not in pw
+
+
+def test_stored_conditions_merge_without_exchange(spark, tmp_path):
+    import uuid
+    from annospark.operators.reshape import merge_conditions, merge_stored, store_condition
+    rows = [(1, "yes", "a"), (2, "no", "b"), (2, "yes", "c"), (None, "no", "d"), (5, "yes", "e")]
+    a = spark.createDataFrame(rows, "block_id int, DIL_m_promptA string, text string")
+    b = spark.createDataFrame([(2, "no"), (2, "x"), (None, "yes"), (9, "no")], "block_id int, DIL_m_promptB string")
+    c = spark.createDataFrame([(1, "no"), (5, None)], "block_id int, DIL_m_promptA string")
+    names = [f"t{k}_{uuid.uuid4().hex}" for k in range(3)]
+    for f, name in zip((a, b, c), names):
+        store_condition(f, name, str(tmp_path / name), buckets=4)
+    merged = merge_stored(spark, names)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, merged.collect()), key=key) == sorted(map(tuple, merge_conditions([a, b, c]).collect()), key=key)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
