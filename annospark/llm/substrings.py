@@ -1,23 +1,25 @@
-"""Repeated passages: prefix-partitioned suffix trees over word sequences.
+"""Repeated passages: fingerprints of word windows, grouped by a run inside them.
 
 A window is `window` consecutive words.  A word goes if a window that covers it
-begins with the same word sequence at another place of the corpus as well, that
-is, if the suffix there meets another suffix at a depth of `window` words or
-more: below a deep internal node of the corpus's suffix tree.
+begins with the same word sequence at another place of the corpus as well.  This
+takes the place of prefix-partitioned suffix trees: a repeat of `window` words or more is all
+that is asked for, so suffixes are cut at that depth and compared as fingerprints; they
+are not ordered by their words, and maximal repeats are not listed.
 
-1. Prefix.  Of the PREFIX-word runs inside a window the one with the smallest hash
-   names the group of the window's suffix, so equal windows are in one group and
+1. Runs.  Of the PREFIX-word runs inside a window the one with the smallest hash
+   names the window's group, so equal windows are in one group and
    a document has one such run for about every twelve words.  Runs that occur
    once in the corpus cannot begin a repeat; their windows are dropped here.
 2. Groups.  The windows of the other runs are dealt by their run, each as the
    64-bit fingerprint of its words.  A group of more than GROUP_ROWS rows is
-   too large for one subtree, so its prefix is lengthened to the whole window:
-   such suffixes are counted by it with partial sums, and no task gathers them.
-3. Subtrees.  The other groups are sorted, so that suffixes with a common prefix
-   of `window` words are neighbours: the leaves below one deep internal node.
-   Nodes with two leaves or more mark their places.
+   too large for one task's memory, so it is dealt further, by the whole window:
+   such windows are counted by it with partial sums, and no task gathers them.
+3. The other groups are sorted by fingerprint; equal neighbours mark their places.
 4. Places come back to their documents as arrays, and the words they cover go.
 
+Fingerprints are made of the words' xxh3 hashes (see wordhash).  Two different windows of a
+group of n, which share their run's hash already, have one fingerprint with probability below n^2 / 2^65.
+
 Texts are shuffled twice, to meet their candidate runs and their places; windows
 are shuffled as fingerprints, and only those of repeated runs.
 
@@ -117,16 +119,15 @@ def windows_of(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "run long, large boolean, row_key long, first int, prints array<long>")
 
 
-def subtree_places(rows: DataFrame) -> DataFrame:
-    """Sorted rows of whole groups -> row_key, place: the suffixes below deep nodes with two leaves or more."""
-    def leaves(prints, keys, places):
-        """A subtree: its suffixes sorted by the words of a window; equal neighbours share a deep node."""
+def repeated_in_groups(rows: DataFrame) -> DataFrame:
+    """Sorted rows of whole groups -> row_key, place: the windows whose fingerprint another window of the group has."""
+    def repeated(prints, keys, places):
         order = np.argsort(prints, kind="stable")
         same = prints[order][1:] == prints[order][:-1]
-        deep = np.zeros(len(order), bool)
-        deep[1:] |= same
-        deep[:-1] |= same
-        return keys[order][deep], places[order][deep]
+        twice = np.zeros(len(order), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        return keys[order][twice], places[order][twice]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -136,7 +137,7 @@ def subtree_places(rows: DataFrame) -> DataFrame:
             prints = np.concatenate([h[2] for h in held])
             keys = np.concatenate([np.full(len(h[2]), h[0], np.int64) for h in held])
             places = np.concatenate([np.arange(h[1], h[1] + len(h[2]), dtype=np.int32) for h in held])
-            k, p = leaves(prints, keys, places)
+            k, p = repeated(prints, keys, places)
             return pa.RecordBatch.from_arrays([pa.array(k), pa.array(p)], names=["row_key", "place"])
 
         for batch in batches:
@@ -167,12 +168,12 @@ def repeated_places(docs: DataFrame, window: int) -> DataFrame:
     wide = stored(windows_of(docs.join(mine, F.col("row_key") == F.col("m_key")).select("row_key", "text", "runs"), window))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = wide.where("not large").select("run", "row_key", "first", "prints")
-    trees = subtree_places(small.repartition(parts, "run").sortWithinPartitions("run"))
-    deep = (wide.where("large").select("row_key", "first", F.posexplode("prints").alias("i", "print"))
+    grouped = repeated_in_groups(small.repartition(parts, "run").sortWithinPartitions("run"))
+    dealt = (wide.where("large").select("row_key", "first", F.posexplode("prints").alias("i", "print"))
             .select("row_key", (F.col("first") + F.col("i")).alias("place"), "print"))
-    twice = deep.groupBy(F.col("print").alias("t_print")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t_print")
-    leaves = deep.join(twice, F.col("print") == F.col("t_print")).select("row_key", "place")
-    return trees.unionByName(leaves).groupBy("row_key").agg(F.collect_list("place").alias("places"))
+    twice = dealt.groupBy(F.col("print").alias("t_print")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t_print")
+    counted = dealt.join(twice, F.col("print") == F.col("t_print")).select("row_key", "place")
+    return grouped.unionByName(counted).groupBy("row_key").agg(F.collect_list("place").alias("places"))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, carry: tuple[str, ...] = (),

@@ -80,3 +80,43 @@ def test_document_floor_is_one_share(spark):
     h = langid.gram_hashes("zygote")
     for size in (1, 2, 3, 50):
         assert langid.hits(h, langid.fit(docs.where(f"doc_id < {size}")))[0] == len(h)
+
+
+def plain_grams(text):
+    """The 4-grams of the lower-cased letters, other characters one gap, a gap at both ends."""
+    out, last = [" "], " "
+    for c in text.lower():
+        c = c if c.isalpha() else " "
+        if c != " " or last != " ":
+            out.append(c)
+        last = c
+    if out[-1] != " ":
+        out.append(" ")
+    out += [" "] * (4 - len(out))
+    return ["".join(out[k:k + 4]) for k in range(len(out) - 3)]
+
+
+def test_predictions_are_those_of_plain_sets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    taught = [(t, k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 3 != 1 and t is not None and k is not None]
+    seen, of = {}, {}
+    for text, lang in taught:
+        if any(c.isalpha() for c in text):
+            of[lang] = of.get(lang, 0) + 1
+            for g in set(plain_grams(text)):
+                seen.setdefault(lang, {}).setdefault(g, 0)
+                seen[lang][g] += 1
+    known = {k: {g for g, n in grams.items() if n >= 0.01 * of[k]} for k, grams in seen.items()}
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    unlike = 0
+    for i, text, _ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i] == ("und", 0.0)
+            continue
+        grams = plain_grams(text)
+        share = {k: sum(g in known[k] for g in grams) / len(grams) for k in sorted(known)}
+        best = max(share, key=lambda k: share[k])
+        unlike += got[i][0] != best or abs(got[i][1] - share[best]) > 0.03
+    assert unlike <= len(rows) // 200                 # false positives of the filters may turn a near tie

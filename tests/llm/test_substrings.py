@@ -1,4 +1,4 @@
-"""Repeated passages against brute force, also with groups too large for one subtree."""
+"""Repeated passages against brute force, also with groups too large for one task."""
 
 import re
 from collections import Counter
