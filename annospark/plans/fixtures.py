@@ -16,6 +16,8 @@ projections (no shuffle) apart from the `works` dimension and the label join.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,7 +98,14 @@ def _with_hashes(b: DataFrame, conds: list[tuple[str, str]]) -> DataFrame:
 
 
 _WIDE_COLS = ["block_id", "doc_id", "author", "work", "year", "DIL", "split"]
-_MATERIALISED: dict[tuple[str, str], str] = {}
+_MATERIALISED: dict[tuple[str, str], tuple[tuple, str]] = {}
+
+
+def _input_files(spark: SparkSession, sf_dir: str) -> tuple:
+    """What names the files that the wide table is made of: their rows, and a sum of hashes of path, size and time."""
+    meta = ["_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"]
+    rows = table(spark, sf_dir, "documents").select(*meta).unionByName(table(spark, sf_dir, "labels").select(*meta))
+    return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first())
 
 
 def _build_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,17 +124,17 @@ def annotations_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     The study reads this table from annotated files; here it is derived from
     the test tables once per session and written as parquet to the shared
     checkpoint folder, then read back (column pruning applies), so every
-    evaluation query starts from stored columns like the real input.
+    evaluation query starts from stored columns like the real input.  Other or
+    changed input files make it anew.
     """
     from annospark.session import checkpoint_dir
     ck = checkpoint_dir(spark)
-    key = (ck, sf_dir)
-    if key not in _MATERIALISED:
-        import hashlib
-        path = f"{ck.rstrip('/')}/fixture-wide-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
-        _build_wide(spark, sf_dir).write.mode("overwrite").parquet(path)
-        _MATERIALISED[key] = path
-    return spark.read.parquet(_MATERIALISED[key])
+    key, files = (ck, sf_dir), _input_files(spark, sf_dir)
+    if key not in _MATERIALISED or _MATERIALISED[key][0] != files:
+        path = f"{ck.rstrip('/')}/fixture-wide-{uuid.uuid4().hex}"
+        _build_wide(spark, sf_dir).write.parquet(path)
+        _MATERIALISED[key] = files, path
+    return spark.read.parquet(_MATERIALISED[key][1])
 
 
 def condition_file(spark: SparkSession, sf_dir: str, key: str, prompt: str) -> DataFrame:

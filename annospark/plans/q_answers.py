@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from annospark.functions import answers as A
 from annospark.operators.answers import normalize_answers, status_distribution
+from annospark.operators.metrics import markers_by_outcome, outcome
 from annospark.operators.reshape import binarize, to_long
 from annospark.plans import fixtures as fx
 from annospark.plans.catalog import register
@@ -165,3 +166,31 @@ SELECT model_key, decisione, count(*) AS n, CAST(sum(tokens_in) AS BIGINT) AS to
        count(*) FILTER (WHERE status = 'parse_error') AS n_parse_errors,
        count(*) FILTER (WHERE status = 'api_error') AS n_api_errors
 FROM lg GROUP BY model_key, decisione""")(_reasoning_log)
+
+
+# ------------------------------------------------------------------ M18 (markers named by the answers)
+def _answer_markers(spark, sf):
+    """Markers that valid structured answers name, by outcome of each model and prompt."""
+    p = normalize_answers(_raw(spark, sf), "structured").where("status = 'ok'")
+    gold = fx.blocks(spark, sf).select(F.col("block_id").alias("g_id"), binarize(F.col("DIL")).alias("gold"))
+    j = (p.join(gold, F.col("block_id") == F.col("g_id")).withColumn("pred", binarize(F.col("dil")))
+         .where("gold is not null and pred is not null"))
+    return markers_by_outcome(j.select("model_key", "prompt", outcome(F.col("gold"), F.col("pred")).alias("outcome"), F.col("marcatori").alias("markers")),
+                              by=("model_key", "prompt"))
+
+
+register("answer_markers_by_outcome", BASE + f""", t AS (SELECT model_key, prompt, block_id, result_type, raw_text, tokens_in, tokens_out,
+    {_utrim('raw_text')} AS t FROM raw),
+st AS (SELECT *, CASE WHEN result_type = 'errored' THEN 'api_error' WHEN result_type = 'expired' THEN 'expired'
+        WHEN COALESCE(CASE WHEN json_valid(t) THEN json_type(t) = 'OBJECT' ELSE false END, false) THEN 'ok'
+        ELSE 'parse_error' END AS status FROM t),
+
+an AS (SELECT st.model_key, st.prompt, COALESCE(CAST(json_extract(st.t, '$.marcatori') AS VARCHAR[]), CAST([] AS VARCHAR[])) AS markers,
+              CASE b.DIL WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS g, CASE json_extract_string(st.t, '$.dil') WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS p
+       FROM st JOIN blocks b ON b.block_id = st.block_id WHERE st.status = 'ok'),
+ao AS (SELECT model_key, prompt, markers, CASE WHEN g = 1 AND p = 1 THEN 'TP' WHEN g = 0 AND p = 1 THEN 'FP' WHEN g = 1 AND p = 0 THEN 'FN' ELSE 'TN' END AS outcome
+       FROM an WHERE g IS NOT NULL AND p IS NOT NULL),
+az AS (SELECT model_key, prompt, outcome, count(*) AS class_size FROM ao GROUP BY ALL),
+am AS (SELECT model_key, prompt, outcome, marker, count(*) AS n FROM (SELECT model_key, prompt, outcome, unnest(markers) AS marker FROM ao) u GROUP BY ALL)
+SELECT model_key, prompt, outcome, marker, n, class_size, round(CAST(n AS DOUBLE) / CAST(class_size AS DOUBLE), 6) AS share
+FROM am JOIN az USING (model_key, prompt, outcome)""")(_answer_markers)
