@@ -14,7 +14,8 @@ Decoding gathers from one buffer of all tokens' bytes through an offset table.
 The vocabulary is read by the driver from the tokenizer file whose path the
 caller gives, and broadcast: its size is that of the file, not of the data.
 Each Python worker builds the automaton once and keeps the encodings of words
-it has met, up to WORD_CACHE bytes of them (then the memory starts anew).  Texts are
+it has met, up to WORD_CACHE bytes of them; then a new memory begins, and words found
+in the old one move over, so frequent words stay.  Texts are
 taken in slices of a few megabytes, and their ids are one flat array with offsets.
 
 Defined cases: a null or empty text has no tokens, the digest of no bytes and
@@ -29,6 +30,7 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +42,11 @@ from annospark.llm.common import bounded, shipped, worker_state
 
 # Fixed value: the split pattern of byte-level tokenizer files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: What a worker remembers: bytes of words with their encodings (longer words are encoded anew), and pairs of tokens.
-WORD_CACHE, LONGEST_KEPT = 8 << 20, 64
-PAIR_CACHE = 200_000
+#: What a worker remembers: bytes of words with their encodings, twice (longer words are encoded anew), and pairs of tokens.
+WORD_CACHE, LONGEST_KEPT = 6 << 20, 64
+PAIR_CACHE = 400_000
 NEVER = float("inf")
+FIRST, SECOND = itemgetter(0), itemgetter(1)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -78,6 +81,17 @@ def read_vocabulary(path: str) -> dict:
     return {"tokens": tokens, "pairs": pairs, "added": special, "pattern": PATTERN}
 
 
+class Memory(dict):
+    """word -> its encoding; a word that is not held is made."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word):
+        return self.make(word)
+
+
 class Encoder:
     def __init__(self, vocabulary: dict):
         import ahocorasick
@@ -101,8 +115,9 @@ class Encoder:
         self.ordered = all(max(made.get(a, -1), made.get(b, -1)) < rank for (a, b), (rank, _) in self.pairs.items())
         self.made, self.spines = made, ({}, {})
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.shorter: dict[int, int] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
+        # the longest token that is a proper prefix of this one; -1 of a single byte
+        self.shorter = [next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), -1) for t in self.tokens]
+        self.words, self.older = Memory(self.known), Memory(self.known)       # the words met last, and those before them
         self.held = 0                             # bytes of the words and encodings kept
         lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.sizes = lengths.tolist()
@@ -162,17 +177,8 @@ class Encoder:
             self.compatible[left, right] = known
         return known
 
-    def next_shorter(self, token: int) -> int:
-        """The longest token that is a proper prefix of this one; -1 if it is a single byte."""
-        found = self.shorter.get(token)
-        if found is None:
-            t = self.tokens[token]
-            found = next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), -1)
-            self.shorter[token] = found
-        return found
-
     def encode_word(self, word: bytes) -> list[int]:
-        n, sizes, known, points = len(word), self.sizes, self.compatible.get, word.decode("latin-1")
+        n, sizes, shorter, known, points = len(word), self.sizes, self.shorter, self.compatible.get, word.decode("latin-1")
         longest, at = {}, 0                       # the longest token at the places met so far
         for end, i in self.automaton.iter_long(points):
             longest[at], at = i, end + 1
@@ -186,7 +192,7 @@ class Encoder:
                     fits = known((out[-1], token))
                     if fits or fits is None and self.fits(out[-1], token):
                         break
-                token = self.next_shorter(token)
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += sizes[token]
@@ -201,26 +207,30 @@ class Encoder:
         return out
 
     def known(self, word: str) -> tuple[bytes, str]:
-        ids = self.encode_word(word.encode())
-        entry = (array("I", ids).tobytes(), ",".join(map(str, ids)))
+        entry = self.words.get(word)               # a new memory may have begun since the caller looked
+        if entry is not None:
+            return entry
+        entry = self.older.get(word)
+        if entry is None:
+            ids = self.encode_word(word.encode())
+            entry = (array("I", ids).tobytes(), ",".join(map(str, ids)))
         if len(word) <= LONGEST_KEPT:
             self.held += len(word) + len(entry[0]) + len(entry[1])
             if self.held > WORD_CACHE:
-                self.words.clear()
-                self.held = 0
+                self.words, self.older, self.held = Memory(self.known), self.words, 0
             self.words[word] = entry
         return entry
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """The ids, and their decimal forms joined by commas."""
-        words, known, found = self.words, self.known, []
+        found: list[tuple[bytes, str]] = []
         for part in self.specials.split(text) if self.specials else [text]:
             if part in self.added:
                 i = self.added[part]
                 found.append((array("I", [i]).tobytes(), str(i)))
             elif part:
-                found += [words.get(w) or known(w) for w in self.split.findall(part)]
-        return np.frombuffer(b"".join([f[0] for f in found]), dtype=np.uint32), ",".join([f[1] for f in found])
+                found += map(self.words.__getitem__, self.split.findall(part))
+        return np.frombuffer(b"".join(map(FIRST, found)), dtype=np.uint32), ",".join(map(SECOND, found))
 
     def decode(self, ids: np.ndarray) -> str:
         sizes = self.lengths[ids]
