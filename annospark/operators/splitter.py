@@ -298,7 +298,8 @@ def pieces_of(text: Column) -> Column:
 def candidate_ends(df: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
     """(*key, nth, last, next): the pieces that end in a period inside a paragraph, with the words around it."""
     p = df.select(*key, pieces_of(F.col(text_col)).alias("__p"))
-    ends = p.select(*key, F.posexplode(F.arrays_zip(
+    # the outer form: of the other Spark makes a filter on the array, and cuts the texts once more for it
+    ends = p.select(*key, F.posexplode_outer(F.arrays_zip(
         F.col("__p").alias("piece"), F.slice("__p", F.lit(2), F.greatest(F.size("__p") - 1, F.lit(0))).alias("after"))).alias("nth", "__z"))
     return (ends.where((F.col("__z.after") != "") & F.col("__z.piece").rlike(r"\.[^.!?…]*$"))
             .select(*key, "nth", F.regexp_extract("__z.piece", LAST_WORD_RE, 1).alias("last"),
@@ -311,10 +312,13 @@ def sentence_ends(pieces: Column, inner: Column) -> Column:
 
 
 def joined_pieces(pieces: Column, ends: Column, shortest: int = 2) -> Column:
-    """The cleaned sentences of so many characters. Give columns, not expressions: both are read once a sentence."""
+    """The cleaned sentences of so many characters. Give columns, not expressions: both are read once a sentence.
+
+    `pieces` is named outside the lambda too: a column read once only would be put into the lambda by the optimizer.
+    """
     begin = lambda j: F.when(j == 0, 0).otherwise(F.get(ends, j - 1) + 1)
     sents = F.transform(ends, lambda e, j: collapse_ws(F.array_join(F.slice(pieces, begin(j) + 1, e - begin(j) + 1), " ")))
-    return F.filter(sents, lambda s: F.length(s) >= shortest)
+    return F.when(F.size(pieces) > 0, F.filter(sents, lambda s: F.length(s) >= shortest)).otherwise(F.array().cast("array<string>"))
 
 
 def sentence_arrays(df: DataFrame, id_col: str, model: Splitter, text_col: str = "text",
@@ -338,6 +342,7 @@ def sentence_arrays(df: DataFrame, id_col: str, model: Splitter, text_col: str =
 
 def sentences(df: DataFrame, id_col: str, model: Splitter, text_col: str = "text") -> DataFrame:
     """(id, sent_idx, sentence)."""
+    # the outer form, as in candidate_ends
     return (sentence_arrays(df, id_col, model, text_col)
-            .select(id_col, F.posexplode("sents").alias("sent_idx", "sentence"))
+            .select(id_col, F.posexplode_outer("sents").alias("sent_idx", "sentence")).where(F.col("sent_idx").isNotNull())
             .withColumn("sent_idx", F.col("sent_idx").cast("bigint")))

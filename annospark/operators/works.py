@@ -125,7 +125,8 @@ class WorkSplitter:
 
     def sentences(self) -> DataFrame:
         """(work, sent_idx, sentence)."""
-        inner = self._inner().select("work", "a", F.posexplode("s").alias("i", "sentence")).select("work", (F.col("a") + F.col("i")).alias("sent_idx"), "sentence")
+        # outer forms, here and below: of the others Spark makes filters that split the texts once more
+        inner = self._inner().select("work", "a", F.posexplode_outer("s").alias("i", "sentence")).where("i is not null").select("work", (F.col("a") + F.col("i")).alias("sent_idx"), "sentence")
         return inner.unionByName(self.edge_sentences)
 
     def chunks(self, n: int = 3) -> DataFrame:
@@ -136,12 +137,12 @@ class WorkSplitter:
         blocks = F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(0), F.col("full") - 1), lambda i: F.struct(
             ((F.col("a") + F.col("lead")) / n + i).cast("bigint").alias("chunk_idx"),
             F.array_join(F.slice("s", F.col("lead") + i * n + 1, F.lit(n)), " ").alias("text"))))
-        whole = cut.select("work", F.inline(blocks)).select("work", "chunk_idx", "text", F.lit(n).cast("bigint").alias("n_sent"))
+        whole = cut.select("work", F.inline_outer(blocks)).where("chunk_idx is not null").select("work", "chunk_idx", "text", F.lit(n).cast("bigint").alias("n_sent"))
         taken = F.col("lead") + n * F.col("full")
         rest = F.concat(
             F.transform(F.slice("s", F.lit(1), F.col("lead")), lambda x, i: F.struct((F.col("a") + i).alias("sent_idx"), x.alias("sentence"))),
             F.transform(F.slice("s", taken + 1, size - taken), lambda x, i: F.struct((F.col("a") + taken + i).alias("sent_idx"), x.alias("sentence"))))
-        loose = cut.select("work", F.inline(rest)).unionByName(self.edge_sentences)
+        loose = cut.select("work", F.inline_outer(rest)).where("sent_idx is not null").unionByName(self.edge_sentences)
         made = loose.groupBy("work", F.floor(F.col("sent_idx") / n).cast("bigint").alias("chunk_idx")).agg(
             F.array_sort(F.collect_list(F.struct("sent_idx", "sentence"))).alias("r"))
         return whole.unionByName(made.select("work", "chunk_idx", F.array_join(F.transform("r", lambda x: x["sentence"]), " ").alias("text"),
