@@ -132,10 +132,13 @@ def fit(labelled: DataFrame, slots: int = SLOTS) -> DataFrame | None:
 def gains(codes: DataFrame, model: DataFrame) -> DataFrame:
     """code, gain, trial: the accepted minus the rejected log-likelihood in UNITs, by all labelled rows and by those not held."""
     cells = ("all0", "all1", "some0", "some1")
-    asked = codes.select("code", F.posexplode(counter_keys()).alias("number", "key"))
+    # order 0's context is one row that every code reads: a constant, not a key of the join
+    root = model.where(F.col("key") == F.lit(1 << CODE_BITS)).first()
+    asked = codes.select("code", F.posexplode(counter_keys()).alias("number", "key")).where("number <> 1")
     read = asked.join(model.withColumnRenamed("key", "m_key"), F.col("key") == F.col("m_key"), "left")
     each = read.groupBy("code").agg(*[F.coalesce(F.max(F.when(F.col("number") == i, F.col(c))), F.lit(0)).alias(f"{c}_{i}")
-                                      for c in cells for i in range(2 * ORDER + 2)])
+                                      for c in cells for i in range(2 * ORDER + 2) if i != 1])
+    each = each.select("*", *[F.lit(root[c]).cast("bigint").alias(f"{c}_1") for c in cells])
 
     def likelihood(c: str) -> Column:
         p = F.lit(1.0 / ALPHABET)
