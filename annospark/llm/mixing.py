@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from annospark.functions.hashing import h, sql_h
 from annospark.llm.common import WORD, same, slices, stored, word_count
 
-#: Slices of one unit of virtual time; the budget ends in one of them.
-TIME_SLICES = 4096
 HASH_SPACE = 1 << 32
 
 
@@ -85,16 +83,17 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
                               F.coalesce(size, F.lit(0)).cast("bigint").alias("size"),
                               F.coalesce(h(id_col), F.lit(0)).alias("key")))
     n_rows = rows.count()
+    time_slices = slices(n_rows * max_repeats)    # of about SLICE_ROWS copies at any size of the corpus
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats, budget)
     queued = stored(queue_positions(rows, targets, n_rows))
 
     copies = (queued.where("size > 0").select("rank", "slice", "nth", "size", F.col("key"), F.col("doc_id"), F.explode(F.sequence(
         F.lit(0), F.lit(max_repeats - 1))).alias("copy"), "sent", "source_size", "target")
         .withColumn("finish", (F.col("copy") * F.col("source_size") + F.col("sent")) / F.col("target"))
-        .withColumn("tick", F.least(F.floor(F.col("finish") * TIME_SLICES), F.lit(2 * TIME_SLICES))))
+        .withColumn("tick", F.least(F.floor(F.col("finish") * time_slices), F.lit(2 * time_slices))))
     running = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
     total = F.floor(F.lit(budget) * F.sum("size")).alias("budget")
-    ticks = (copies.groupBy("tick").agg(F.sum("size").alias("words"))          # at most 2 * TIME_SLICES + 1 rows
+    ticks = (copies.groupBy("tick").agg(F.sum("size").alias("words"))          # at most 2 * time_slices + 1 rows
              .withColumn("through", F.sum("words").over(running)))
     edge = (ticks.crossJoin(queued.agg(total)).where("through > budget")        # one-row side
             .agg(F.min(F.struct("tick", (F.col("budget") - F.col("through") + F.col("words")).alias("left"))).alias("edge"))
@@ -106,8 +105,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
                  .where(F.col("through") <= left)
                  .groupBy(F.col("rank").alias("e_rank"), F.col("slice").alias("e_slice"), F.col("nth").alias("e_nth"))
                  .agg(F.count(F.lit(1)).alias("at_edge")))
-    surely = sum((F.when(F.least(F.floor((c * F.col("source_size") + F.col("sent")) / F.col("target") * TIME_SLICES),
-                                 F.lit(2 * TIME_SLICES)) < last, 1).otherwise(0) for c in range(max_repeats)), F.lit(0))
+    surely = sum((F.when(F.least(F.floor((c * F.col("source_size") + F.col("sent")) / F.col("target") * time_slices),
+                                 F.lit(2 * time_slices)) < last, 1).otherwise(0) for c in range(max_repeats)), F.lit(0))
     n_copies = F.when(F.col("size") > 0, surely + F.coalesce(F.col("at_edge"), F.lit(0))).otherwise(F.lit(0))
     return (queued.join(edge_rows, (F.col("rank") == F.col("e_rank")) & (F.col("slice") == F.col("e_slice"))
                         & (F.col("nth") == F.col("e_nth")), "left")
