@@ -80,3 +80,30 @@ def test_stored_conditions_merge_without_exchange(spark, tmp_path):
     assert "Exchange" not in plan and "SortMergeJoin" in plan
     for name in names:
         spark.sql(f"DROP TABLE {name}")
+
+
+def _broadcasts(df):
+    """Joins of the optimised plan that a broadcast of any of their sides could answer."""
+    return [line for line in _physical(df).splitlines() if "BroadcastHashJoin" in line]
+
+
+def test_long_rows_of_a_small_stored_table_are_not_broadcast(spark, tmp_path):
+    # 40 blocks in a file of a few kB: the long rows behind the generator look small to the planner
+    long = spark.range(40).select(F.col("id").alias("block_id"), F.explode(F.array(*map(F.lit, "ABC"))).alias("prompt"))
+    rows = long.select("block_id", F.lit("m").alias("model"), "prompt",
+                       (F.xxhash64("block_id", "prompt") % 2 == 0).cast("int").alias("correct"))
+    rows.write.parquet(str(tmp_path / "lf"))
+    lf = spark.read.parquet(str(tmp_path / "lf"))
+    score = I.clogit_score(lf)
+    assert not _broadcasts(score)
+    pdf = lf.toPandas()
+    per = pdf.groupby("block_id").correct.agg(["sum", "count"])
+    kept = pdf.merge(per[(per["sum"] > 0) & (per["sum"] < per["count"])], left_on="block_id", right_index=True)
+    want = {p: round(float((g.correct - g["sum"] / g["count"]).sum()), 6) for p, g in kept.groupby("prompt")}
+    assert {r.prompt: r.u for r in score.collect()} == want
+
+
+def test_answers_meet_their_blocks_without_broadcast(spark):
+    from annospark.plans import catalog, q_annotate  # noqa: F401 - registers
+    plan = [line for line in _broadcasts(catalog.QUERIES["pending_conditions"](spark, SF0001)) if "block_id" in line]
+    assert not plan
