@@ -107,3 +107,27 @@ def test_answers_meet_their_blocks_without_broadcast(spark):
     from annospark.plans import catalog, q_annotate  # noqa: F401 - registers
     plan = [line for line in _broadcasts(catalog.QUERIES["pending_conditions"](spark, SF0001)) if "block_id" in line]
     assert not plan
+
+
+def _optimised(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_answer_is_parsed_and_hashed_once(spark):
+    from annospark.operators.answers import normalize_answers
+    from annospark.plans import fixtures as fx
+    raw = spark.createDataFrame([('{"dil": "yes"}', "succeeded"), ("x", "errored"), ("x", None)], "raw_text string, result_type string")
+    for mode in ("json_think", "structured"):
+        assert _optimised(normalize_answers(raw, mode)).count("from_json(") == 1
+    assert [r.status for r in normalize_answers(raw, "structured").collect()] == ["ok", "api_error", "parse_error"]
+    assert _optimised(fx.raw_answers(spark, SF0001)).count("md5(") == 4       # shape, outcome, two token counts
+
+
+def test_wide_table_is_dealt_by_rows(spark, monkeypatch):
+    from annospark.plans import fixtures as fx
+    monkeypatch.setattr(fx, "WIDE_FILE_ROWS", 25, raising=False)
+    monkeypatch.setattr(fx, "_MATERIALISED", {})
+    wide = fx.annotations_wide(spark, SF0001)
+    rows = wide.count()
+    assert rows == spark.read.parquet(f"{SF0001}/documents.parquet").count()
+    assert len(wide.inputFiles()) >= rows / 25
