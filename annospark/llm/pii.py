@@ -6,11 +6,11 @@
    Proposals may overlap each other; those that overlap a base span of their kind are not needed.
 2. Features.  Format (signs, groups, separators, check digit, octets) and context (characters
    beside the span, a cue word before it), all small numbers.
-3. Boosted trees.  Fitted on a bounded sample, about `fit_documents` documents chosen by a hash of the id
-   (all, if there are fewer).  Positive: base spans, written in ways the base patterns
+3. Boosted trees.  Fitted on the spans of all documents; spans with the same features are one row with
+   their number as its weight, so the fit's size is that of the distinct features.  Positive: base spans, written in ways the base patterns
    don't read, where they stand.  Negative: natural proposals that are no base span, and
    base spans that were spoiled (a digit off, a part too large, a missing domain).
-4. Thresholds.  On a quarter of the sample that the trees have not seen, the smallest score from which
+4. Thresholds.  On a quarter of the documents, which the trees have not seen, the smallest score from which
    on `precision` of the proposals are positive, kind by kind; a kind without one adds nothing.
    The trees become one column expression, so all texts are judged where they
    are, in built-in functions, and nothing is shuffled.
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annospark.llm.common import stored
@@ -232,7 +232,7 @@ def complete_tree(root, depth: int) -> tuple[list[int], list[float], list[float]
 
 
 def training_rows(found: DataFrame) -> DataFrame:
-    """(held, label, the features): what the sampled documents teach. `held` marks the quarter that sets the thresholds."""
+    """(held, label, the features): what the documents teach. `held` marks the quarter that sets the thresholds."""
     held = (F.pmod(F.xxhash64("id", F.lit("held")), F.lit(4)) == 0).alias("held")
     style = F.pmod(F.xxhash64("o.start", "id"), F.lit(STYLES))
     rows = None
@@ -250,34 +250,28 @@ def training_rows(found: DataFrame) -> DataFrame:
     return rows
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_documents: int = 40_000, trees: int = 12, depth: int = 3,
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trees: int = 12, depth: int = 3,
         precision: float = 0.98, least_positive: int = 20) -> Model:
-    """Trees and thresholds from about `fit_documents` documents; a kind with fewer than `least_positive` held positives gets no threshold."""
-    total = docs.count()
-    share = min(1.0, fit_documents / max(1, total))
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 20)) / float(1 << 20)
-    found = proposals(docs.where(place < share), id_col=id_col, text_col=text_col)
+    """Trees and thresholds from all documents; a kind with fewer than `least_positive` held positives gets no threshold."""
+    found = proposals(docs, id_col=id_col, text_col=text_col)
     wanted = F.lit(False)
     for kind in KINDS:
         wanted = wanted | (F.size(f"base_{kind}") > 0) | (F.size(f"wide_{kind}") > 0)
     found = stored(found.where(wanted).drop("text"))
-    rows = stored(training_rows(found).coalesce(8))
+    rows = training_rows(found)
+    rows = stored(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("weight")))
     seen = {r.label: r["count"] for r in rows.where("not held").groupBy("label").count().collect()}       # two rows
     if len(seen) < 2:
         return Model([], depth, dict.fromkeys(KINDS))
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.where("not held")).select("label", "features")
-    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.4, maxBins=48, seed=13).fit(vectors)
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.where("not held")).select("label", "features", "weight")
+    fitted = GBTClassifier(weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.4, maxBins=48, seed=13).fit(vectors)
     model = Model([(float(w), *complete_tree(t._java_obj.rootNode(), depth)) for w, t in zip(fitted.treeWeights, fitted.trees)], depth, {})
-    judged = rows.where("held").select("kind", "label", score(model, F.array(*FEATURES)).alias("score"))
-    # bounded by the leaves that the trees can combine on a bounded sample
-    steps = judged.groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).orderBy("kind", F.desc("score")).collect()
-    for k, kind in enumerate(KINDS):
-        good = n = 0
-        model.least[kind] = None
-        for r in (r for r in steps if r.kind == k and r.score > 0):      # from the highest score down
-            good, n = good + r.good, n + r.n
-            if good >= least_positive and good >= precision * n:
-                model.least[kind] = r.score
+    judged = rows.where("held").select("kind", "label", "weight", score(model, F.array(*FEATURES)).alias("score"))
+    steps = judged.where("score > 0").groupBy("kind", "score").agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n"))
+    above = Window.partitionBy("kind").orderBy(F.desc("score"))                # over a kind's different scores
+    sums = steps.select("kind", "score", F.sum("good").over(above).alias("good"), F.sum("n").over(above).alias("n"))
+    least = sums.where((F.col("good") >= least_positive) & (F.col("good") >= precision * F.col("n"))).groupBy("kind").agg(F.min("score").alias("least"))
+    model.least = dict.fromkeys(KINDS) | {KINDS[int(r.kind)]: r.least for r in least.collect()}       # a row a kind
     return model
 
 

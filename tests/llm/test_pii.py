@@ -127,3 +127,17 @@ def test_nothing_to_learn_from(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         model = pii.fit(docs)
         assert model.trees == [] and len(pii.digests(pii.find(docs, model)).collect()) == len(rows)
+
+
+def test_all_documents_teach(spark, monkeypatch):
+    docs = spark.range(40_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("mail a"), F.col("id"), F.lit("@x.org now")).alias("text"))
+    seen, real = [], pii.training_rows
+
+    def spy(found):
+        seen.append((found.count(), real(found).count()))
+        return real(found)
+
+    monkeypatch.setattr(pii, "training_rows", spy)
+    model = pii.fit(docs, trees=2)
+    assert seen == [(40_500, 2 * 40_500)]          # each base span once disguised and once spoiled
+    assert model.least["email"] is not None
