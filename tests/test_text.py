@@ -213,3 +213,34 @@ def test_abbreviation_filter_lets_all_abbreviations_through(spark):
     assert hits(abbrevs) == 500
     assert hits(spark.createDataFrame([(f"b{i}",) for i in range(2000)], "type string")) < 5
     assert hits(abbrevs.limit(0)) == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_patterns_of_open_periods_run_once_a_row(spark):
+    docs = spark.createDataFrame([(1, "Il sig. Rossi uscì. Poi no.")], "id int, text string")
+    plan = _plan(S.inner_periods(S.candidate_ends(docs, ["id"]), S.fit(docs)))
+    # a pattern inside a filter is one that Spark put there for each mention of its column
+    assert not [x for x in plan.splitlines() if "Filter" in x.split("(")[0] and "regexp_extract" in x]
+
+
+def test_word_counts_bruteforce(spark):
+    texts = ["\u00a0Uno due.  Tre!", None, "", " \n", "… a. 3.5, (B.) --- ¿Qué? e", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {(r.t, r.case, r.period, r.before, r.t0): r.n for r in S.word_counts(df).collect()}
+    num = S.NUMBER
+    assert got == {("uno", "U", False, "unknown", None): 1, ("due", "l", True, "none", None): 1, ("tre", "U", False, "period", "due"): 1,
+                   ("a", "l", True, "unknown", None): 1, (num, "", False, "period", "a"): 1, ("b", "U", True, "none", None): 1,
+                   ("qué", "U", False, "none", None): 1, ("e", "l", False, "mark", None): 1, ("x", "l", False, "unknown", None): 1}
+
+
+def test_starts_leave_out_what_stands_behind_abbreviations(spark):
+    rows = [("poi", "l", False, "period", "ecc", 5), ("poi", "U", False, "period", "mare", 2), ("poi", "l", False, "mark", None, 1),
+            ("poi", "l", False, "period", "a", 4), ("poi", "U", True, "none", None, 9), ("e", "l", False, "period", "ecc", 3)]
+    counts = spark.createDataFrame(rows, "t string, case string, period boolean, before string, t0 string, n bigint")
+    abbrevs = spark.createDataFrame([("ecc",), ("a",)], "type string")
+    got = {r.t: (r.c, r.a, r.starts, r.low_starts) for r in S._with_starts(counts, abbrevs, None).collect()}
+    assert got == {"poi": (21, 9, 3, 1), "e": (3, 0, 0, 0)}
+    assert {tuple(r) for r in S.case_contexts(counts, abbrevs).collect()} == {("poi", True, True, True, True), ("e", True, False, False, False)}
