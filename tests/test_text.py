@@ -244,3 +244,10 @@ def test_starts_leave_out_what_stands_behind_abbreviations(spark):
     got = {r.t: (r.c, r.a, r.starts, r.low_starts) for r in S._with_starts(counts, abbrevs, None).collect()}
     assert got == {"poi": (21, 9, 3, 1), "e": (3, 0, 0, 0)}
     assert {tuple(r) for r in S.case_contexts(counts, abbrevs).collect()} == {("poi", True, True, True, True), ("e", True, False, False, False)}
+
+
+def test_works_are_split_once(spark):
+    from annospark.operators.works import WorkSplitter, segments
+    docs = spark.createDataFrame([("w", 1, "Uno. Due. Tre. Quattro."), ("w", 2, "Cinque. Sei.")], "work string, doc int, text string")
+    split = WorkSplitter(segments(docs, "work", "doc"), S.fit(docs))
+    assert "regexp_replace" not in _plan(split._inner()) and "regexp_replace" not in _plan(split.chunks())
